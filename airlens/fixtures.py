@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airlens.functions.binary import crc32_mpeg2, to_bytes
 from airlens.operators.ordered import RunningSum, row_number, scan
 
 SECTION_CHARS = 1452
@@ -156,6 +157,64 @@ class Fixtures:
             "CASE WHEN event_id % 9 = 0 THEN event_type ELSE CONCAT('Artist ', CAST(user_id % 2 AS STRING), ' - ', event_type) END AS stream_title",
         )
 
+    # Orders as captures: one program per order whose streams are its lines; sections and packets as real bytes.
+
+    @cached_property
+    def order_es(self) -> DataFrame:
+        lines = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"))
+        return lines.selectExpr("l_orderkey AS capture", "l_linenumber AS line", "256 + l_linenumber AS pid", "CAST(part % 7 AS INT) AS variant")
+
+    @cached_property
+    def order_sections(self) -> DataFrame:
+        desc = {1: "0A04656E6700", 2: "0A04656E6700", 3: "6A01000A04656E6700", 4: "5605656E671188", 5: "5908656E671000010002", 6: "6F03000000"}
+        types = {0: "1B", 1: "03", 2: "0F", 3: "06", 4: "06", 5: "06", 6: "05"}
+        pick = lambda table: "CASE variant " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in table.items()) + " ELSE '' END"
+        entry = self.order_es.selectExpr("capture", "line", "pid", f"{pick(types)} AS t", f"{pick(desc)} AS d").selectExpr(
+            "capture", "line", "pid", "concat(t, lpad(hex(57344 + pid), 4, '0'), lpad(hex(61440 + length(d) div 2), 4, '0'), d) AS entry"
+        )
+        loops = entry.groupBy("capture").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "entry"))), lambda e: e["entry"]), "").alias("loop"),
+            F.min("pid").alias("pcr_pid"),
+        )
+        orders = self.table("orders").selectExpr(
+            "o_orderkey AS capture", "CAST(1 + o_orderkey % 60000 AS INT) AS program", "CAST(4096 + o_orderkey % 1000 AS INT) AS pmt_pid",
+            "CAST(o_custkey % 65536 AS INT) AS tsid", "concat('Service ', o_custkey) AS name", "o_orderpriority AS provider",
+            "o_orderkey % 5 <> 0 AS has_sdt", "o_orderkey % 2 = 0 AS has_nit",
+        )
+        both = orders.join(loops, "capture")
+        hex4 = lambda e: f"lpad(hex({e}), 4, '0')"
+        ascii_ = lambda e: f"concat(lpad(hex(length({e})), 2, '0'), hex({e}))"
+        bodies = both.selectExpr(
+            "capture", "pmt_pid",
+            f"concat({hex4('tsid')}, 'C10000', if(has_nit, '0000E010', ''), {hex4('program')}, {hex4('57344 + pmt_pid')}) AS pat",
+            f"concat({hex4('program')}, 'C10000', {hex4('57344 + pcr_pid')}, 'F000', loop) AS pmt",
+            f"if(has_sdt, concat({hex4('tsid')}, 'C10000', '0001FF', {hex4('program')}, 'FC', {hex4('32768 + 5 + length(name) + length(provider)')},"
+            f" '48', lpad(hex(3 + length(name) + length(provider)), 2, '0'), '01', {ascii_('provider')}, {ascii_('name')}), NULL) AS sdt",
+        )
+        rows = bodies.select("capture", F.explode(F.array(
+            F.struct(F.lit(0).alias("pid"), F.lit("00").alias("tid"), F.col("pat").alias("body"), F.lit(0).cast("bigint").alias("pkt_no")),
+            F.struct(F.lit(17).alias("pid"), F.lit("42").alias("tid"), F.col("sdt").alias("body"), F.lit(1).cast("bigint").alias("pkt_no")),
+            F.struct(F.col("pmt_pid").alias("pid"), F.lit("02").alias("tid"), F.col("pmt").alias("body"), F.lit(2).cast("bigint").alias("pkt_no")),
+        )).alias("s")).filter("s.body IS NOT NULL").select("capture", "s.*")
+        head = F.unhex(F.concat(F.col("tid"), F.expr("lpad(hex(45056 + length(body) div 2 + 4), 4, '0')"), F.col("body")))
+        built = rows.withColumn("bytes", head).withColumn("bytes", F.concat("bytes", to_bytes(crc32_mpeg2(F.col("bytes")), 4)))
+        # the aggregate keeps later filters on the bytes from being pushed into (and repeating) this construction
+        return built.groupBy("capture", "pid", "pkt_no").agg(F.max("bytes").alias("bytes"))
+
+    @cached_property
+    def order_packets(self) -> DataFrame:
+        """Each section repeated twice, cut into 188-byte packets of 184 payload bytes."""
+        twice = self.order_sections.withColumn("repeat", F.explode(F.array(F.lit(0), F.lit(1))))
+        framed = twice.withColumn("data", F.concat(F.unhex(F.lit("00")), F.col("bytes")))
+        cut = framed.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr("(octet_length(data) - 1) div 184"))))
+        chunk = F.expr("substring(data, part * 184 + 1, 184)")
+        pad = F.unhex(F.repeat(F.lit("FF"), 184 - F.octet_length("chunk")))
+        head = F.concat(F.unhex(F.lit("47")), to_bytes(F.col("pid") + F.when(F.col("part") == 0, 0x4000).otherwise(0), 2), to_bytes(F.lit(0x10) + F.col("part") % 16, 1))
+        built = cut.withColumn("chunk", chunk).select(
+            "capture", "pid", F.expr("repeat * 1000 + pkt_no * 100 + part").alias("pkt_no"), F.concat(head, "chunk", pad).alias("pkt")
+        )
+        return built.groupBy("capture", "pid", "pkt_no").agg(F.max("pkt").alias("pkt"))
+
 
 # The same views for the comparison SQL (DuckDB dialect).
 VIEW_SQL = {
@@ -206,6 +265,16 @@ FROM (SELECT DISTINCT user_id % 4 AS c, event_id % 6 AS i FROM fx_base) z""",
 FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // {SECTION_CHARS} + 1)) AS sec FROM documents WHERE length(text) > 0) z
 WHERE (doc_id + sec) % 11 <> 0""",
     "fx_text_rows": "SELECT CAST(user_id % 3 AS INT) AS capture, event_id AS i, pus // 1000 AS ts_ms, event_type AS text FROM fx_base",
+    "fx_order_es": """SELECT l_orderkey AS capture, l_linenumber AS line, 256 + l_linenumber AS pid, CAST(MAX(l_partkey) % 7 AS INT) AS variant,
+  CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INT) AS es_ordinal FROM lineitem GROUP BY 1, 2""",
+    "fx_order_es_class": """SELECT *, CASE variant WHEN 0 THEN 27 WHEN 1 THEN 3 WHEN 2 THEN 15 WHEN 6 THEN 5 ELSE 6 END AS stream_type,
+  CASE variant WHEN 0 THEN 'video' WHEN 4 THEN 'teletext' WHEN 5 THEN 'subtitle' WHEN 6 THEN 'AIT' ELSE 'audio' END AS cls,
+  CASE variant WHEN 0 THEN 'h264' WHEN 1 THEN 'mp2' WHEN 2 THEN 'aac' WHEN 3 THEN 'ac3' ELSE 'none' END AS codec,
+  CASE WHEN variant IN (1, 2, 3, 5) THEN 'eng' END AS lang FROM fx_order_es""",
+    "fx_order_programs": """SELECT o_orderkey AS capture, CAST(o_custkey % 65536 AS INT) AS tsid, CAST(1 + o_orderkey % 60000 AS INT) AS program_number,
+  CAST(4096 + o_orderkey % 1000 AS INT) AS pmt_pid, CASE WHEN o_orderkey % 5 <> 0 THEN CONCAT('Service ', o_custkey) END AS service_name,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS provider_name
+ FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
     "fx_titles": """SELECT CAST(user_id % 6 AS INT) AS station, event_id AS i, pus,
   CASE WHEN event_id % 9 = 0 THEN event_type ELSE CONCAT('Artist ', CAST(user_id % 2 AS VARCHAR), ' - ', event_type) END AS stream_title FROM fx_base""",
 }

@@ -100,3 +100,29 @@ def resolve_port(address: Column, port: Column, base_port: int, max_channels: in
     """Dedicated port of an IPv4 channel: base + hash modulo the table size (FN-14)."""
     h = fnv1a64(ipv4_octets(address), F.lit(FAMILY_IPV4), port)
     return (F.lit(base_port) + F.pmod(h, F.lit(max_channels).cast(U64)).cast("int")).cast("int")
+
+
+def concat_bytes(parts: Column) -> Column:
+    """Join an ARRAY<BINARY> into one value."""
+    return F.unhex(F.array_join(F.transform(parts, lambda b: F.hex(b)), ""))
+
+
+# fixed values: each hexadecimal digit and the digit with its four bits in reverse order
+_NIBBLES = "0123456789ABCDEF"
+_NIBBLES_REVERSED = "084C2A6E195D3B7F"
+
+
+def _reverse_bits_in_bytes(col: Column) -> Column:
+    swapped = F.regexp_replace(F.translate(F.hex(col), _NIBBLES, _NIBBLES_REVERSED), "(.)(.)", "$2$1")
+    return F.unhex(swapped)
+
+
+def crc32_mpeg2(col: Column) -> Column:
+    """CRC-32/MPEG-2 (UDF-1); 0 over a section that ends in its own checksum.
+
+    The built-in CRC shares the polynomial but reads bits the other way round, so reversing the bits of every
+    byte going in and of the result coming out gives this one without leaving the JVM.
+    """
+    reflected = F.crc32(_reverse_bits_in_bytes(col)).bitwiseXOR(F.lit(0xFFFFFFFF).cast("bigint"))
+    digits = F.lpad(F.hex(reflected), 8, "0")
+    return F.conv(F.reverse(F.translate(digits, _NIBBLES, _NIBBLES_REVERSED)), 16, 10).cast("bigint")

@@ -9,6 +9,7 @@ hands that carry back. Both the window and the join use one shuffle of the rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,13 @@ CHUNK = "__chunk"
 class _Op:
     expr: Column
 
+    def prepare(self, x: Column, rows) -> Column | None:
+        """Extra per-row column that summary and local both read as ``p``; needs one more window."""
+        return None
+
+    def carries(self, df: DataFrame, s: str, c: str, chunks) -> DataFrame:
+        return df.withColumn(c, self.carry(F.col(s), chunks))
+
     def summary(self, x: Column, at: Column) -> Column:
         raise NotImplementedError
 
@@ -84,6 +92,44 @@ class RunningSum(_Op):
         return F.coalesce(local, zero) + F.coalesce(carry, zero)
 
 
+@dataclass(frozen=True)
+class StepSum(_Op):
+    """Running sum of ``step(x, previous x)``, starting from ``start(x)`` at the first row of the key.
+
+    Fuses a lag and a sum into one pass: only the step across a chunk border needs the carry.
+    """
+
+    step: Callable[[Column, Column], Column]
+    start: Callable[[Column], Column]
+
+    def prepare(self, x, rows):
+        inner = self.step(x, F.lag(x).over(rows)).cast("bigint")
+        return F.when(F.lag(F.lit(1)).over(rows).isNotNull(), inner)
+
+    def summary(self, x, at, p):
+        return F.struct(
+            F.min_by(x, at).alias("head"), F.max_by(x, at).alias("tail"), F.coalesce(F.sum(p), F.lit(0).cast("bigint")).alias("inner")
+        )
+
+    def carries(self, df, s, c, chunks):
+        head, before = F.col(f"{s}.head"), F.lag(F.col(f"{s}.tail")).over(chunks)
+        border = F.when(F.lag(F.lit(1)).over(chunks).isNotNull(), self.step(head, before)).otherwise(self.start(head)).cast("bigint")
+        bordered = df.withColumn("__border", border)
+        total = F.sum(F.col("__border") + F.col(f"{s}.inner")).over(chunks.rowsBetween(Window.unboundedPreceding, -1))
+        return bordered.withColumn(c, F.col("__border") + F.coalesce(total, F.lit(0).cast("bigint"))).drop("__border")
+
+    def local(self, x, rows, p):
+        return F.sum(p).over(rows.rowsBetween(Window.unboundedPreceding, 0))
+
+    def merge(self, local, carry, first, last):
+        return carry + F.coalesce(local, F.lit(0).cast("bigint"))
+
+
+def changes(expr: Column, first: int = 0) -> StepSum:
+    """Number of value changes so far: a run id. Nulls compare as equal values."""
+    return StepSum(expr, lambda x, prev: (~x.eqNullSafe(prev)).cast("bigint"), lambda x: F.lit(first))
+
+
 class PriorMax(_Op):
     """Largest value of the rows before this one."""
 
@@ -158,27 +204,32 @@ def scan(
     ``order[0]`` must be an integer column (a packet number or a time in microseconds); it also picks the
     chunk, ``span`` units wide. ``order`` must be unique within a key for a repeatable result.
     """
-    inputs = {f"__x_{name}": op.expr for name, op in columns.items()}
     base = df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(span)))
-    for name, expr in inputs.items():
-        base = base.withColumn(name, expr)
+    for name, op in columns.items():
+        base = base.withColumn(f"__x_{name}", op.expr)
+    rows = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    prepared = {}
+    for name, op in columns.items():
+        extra = op.prepare(F.col(f"__x_{name}"), rows)
+        if extra is not None:
+            prepared[name] = [F.col(f"__p_{name}")]
+            base = base.withColumn(f"__p_{name}", extra)
 
     at = F.struct(*order)
-    per_chunk = base.groupBy(*keys, CHUNK).agg(
-        *[op.summary(F.col(f"__x_{name}"), at).alias(f"__s_{name}") for name, op in columns.items()]
+    carries = base.groupBy(*keys, CHUNK).agg(
+        *[op.summary(F.col(f"__x_{n}"), at, *prepared.get(n, [])).alias(f"__s_{n}") for n, op in columns.items()]
     )
     chunks = Window.partitionBy(*keys).orderBy(CHUNK)
-    carries = per_chunk.select(
-        *keys, CHUNK, *[op.carry(F.col(f"__s_{name}"), chunks).alias(f"__c_{name}") for name, op in columns.items()]
-    )
+    for name, op in columns.items():
+        carries = op.carries(carries, f"__s_{name}", f"__c_{name}", chunks)
+    carries = carries.select(*keys, CHUNK, *[f"__c_{name}" for name in columns])
 
-    rows = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     local = base.select(
         *df.columns,
         CHUNK,
         F.lag(F.lit(1)).over(rows).isNull().alias("__chunk_first"),
         F.lead(F.lit(1)).over(rows).isNull().alias("__chunk_last"),
-        *[op.local(F.col(f"__x_{name}"), rows).alias(f"__l_{name}") for name, op in columns.items()],
+        *[op.local(F.col(f"__x_{n}"), rows, *prepared.get(n, [])).alias(f"__l_{n}") for n, op in columns.items()],
     )
     merged = local.join(carries, [*keys, CHUNK], "left")
     kept = [c for c in df.columns if c not in columns]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from airlens.functions.binary import be, be16, bits, signed_delta, tail, u8
 from airlens.operators.greedy import greedy_marks
-from airlens.operators.ordered import DEFAULT_SPAN, First, Lag, LastKnown, RunningSum, asof_state, scan
+from airlens.operators.ordered import DEFAULT_SPAN, First, Lag, LastKnown, PriorKnown, RunningSum, StepSum, asof_state, scan
 
 SYNC = 0x47
 PACKET_BYTES = 188
@@ -123,23 +123,18 @@ def ts_integrity(packets: DataFrame, clock_pids: DataFrame | None = None, span:
 
 def unwrap(df: DataFrame, keys: list[str], order: list[str], col: str, width: int, span: int = DEFAULT_SPAN) -> DataFrame:
     """Extended counter: the raw first value plus every signed modular step (WIN-4)."""
-    stepped = scan(df, keys, order, span, __prev=Lag(F.col(col)))
-    stepped = stepped.withColumn("__step", F.coalesce(signed_delta(F.col(col), F.col("__prev"), width), F.col(col).cast("bigint")))
-    return scan(stepped, keys, order, span, ext=RunningSum(F.col("__step"))).drop("__prev", "__step")
+    return scan(df, keys, order, span, ext=StepSum(F.col(col).cast("bigint"), lambda x, prev: signed_delta(x, prev, width), lambda x: x))
 
 
 def elapsed_ticks(df: DataFrame, keys: list[str], order: list[str], col: str, width: int, span: int = DEFAULT_SPAN) -> DataFrame:
     """Forward-only elapsed ticks: wraps are followed, small steps back ignored (WIN-5)."""
-    stepped = scan(df, keys, order, span, __prev=Lag(F.col(col)))
-    back = F.col("__prev") - F.col(col)
-    step = (
-        F.when(back <= 0, -back)
-        .when(back > (1 << (width - 1)), F.lit(1 << width) - back)
-        .otherwise(0)
-        .cast("bigint")
-    )
-    stepped = stepped.withColumn("__step", F.coalesce(step, F.lit(0).cast("bigint")))
-    return scan(stepped, keys, order, span, elapsed=RunningSum(F.col("__step"))).drop("__prev", "__step")
+
+    def step(x: Column, prev: Column) -> Column:
+        back = prev - x
+        wrapped = F.when(back > (1 << (width - 1)), F.lit(1 << width) - back).otherwise(0)
+        return F.when(back <= 0, -back).otherwise(wrapped)
+
+    return scan(df, keys, order, span, elapsed=StepSum(F.col(col).cast("bigint"), step, lambda x: F.lit(0)))
 
 
 def media_drift(
@@ -159,14 +154,13 @@ def media_drift(
     where that exceeds ``resync_us``: the greedy marking rule.
     """
     ticks = elapsed_ticks(df, keys, order, col, width, span)
-    lag_us = ticks.withColumn("__x", F.col(time_us) - F.expr(f"elapsed * {1_000_000 // 10_000} div {hz // 10_000}"))
+    lag_us = ticks.withColumn("__x", F.col(time_us) - F.expr(f"elapsed * 100 div {hz // 10_000}"))
     marked = greedy_marks(lag_us, keys, order, "__x", resync_us, strict=True, span=span, name="resync")
-    based = scan(marked, keys, order, span, __base=LastKnown(F.when(F.col("resync"), F.col("__x"))), __first=First(F.col(order[0])))
     # a resync row reports the drift that caused it, so its base is the one before it
-    prior = scan(based, keys, order, span, __prior=Lag(F.col("__base")))
+    base = F.when(F.col("resync"), F.col("__x"))
+    based = scan(marked, keys, order, span, __base=LastKnown(base), __prior=PriorKnown(base))
     drift = F.col("__x") - F.when(F.col("resync"), F.coalesce(F.col("__prior"), F.col("__x"))).otherwise(F.col("__base"))
-    first_row = F.col(order[0]) == F.col("__first")
-    return prior.select(*df.columns, "elapsed", drift.alias("drift_us"), (F.col("resync") & ~first_row).alias("resync"))
+    return based.select(*df.columns, "elapsed", drift.alias("drift_us"), (F.col("resync") & F.col("__prior").isNotNull()).alias("resync"))
 
 
 def restamp_cc(packets: DataFrame, keys: list[str] = ["capture", "pid"], span: int = DEFAULT_SPAN) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def fnv1a64(octets: Column, family: Column, port: Column) -> Column:
         low = F.pmod(h, low32).cast("bigint")
         mixed = h - low.cast(U64) + low.bitwiseXOR(x.cast("bigint")).cast(U64)
         # 2^64 * prime needs 31 digits: DECIMAL(38) holds it exactly.
-        return F.pmod(mixed.cast("decimal(20,0)") * F.lit(FNV_PRIME).cast("decimal(14,0)"), F.lit(1 << 64).cast("decimal(21,0)")).cast(U64)
+        return F.pmod(mixed.cast("decimal(20,0)") * F.lit(FNV_PRIME).cast("decimal(14,0)"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).cast(U64)
 
     words = F.concat(octets.cast("array<bigint>"), F.array(family.cast("bigint"), port.cast("bigint")))
     return F.aggregate(words, F.lit(FNV_BASIS).cast(U64), step)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens.functions.binary import crc32_mpeg2, to_bytes
+from airlens.functions.once import evaluate_once
 from airlens.operators.ordered import RunningSum, row_number, scan
 
 SECTION_CHARS = 1452
@@ -197,9 +198,8 @@ class Fixtures:
             F.struct(F.col("pmt_pid").alias("pid"), F.lit("02").alias("tid"), F.col("pmt").alias("body"), F.lit(2).cast("bigint").alias("pkt_no")),
         )).alias("s")).filter("s.body IS NOT NULL").select("capture", "s.*")
         head = F.unhex(F.concat(F.col("tid"), F.expr("lpad(hex(45056 + length(body) div 2 + 4), 4, '0')"), F.col("body")))
-        built = rows.withColumn("bytes", head).withColumn("bytes", F.concat("bytes", to_bytes(crc32_mpeg2(F.col("bytes")), 4)))
-        # the aggregate keeps later filters on the bytes from being pushed into (and repeating) this construction
-        return built.groupBy("capture", "pid", "pkt_no").agg(F.max("bytes").alias("bytes"))
+        body = evaluate_once(rows.select("capture", "pid", "pkt_no", head.alias("bytes")), "bytes", F.col("bytes"))
+        return evaluate_once(body, "bytes", F.concat("bytes", to_bytes(crc32_mpeg2(F.col("bytes")), 4)))
 
     @cached_property
     def order_packets(self) -> DataFrame:
@@ -213,7 +213,7 @@ class Fixtures:
         built = cut.withColumn("chunk", chunk).select(
             "capture", "pid", F.expr("repeat * 1000 + pkt_no * 100 + part").alias("pkt_no"), F.concat(head, "chunk", pad).alias("pkt")
         )
-        return built.groupBy("capture", "pid", "pkt_no").agg(F.max("pkt").alias("pkt"))
+        return evaluate_once(built, "pkt", F.col("pkt"))
 
 
 # The same views for the comparison SQL (DuckDB dialect).

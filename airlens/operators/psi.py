@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlens.functions.binary import be16, bits, concat_bytes, crc32_mpeg2, tail, to_bytes, u8
+from airlens.functions.once import evaluate_once
 from airlens.functions.text import dvb_text
 from airlens.operators.ordered import DEFAULT_SPAN, Lag, LastKnown, RunningSum, asof_state, changes, row_number, scan
+from airlens.session import cut_lineage
 
 SECTION_CAP = 4096
 # fixed values: table ids, pids and descriptor tags
@@ -50,7 +52,7 @@ def assemble_sections(packets: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame
     parts = bounded.groupBy("capture", "pid", "start").agg(
         F.array_sort(F.collect_list(F.struct("pkt_no", "part"))).alias("parts"), F.bool_or("bad").alias("bad")
     )
-    joined = parts.filter("NOT bad").withColumn("bytes", concat_bytes(F.col("parts.part")))
+    joined = evaluate_once(parts.filter("NOT bad"), "bytes", concat_bytes(F.col("parts.part")))
     size = bits(be16(F.col("bytes"), 1), 0, 0xFFF) + 3
     complete = joined.withColumn("size", size).filter((F.col("size") <= SECTION_CAP) & (F.octet_length("bytes") >= F.col("size")))
 
@@ -187,10 +189,10 @@ def latest_pmt(sections: DataFrame, programs: DataFrame) -> DataFrame:
     last = matched.groupBy("capture", "pid", "program_number").agg(F.max_by("bytes", "last_pkt_no").alias("bytes"), F.min("last_pkt_no").alias("first_pmt_pkt_no"))
     b = F.col("bytes")
     info = bits(be16(b, 10), 0, 0xFFF)
-    items = descriptors(F.substring(b, F.lit(13), info))
+    items = F.col("items")
     ca = find_descriptor(items, TAG_CA)
     mode = find_descriptor(items, TAG_SCRAMBLING)
-    return last.select(
+    return evaluate_once(last, "items", descriptors(F.substring(b, F.lit(13), info))).select(
         "capture", "program_number", F.col("pid").alias("pmt_pid"), "first_pmt_pkt_no", bits(be16(b, 8), 0, 0x1FFF).alias("pcr_pid"),
         F.when(F.octet_length(ca) >= 4, be16(ca, 0)).alias("pmt_ca_system_id"), F.when(F.octet_length(ca) >= 4, bits(be16(ca, 2), 0, 0x1FFF)).alias("pmt_ca_pid"),
         F.when(F.octet_length(mode) >= 1, u8(mode, 0)).alias("scrambling_mode"), (info + 12).alias("loop_at"), "bytes",
@@ -200,7 +202,7 @@ def latest_pmt(sections: DataFrame, programs: DataFrame) -> DataFrame:
 def parse_es(pmt: DataFrame) -> DataFrame:
     """Elementary streams of each program in table order, classified, audio numbered from 1 (WIN-17)."""
     loops = pmt.select("capture", "program_number", "pmt_pid", F.posexplode(_es_loop(F.col("bytes"), F.col("loop_at"))).alias("es_ordinal", "e"))
-    items = loops.select("*", descriptors(F.col("e.desc")).alias("items"))
+    items = evaluate_once(loops, "items", descriptors(F.col("e.desc")))
     cls, codec, lang = classify_es(F.col("e.stream_type"), F.col("items"))
     ca = find_descriptor(F.col("items"), TAG_CA)
     sub = find_descriptor(F.col("items"), TAG_SUBTITLE)
@@ -243,7 +245,7 @@ def parse_sdt(sections: DataFrame) -> DataFrame:
     loop = F.aggregate(slots, F.struct(F.lit(11).alias("at"), empty.alias("items")), step)["items"]
     rows = valid.select("capture", "last_pkt_no", be16(b, 8).alias("onid"), F.explode(loop).alias("s"))
     body = find_descriptor(descriptors(F.col("s.desc")), TAG_SERVICE)
-    named = rows.select("capture", "last_pkt_no", "onid", F.col("s.service_id").alias("service_id"), body.alias("d"))
+    named = evaluate_once(rows, "d", body).select("capture", "last_pkt_no", "onid", F.col("s.service_id").alias("service_id"), "d")
     provider_len = u8(F.col("d"), 1)
     service_len = u8(F.col("d"), provider_len + 2)
     provider = F.when(provider_len + 2 <= F.octet_length("d"), dvb_text(F.substring("d", F.lit(3), provider_len)))
@@ -277,9 +279,13 @@ def parse_cat(sections: DataFrame) -> DataFrame:
 
 
 def psi_tables(sections: DataFrame) -> dict[str, DataFrame]:
-    """All parsed tables of a set of captures (UDF-2): pat, pmt, es, sdt, nit, cat and the joined ``programs``."""
+    """All parsed tables of a set of captures (UDF-2): pat, pmt, es, sdt, nit, cat and the joined ``programs``.
+
+    Tables repeat many times a second, so their distinct sections are written down once and all parsers read those.
+    """
+    sections = cut_lineage(sections.groupBy("capture", "pid", "bytes").agg(F.min("first_pkt_no").alias("first_pkt_no"), F.max("last_pkt_no").alias("last_pkt_no")))
     pat = parse_pat(sections)
-    pmt = latest_pmt(sections, pat)
+    pmt = cut_lineage(latest_pmt(sections, pat))
     sdt = parse_sdt(sections)
     return {
         "pat": pat, "pmt": pmt, "es": parse_es(pmt), "sdt": sdt, "nit": parse_nit(sections), "cat": parse_cat(sections),
@@ -674,6 +680,6 @@ def rewrite_tables(
     lists = numbered.join(dropped_pids.select("capture", "pids"), "capture", "left")
     dropped = F.coalesce(F.col("pids"), F.array().cast("array<int>"))
     section = F.when(F.col("pid") == PID_PAT, rewrite_pat(F.col("bytes"))).otherwise(rewrite_pmt(F.col("bytes"), dropped, "ECM" in mask, "EMM" in mask))
-    rebuilt = section_packet(F.col("pid"), F.pmod(F.col("n"), F.lit(16)), section)
-    out = lists.select("capture", "pid", "pkt_no", F.coalesce(rebuilt, F.col("pkt")).alias("pkt"))
+    rebuilt = section_packet(F.col("pid"), F.pmod(F.col("n"), F.lit(16)), F.col("section"))
+    out = evaluate_once(lists, "section", section).select("capture", "pid", "pkt_no", F.coalesce(rebuilt, F.col("pkt")).alias("pkt"))
     return out if passed is None else out.unionByName(passed)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airlens.functions.binary import FAMILY_IPV4, U64, fnv1a64, ipv4_octets
 from airlens.operators.ordered import DEFAULT_SPAN, Lead, RunningSum, asof_state, scan
 from airlens.operators.rtp import GAP_MAX, missing_sequences, rtp_gaps
+from airlens.session import cut_lineage
 
 HOLD_CAP = 1500  # fixed value: larger payloads are never held
 
@@ -49,7 +50,8 @@ def rtp_repair(originals: DataFrame, rtx: DataFrame, wait_us: int = 200_000, spa
     oversize packet, and the packet that would overfill the 32-packet window; a lost number is delivered by the
     first late original or retransmission within that life.
     """
-    judged = rtp_gaps(originals, span=span)
+    # five branches below read the verdicts
+    judged = cut_lineage(rtp_gaps(originals, span=span).select("channel", "run", "arrival", "arrival_us", "ssrc", "seq", "ext", "delta", "verdict", "payload_len"))
     small = F.col("payload_len") <= HOLD_CAP
     opens = (F.col("verdict") == "gap") & small
     direct = judged.filter("verdict <> 'stale'").select(
@@ -62,12 +64,13 @@ def rtp_repair(originals: DataFrame, rtx: DataFrame, wait_us: int = 200_000, spa
     gaps = bounded.filter(opens).select(
         "channel", "run", "ssrc", "ext", "seq", "delta", "arrival", "verdict", F.col("arrival").alias("gap_arrival"), F.col("arrival_us").alias("gap_us"), "__end"
     )
+    gaps = cut_lineage(gaps)
     lost = missing_sequences(gaps).join(gaps.select("channel", "run", "arrival", "ssrc", "gap_us", "__end"), ["channel", "run", "arrival"]).withColumnRenamed("arrival", "gap_arrival")
 
     # the packet that would need a 33rd place for this number
     over = judged.filter("delta = 0").select("channel", "run", (F.col("ext") - GAP_MAX).alias("ext"), F.col("arrival").alias("__over"))
     late = judged.filter("verdict = 'stale'").filter(small).groupBy("channel", "run", "ext").agg(F.min(F.struct("arrival", "arrival_us")).alias("__late"))
-    placed = lost.join(over, ["channel", "run", "ext"], "left").join(late, ["channel", "run", "ext"], "left")
+    placed = cut_lineage(lost.join(over, ["channel", "run", "ext"], "left").join(late, ["channel", "run", "ext"], "left"))
 
     bucket = F.expr(f"gap_us div {wait_us}")
     wanted = placed.withColumn("__b", F.explode(F.array(bucket, bucket + 1))).select("channel", "run", "ext", "ssrc", "seq", "gap_arrival", "gap_us", "__b")

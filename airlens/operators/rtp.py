@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airlens.functions.binary import be16, be32, bits, seq_delta16, tail, u8
 from airlens.operators.greedy import greedy_marks
 from airlens.operators.ordered import DEFAULT_SPAN, Lag, PriorKnown, PriorMaxStruct, RunningSum, StepSum, changes, scan
+from airlens.session import cut_lineage
 
 GAP_MAX = 32  # fixed value: a gap this long resynchronises
 MAX_PAYLOAD = 1472  # fixed value: larger payloads are ignored by channel counters
@@ -91,6 +92,7 @@ def channel_bitrate_exact(packets: DataFrame, window_s: int = 2, span: int = DEF
     rows = packets.filter(F.col("payload_len") <= MAX_PAYLOAD).withColumn("__s", F.expr("arrival_us div 1000000"))
     marked = greedy_marks(rows, ["channel"], ["arrival"], "__s", window_s, span=span, name="closes")
     mark = F.col("closes").cast("bigint")
+    marked = cut_lineage(marked.select("channel", "arrival", "__s", "payload_len", "closes"))
     indexed = scan(marked, ["channel"], ["arrival"], span, __n=RunningSum(mark))
     # a closing packet belongs to the window it closes
     window = F.greatest(F.col("__n") - mark, F.lit(1))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from airlens.functions.binary import be, be16, bits, signed_delta, tail, u8
 from airlens.operators.greedy import greedy_marks
 from airlens.operators.ordered import DEFAULT_SPAN, First, Lag, LastKnown, PriorKnown, RunningSum, StepSum, asof_state, scan
+from airlens.session import cut_lineage
 
 SYNC = 0x47
 PACKET_BYTES = 188
@@ -153,7 +154,7 @@ def media_drift(
     With x = wall - media since the start, drift against the baseline is x - x(baseline), and a baseline is set
     where that exceeds ``resync_us``: the greedy marking rule.
     """
-    ticks = elapsed_ticks(df, keys, order, col, width, span)
+    ticks = cut_lineage(elapsed_ticks(df, keys, order, col, width, span))
     lag_us = ticks.withColumn("__x", F.col(time_us) - F.expr(f"elapsed * 100 div {hz // 10_000}"))
     marked = greedy_marks(lag_us, keys, order, "__x", resync_us, strict=True, span=span, name="resync")
     # a resync row reports the drift that caused it, so its base is the one before it

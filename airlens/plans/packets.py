@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airlens.fixtures import Fixtures
 from airlens.functions.binary import to_bytes
+from airlens.functions.once import evaluate_once
 from airlens.operators import ts
 from airlens.operators.greedy import throttle
 from airlens.plans.registry import query
@@ -30,7 +31,7 @@ def raw_packets(fx: Fixtures) -> DataFrame:
         to_bytes(ext % 256, 1),
     )
     pkt = F.concat(F.unhex(F.lit("47")), b1, to_bytes(b3, 1), F.unhex(F.lit("07")), to_bytes(flags, 1), clock, to_bytes(F.col("pkt_no"), 8), F.unhex(F.repeat(F.lit("FF"), 168)))
-    return packets(fx).withColumn("pkt", pkt)
+    return evaluate_once(packets(fx), "pkt", pkt)
 
 
 CC_SQL = """prev AS (SELECT *, LAG(cc) OVER (PARTITION BY capture, pid ORDER BY pkt_no) AS prev_cc FROM fx_packets WHERE has_payload = 1),

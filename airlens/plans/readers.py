@@ -10,6 +10,7 @@ from airlens.functions import guide_time, text
 from airlens.operators import guide, services
 from airlens.operators.psi import descriptors, find_descriptor
 from airlens.functions.binary import be16, be32, be64, crc32_mpeg2, seq_delta16
+from airlens.functions.once import evaluate_once
 from airlens.plans.guides import ISO, MAPPED, TEXTS, mapped, text_programmes
 from airlens.plans.packets import packets, raw_packets
 from airlens.plans.registry import query
@@ -124,16 +125,13 @@ def _(fx):
     rtp = f"concat('8021', {h('seq', 2)}, {h('rtp_ts', 4)}, {h('ssrc', 4)}, '470102030405')"
     udp = f"concat('1000', {h('5000 + channel', 2)}, '00000000')"
     v4 = f"concat('0800', '45', {h('arrival % 64 * 4 + 1', 1)}, repeat('00', 7), '11', '0000', '0A000001', 'EF0102', {h('arrival % 256', 1)}, {udp}, {rtp})"
-    v6 = f"concat('86DD', {h('6 * 256 + arrival % 64 * 4 div 16', 2).replace('6 * 256 + arrival % 64 * 4 div 16', '(6 * 4096 + arrival % 64 * 4 * 16)')}, '0000', '0000', '00', '40', repeat('00', 16), 'FF0E', repeat('00', 13), {h('arrival % 256', 1)}, '3C01', repeat('00', 14), '1100', repeat('00', 6), {udp}, {rtp})"
-    frames = packets_rtp(fx).select("arrival", F.expr(f"unhex(concat({eth}, if(arrival % 3 = 2, {v6}, {v4})))").alias("frame"))
+    v6 = f"concat('86DD', {h('6 * 4096 + arrival % 64 * 4 * 16', 2)}, '0000', '0000', '00', '40', repeat('00', 16), 'FF0E', repeat('00', 13), {h('arrival % 256', 1)}, '3C01', repeat('00', 14), '1100', repeat('00', 6), {udp}, {rtp})"
+    frames = fx.rtp.select("arrival", F.expr(f"unhex(concat({eth}, if(arrival % 3 = 2, {v6}, {v4})))").alias("frame"))
+    frames = evaluate_once(frames, "frame", F.col("frame"))
     ranges = fx.spark.createDataFrame([("239.1.2.0/25",), ("ff0e::/121",)], "cidr string")
     return captures.decode_frames(frames, ranges).select("arrival", "family", "address", "port", "dscp", "ssrc", "seq", "rtp_ts", F.octet_length("payload").alias("payload_len"))
 
 
-def packets_rtp(fx: Fixtures) -> DataFrame:
-    return fx.rtp
-
-
 # ---- column functions ----
 
 

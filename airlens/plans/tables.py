@@ -9,6 +9,7 @@ from airlens.fixtures import Fixtures
 from airlens.operators import psi, ts
 from airlens.plans.packets import packets
 from airlens.plans.registry import query
+from airlens.session import cut_lineage
 
 
 def table_packets(fx: Fixtures) -> DataFrame:
@@ -255,7 +256,7 @@ SELECT p.capture, 0 AS pid, CAST(r.range * 1000 AS BIGINT) AS pkt_no, 16 AS size
 UNION ALL SELECT p.capture, p.pmt_pid, CAST(r.range * 1000 + 200 AS BIGINT), CAST(16 + 5 * n + d AS INT), TRUE, CAST(r.range + 1 AS INT) FROM fx_order_programs p JOIN len ON p.capture = len.capture, range(2) r""")
 def _(fx):
     pk = table_packets(fx)
-    found = psi.assemble_sections(pk)
+    found = cut_lineage(psi.assemble_sections(pk))
     t = psi.psi_tables(found)
     applications = t["es"].filter("cls = 'AIT'").groupBy("capture").agg(F.collect_set("pid").alias("pids"))
     out = psi.rewrite_tables(pk, found, t["pat"].filter("program_number <> 0"), applications)

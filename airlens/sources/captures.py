@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens.functions.binary import be16, bits, tail, u8
+from airlens.functions.once import evaluate_once
 from airlens.operators.rtp import rtp_header
 from airlens.operators.services import in_ranges
 
@@ -137,10 +138,11 @@ def decode_frames(frames: DataFrame, ranges: DataFrame | None = None, col: str =
     udp = F.when(v4, at + ihl).when(v6, _udp_offset_v6(p, at + 40, u8(p, at + 6)))
     dotted = F.concat_ws(".", *[u8(p, at + 16 + i).cast("string") for i in range(4)])
     traffic = F.when(v4, u8(p, at + 1)).otherwise(bits(u8(p, at), 0, 15) * 16 + bits(u8(p, at + 1), 4, 15))
-    opened = framed.withColumn("__udp", udp).filter(F.col("__udp").isNotNull() & (size >= F.col("__udp") + 8)).select(
+    found = evaluate_once(framed, "__udp", udp).filter(F.col("__udp").isNotNull() & (size >= F.col("__udp") + 8))
+    opened = found.select(
         *rest, F.when(v4, 4).otherwise(6).alias("family"), F.when(v4, dotted).otherwise(_address_v6(p, at + 24)).alias("address"), be16(p, F.col("__udp") + 2).alias("port"),
         traffic.bitwiseAND(F.lit(0xFC)).alias("dscp"), tail(p, F.col("__udp") + 8).alias("datagram"),
     )
     inside = opened if ranges is None else in_ranges(opened, "address", ranges)
-    parsed = rtp_header(inside).filter("is_ts")
+    parsed = rtp_header(evaluate_once(inside, "datagram", F.col("datagram"))).filter("is_ts")
     return parsed.select(*rest, "family", "address", "port", "dscp", "ssrc", "seq", "rtp_ts", tail(F.col("datagram"), F.col("payload_off")).alias("payload"))

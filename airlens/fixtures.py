@@ -28,6 +28,11 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a stream of its files."""
+        pattern = f"{self.folder}/{name}.parque[t]"  # a pattern may name one file; a plain path must be a folder
+        return self.spark.readStream.schema(self.table(name).schema).parquet(pattern)
+
     @cached_property
     def base(self) -> DataFrame:
         us = F.unix_micros(F.col("ts").cast("timestamp"))

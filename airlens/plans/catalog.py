@@ -2,6 +2,6 @@
 
 from importlib import import_module
 
-MODULES = ["packets", "tables", "streams", "guides", "readers", "media"]
+MODULES = ["packets", "tables", "streams", "guides", "readers", "media", "live"]
 for _m in MODULES:
     import_module(f"airlens.plans.{_m}")

@@ -40,6 +40,7 @@ def query(name: str, oracle: str | None = None):
     def decorate(fn: Callable[[Fixtures], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
+
         QUERIES[name] = lambda spark, folder: fn(Fixtures(spark, folder))
         if oracle is not None:
             ORACLES[name] = with_views(oracle)

@@ -80,7 +80,7 @@ def greedy_marks(
     ``value`` and ``order[0]`` are integers; ``order`` is unique within a key.
     """
     step = int(threshold) + (1 if strict else 0)
-    slim = df.select(*keys, *[F.col(o) for o in order], F.col(value).cast("bigint").alias("__v"), F.floor(F.col(order[0]) / span).alias(CHUNK))
+    slim = df.select(*keys, *[F.col(o) for o in order], F.col(value).cast("bigint").alias("__v"), F.expr(f"`{order[0]}` div {span}").alias(CHUNK))
     key_fields = [f for f in slim.schema.fields if f.name in keys]
     order_fields = [slim.schema[o] for o in order]
     chunk_field = T.StructField(CHUNK, T.LongType())
@@ -136,9 +136,10 @@ def greedy_marks(
     return df.join(marked, [*keys, *order], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def throttle(df: DataFrame, keys: list[str], order: list[str], interval: int, span: int = DEFAULT_SPAN) -> DataFrame:
+def throttle(df: DataFrame, keys: list[str], order: list[str], interval: int, span: int | None = None) -> DataFrame:
     """Emit a row when none was emitted yet or the last *emitted* row is at least ``interval`` older (WIN-23).
 
-    ``order[0]`` is the time column the interval refers to.
+    ``order[0]`` is the time column the interval refers to. Chunks default to 64 intervals.
     """
+    span = span or max(64 * interval, DEFAULT_SPAN)
     return greedy_marks(df, keys, order, order[0], interval, span=span, name="emitted").filter("emitted").drop("emitted")

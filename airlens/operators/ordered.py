@@ -202,9 +202,10 @@ def scan(
     """Add one column per operator, each computed over the rows of ``keys`` in the order ``order``.
 
     ``order[0]`` must be an integer column (a packet number or a time in microseconds); it also picks the
-    chunk, ``span`` units wide. ``order`` must be unique within a key for a repeatable result.
+    chunk, ``span`` units wide: choose it so that a chunk holds some 10^5 to 10^6 rows. ``order`` must be unique within
+    a key for a repeatable result.
     """
-    base = df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(span)))
+    base = df.withColumn(CHUNK, F.expr(f"`{order[0]}` div {span}"))
     for name, op in columns.items():
         base = base.withColumn(f"__x_{name}", op.expr)
     rows = Window.partitionBy(*keys, CHUNK).orderBy(*order)
@@ -215,7 +216,8 @@ def scan(
             prepared[name] = [F.col(f"__p_{name}")]
             base = base.withColumn(f"__p_{name}", extra)
 
-    at = F.struct(*order)
+    # one plain column keeps the summary a hash aggregate; a struct would need a sort
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     carries = base.groupBy(*keys, CHUNK).agg(
         *[op.summary(F.col(f"__x_{n}"), at, *prepared.get(n, [])).alias(f"__s_{n}") for n, op in columns.items()]
     )

@@ -18,6 +18,8 @@ def be(col: Column, offset: int | Column, width: int) -> Column:
     pos = (F.lit(offset) if isinstance(offset, int) else offset) + F.lit(1)
     part = F.substring(col, pos, F.lit(width))
     value = F.conv(F.hex(part), 16, 10).cast("bigint" if width < 8 else U64)
+    if width == 1:
+        return value  # nothing read is already null
     return F.when(F.octet_length(part) == width, value)
 
 

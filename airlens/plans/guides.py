@@ -9,6 +9,7 @@ from airlens.fixtures import Fixtures
 from airlens.functions import guide_time
 from airlens.operators import cues, docs, guide, metrics, ordered, services
 from airlens.plans.registry import query
+from airlens.plans.streams import FNV
 
 
 def mapped(fx: Fixtures) -> DataFrame:
@@ -155,7 +156,18 @@ def _(fx):
     return guide.xmltv_lines(fx.channels, text_programmes(fx))
 
 
-@query("guide_lines")
+@query(
+    "guide_lines",
+    f"""WITH {MAPPED}, {TEXTS}, x AS (SELECT tp.ord, channel_id, mp.ord AS c, start, stop, category, replace(replace(title, '<', '&lt;'), '>', '&gt;') AS t, replace("desc", '&', '&amp;') AS d,
+ CONCAT('crid://guide.invalid/', channel_id, '/', translate(substr(start, 1, 19), '-:T', '')) AS crid FROM tp JOIN mp ON tp.channel_id = mp.id WHERE mp.uri IS NOT NULL),
+s AS (SELECT ord, id FROM mp WHERE uri IS NOT NULL AND id IN (SELECT channel_id FROM fx_programmes))
+SELECT 1 AS part, ord, CAST(-1 AS BIGINT) AS sub, CONCAT('<ProgramInformation programId="', crid, '"><BasicDescription>', CASE WHEN t <> '' THEN CONCAT('<Title>', t, '</Title>') ELSE '' END,
+ CASE WHEN d <> '' THEN CONCAT('<Synopsis>', d, '</Synopsis>') ELSE '' END, '<Genre href="urn:tva:metadata:cs:ContentCS:2011:3.0"><Name>', category, '</Name></Genre></BasicDescription></ProgramInformation>') AS line FROM x
+UNION ALL SELECT 2, ord, -1, CONCAT('<Schedule serviceIDRef="', id, '">') FROM s
+UNION ALL SELECT 2, c, ord, CONCAT('<ScheduleEvent><Program crid="', crid, '"/><PublishedStartTime>', start, '</PublishedStartTime>', CASE WHEN stop <> '' THEN CONCAT('<PublishedEndTime>', stop, '</PublishedEndTime>') ELSE '' END, '</ScheduleEvent>') FROM x
+UNION ALL SELECT 2, ord, 9223372036854775807, '</Schedule>' FROM s
+UNION ALL SELECT 3, ord, -1, CONCAT('<ServiceInformation serviceId="', id, '"><Name>', name1, '</Name><Name>', name2, '</Name><ServiceURL name="IPTV">', uri, '</ServiceURL><ServiceURL name="DTT">dvb://', CONCAT_WS('.', onid, tsid, sid), '</ServiceURL></ServiceInformation>') FROM mp WHERE uri IS NOT NULL""",
+)
 def _(fx):
     return guide.guide_lines(mapped(fx), text_programmes(fx))
 
@@ -251,7 +263,9 @@ def _(fx):
     return services.service_lines(fx.services, "xml", ret={"addr": "10.0.0.1", "port": 4000, "rtx_time_ms": 2000, "rtx_pt": 99})
 
 
-@query("service_lines_xml_fast_change")
+@query("service_lines_xml_fast_change", f"""WITH {FNV}, a AS (SELECT h5.*, CONCAT('239.', h5.onid, '.', o3, '.', o4) AS address, CAST(40000 + h % 384 AS INT) AS dp, v.sid, v.tsid FROM h5 JOIN fx_services v ON h5.ord = v.ord)
+SELECT ord, CONCAT('<SingleService><ServiceLocation><IPMulticastAddress Address="', address, '" Port="', port, '" Streaming="rtp"><ServerBasedEnhancementServiceInfo><EnhancementService>FCC</EnhancementService><RTCPReporting DestinationAddress="10.0.0.2" DestinationPort="', dp,
+ '"/><Retransmission_session DestinationPort="', dp, '" rtx-time="2000" RTPPayloadTypeNumber="98"/></ServerBasedEnhancementServiceInfo></IPMulticastAddress></ServiceLocation><TextualIdentifier ServiceName="', name, '"/><DVBTriplet OrigNetId="', onid, '" TSId="', tsid, '" ServiceId="', sid, '"/></SingleService>') AS line FROM a""")
 def _(fx):
     return services.service_lines(fx.services, "xml", fcc={"addr": "10.0.0.2", "port": 4100, "rtx_time_ms": 2000, "rtx_pt": 98, "base_port": 40000, "max_channels": 384})
 

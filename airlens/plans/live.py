@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from airlens.fixtures import Fixtures
 from airlens.plans.registry import query
+from airlens.plans.streams import EXACT_RATE
 from airlens.session import checkpoint_root
 from airlens.streaming import operators as st
 
@@ -79,22 +80,37 @@ def rates(fx: Fixtures) -> DataFrame:
     return events(fx).selectExpr("cast(user_id % 10 as int) AS channel", "event_id AS arrival", "pus AS arrival_us", "cast(188 * (1 + event_id % 7) as int) AS payload_len")
 
 
-@live("bitrate_stream")
+# a window or session is out once the watermark, one second behind the newest row, has passed its end
+@live(
+    "bitrate_stream",
+    """WITH w AS (SELECT channel, pus // 2000000 * 2000000 AS window_us, CAST(SUM(payload_len) * 8 AS BIGINT) AS bits FROM fx_rtp WHERE payload_len <= 1472 GROUP BY 1, 2)
+SELECT * FROM w WHERE window_us + 2000000 <= (SELECT (MAX(pus) - 1000000) // 1000 * 1000 FROM fx_rtp WHERE payload_len <= 1472)""",
+)
 def _(fx):
     return st.bitrate_stream(rates(fx))
 
 
-@live("bitrate_stream_exact")
+@live("bitrate_stream_exact", f"WITH RECURSIVE {EXACT_RATE} SELECT channel, open_s, close_s, bytes, bytes * 8 / (close_s - open_s) AS bps FROM r")
 def _(fx):
     return st.bitrate_stream_exact(rates(fx))
 
 
-@live("channel_activity_stream")
+@live(
+    "channel_activity_stream",
+    """WITH f AS (SELECT *, CASE WHEN pus - LAG(pus) OVER (PARTITION BY channel ORDER BY arrival) > 500000 THEN 1 ELSE 0 END AS s FROM fx_rtp),
+n AS (SELECT *, SUM(s) OVER (PARTITION BY channel ORDER BY arrival) AS g FROM f), a AS (SELECT channel, g, MIN(pus) AS first_us, MAX(pus) AS last_us, COUNT(*) AS rows FROM n GROUP BY 1, 2)
+SELECT channel, first_us, last_us, rows FROM a WHERE last_us + 500001 <= (SELECT (MAX(pus) - 1000000) // 1000 * 1000 FROM fx_rtp)""",
+)
 def _(fx):
     return st.activity_stream(rates(fx), ["channel"], "arrival_us", 500_000)
 
 
-@live("client_session_stream")
+@live(
+    "client_session_stream",
+    """WITH f AS (SELECT *, CASE WHEN us - LAG(us) OVER (PARTITION BY channel, ssrc ORDER BY arrival) > 300000000 THEN 1 ELSE 0 END AS s FROM fx_receivers),
+n AS (SELECT *, SUM(s) OVER (PARTITION BY channel, ssrc ORDER BY arrival) AS g FROM f), a AS (SELECT channel, ssrc, g, MIN(us) AS first_us, MAX(us) AS last_us, COUNT(*) AS rows FROM n GROUP BY 1, 2, 3)
+SELECT channel, ssrc, first_us, last_us, rows FROM a WHERE last_us + 300000001 <= (SELECT (MAX(us) - 1000000) // 1000 * 1000 FROM fx_receivers)""",
+)
 def _(fx):
     rows = events(fx).selectExpr("cast(user_id % 5 as int) AS channel", "5000 + user_id % 40 AS ssrc", "us")
     return st.activity_stream(rows, ["channel", "ssrc"], "us", 300_000_000)

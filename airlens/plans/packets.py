@@ -212,9 +212,16 @@ def _(fx):
     return ts.bitrate_budget(packets(fx).select("capture", "pkt_no", "arrival_us"), 14000).drop("arrival_us")
 
 
-@query("overage_alerts")
+@query(
+    "overage_alerts",
+    f"""WITH RECURSIVE {BUDGET_SQL}, o AS (SELECT capture, pkt_no, pus FROM b WHERE surplus > 28000000000),
+s AS (SELECT capture, pus, MIN(pkt_no) AS pkt_no FROM o GROUP BY 1, 2),
+e AS (SELECT capture, MIN(pus) AS pus FROM s GROUP BY 1
+ UNION ALL SELECT capture, nx FROM (SELECT e.capture, (SELECT MIN(s.pus) FROM s WHERE s.capture = e.capture AND s.pus >= e.pus + 30000000) AS nx FROM e) z WHERE nx IS NOT NULL)
+SELECT e.capture, s.pkt_no, e.pus AS arrival_us FROM e JOIN s ON e.capture = s.capture AND e.pus = s.pus""",
+)
 def _(fx):
-    return ts.overage_alerts(ts.bitrate_budget(packets(fx).select("capture", "pkt_no", "arrival_us"), 14000))
+    return ts.overage_alerts(ts.bitrate_budget(packets(fx).select("capture", "pkt_no", "arrival_us"), 14000)).select("capture", "pkt_no", "arrival_us")
 
 
 @query(

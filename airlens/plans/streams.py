@@ -97,7 +97,17 @@ def _(fx):
     return rtp.channel_bitrate(packets(fx))
 
 
-@query("channel_bitrate_exact")
+# closing packets: the first packet of the first second that is two or more after the last close
+EXACT_RATE = """p AS (SELECT channel, arrival, pus // 1000000 AS s, payload_len FROM fx_rtp WHERE payload_len <= 1472),
+q AS (SELECT channel, s, MIN(arrival) AS arrival FROM p GROUP BY 1, 2),
+e AS (SELECT channel, MIN(s) AS s, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS o FROM q GROUP BY 1
+ UNION ALL SELECT channel, nx, n + 1, s FROM (SELECT e.channel, e.s, e.n, (SELECT MIN(q.s) FROM q WHERE q.channel = e.channel AND q.s >= e.s + 2) AS nx FROM e) z WHERE nx IS NOT NULL),
+k AS (SELECT e.channel, e.n, e.o, e.s, q.arrival AS hi, LAG(q.arrival) OVER (PARTITION BY e.channel ORDER BY e.n) AS lo FROM e JOIN q ON e.channel = q.channel AND e.s = q.s),
+r AS (SELECT k.channel, k.n AS window_no, k.o AS open_s, k.s AS close_s, CAST(SUM(payload_len) AS BIGINT) AS bytes FROM k JOIN p ON k.channel = p.channel AND p.arrival <= k.hi AND (p.arrival > k.lo OR k.n = 1)
+ WHERE k.n > 0 GROUP BY 1, 2, 3, 4)"""
+
+
+@query("channel_bitrate_exact", f"WITH RECURSIVE {EXACT_RATE} SELECT channel, window_no, open_s, close_s, bytes, bytes * 8 / (close_s - open_s) AS bps FROM r")
 def _(fx):
     return rtp.channel_bitrate_exact(packets(fx))
 

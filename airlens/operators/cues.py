@@ -17,7 +17,7 @@ def teletext_cues(rows: DataFrame, keys: list[str] = ["capture"], order: list[st
     Rows more than 500 ms apart start a new subtitle; a repeated row within one is dropped; a subtitle equal to the
     one on screen is a repeat. A cue ends where the next begins, after at most 5 s; the last one stays at least 1.2 s.
     """
-    shown = rows.filter(F.rtrim("text") != "")
+    shown = rows.withColumn("text", F.rtrim("text")).filter("text <> ''")
     last_ms = rows.groupBy(*keys).agg(F.max_by("ts_ms", order[0]).alias("__last_ms"))
     if page is not None:
         shown = shown.filter(~F.ltrim("text").rlike(f"^{page}"))

@@ -29,10 +29,11 @@ class _Keyed(StatefulProcessor):
     def _load(self) -> dict:
         return json.loads(self.state.get()[0]) if self.state.exists() else {}
 
-    def _save(self, state: dict) -> None:
+    def _save(self, state: dict, expiring: bool = False) -> None:
         if self.timed:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if not expiring:  # the engine itself deletes a timer that fired
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
             end = self.fold.deadline(state)
             if end is not None:
                 self.handle.registerTimer(-(-end // 1000))  # whole milliseconds, never early
@@ -56,7 +57,7 @@ class _Keyed(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._load()
         out = self.fold.expire(state, expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        self._save(state)
+        self._save(state, expiring=True)
         if out:
             yield self._frame(key, out)
 
@@ -64,9 +65,10 @@ class _Keyed(StatefulProcessor):
         pass
 
 
-def keyed_fold(stream: DataFrame, fold: Fold, keys: list[str], time_us: str | None = None, delay: str = "0 seconds", mode: str = "append") -> DataFrame:
+def keyed_fold(stream: DataFrame, fold: Fold, keys: list[str], time_us: str | None = None, delay: str = "1 second", mode: str = "append") -> DataFrame:
     """Rows a fold releases per key. ``time_us`` drives its timers through a watermark ``delay`` behind.
 
+    A due timer fires in a micro-batch that brings rows to its partition; the folds also look at the clock on every row.
     Rows of a key are ordered within a micro-batch, so its size (files or offsets per trigger) bounds a task's memory.
     Needs the RocksDB state store.
     """
@@ -80,12 +82,12 @@ def keyed_fold(stream: DataFrame, fold: Fold, keys: list[str], time_us: str | No
     )
 
 
-def metric_store(stream: DataFrame, expiry_s: int = 30, delay: str = "0 seconds") -> DataFrame:
+def metric_store(stream: DataFrame, expiry_s: int = 30, delay: str = "1 second") -> DataFrame:
     """Accepted and expired snapshots per instance (STR-1)."""
     return keyed_fold(stream, folds.MetricStore(expiry_s * 1_000_000), ["component", "metrics_id"], "recv_us", delay)
 
 
-def rtp_repair(stream: DataFrame, wait_us: int = 200_000, delay: str = "0 seconds") -> DataFrame:
+def rtp_repair(stream: DataFrame, wait_us: int = 200_000, delay: str = "1 second") -> DataFrame:
     """Delivered and lost numbers per channel in delivery order (STR-2)."""
     return keyed_fold(stream, folds.RtpRepair(wait_us), ["channel"], "arrival_us", delay)
 
@@ -123,7 +125,7 @@ def integrity_stream(stream: DataFrame) -> DataFrame:
     return keyed_fold(stream, folds.Integrity(), ["capture", "pid"])
 
 
-def service_discovery(stream: DataFrame, budget_s: float = 5.0, delay: str = "0 seconds") -> DataFrame:
+def service_discovery(stream: DataFrame, budget_s: float = 5.0, delay: str = "1 second") -> DataFrame:
     """Programs of each capture once all are named, or what is known when the budget is over (STR-8)."""
     return keyed_fold(stream, folds.ServiceDiscovery(int(budget_s * 1_000_000)), ["capture"], "us", delay)
 
@@ -134,7 +136,7 @@ def dedupe_segments(stream: DataFrame, time_us: str = "arrival_us", horizon: str
     return timed.dropDuplicatesWithinWatermark(["payload_id", "segment_id", "version"]).drop("ts")
 
 
-def cue_stream(stream: DataFrame, lead_ms: int = 0, delay: str = "0 seconds") -> DataFrame:
+def cue_stream(stream: DataFrame, lead_ms: int = 0, delay: str = "1 second") -> DataFrame:
     """Subtitle cues per capture as they end (STR-10). ``stream``: ``capture, i, ts_ms, text, flush``."""
     timed = stream.withColumn("__us", F.col("ts_ms") * 1000)
     return keyed_fold(timed, folds.Cues(lead_ms), ["capture"], "__us", delay)

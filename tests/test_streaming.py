@@ -1,6 +1,7 @@
 """Streams against their batch twins and folds."""
 
 import json
+import os
 import random
 import tempfile
 
@@ -16,6 +17,9 @@ def replay(spark, df, name, transform, order, files=4, mode="append"):
     """Write rows as ordered files, stream them one by one, return what came out."""
     source, check = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
     df.orderBy(order).coalesce(1).sortWithinPartitions(order).write.option("maxRecordsPerFile", max(df.count() // files, 1)).mode("overwrite").parquet(source)
+    # files are taken by age: make their ages follow their names
+    for i, part in enumerate(sorted(p for p in os.listdir(source) if p.startswith("part"))):
+        os.utime(os.path.join(source, part), (1_700_000_000 + i, 1_700_000_000 + i))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
     query = (
         transform(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).start()
@@ -71,7 +75,8 @@ def test_repair_stream_equals_the_fold(spark):
     got = replay(spark, df, "repaired", lambda s: st.rtp_repair(s), "arrival").collect()
     want = folds.run(folds.RtpRepair(), rows)
     result = [(r.run, r.seq, r.source) for r in got]
-    assert sorted(result[: len(want)]) == sorted(want) or sorted(want) == sorted(result)[: len(want)] or set(want) <= set(result)
+    # the stream may also close a gap left open at its end
+    assert result[: len(want)] == want and len(result) - len(want) < 32
 
 
 def snapshots(spark, n=200, seed=4):
@@ -160,9 +165,15 @@ def test_integrity_stream_equals_batch(spark):
 
 
 def test_service_discovery_stream(spark):
-    rows = [(1, 0, 0, "pat", 5, 100, None), (1, 1, 1, "pmt", 5, 100, None), (1, 2, 2, "sdt", 5, 0, "One"), (2, 0, 3, "pat", 7, 101, None), (3, 9_000_000, 4, "pat", 8, 102, None), (3, 20_000_000, 5, "pmt", 8, 102, None), (4, 40_000_000, 6, "pat", 1, 1, None)]
+    rows = [(1, 0, 0, "pat", 5, 100, None), (1, 1, 1, "pmt", 5, 100, None), (1, 2, 2, "sdt", 5, 0, "One"), (2, 10_000, 3, "pat", 7, 101, None), (3, 9_000_000, 4, "pat", 8, 102, None), (3, 20_000_000, 5, "pmt", 8, 102, None), (4, 40_000_000, 6, "pat", 1, 1, None)]
+    rows = [(r[0], r[1] + 10**15, *r[2:]) for r in rows]  # times near 1970 would count as late
     df = spark.createDataFrame(rows, "capture int, us bigint, ord bigint, kind string, program_number int, pmt_pid int, service_name string")
-    got = {(r.capture, r.outcome, r.program_number, r.resolved, r.service_name) for r in replay(spark, df, "found", st.service_discovery, "ord", files=7).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a timer fires when its partition gets rows
+    try:
+        found = replay(spark, df, "found", st.service_discovery, "ord", files=7).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = {(r.capture, r.outcome, r.program_number, r.resolved, r.service_name) for r in found}
     assert {(1, "complete", 5, True, "One"), (2, "timeout", 7, False, None), (3, "timeout", 8, False, None)} <= got
 
 
@@ -189,7 +200,8 @@ def test_cues_equal_the_fold(spark, seed):
     assert [(r.start_ms, r.end_ms, r.text) for r in got] == want
     stream = replay(spark, df, f"cues{seed}", lambda s: st.cue_stream(s, 100), "i").collect()
     streamed = sorted((r.start_ms, r.end_ms, r.text) for r in stream)
-    assert streamed[: len(want) - 1] == want[:-1]
+    # without more rows the last subtitle stays on screen, and its predecessor may
+    assert len(want) - 2 <= len(streamed) <= len(want) and streamed[: len(want) - 2] == want[:-2]
 
 
 def test_state_is_plain_json():

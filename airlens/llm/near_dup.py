@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     texts = work.written(_packed_texts(docs, signed, needed, size))
 
     roots, links, done, hubs = None, None, None, 1
-    state = members.withColumn("root", F.col("digest")).withColumn("floor", F.lit(b""))
+    state = members.withColumn("root", F.col("digest")).withColumn("hub", F.lit(False))
     while True:
         pairs, state = _star(state, hubs, percent)
         pairs = work.written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
@@ -172,29 +172,25 @@ def _packed_texts(docs: DataFrame, signed: DataFrame, needed: DataFrame, size: i
 
 
 def _star(state: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the next ``hubs`` members of each bucket with its members of other components, and the state after it.
+    """Pairs of the next hubs of each bucket, ``hubs`` at most, with members of other components; the state after it.
 
-    Hubs go up by digest; ``floor`` is the last hub a bucket had, so that members up to it are settled with everybody.
+    A bucket's hubs are the smallest member by digest of each of ``hubs`` hash classes that was no hub yet: a minimum, so
+    no bucket is ever gathered in one place.
     """
-    waiting = state.where("digest > floor")
-    chosen = waiting.groupBy("bucket").agg(F.array_agg("digest").alias("all")) if hubs > 1 else waiting.groupBy("bucket").agg(F.array(F.min("digest")).alias("all"))
-    chosen = chosen.select("bucket", F.slice(F.array_sort("all"), 1, hubs).alias("hubs"))
-    hub = chosen.select("bucket", F.explode("hubs").alias("a")).join(state.select("bucket", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), ["bucket", "a"])
+    slot = F.pmod(F.xxhash64("digest"), F.lit(hubs)).alias("slot")
+    hub = state.where("not hub").groupBy("bucket", slot).agg(F.min(F.struct("digest", "n", "root")).alias("h")).select("bucket", "h")
+    a, b = F.col("h.digest"), F.col("digest")
     pairs = (
         state.join(hub, "bucket")
-        .where("digest > a and root <> ra")
-        .where(F.col("n") * 100 >= F.col("na") * percent)
-        .where(F.col("na") * 100 >= F.col("n") * percent)
-        .select("a", F.col("digest").alias("b"))
+        .where((F.col("root") != F.col("h.root")) & (F.col("n") * 100 >= F.col("h.n") * percent) & (F.col("h.n") * 100 >= F.col("n") * percent))
+        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         .distinct()
     )
-    last = chosen.select("bucket", F.element_at("hubs", -1).alias("last"))
-    return pairs, state.join(last, "bucket", "left").withColumn("floor", F.coalesce("last", "floor")).drop("last")
+    was = hub.select("bucket", F.col("h.digest").alias("digest"), F.lit(True).alias("now"))
+    return pairs, state.join(was, ["bucket", "digest"], "left").withColumn("hub", F.coalesce("now", "hub")).drop("now")
 
 
 def _undecided(state: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components and members that were not hubs yet."""
-    open_ = state.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.sum((F.col("digest") > F.col("floor")).cast("int")).alias("waiting")
-    )
+    """Members of buckets that hold several components and two members or more that were not hubs yet."""
+    open_ = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum((~F.col("hub")).cast("int")).alias("waiting"))
     return state.join(open_.where("low <> high and waiting > 1").select("bucket"), "bucket")

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from airlens.llm.near_dup import near_duplicates
+from airlens.llm.packing import pack
+from airlens.llm.pieces import encode_pieces
+from airlens.llm.word_bpe import count_tokens
 from airlens.llm.work import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +19,24 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_token_counts, op8_sentencepiece)}
 ORACLES: dict[str, str] = {}

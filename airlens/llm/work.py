@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,6 +38,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def per_process(key: tuple, build: Callable):
+    """``build()``, kept for all tasks of a Python worker: vocabularies and the like, whose size is bounded."""
+    held = sys.modules.setdefault("airlens_llm_process", types.ModuleType("airlens_llm_process")).__dict__
+    if key not in held:
+        held[key] = build()
+    return held[key]
+
+
 def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: str) -> DataFrame:
     """Rows of ``fn(lists of the columns) -> {name: list or array}`` over Arrow batches of ``columns``."""
     target = df.sparkSession.createDataFrame([], schema).schema

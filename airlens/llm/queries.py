@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from airlens.llm import language, quality_classifier, quality_rules
 from airlens.llm.near_dup import near_duplicates
 from airlens.llm.packing import pack
 from airlens.llm.pieces import encode_pieces
 from airlens.llm.word_bpe import count_tokens
-from airlens.llm.work import documents
+from airlens.llm.work import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,9 +35,32 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_token_counts, op8_sentencepiece)}
-ORACLES: dict[str, str] = {}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(documents(spark, sf_dir))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_classifier.score(docs, quality_classifier.train(docs, labels(spark, sf_dir)))
+
+
+_ALL = (
+    op1_minhash_near_dedup,
+    op2_best_fit_packing,
+    op4_token_counts,
+    op5_language_id,
+    op8_sentencepiece,
+    op9_quality_rules,
+    op10_quality_classifier,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op9_quality_rules": quality_rules.SQL}

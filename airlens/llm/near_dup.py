@@ -15,6 +15,8 @@ from airlens.llm.components import components
 
 ROWS = 5
 BANDS = 32
+SKETCH_BITS = 1024
+MORE_HUBS = 8
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -62,17 +64,28 @@ def band_keys(hashes: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """1024 parities: how many elements fall on each bit, odd or even.
+
+    Two sketches differ in at most as many bits as the sets differ in elements, so a pair whose sketches differ in more bits
+    than two alike sets may is none, with certainty.
+    """
+    odd = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
     def run(ids, texts):
-        digests, counts, keys = [], [], []
+        digests, counts, keys, sketches = [], [], [], []
         for text in texts:
             s = shingles(text, size)
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             counts.append(len(s))
             keys.append(band_keys(s, rows, bands) if len(s) else None)
-        return {"doc_id": ids, "digest": digests, "n_shingles": counts, "bands": keys}
+            sketches.append(odd_sketch(s) if len(s) else None)
+        return {"doc_id": ids, "digest": digests, "n_shingles": counts, "bands": keys, "sketch": sketches}
 
-    return work.map_batches(docs, run, "doc_id bigint, digest binary, n_shingles bigint, bands array<bigint>", "doc_id", "text")
+    return work.map_batches(docs, run, "doc_id bigint, digest binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>", "doc_id", "text")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -103,9 +116,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     the smallest doc_id that links reach, and the document that bears it is kept.
 
     Rows with equal sets form one class, which is bucketed once. Each bucket compares its members with hubs only: one
-    hub first, and where the members of a bucket are not all connected then, twice as many further hubs in each round,
-    until every member is connected to the rest or was compared with it. So a bucket whose members are alike, the usual
-    one, costs one pair a member, and no link between bucket mates is lost. Links are confirmed on full sets. Two
+    hub first, and where the members of a bucket are not all connected then, eight times as many further hubs in each
+    round, until every member is connected to the rest or was compared with it. So a bucket whose members are alike, the
+    usual one, costs one pair a member, and no link between bucket mates is lost. A comparison first bounds the difference
+    by parity sketches that travel with the members; only pairs that may be links leave the join, so a large group of
+    documents that are nearly, but not quite, alike makes no pairs either. Links are confirmed on full sets. Two
     documents at exactly 0.8 share no bucket with a probability of about 3e-6 (5 rows, 32 bands), more alike ones less.
 
     Null or empty text and text without words: no set, linked with nothing. Null doc_id: linked as others are, but it never
@@ -114,11 +129,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     """
     signed = work.written(_signatures(docs, size, rows, bands))
     classes = work.written(
-        signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    members = classes.select("digest", "n", F.explode("bands").alias("bucket"))
+    members = classes.select("digest", "n", "sketch", F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = work.written(members.join(crowded, "bucket").select("bucket", "digest", "n"))
+    members = work.written(members.join(crowded, "bucket").select("bucket", "digest", "n", "sketch"))
     needed = members.select("digest").distinct()
     texts = work.written(_packed_texts(docs, signed, needed, size))
 
@@ -141,7 +156,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         state = work.written(_undecided(state))
         if state.isEmpty():
             break
-        hubs *= 2
+        hubs *= MORE_HUBS
     named = classes.select("digest", "first_id")
     if roots is not None:
         named = named.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -178,11 +193,13 @@ def _star(state: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFra
     no bucket is ever gathered in one place.
     """
     slot = F.pmod(F.xxhash64("digest"), F.lit(hubs)).alias("slot")
-    hub = state.where("not hub").groupBy("bucket", slot).agg(F.min(F.struct("digest", "n", "root")).alias("h")).select("bucket", "h")
+    hub = state.where("not hub").groupBy("bucket", slot).agg(F.min(F.struct("digest", "n", "root", "sketch")).alias("h")).select("bucket", "h")
     a, b = F.col("h.digest"), F.col("digest")
+    differ = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("h.sketch", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
     pairs = (
         state.join(hub, "bucket")
         .where((F.col("root") != F.col("h.root")) & (F.col("n") * 100 >= F.col("h.n") * percent) & (F.col("h.n") * 100 >= F.col("n") * percent))
+        .where(differ * (100 + percent) <= (F.col("n") + F.col("h.n")) * (100 - percent))
         .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         .distinct()
     )

@@ -10,8 +10,12 @@ from airlens.llm import language, quality_classifier, quality_rules
 from airlens.llm.queries import op5_language_id, op9_quality_rules, op10_quality_classifier
 
 DATA = "/root/testdata/sf0.001"
-GOOD = "\n".join(f"The {w} line of a plain text tells of things that no other line says in this way." for w in "first second third fourth fifth".split())
-ODD = [None, "", " \n\t", "x", "###", "word " * 400, "a\x00b ﬁ 日本語 é", GOOD * 300]
+GOOD = """The ferry left the quay before dawn and few people saw it go.
+Rain had fallen all night, so the decks were wet and the ropes swollen.
+A boy sold hot tea from a can that his mother had wrapped in wool.
+Nobody spoke much until the islands rose out of the haze at noon.
+Then the captain rang a bell and everyone went up to look at the birds."""
+ODD = [None, "", " \n\t", "x", "###", "word " * 400, "a\x00b ﬁ 日本語 é", " ".join(f"{w}{i}" for i in range(300) for w in GOOD.split())]
 
 
 def brute_repeats(text):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from airlens.llm import language, quality_classifier, quality_rules
+from airlens.llm.fingerprints import fingerprints
 from airlens.llm.near_dup import near_duplicates
 from airlens.llm.packing import pack
 from airlens.llm.pieces import encode_pieces
@@ -40,6 +41,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -58,6 +63,7 @@ _ALL = (
     op2_best_fit_packing,
     op4_token_counts,
     op5_language_id,
+    op6_closed_syncmers,
     op8_sentencepiece,
     op9_quality_rules,
     op10_quality_classifier,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from airlens.llm import language, quality_classifier, quality_rules
 from airlens.llm.fingerprints import fingerprints
+from airlens.llm.long_repeats import without_repeats
 from airlens.llm.near_dup import near_duplicates
 from airlens.llm.packing import pack
 from airlens.llm.pieces import encode_pieces
@@ -45,6 +46,10 @@ def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -64,6 +69,7 @@ _ALL = (
     op4_token_counts,
     op5_language_id,
     op6_closed_syncmers,
+    op7_suffix_array_dedup,
     op8_sentencepiece,
     op9_quality_rules,
     op10_quality_classifier,

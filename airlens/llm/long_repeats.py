@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlens.llm import work
+from airlens.llm.fingerprints import in_order
 
 LENGTH = 100
 SEED = 24
@@ -242,32 +243,40 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH) ->
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` of every document: its text without repeats.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` of every row: its text without repeats.
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a document of smaller doc_id, or further left
     in the same one. Overlaps count; all strings are judged on the input. ``spans`` are the removed ranges as pairs
     ``start, stop``, ``kept`` the bytes that stay (binary: a cut may part a character).
 
-    Null text is empty; texts under ``length`` bytes stay whole. Null doc_id counts as the smallest. Where doc_ids repeat, one
-    row of each is taken, the one with the smallest text; repeated rows so come out once. Other columns are ignored.
+    Null text is empty; texts under ``length`` bytes stay whole. Null doc_id counts as the smallest. Rows of one doc_id follow
+    each other by a hash of their text, so of equal rows one stays whole. Other columns are ignored.
     """
+    return _cut(docs, length, [])
+
+
+def _cut(docs: DataFrame, length: int, carry: list[str]) -> DataFrame:
+    """``without_repeats``; the columns in ``carry`` come along as ``carry_<name>``."""
     lowest = -(1 << 63) + 1
-    rows = docs.select(F.coalesce("doc_id", F.lit(lowest)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    carried = [F.col(c).alias(f"carry_{c}") for c in carry]
+    rows = docs.select(F.coalesce("doc_id", F.lit(lowest)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), "doc_id", *carried)
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
-        rows = work.written(rows.groupBy("id").agg(F.min("text").alias("text")))
+        rows = in_order(rows, F.col("id"), F.xxhash64("text")).drop("total", "id").withColumnRenamed("pos", "id")
+    names = ["doc_id", *[f"carry_{c}" for c in carry]]
+    types = ", ".join(f"`{n}` {dict(rows.dtypes)[n]}" for n in names)
 
-    def pack(ids, texts):
+    def pack(ids, texts, *others):
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        return {"id": ids, "packed": [squeeze(work.raw(t)) for t in texts]}
+        return {"id": ids, "packed": [squeeze(work.raw(t)) for t in texts]} | dict(zip(names, others, strict=True))
 
-    packed = work.map_batches(rows, pack, "id bigint, packed binary", "id", "text")
-    ranges = work.written(repeated_ranges(rows, packed, length))
+    packed = work.map_batches(rows, pack, f"id bigint, packed binary, {types}", "id", "text", *names)
+    ranges = work.written(repeated_ranges(rows, packed.select("id", "packed"), length))
     per_doc = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))  # ranges of one text
 
-    def finish(ids, packs, ranges):
+    def finish(packs, ranges, *others):
         unpack = zstandard.ZstdDecompressor().decompress
-        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
-        for i, pack, own in zip(ids, packs, ranges, strict=True):
+        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
+        for pack, own in zip(packs, ranges, strict=True):
             data, spans, kept, at = unpack(pack), [], [], 0
             for r in sorted((r["start"], r["stop"]) for r in own or ()):
                 if spans and r[0] <= spans[-1][1]:
@@ -278,10 +287,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept.append(data[at:start])
                 at = stop
             rest = b"".join([*kept, data[at:]])
-            row = (None if i == lowest else i, len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), [{"start": a, "stop": b} for a, b in spans], rest)
+            row = (len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), [{"start": a, "stop": b} for a, b in spans], rest)
             for k, v in zip(out, row, strict=True):
                 out[k].append(v)
-        return out
+        return out | dict(zip(names, others, strict=True))
+
+    schema = f"{types}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start: bigint, stop: bigint>>, kept binary"
+    return work.map_batches(packed.join(per_doc, "id", "left"), finish, schema, "packed", "ranges", *names)
+
+
+def trimmed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeats taken out of ``text`` and ``n_chars`` of the rest; parts of a cut character go too."""
+    names = docs.columns
+    others = [c for c in names if c not in ("doc_id", "text", "n_chars")]
+
+    def run(kept, ids, *columns):
+        texts = [k.decode("utf-8", "ignore") for k in kept]
+        return dict(zip(others, columns, strict=True)) | {"doc_id": ids, "text": texts, "n_chars": [len(t) for t in texts]}
 
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start: bigint, stop: bigint>>, kept binary"
-    return work.map_batches(packed.join(per_doc, "id", "left"), finish, schema, "id", "packed", "ranges")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
+    return work.map_batches(_cut(docs, length, others), run, schema, "kept", "doc_id", *[f"carry_{c}" for c in others])

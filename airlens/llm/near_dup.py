@@ -75,7 +75,7 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
-    def run(ids, texts):
+    def run(ids, text_hashes, texts):
         digests, counts, keys, sketches = [], [], [], []
         for text in texts:
             s = shingles(text, size)
@@ -83,9 +83,11 @@ def _signatures(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
             counts.append(len(s))
             keys.append(band_keys(s, rows, bands) if len(s) else None)
             sketches.append(odd_sketch(s) if len(s) else None)
-        return {"doc_id": ids, "digest": digests, "n_shingles": counts, "bands": keys, "sketch": sketches}
+        return {"doc_id": ids, "text_hash": text_hashes, "digest": digests, "n_shingles": counts, "bands": keys, "sketch": sketches}
 
-    return work.map_batches(docs, run, "doc_id bigint, digest binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>", "doc_id", "text")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    schema = "doc_id bigint, text_hash bigint, digest binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>"
+    return work.map_batches(hashed, run, schema, "doc_id", "text_hash", "text")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -110,7 +112,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, kept, text_hash`` for every row of ``docs(doc_id, text)``.
 
     Two documents are linked when ``100 * common >= percent * all`` distinct shingles of ``size`` words; component_id is
     the smallest doc_id that links reach, and the document that bears it is kept.
@@ -169,9 +171,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.col("component").isNull()).alias("kept"),
+        "text_hash",
     )
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that bear the smallest doc_id of their component, one row for each; all columns stay.
+
+    Rows without a doc_id take part under an id above all others that follows from their text. Rows equal in doc_id and text
+    are one document.
+    """
+    spare = F.xxhash64("text", F.lit(1)).bitwiseAND((1 << 61) - 1) + F.lit(1 << 62)
+    keyed = docs.withColumn("_id", F.coalesce("doc_id", spare)).withColumn("_hash", F.xxhash64("text"))
+    found = near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"), size, percent)
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return keyed.join(kept, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+
+
 def _packed_texts(docs: DataFrame, signed: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """``digest, packed``: one compressed text of every needed class."""
     ids = signed.join(needed, "digest").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("key"))

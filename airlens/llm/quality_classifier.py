@@ -175,3 +175,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     marked = docs.select("doc_id", F.coalesce(work.crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
     return work.map_batches(marked, run, "doc_id bigint, held_out boolean, score double, predicted int", "doc_id", "held_out", "text")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model predicts 1 for, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return work.select_rows(docs, lambda texts: ([shared.value.score(t) >= 0.5 for t in texts], None))

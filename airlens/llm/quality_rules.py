@@ -119,6 +119,19 @@ def quality(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return work.map_batches(docs, run, f"doc_id bigint, {COLUMNS}" + ", cleaned string" * with_text, "doc_id", "text")
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the lines that passed as their text; all columns stay, n_chars follows.
+
+    A null text is rejected, as every text under 20 words.
+    """
+
+    def run(texts):
+        found = [judge(t) for t in texts]
+        return [f["kept"] for f in found], [f["cleaned"] for f in found]
+
+    return work.select_rows(docs, run)
+
+
 _LIKE = "|".join(PHRASES)
 #: The same verdicts in SQL (RE2 patterns), for tables of moderate size.
 SQL = rf"""

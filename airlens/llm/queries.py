@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airlens.llm import language, quality_classifier, quality_rules
+from airlens.llm import language, language_model, quality_classifier, quality_rules
 from airlens.llm.fingerprints import fingerprints
 from airlens.llm.long_repeats import without_repeats
 from airlens.llm.near_dup import near_duplicates
@@ -33,6 +33,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_model.pseudo_likelihood(docs, *language_model.train(docs))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048)
 
@@ -66,6 +71,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_minhash_near_dedup,
     op2_best_fit_packing,
+    op3_lm_scoring,
     op4_token_counts,
     op5_language_id,
     op6_closed_syncmers,

@@ -63,6 +63,24 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: s
     return df.select(*columns).mapInArrow(run, target)
 
 
+def select_rows(df: DataFrame, fn: Callable[[list], tuple]) -> DataFrame:
+    """The rows of ``df`` that ``fn(texts) -> (keep, new texts or None)`` keeps, with their new texts and ``n_chars`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keep, texts = fn(batch.column("text").to_pylist())
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            if texts is not None:
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def raw(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

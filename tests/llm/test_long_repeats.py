@@ -68,9 +68,17 @@ def test_odd_rows(spark, make):
     assert long_repeats.without_repeats(make([])).count() == 0
     long = soup(random.Random(2), 300)
     docs = [(1, None), (2, ""), (3, "x" * 99), (4, long), (4, long), (5, long[:150]), (None, long[100:260])]
-    got = result(long_repeats.without_repeats(make(docs)).collect())
-    unique = [(1, None), (2, ""), (3, "x" * 99), (4, long), (5, long[:150]), (-1, long[100:260])]
-    assert {(-1 if k is None else k): v for k, v in got.items()} == brute(unique)
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in long_repeats.without_repeats(make(docs)).collect())
+    first = long_repeats.without_repeats(make([d for d in docs if d[0] == 4 or d[0] is None])).collect()
+    assert got == [(-1, 160, 0), (1, 0, 0), (2, 0, 0), (3, 99, 0), (4, 300, 160), (4, 300, 300), (5, 150, 150)]
+    assert sorted(r.n_removed for r in first) == [0, 160, 300]
+
+
+def test_trimmed_keeps_columns_and_whole_characters(spark, make):
+    mid = soup(random.Random(5), 90, "üöäßé")
+    rows = {r.doc_id: r for r in long_repeats.trimmed(make([(1, "start " + mid), (2, mid + " end"), (3, None)])).collect()}
+    assert rows[1].text == "start " + mid and (rows[1].lang, rows[1].source) == ("en", "s")
+    assert rows[2].text == " end" and rows[2].n_chars == 4 and rows[3].text == ""
 
 
 def test_long_text_is_cut_into_slices(monkeypatch):

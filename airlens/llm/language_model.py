@@ -18,7 +18,7 @@ CLASSES = SIDE * SIDE - FREQUENT
 REACH = 2
 WIDTH, HIDDEN = 16, 24
 MASKED = 8
-STEP, BATCH = 0.08, 512
+STEP, BATCH = 0.6, 256
 MERGE = 32
 
 

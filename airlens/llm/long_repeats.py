@@ -176,9 +176,7 @@ def _resolve(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, last_key = Levels(length), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in work.slices(batches):
             keys = batch.column("key").to_pylist()
             if keys[0] != last_key:
                 levels.clear()  # keys rise: nothing of an earlier one comes again

@@ -17,6 +17,7 @@ from airlens.session import checkpoint_root
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
+ROWS = 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,13 @@ def per_process(key: tuple, build: Callable):
     return held[key]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS`` rows: what a function makes of a part bounds a worker's memory, not a whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: str) -> DataFrame:
     """Rows of ``fn(lists of the columns) -> {name: list or array}`` over Arrow batches of ``columns``."""
     target = df.sparkSession.createDataFrame([], schema).schema
@@ -55,7 +63,7 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: s
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(target)
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 out = fn(*[batch.column(c).to_pylist() for c in columns])
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type, from_pandas=False) for n in names], names=names)
@@ -67,9 +75,7 @@ def select_rows(df: DataFrame, fn: Callable[[list], tuple]) -> DataFrame:
     """The rows of ``df`` that ``fn(texts) -> (keep, new texts or None)`` keeps, with their new texts and ``n_chars`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             keep, texts = fn(batch.column("text").to_pylist())
             columns = {n: batch.column(n) for n in batch.schema.names}
             if texts is not None:

@@ -143,7 +143,7 @@ class Fixtures:
             "doc_id", "text", f"(length(text) - 1) DIV {SECTION_CHARS} AS last_sec"
         )
         cut = docs.withColumn("sec", F.explode(F.sequence(F.lit(0).cast("bigint"), "last_sec")))
-        return cut.filter("(doc_id + sec) % 11 <> 0").selectExpr(
+        return cut.filter("doc_id % 5 <> 0 OR (doc_id + sec) % 11 <> 0").selectExpr(
             "doc_id AS segment_id", "2 AS payload_id", "CAST(doc_id % 4 AS INT) AS version",
             "CAST(sec AS INT) AS section_number", "CAST(last_sec AS INT) AS last_section_number",
             f"substr(text, CAST(sec * {SECTION_CHARS} + 1 AS INT), {SECTION_CHARS}) AS payload",
@@ -268,7 +268,7 @@ FROM (SELECT DISTINCT user_id % 4 AS c, event_id % 6 AS i FROM fx_base) z""",
   CAST((length(text) - 1) // {SECTION_CHARS} AS INT) AS last_section_number,
   substr(text, CAST(sec * {SECTION_CHARS} + 1 AS INT), {SECTION_CHARS}) AS payload, doc_id * 1000 + sec AS arrival
 FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // {SECTION_CHARS} + 1)) AS sec FROM documents WHERE length(text) > 0) z
-WHERE (doc_id + sec) % 11 <> 0""",
+WHERE doc_id % 5 <> 0 OR (doc_id + sec) % 11 <> 0""",
     "fx_text_rows": "SELECT CAST(user_id % 3 AS INT) AS capture, event_id AS i, pus // 1000 AS ts_ms, event_type AS text FROM fx_base",
     "fx_order_es": """SELECT l_orderkey AS capture, l_linenumber AS line, 256 + l_linenumber AS pid, CAST(MAX(l_partkey) % 7 AS INT) AS variant,
   CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INT) AS es_ordinal FROM lineitem GROUP BY 1, 2""",

@@ -61,15 +61,15 @@ def clamp_bytes(data: Column, size: Column) -> Column:
     return F.when(F.octet_length(data) <= size, data).otherwise(F.substring(data, F.lit(1), F.greatest(cut, F.lit(0))))
 
 
-def dvb_text(data: Column, size: int = 63) -> Column:
-    """Broadcast text: charset prefix skipped, control bytes to spaces, at most ``size`` bytes (FN-10)."""
+def dvb_text(data: Column, size: int | None = None) -> Column:
+    """Broadcast text: charset prefix skipped, control bytes to spaces (FN-10); whole unless ``size`` bounds its bytes."""
     first = F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int")
     length = F.octet_length(data)
     skip = (
         F.when((first == 0x10) & (length >= 3), 3).when((first == 0x1F) & (length >= 2), 2)
         .when(first < 0x20, 1).otherwise(0)
     )
-    body = F.decode(F.substring(data, skip + 1, F.lit(size)), "ISO-8859-1")
+    body = F.decode(F.substring(data, skip + 1, length if size is None else F.lit(size)), "ISO-8859-1")
     return F.encode(F.regexp_replace(body, "[\\x00-\\x1f]", " "), "ISO-8859-1").cast("string")
 
 

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from airlens.operators.ordered import DEFAULT_SPAN, Lag, Lead, StepSum, scan
 
-# fixed values: row gap that starts a new subtitle, shortest last cue, longest cue (ms), rows kept per subtitle
-GAP_MS, MIN_MS, MAX_MS, MAX_ROWS = 500, 1200, 5000, 24
+# fixed values: row gap that starts a new subtitle, shortest last cue, longest cue (ms)
+GAP_MS, MIN_MS, MAX_MS = 500, 1200, 5000
 
 
-def teletext_cues(rows: DataFrame, keys: list[str] = ["capture"], order: list[str] = ["i"], page: int | None = None, lead_ms: int = 0, span: int = DEFAULT_SPAN) -> DataFrame:
+def teletext_cues(rows: DataFrame, keys: list[str] = ["capture"], order: list[str] = ["i"], page: int | None = None, lead_ms: int = 0, span: int = DEFAULT_SPAN, max_rows: int | None = None) -> DataFrame:
     """Cues ``start_ms, end_ms, text`` from rows ``ts_ms, text`` in arrival order (WIN-20).
 
     Rows more than 500 ms apart start a new subtitle; a repeated row within one is dropped; a subtitle equal to the
     one on screen is a repeat. A cue ends where the next begins, after at most 5 s; the last one stays at least 1.2 s.
+    ``max_rows`` keeps as many distinct rows of a subtitle; by default all.
     """
     shown = rows.withColumn("text", F.rtrim("text")).filter("text <> ''")
     last_ms = rows.groupBy(*keys).agg(F.max_by("ts_ms", order[0]).alias("__last_ms"))
@@ -24,9 +25,10 @@ def teletext_cues(rows: DataFrame, keys: list[str] = ["capture"], order: list[st
     grouped = scan(shown, keys, order, span, grp=StepSum(F.col("ts_ms"), lambda x, prev: (x - prev > GAP_MS).cast("bigint"), lambda x: F.lit(1)))
     starts = grouped.groupBy(*keys, "grp").agg(F.min_by("ts_ms", order[0]).alias("start_ms"))
     once = grouped.groupBy(*keys, "grp", "text").agg(F.min(order[0]).alias("__i"))
-    # row_number() <= n prunes to 24 rows per subtitle before the shuffle
-    rank = F.row_number().over(Window.partitionBy(*keys, "grp").orderBy("__i"))
-    kept = once.withColumn("__rank", rank).filter(F.col("__rank") <= MAX_ROWS)
+    kept = once
+    if max_rows is not None:
+        rank = F.row_number().over(Window.partitionBy(*keys, "grp").orderBy("__i"))
+        kept = once.withColumn("__rank", rank).filter(F.col("__rank") <= max_rows)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("__i", F.ltrim("text").alias("t")))), lambda s: s["t"])
     texts = kept.groupBy(*keys, "grp").agg(F.array_join(F.filter(lines, lambda t: t != ""), "\n").alias("text")).filter("text <> ''")
     subtitles = texts.join(starts, [*keys, "grp"])

@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from airlens.functions.binary import be, be16, be32, bits, concat_bytes, crc32_mpeg2, tail, u8
 from airlens.operators.ordered import DEFAULT_SPAN, changes, scan
 
-MAX_SECTION, MAX_SECTIONS = 1452, 64  # fixed values: bytes per section, sections per document
-
 
 def read_doc_sections(df: DataFrame, col: str = "datagram") -> DataFrame:
     """Section header fields and payload of each valid datagram (SRC-12); others are dropped."""
@@ -33,16 +31,21 @@ def read_doc_sections(df: DataFrame, col: str = "datagram") -> DataFrame:
     ).drop("__body")
 
 
-def doc_reassembly(sections: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+def doc_reassembly(sections: DataFrame, span: int = DEFAULT_SPAN, max_sections: int | None = None, max_section: int | None = None) -> DataFrame:
     """Complete documents from sections ``payload_id, segment_id, version, section_number, last_section_number, payload, arrival`` (STR-3 over archives).
 
-    A new version or length restarts a document; of a repeated section the first copy counts; at most 64 sections.
+    A new version or length restarts a document; of a repeated section the first copy counts.
+    ``max_sections`` and ``max_section`` (length of one) drop what is larger; by default the 12-bit section number is the bound.
     With ``crc_present`` and ``crc`` the checksum over the whole must match. Payloads may be binary or text.
     """
     key = ["payload_id", "segment_id"]
     with_crc = "crc_present" in sections.columns
     size = F.length("payload")  # bytes of binary, characters of text
-    usable = sections.filter((F.col("last_section_number") < MAX_SECTIONS) & (F.col("section_number") <= F.col("last_section_number")) & (size <= MAX_SECTION))
+    usable = sections.filter(F.col("section_number") <= F.col("last_section_number"))
+    if max_sections is not None:
+        usable = usable.filter(F.col("last_section_number") < max_sections)
+    if max_section is not None:
+        usable = usable.filter(size <= max_section)
     if with_crc:
         usable = usable.filter(~F.col("crc_present") | ((F.col("section_number") == F.col("last_section_number")) & F.col("crc").isNotNull()))
     runs = scan(usable, key, ["arrival"], span, run=changes(F.struct("version", "last_section_number")))

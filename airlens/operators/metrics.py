@@ -14,8 +14,8 @@ from airlens.operators import metric_catalog
 from airlens.operators.ordered import DEFAULT_SPAN, PriorMaxStruct, changes, scan
 
 # fixed values: wire layout and limits
-HEADER_BYTES, ID_BYTES, MAX_BYTES, LABEL_BYTES, MAX_ENTRIES, VERSION = 60, 32, 4096, 63, 400, 1
-COMPONENTS = {1: "tvhead", 2: "radiohead", 3: "sds", 4: "bcg", 5: "rist", 6: "rec", 7: "descramble", 8: "cam378", 9: "fccret"}
+HEADER_BYTES, ID_BYTES, VERSION = 60, 32, 1
+COMPONENTS = {i: f"component{i}" for i in range(1, 10)}
 
 
 def metric_defs(spark: SparkSession) -> DataFrame:
@@ -29,24 +29,29 @@ def _entries(data: bytes) -> list[dict]:
         size = data[at + 2]
         if len(data) - at - 3 < size + 8:
             break
-        label = data[at + 3 : at + 3 + min(size, LABEL_BYTES)].split(b"\0")[0]
+        label = data[at + 3 : at + 3 + size].split(b"\0")[0]
         out.append({"ord": len(out), "id": int.from_bytes(data[at : at + 2], "big"), "label": label.decode("utf-8", "replace"), "raw": data[at + 3 + size : at + 11 + size]})
         at += 11 + size
     return out
 
 
-def decode_snapshots(datagrams: DataFrame, col: str = "datagram") -> DataFrame:
+def decode_snapshots(
+    datagrams: DataFrame, col: str = "datagram", components: dict[int, str] | None = None, max_entries: int | None = None, max_bytes: int | None = None
+) -> DataFrame:
     """Header, verdict and entries of each snapshot datagram (SRC-11).
 
     ``status`` is ok, malformed or version; a cut-off entry keeps the ones before it. Values are unsigned 64-bit.
+    ``components`` names the sender kinds. ``max_entries`` drops and counts entries beyond it, ``max_bytes`` makes larger
+    datagrams malformed; by default nothing is cut.
     """
+    components = COMPONENTS if components is None else components
     p = F.col(col)
     number = u8(p, 1)
-    names = F.create_map(*[F.lit(x) for pair in COMPONENTS.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in components.items() for x in pair])
     ident = F.split(F.decode(F.substring(p, 5, ID_BYTES - 1), "UTF-8"), "\x00")[0]
     status = (
-        F.when(F.octet_length(p) > MAX_BYTES, "malformed").when(u8(p, 0) != VERSION, "version")
-        .when((F.octet_length(p) < HEADER_BYTES) | ~number.between(1, len(COMPONENTS)) | (ident == ""), "malformed").otherwise("ok")
+        F.when(F.octet_length(p) > (F.lit(1 << 31) if max_bytes is None else max_bytes), "malformed").when(u8(p, 0) != VERSION, "version")
+        .when((F.octet_length(p) < HEADER_BYTES) | ~number.isin(*components) | (ident == ""), "malformed").otherwise("ok")
     )
     # entries are read only where the header is good
     read = F.pandas_udf(lambda s: s.map(lambda d: _entries(bytes(d)) if d is not None else []), "array<struct<ord: int, id: int, label: string, raw: binary>>")
@@ -59,7 +64,9 @@ def decode_snapshots(datagrams: DataFrame, col: str = "datagram") -> DataFrame:
         head(be64(p, 44)).alias("sequence"), head(be64(p, 52)).alias("snapshot_time"), read(head(p)).alias("__e"),
     )
     value = F.transform("__e", lambda e: F.struct(e["ord"].alias("ord"), e["id"].alias("id"), e["label"].alias("label"), F.conv(F.hex(e["raw"]), 16, 10).cast(U64).alias("value")))
-    return decoded.withColumn("entries", F.slice(value, 1, MAX_ENTRIES)).withColumn("dropped_entries", F.greatest(F.size("__e") - MAX_ENTRIES, F.lit(0))).drop("__e")
+    if max_entries is None:
+        return decoded.withColumn("entries", value).withColumn("dropped_entries", F.lit(0)).drop("__e")
+    return decoded.withColumn("entries", F.slice(value, 1, max_entries)).withColumn("dropped_entries", F.greatest(F.size("__e") - max_entries, F.lit(0))).drop("__e")
 
 
 INSTANCE = ["component", "metrics_id"]

@@ -15,7 +15,7 @@ from airlens.functions.text import dvb_text
 from airlens.operators.ordered import DEFAULT_SPAN, Lag, LastKnown, RunningSum, asof_state, changes, row_number, scan
 from airlens.session import cut_lineage
 
-SECTION_CAP = 4096
+SECTION_BYTES = 4098  # follows from the 12-bit length field: 4095 bytes behind a header of 3
 # fixed values: table ids, pids and descriptor tags
 PAT, CAT, PMT, NIT, SDT = 0x00, 0x01, 0x02, 0x40, 0x42
 PID_PAT, PID_CAT, PID_NIT, PID_SDT, PID_EIT, PID_RST, PID_TDT, PID_NULL = 0x0000, 0x0001, 0x0010, 0x0011, 0x0012, 0x0013, 0x0014, 0x1FFF
@@ -37,8 +37,7 @@ STREAM_TYPES = {
 def assemble_sections(packets: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     """Complete sections from packets ``capture, pid, pkt_no, pusi, payload`` (WIN-9).
 
-    A start packet skips its pointer field; one section per start; anything over 4096 bytes, or cut short by the
-    next start, is dropped. Filter to table pids first: it is the largest saving there is.
+    A start packet skips its pointer field; one section per start; one cut short by the next start is dropped. Filter to table pids first: it is the largest saving there is.
     """
     bytes_ = F.when(F.col("pusi") != 0, tail(F.col("payload"), u8(F.col("payload"), 0) + 1)).otherwise(F.col("payload"))
     bad_start = (F.col("pusi") != 0) & (u8(F.col("payload"), 0) + 1 > F.octet_length("payload"))
@@ -46,15 +45,15 @@ def assemble_sections(packets: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame
         "capture", "pid", "pkt_no", F.col("pusi"), F.when(bad_start, F.lit(None)).otherwise(bytes_).alias("part"), bad_start.alias("bad")
     )
     grouped = scan(rows, ["capture", "pid"], ["pkt_no"], span, start=RunningSum((F.col("pusi") != 0).cast("bigint")))
-    # Each packet adds a byte or more, so packets past the cap in a group can never matter.
+    # Each packet behind the start adds a byte or more, so packets past the longest section can never matter.
     rank = F.row_number().over(Window.partitionBy("capture", "pid", "start").orderBy("pkt_no"))
-    bounded = grouped.filter("start > 0").withColumn("rank", rank).filter(F.col("rank") <= SECTION_CAP)
+    bounded = grouped.filter("start > 0").withColumn("rank", rank).filter(F.col("rank") <= SECTION_BYTES + 1)
     parts = bounded.groupBy("capture", "pid", "start").agg(
         F.array_sort(F.collect_list(F.struct("pkt_no", "part"))).alias("parts"), F.bool_or("bad").alias("bad")
     )
     joined = evaluate_once(parts.filter("NOT bad"), "bytes", concat_bytes(F.col("parts.part")))
     size = bits(be16(F.col("bytes"), 1), 0, 0xFFF) + 3
-    complete = joined.withColumn("size", size).filter((F.col("size") <= SECTION_CAP) & (F.octet_length("bytes") >= F.col("size")))
+    complete = joined.withColumn("size", size).filter(F.octet_length("bytes") >= F.col("size"))
 
     def advance(acc: Column, part: Column) -> Column:
         more = acc["seen"] < F.col("size")
@@ -147,7 +146,10 @@ def teletext_page(items: Column) -> Column:
 
 
 def _es_loop(section: Column, start: Column) -> Column:
-    """Elementary-stream entries of a PMT as ARRAY<STRUCT<stream_type, pid, desc>>, at most 32."""
+    """Elementary-stream entries of a PMT as ARRAY<STRUCT<stream_type, pid, desc>>: all that the section holds.
+
+    An entry takes five bytes or more, so the section's length bounds the steps.
+    """
     end = F.octet_length(section) - 4
 
     def step(acc: Column, _i: Column) -> Column:
@@ -163,7 +165,8 @@ def _es_loop(section: Column, start: Column) -> Column:
         )
 
     empty = F.array().cast("array<struct<stream_type:int,pid:int,desc:binary>>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(start.alias("at"), empty.alias("items")), step)["items"]
+    slots = F.sequence(F.lit(0), F.greatest(F.floor((end - start) / 5).cast("int"), F.lit(0)))
+    return F.aggregate(slots, F.struct(start.alias("at"), empty.alias("items")), step)["items"]
 
 
 def parse_pat(sections: DataFrame) -> DataFrame:
@@ -218,7 +221,7 @@ def parse_es(pmt: DataFrame) -> DataFrame:
 
 
 def audio_index(es: DataFrame, keys: list[str] = ["capture"]) -> DataFrame:
-    """1-based number among the audio streams of a program, 0 for others (WIN-17). A program has at most 32 streams."""
+    """1-based number among the audio streams of a program, 0 for others (WIN-17). The 12-bit section length bounds a program's streams."""
     is_audio = (F.col("cls") == "audio").cast("int")
     running = F.sum(is_audio).over(Window.partitionBy(*keys).orderBy("es_ordinal"))
     return es.withColumn("audio_index", F.when(F.col("cls") == "audio", running).otherwise(0).cast("int"))
@@ -486,11 +489,11 @@ def ecm_activity(sections: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
 EMM_GROUP_PAYLOAD = 64  # fixed value: bytes after the header in a group key message
 
 
-def latest_emm(sections: DataFrame, services: int = 32, group_payload: int = EMM_GROUP_PAYLOAD, span: int = DEFAULT_SPAN) -> DataFrame:
+def latest_emm(sections: DataFrame, services: int | None = None, group_payload: int = EMM_GROUP_PAYLOAD, span: int = DEFAULT_SPAN) -> DataFrame:
     """Latest group message per service and latest unique message, with versions counted by content (WIN-21).
 
-    ``sections``: ``capture, first_pkt_no, bytes``. Services beyond ``services`` in order of arrival are dropped and
-    reported by ``dropped``.
+    ``sections``: ``capture, first_pkt_no, bytes``. With ``services``, those beyond as many in order of arrival are
+    dropped and reported by ``dropped``; by default none is.
     """
     size = F.octet_length("bytes")
     service = F.when(size - 3 == group_payload, be16(F.col("bytes"), 3)).otherwise(-1)
@@ -501,20 +504,20 @@ def latest_emm(sections: DataFrame, services: int = 32, group_payload: int = EMM
     ).join(versions.groupBy("capture", "service_id").agg(F.count(F.lit(1)).alias("versions")), ["capture", "service_id"])
     # at most 65536 services per capture reach this rank
     rank = F.row_number().over(Window.partitionBy("capture", F.col("service_id") >= 0).orderBy("since"))
-    over = (F.col("service_id") >= 0) & (F.col("rank") > services)
+    over = F.lit(False) if services is None else (F.col("service_id") >= 0) & (F.col("rank") > services)
     return latest.withColumn("rank", rank).select(
         "capture", "service_id", F.when(~over, F.col("bytes")).alias("bytes"), F.when(over, 0).otherwise(F.col("versions")).alias("versions"),
         F.when(over, F.col("seen")).otherwise(0).alias("dropped"),
     )
 
 
-def latest_event_sections(sections: DataFrame, cap: int = 16) -> DataFrame:
-    """Latest content per (service, table, section number); keys beyond ``cap`` per service are dropped and counted (WIN-22)."""
+def latest_event_sections(sections: DataFrame, cap: int | None = None) -> DataFrame:
+    """Latest content per (service, table, section number) (WIN-22); with ``cap``, keys beyond it per service are dropped and counted."""
     keys = ["service_id", "table_id", "section_number"]
     per = sections.groupBy(*keys).agg(F.max_by("bytes", "arrival").alias("bytes"), F.min("arrival").alias("since"), F.count(F.lit(1)).alias("seen"))
     # a service has at most 256 x 256 distinct keys
     rank = F.row_number().over(Window.partitionBy("service_id").orderBy("since"))
-    kept = F.col("rank") <= cap
+    kept = F.lit(True) if cap is None else F.col("rank") <= cap
     return per.withColumn("rank", rank).select(*keys, F.when(kept, F.col("bytes")).alias("bytes"), F.when(kept, 0).otherwise(F.col("seen")).alias("dropped"))
 
 
@@ -536,7 +539,7 @@ def map_output_pids(es: DataFrame, program_idx: str, src_pcr_pid: str | None = N
     if not strip_data:
         supported = supported | (F.col("cls") == "data")
     video = F.col("cls") == "video"
-    # a program has at most 32 streams, so these windows are small by definition
+    # the section length bounds a program's streams, so these windows are small by definition
     rows = es.filter(supported).withColumn("nth", F.row_number().over(Window.partitionBy(program_idx, video).orderBy("es_ordinal")))
     rows = rows.filter(~video | (F.col("nth") == 1)).withColumn("videos", F.max(video.cast("int")).over(keys))
     base = F.col(program_idx) * BLOCK_SIZE + PROGRAM_BLOCK
@@ -670,7 +673,7 @@ def rewrite_tables(
     """
     pat = packets.filter(F.col("pid") == PID_PAT)
     if "NIT" not in mask:
-        passed, pat = pat.select("capture", "pid", "pkt_no", "pkt"), pat.limit(0)
+        passed, pat = pat.select("capture", "pid", "pkt_no", "pkt"), pat.filter("false")
     else:
         passed = None
     pmt = packets.join(pmt_pids.select("capture", F.col("pmt_pid").alias("pid")), ["capture", "pid"], "left_semi")

@@ -10,7 +10,6 @@ from airlens.operators.ordered import DEFAULT_SPAN, Lead, RunningSum, asof_state
 from airlens.operators.rtp import GAP_MAX, missing_sequences, rtp_gaps
 from airlens.session import cut_lineage
 
-HOLD_CAP = 1500  # fixed value: larger payloads are never held
 
 
 def repair_lookup(nack_seqs: DataFrame, packets: DataFrame, ring: int, span: int = DEFAULT_SPAN) -> DataFrame:
@@ -38,7 +37,9 @@ def repair_match(gaps: DataFrame, rtx: DataFrame, wait_us: int = 200_000) -> Dat
     return hit.groupBy("channel", "ssrc", "seq", "gap_us").agg(F.min("rtx_us").alias("rtx_us"))
 
 
-def rtp_repair(originals: DataFrame, rtx: DataFrame, wait_us: int = 200_000, span: int = DEFAULT_SPAN) -> DataFrame:
+def rtp_repair(
+    originals: DataFrame, rtx: DataFrame, wait_us: int = 200_000, span: int = DEFAULT_SPAN, hold_bytes: int | None = None, window: int = GAP_MAX
+) -> DataFrame:
     """Every delivered or lost number of each channel with its source, in delivery order ``run, ext`` (batch of STR-2).
 
     ``originals``: ``channel, arrival, arrival_us, ssrc, seq, payload_len``; ``rtx``: ``channel, arrival, arrival_us, ssrc, osn,
@@ -47,12 +48,12 @@ def rtp_repair(originals: DataFrame, rtx: DataFrame, wait_us: int = 200_000, spa
 
     No fold is needed: while a gap is open its window ends at the highest number seen, and each new gap replaces
     the open one whatever its state. So a gap lives until the earliest of its deadline, the next gap, run or
-    oversize packet, and the packet that would overfill the 32-packet window; a lost number is delivered by the
+    oversize packet, and the packet that would overfill the ``window``; a lost number is delivered by the
     first late original or retransmission within that life.
     """
     # five branches below read the verdicts
-    judged = cut_lineage(rtp_gaps(originals, span=span).select("channel", "run", "arrival", "arrival_us", "ssrc", "seq", "ext", "delta", "verdict", "payload_len"))
-    small = F.col("payload_len") <= HOLD_CAP
+    judged = cut_lineage(rtp_gaps(originals, span=span, gap_max=window).select("channel", "run", "arrival", "arrival_us", "ssrc", "seq", "ext", "delta", "verdict", "payload_len"))
+    small = F.lit(True) if hold_bytes is None else F.col("payload_len") <= hold_bytes
     opens = (F.col("verdict") == "gap") & small
     direct = judged.filter("verdict <> 'stale'").select(
         "channel", "run", "ext", F.col("seq").cast("int").alias("seq"), F.when((F.col("verdict") == "gap") & ~small, "resync").otherwise(F.col("verdict")).alias("source")
@@ -67,8 +68,8 @@ def rtp_repair(originals: DataFrame, rtx: DataFrame, wait_us: int = 200_000, spa
     gaps = cut_lineage(gaps)
     lost = missing_sequences(gaps).join(gaps.select("channel", "run", "arrival", "ssrc", "gap_us", "__end"), ["channel", "run", "arrival"]).withColumnRenamed("arrival", "gap_arrival")
 
-    # the packet that would need a 33rd place for this number
-    over = judged.filter("delta = 0").select("channel", "run", (F.col("ext") - GAP_MAX).alias("ext"), F.col("arrival").alias("__over"))
+    # the packet that would need one place more than there are for this number
+    over = judged.filter("delta = 0").select("channel", "run", (F.col("ext") - window).alias("ext"), F.col("arrival").alias("__over"))
     late = judged.filter("verdict = 'stale'").filter(small).groupBy("channel", "run", "ext").agg(F.min(F.struct("arrival", "arrival_us")).alias("__late"))
     placed = cut_lineage(lost.join(over, ["channel", "run", "ext"], "left").join(late, ["channel", "run", "ext"], "left"))
 

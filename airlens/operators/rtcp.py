@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NACK_ENTRIES = 32  # fixed value: loss entries read per packet
-CNAME_BYTES = 63  # fixed value: longest name kept
 # fixed values: packet types, formats and parameter types
 PT_FEEDBACK, PT_SDES = 205, 202
 FMT_NACK, FMT_RAMS = 1, 6
@@ -45,9 +43,9 @@ def _nack(body: bytes) -> list[dict]:
         return []
     sender, media = struct.unpack(">II", body[4:12])
     count = (len(body) - 12) // 4
-    entries = struct.iter_unpack(">HH", body[12 : 12 + 4 * min(count, NACK_ENTRIES)])
+    entries = struct.iter_unpack(">HH", body[12 : 12 + 4 * count])
     return [
-        _event("nack", sender_ssrc=sender, media_ssrc=media, entry=i, pid=pid, blp=blp, truncated=count > NACK_ENTRIES)
+        _event("nack", sender_ssrc=sender, media_ssrc=media, entry=i, pid=pid, blp=blp, truncated=False)
         for i, (pid, blp) in enumerate(entries)
     ]
 
@@ -87,7 +85,7 @@ def _names(body: bytes, chunks: int) -> list[dict]:
         ssrc, item, name = int.from_bytes(body[at : at + 4], "big"), at + 4, None
         while item + 2 <= len(body) and body[item] != 0 and item + 2 + body[item + 1] <= len(body):
             if body[item] == 1 and name is None:
-                name = body[item + 2 : item + 2 + min(body[item + 1], CNAME_BYTES)]
+                name = body[item + 2 : item + 2 + body[item + 1]]
             item += 2 + body[item + 1]
         item += item < len(body)
         at += (item - at + 3) // 4 * 4

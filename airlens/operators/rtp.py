@@ -10,8 +10,7 @@ from airlens.operators.greedy import greedy_marks
 from airlens.operators.ordered import DEFAULT_SPAN, Lag, PriorKnown, PriorMaxStruct, RunningSum, StepSum, changes, scan
 from airlens.session import cut_lineage
 
-GAP_MAX = 32  # fixed value: a gap this long resynchronises
-MAX_PAYLOAD = 1472  # fixed value: larger payloads are ignored by channel counters
+GAP_MAX = 32  # the rule's default window: a gap this long resynchronises
 
 
 def rtp_header(df: DataFrame, col: str = "datagram") -> DataFrame:
@@ -36,11 +35,11 @@ def rtx_unwrap(df: DataFrame, rtx_pt: int, col: str = "datagram") -> DataFrame:
     return fits.select(*[c for c in df.columns if c != col], "ssrc", be16(p, F.col("payload_off")).alias("osn"), tail(p, F.col("payload_off") + 2).alias("payload"))
 
 
-def rtp_gaps(packets: DataFrame, keys: list[str] = ["channel"], order: list[str] = ["arrival"], span: int = DEFAULT_SPAN) -> DataFrame:
+def rtp_gaps(packets: DataFrame, keys: list[str] = ["channel"], order: list[str] = ["arrival"], span: int = DEFAULT_SPAN, gap_max: int = GAP_MAX) -> DataFrame:
     """Each packet's verdict against the next expected number of its run (WIN-7).
 
     A run is a stretch of one ssrc. ``ext`` counts numbers without wrapping, ``delta`` is the distance to the
-    expected one: below 0 stale, 0 ok, 1 to 31 a gap of that many, more a resync. Exact while packets are
+    expected one: below 0 stale, 0 ok, below ``gap_max`` a gap of that many, else a resync. Exact while packets are
     displaced by less than half the number range.
     """
     pair = F.struct(F.col("ssrc").alias("ssrc"), F.col("seq").alias("seq"))
@@ -51,7 +50,7 @@ def rtp_gaps(packets: DataFrame, keys: list[str] = ["channel"], order: list[str]
     )
     topped = scan(counted, keys, order, span, __top=PriorMaxStruct(F.struct(F.col("run").alias("run"), F.col("ext").alias("ext"))))
     delta = F.when(F.col("__top.run") == F.col("run"), F.col("ext") - F.col("__top.ext") - 1).otherwise(0)
-    verdict = F.when(F.col("delta") < 0, "stale").when(F.col("delta") == 0, "ok").when(F.col("delta") < GAP_MAX, "gap").otherwise("resync")
+    verdict = F.when(F.col("delta") < 0, "stale").when(F.col("delta") == 0, "ok").when(F.col("delta") < gap_max, "gap").otherwise("resync")
     return topped.withColumn("delta", delta).withColumn("verdict", verdict).drop("__top")
 
 
@@ -63,8 +62,8 @@ def missing_sequences(gaps: DataFrame, keys: list[str] = ["channel"]) -> DataFra
 
 
 def nack_pack(gaps: DataFrame, keys: list[str] = ["channel"]) -> DataFrame:
-    """Feedback entries for each gap: first lost number and a mask of the 16 after it, at most 32 entries (WIN-8)."""
-    lost = gaps.filter("verdict = 'gap'").withColumn("n", F.explode(F.sequence(F.lit(0), F.expr("least((cast(delta AS INT) - 1) div 17, 31)"))))
+    """Feedback entries for each gap: first lost number and a mask of the 16 after it (WIN-8)."""
+    lost = gaps.filter("verdict = 'gap'").withColumn("n", F.explode(F.sequence(F.lit(0), F.expr("cast((cast(delta AS INT) - 1) div 17 AS INT)"))))
     first = F.pmod(F.col("seq") - F.col("delta") + F.col("n") * 17, F.lit(65536)).cast("int")
     in_entry = F.least(F.col("delta") - F.col("n") * 17, F.lit(17)).cast("int")
     mask = F.expr("cast(shiftleft(1, cast(least(delta - n * 17, 17) AS INT) - 1) - 1 AS INT)")
@@ -77,19 +76,23 @@ def nack_expand(df: DataFrame) -> DataFrame:
     return df.withColumn("__i", F.explode(hit)).withColumn("seq", F.pmod(F.col("pid") + F.col("__i"), F.lit(65536)).cast("int")).drop("__i")
 
 
-def channel_bitrate(packets: DataFrame, window_us: int = 2_000_000) -> DataFrame:
-    """Bits per fixed window and channel; oversize payloads ignored (AGG-3, tumbling)."""
+def _counted(packets: DataFrame, max_payload: int | None) -> DataFrame:
+    return packets if max_payload is None else packets.filter(F.col("payload_len") <= max_payload)
+
+
+def channel_bitrate(packets: DataFrame, window_us: int = 2_000_000, max_payload: int | None = None) -> DataFrame:
+    """Bits per fixed window and channel (AGG-3, tumbling); ``max_payload`` ignores larger payloads."""
     start = F.expr(f"arrival_us div {window_us} * {window_us}")
-    return packets.filter(F.col("payload_len") <= MAX_PAYLOAD).groupBy("channel", start.alias("window_us")).agg((F.sum("payload_len") * 8).cast("bigint").alias("bits"))
+    return _counted(packets, max_payload).groupBy("channel", start.alias("window_us")).agg((F.sum("payload_len") * 8).cast("bigint").alias("bits"))
 
 
-def channel_bitrate_exact(packets: DataFrame, window_s: int = 2, span: int = DEFAULT_SPAN) -> DataFrame:
+def channel_bitrate_exact(packets: DataFrame, window_s: int = 2, span: int = DEFAULT_SPAN, max_payload: int | None = None) -> DataFrame:
     """Bitrate windows as a live counter sees them (AGG-3, exact).
 
     A window opens at the first packet, closes at the first packet two or more whole seconds later, includes it,
-    and the next one opens at that time.
+    and the next one opens at that time. ``max_payload`` ignores larger payloads.
     """
-    rows = packets.filter(F.col("payload_len") <= MAX_PAYLOAD).withColumn("__s", F.expr("arrival_us div 1000000"))
+    rows = _counted(packets, max_payload).withColumn("__s", F.expr("arrival_us div 1000000"))
     marked = greedy_marks(rows, ["channel"], ["arrival"], "__s", window_s, span=span, name="closes")
     mark = F.col("closes").cast("bigint")
     marked = cut_lineage(marked.select("channel", "arrival", "__s", "payload_len", "closes"))

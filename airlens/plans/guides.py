@@ -373,7 +373,7 @@ def _(fx):
 
 @query(
     "decode_snapshots",
-    """SELECT arrival, 'ok' AS status, CASE arrival % 3 WHEN 0 THEN 'tvhead' WHEN 1 THEN 'radiohead' ELSE 'sds' END AS component, metrics_id, CAST(process_start AS VARCHAR) AS process_start,
+    """SELECT arrival, 'ok' AS status, CONCAT('component', 1 + arrival % 3) AS component, metrics_id, CAST(process_start AS VARCHAR) AS process_start,
 CAST(arrival AS VARCHAR) AS sequence, CAST(e AS INT) AS ord, CAST(id + e AS INT) AS id, CONCAT('x', id) AS label, CAST(val AS VARCHAR) AS value FROM fx_snapshots, range(2) r(e) WHERE e <= arrival % 2""",
 )
 def _(fx):
@@ -407,7 +407,7 @@ def _(fx):
 
 @query(
     "doc_reassembly",
-    """SELECT payload_id, segment_id, version, string_agg(payload, '' ORDER BY section_number) AS document FROM fx_doc_sections WHERE last_section_number < 64
+    """SELECT payload_id, segment_id, version, string_agg(payload, '' ORDER BY section_number) AS document FROM fx_doc_sections
 GROUP BY payload_id, segment_id, version, last_section_number HAVING COUNT(*) = last_section_number + 1""",
 )
 def _(fx):

@@ -64,12 +64,12 @@ def _(fx):
 
 @live(
     "doc_reassembly_stream",
-    """SELECT payload_id, segment_id, version, string_agg(payload, '' ORDER BY section_number) AS document FROM fx_doc_sections WHERE last_section_number < 64
+    """SELECT payload_id, segment_id, version, string_agg(payload, '' ORDER BY section_number) AS document FROM fx_doc_sections
 GROUP BY payload_id, segment_id, version, last_section_number HAVING COUNT(*) = last_section_number + 1""",
 )
 def _(fx):
     cut = fx.stream("documents").filter("length(text) > 0").selectExpr("doc_id", "text", "(length(text) - 1) div 1452 AS last_sec").withColumn("sec", F.explode(F.sequence(F.lit(0).cast("bigint"), "last_sec")))
-    rows = cut.filter("(doc_id + sec) % 11 <> 0").selectExpr(
+    rows = cut.filter("doc_id % 5 <> 0 or (doc_id + sec) % 11 <> 0").selectExpr(
         "2 AS payload_id", "doc_id AS segment_id", "cast(doc_id % 4 as int) AS version", "cast(sec as int) AS section_number", "cast(last_sec as int) AS last_section_number",
         "substr(text, cast(sec * 1452 + 1 as int), 1452) AS payload", "doc_id * 1000 + sec AS arrival",
     )
@@ -83,8 +83,8 @@ def rates(fx: Fixtures) -> DataFrame:
 # a window or session is out once the watermark, one second behind the newest row, has passed its end
 @live(
     "bitrate_stream",
-    """WITH w AS (SELECT channel, pus // 2000000 * 2000000 AS window_us, CAST(SUM(payload_len) * 8 AS BIGINT) AS bits FROM fx_rtp WHERE payload_len <= 1472 GROUP BY 1, 2)
-SELECT * FROM w WHERE window_us + 2000000 <= (SELECT (MAX(pus) - 1000000) // 1000 * 1000 FROM fx_rtp WHERE payload_len <= 1472)""",
+    """WITH w AS (SELECT channel, pus // 2000000 * 2000000 AS window_us, CAST(SUM(payload_len) * 8 AS BIGINT) AS bits FROM fx_rtp GROUP BY 1, 2)
+SELECT * FROM w WHERE window_us + 2000000 <= (SELECT (MAX(pus) - 1000000) // 1000 * 1000 FROM fx_rtp)""",
 )
 def _(fx):
     return st.bitrate_stream(rates(fx))

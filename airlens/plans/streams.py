@@ -92,13 +92,13 @@ def _(fx):
     return rtp.nack_expand(fx.nacks).select("channel", "arrival", "seq")
 
 
-@query("channel_bitrate", "SELECT channel, pus // 2000000 * 2000000 AS window_us, CAST(SUM(payload_len) * 8 AS BIGINT) AS bits FROM fx_rtp WHERE payload_len <= 1472 GROUP BY 1, 2")
+@query("channel_bitrate", "SELECT channel, pus // 2000000 * 2000000 AS window_us, CAST(SUM(payload_len) * 8 AS BIGINT) AS bits FROM fx_rtp GROUP BY 1, 2")
 def _(fx):
     return rtp.channel_bitrate(packets(fx))
 
 
 # closing packets: the first packet of the first second that is two or more after the last close
-EXACT_RATE = """p AS (SELECT channel, arrival, pus // 1000000 AS s, payload_len FROM fx_rtp WHERE payload_len <= 1472),
+EXACT_RATE = """p AS (SELECT channel, arrival, pus // 1000000 AS s, payload_len FROM fx_rtp),
 q AS (SELECT channel, s, MIN(arrival) AS arrival FROM p GROUP BY 1, 2),
 e AS (SELECT channel, MIN(s) AS s, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS o FROM q GROUP BY 1
  UNION ALL SELECT channel, nx, n + 1, s FROM (SELECT e.channel, e.s, e.n, (SELECT MIN(q.s) FROM q WHERE q.channel = e.channel AND q.s >= e.s + 2) AS nx FROM e) z WHERE nx IS NOT NULL),

@@ -234,9 +234,8 @@ def _(fx):
 
 
 @query("latest_event_sections", """WITH k AS (SELECT CAST(user_id AS INT) AS service_id, CAST(78 + event_id % 2 AS INT) AS table_id, CAST(floor(value) AS INT) % 32 AS section_number,
- arg_max(event_type, event_id) AS body, MIN(event_id) AS since, COUNT(*) AS seen FROM fx_base GROUP BY 1, 2, 3),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY service_id ORDER BY since) AS rk FROM k)
-SELECT service_id, table_id, section_number, CASE WHEN rk <= 16 THEN body END AS body, CASE WHEN rk <= 16 THEN 0 ELSE seen END AS dropped FROM r""")
+ arg_max(event_type, event_id) AS body FROM fx_base GROUP BY 1, 2, 3)
+SELECT service_id, table_id, section_number, body, CAST(0 AS BIGINT) AS dropped FROM k""")
 def _(fx):
     s = fx.base.selectExpr("CAST(user_id AS INT) AS service_id", "CAST(78 + event_id % 2 AS INT) AS table_id", "CAST(floor(value) AS INT) % 32 AS section_number", "event_id AS arrival", "event_type AS bytes")
     return psi.latest_event_sections(s).withColumnRenamed("bytes", "body")

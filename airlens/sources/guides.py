@@ -10,7 +10,6 @@ from airlens.operators.guide import attach_programme_text
 
 CHANNEL = "_id string, `display-name` array<string>"
 PROGRAMME = "_start string, _stop string, _channel string, title array<string>, desc array<string>, category array<string>"
-NAMES = 8  # fixed value: names kept per channel
 
 
 def _load(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
@@ -20,8 +19,8 @@ def _load(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 
 
 def channels_of(rows: DataFrame) -> DataFrame:
-    """Channels from parsed elements ``doc, ord, e``; elements without id are skipped, eight names kept."""
-    names = F.coalesce(F.slice(F.filter(F.col("e.display-name"), lambda n: n.isNotNull()), 1, NAMES), F.array().cast("array<string>"))
+    """Channels from parsed elements ``doc, ord, e``; elements without id are skipped."""
+    names = F.coalesce(F.filter(F.col("e.display-name"), lambda n: n.isNotNull()), F.array().cast("array<string>"))
     return rows.filter("e._id IS NOT NULL").select("doc", "ord", F.col("e._id").alias("id"), names.alias("names"))
 
 
@@ -67,7 +66,7 @@ def guide_channels_of(rows: DataFrame) -> DataFrame:
     named = lambda n: F.try_element_at(F.filter(F.col("e.ServiceURL"), lambda u: u["_name"] == n), F.lit(1))["_VALUE"]
     part = lambda i: F.regexp_extract(F.coalesce(named("DTT"), F.lit("")), r"^dvb://(\d+)\.(\d+)\.(\d+)", i).try_cast("int")
     return rows.filter("e._serviceId IS NOT NULL").select(
-        "doc", "ord", F.col("e._serviceId").alias("id"), F.coalesce(F.slice("e.Name", 1, NAMES), F.array().cast("array<string>")).alias("names"), named("IPTV").alias("uri"),
+        "doc", "ord", F.col("e._serviceId").alias("id"), F.coalesce("e.Name", F.array().cast("array<string>")).alias("names"), named("IPTV").alias("uri"),
         part(2).alias("tsid"), part(1).alias("onid"), part(3).alias("sid"),
     )
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from airlens.operators.rtp import MAX_PAYLOAD
 from airlens.streaming import folds
 from airlens.streaming.folds import Fold
 
@@ -99,7 +98,7 @@ def doc_reassembly(stream: DataFrame) -> DataFrame:
 
 def bitrate_stream(stream: DataFrame, window: str = "2 seconds", delay: str = "1 second") -> DataFrame:
     """Bits per fixed window and channel (STR-4)."""
-    timed = stream.filter(F.col("payload_len") <= MAX_PAYLOAD).withColumn("ts", F.timestamp_micros("arrival_us")).withWatermark("ts", delay)
+    timed = stream.withColumn("ts", F.timestamp_micros("arrival_us")).withWatermark("ts", delay)
     sums = timed.groupBy("channel", F.window("ts", window).alias("w")).agg((F.sum("payload_len") * 8).cast("bigint").alias("bits"))
     return sums.select("channel", F.unix_micros("w.start").alias("window_us"), "bits")
 

@@ -219,11 +219,11 @@ def test_audio_frames_do_not_depend_on_cuts(spark, piece, cut):
     ],
 )
 def test_frame_headers(codec, head, want):
-    assert media.PARSERS[codec](bytes.fromhex(head).ljust(2000, b"\0"), 0) == want
+    assert media.audio_frame(codec, bytes.fromhex(head).ljust(2000, b"\0")) == want
 
 
 def test_ac3_sizes_follow_the_rule():
-    sizes = [media._ac3(bytes([0x0B, 0x77, 0, 0, 1 << 6 | code, 0, 0]), 0)[0] // 2 for code in (0, 1, 2, 3, 36, 37)]
+    sizes = [media.audio_frame("ac3", bytes([0x0B, 0x77, 0, 0, 1 << 6 | code, 0, 0]))[0] // 2 for code in (0, 1, 2, 3, 36, 37)]
     assert sizes == [69, 70, 87, 88, 1393, 1394]
 
 
@@ -243,9 +243,11 @@ def test_hamming_corrects_one_bit():
             assert min(bin(value ^ c).count("1") for c in range(256) if media.NIBBLES[c] == 7 and c in codes) <= 2
 
 
-def test_national_characters():
-    assert media.row_text(b"\x5b\x5c \x01x  ", "ger") == "ÄÖ  x"
-    assert media.row_text(b"#", None) == "£"
+def test_national_characters(spark):
+    sent = lambda data: F.lit(bytes(media.REVERSED[b] for b in data))
+    assert one(spark, media.row_text(sent(b"\x5b\x5c \x01x  "), F.lit("ger"))) == "ÄÖ  x"
+    assert one(spark, media.row_text(sent(b"#"), F.lit(None).cast("string"))) == "£"
+    assert one(spark, media.row_text(sent(b"$"), F.lit("cze"))) == "ů"
 
 
 def test_icy_chain_over_piece_borders(spark):
@@ -261,11 +263,13 @@ def test_icy_chain_over_piece_borders(spark):
     assert [r.block for r in got] == [f"StreamTitle='A - {i}';" for i in range(120) if i % 3]
 
 
-def test_id3():
+def test_id3(spark):
     frame = lambda n, b: n + struct.pack(">I", len(b)) + b"\0\0" + b
     tag = b"ID3\x03\0\0\0\0\0\0" + frame(b"TPE1", b"\x01\xff\xfe" + "Zoë".encode("utf-16-le")) + frame(b"TIT2", b"\x00caf\xe9") + bytes(20)
-    assert media.id3_artist_title(tag) == ("Zoë", "café")
-    assert media.id3_artist_title(b"ID3\x03\0\0\0\0\0\0" + bytes(20)) is None
+    more = b"ID3\x04\0\0\0\0\0\0" + b"TIT2" + bytes([0, 0, 1, 2, 0, 0]) + b"\x03" + b"x" * 129 + b"TPE1" + b"\0\0\0\x7f\0\0"
+    df = spark.createDataFrame([(0, tag), (1, b"ID3\x03\0\0\0\0\0\0" + bytes(20)), (2, more), (3, b"ID3"), (4, None)], "i int, tag binary")
+    got = {r.i: (r.artist, r.title) for r in media.id3_titles(df).collect()}
+    assert got == {0: ("Zoë", "café"), 1: (None, None), 2: ("", "x" * 129), 3: (None, None), 4: (None, None)}
 
 
 def test_snapshot_verdicts(spark):

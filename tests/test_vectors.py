@@ -158,17 +158,21 @@ COMPOUND = (
 
 def test_feedback_vector(spark):
     data = bytes.fromhex(COMPOUND.replace(" ", ""))
-    events = rtcp.parse_compound(data)
-    assert [e["kind"] for e in events] == ["nack", "nack", "request", "termination", "name"]
-    assert (events[0]["pid"], events[0]["blp"], events[2]["ignore_media_ssrc"], events[2]["min_fill_ms"]) == (10, 3, True, 1000)
-    assert events[3]["first_seq"] == 0x12345 and not events[3]["malformed"] and events[4]["cname"] == "abc"
     cut = bytes.fromhex("86CD0004 00000001 00000002 03000000 3D000008".replace(" ", ""))
-    assert rtcp.parse_compound(cut)[0]["malformed"]
     many = bytes.fromhex("81CD0023 00000001 00000002".replace(" ", "")) + b"\0\1\0\0" * 33
-    nacks = rtcp.parse_compound(many)
-    assert len(nacks) == 33
-    df = spark.createDataFrame([(1, data), (2, b"\x40")], "id int, datagram binary")
-    assert rtcp.rtcp_explode(df).count() == 5
+    long = b"n" * 200
+    two = struct.pack(">BBHI", 0x82, 202, 53, 9) + b"\x02\x01z\x01\xc8" + long + b"\0\0\0" + struct.pack(">I", 10)
+    df = spark.createDataFrame([(1, data), (2, b"\x40"), (3, cut), (4, many), (5, two), (6, None)], "id int, datagram binary")
+    events = {}
+    for e in rtcp.rtcp_explode(df).collect():
+        events.setdefault(e.id, {}).setdefault(e.kind, []).append(e)
+    assert {k: len(v) for k, v in events[1].items()} == {"nack": 2, "request": 1, "termination": 1, "name": 1}
+    first = next(e for e in events[1]["nack"] if e.entry == 0)
+    assert (first.pid, first.blp, events[1]["request"][0].ignore_media_ssrc, events[1]["request"][0].min_fill_ms) == (10, 3, True, 1000)
+    assert events[1]["termination"][0].first_seq == 0x12345 and not events[1]["termination"][0].malformed and events[1]["name"][0].cname == "abc"
+    assert events[3]["termination"][0].malformed
+    assert len(events[4]["nack"]) == 33 and [(e.sender_ssrc, e.cname) for e in events[5]["name"]] == [(9, long.decode())]
+    assert set(events) == {1, 3, 4, 5}
 
 
 def test_burst_codes(spark):

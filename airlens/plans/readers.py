@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airlens.fixtures import Fixtures
 from airlens.functions import guide_time, text
+from airlens.functions.binary import concat_bytes
 from airlens.operators import guide, services
 from airlens.operators.psi import descriptors, find_descriptor
 from airlens.functions.binary import be16, be32, be64, crc32_mpeg2, seq_delta16
@@ -100,11 +101,12 @@ def _(fx):
     return guides.guide_channels_of(rows).select("ord", "id", F.array_join("names", "|").alias("names"), "uri", "tsid", "onid", "sid")
 
 
-@query("split_packets", "SELECT capture, pkt_no // 10 AS pkt_no, pid, cc FROM fx_packets WHERE pkt_no % 10 = 3")
+@query("split_packets", """SELECT capture, pkt_no // 2000 AS file_no, CAST(ROW_NUMBER() OVER (PARTITION BY capture, pkt_no // 2000 ORDER BY pkt_no) - 1 AS BIGINT) AS pkt_no, pid, cc
+FROM fx_packets""")
 def _(fx):
-    one = raw_packets(fx).filter("pkt_no % 10 = 3").selectExpr("concat(capture, '/', pkt_no) AS capture", "pkt AS content")
-    out = captures.split_packets(one)
-    return out.selectExpr("cast(split(capture, '/')[0] as int) AS capture", "cast(split(capture, '/')[1] as bigint) div 10 AS pkt_no", "cast(conv(hex(substring(pkt, 2, 2)), 16, 10) as int) % 8192 AS pid", "cast(conv(hex(substring(pkt, 4, 1)), 16, 10) as int) % 16 AS cc")
+    files = raw_packets(fx).groupBy(F.expr("concat(capture, '/', pkt_no div 2000)").alias("capture")).agg(F.array_sort(F.collect_list(F.struct("pkt_no", "pkt"))).alias("p"))
+    out = captures.split_packets(files.select("capture", concat_bytes(F.col("p.pkt")).alias("content")))
+    return out.selectExpr("cast(split(capture, '/')[0] as int) AS capture", "cast(split(capture, '/')[1] as bigint) AS file_no", "pkt_no", "cast(conv(hex(substring(pkt, 2, 2)), 16, 10) as int) % 8192 AS pid", "cast(conv(hex(substring(pkt, 4, 1)), 16, 10) as int) % 16 AS cc")
 
 
 @query("detect_framing", """SELECT event_id, CASE WHEN event_id % 9 BETWEEN 1 AND 7 THEN 'rtp' ELSE 'raw' END AS framing, CAST(CASE WHEN event_id % 9 BETWEEN 1 AND 7 THEN 12 + 188 * (event_id % 9) ELSE 188 END AS INT) AS stride,

@@ -16,7 +16,7 @@ from airlens.llm.components import components
 ROWS = 5
 BANDS = 32
 SKETCH_BITS = 1024
-MORE_HUBS = 8
+MORE_HUBS = 32
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     the smallest doc_id that links reach, and the document that bears it is kept.
 
     Rows with equal sets form one class, which is bucketed once. Each bucket compares its members with hubs only: one
-    hub first, and where the members of a bucket are not all connected then, eight times as many further hubs in each
+    hub first, and where the members of a bucket are not all connected then, 32 times as many further hubs in each
     round, until every member is connected to the rest or was compared with it. So a bucket whose members are alike, the
     usual one, costs one pair a member, and no link between bucket mates is lost. A comparison first bounds the difference
     by parity sketches that travel with the members; only pairs that may be links leave the join, so a large group of
@@ -144,18 +144,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     while True:
         pairs, state = _star(state, hubs, percent)
         pairs = work.written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
         done = pairs if done is None else done.union(pairs)
-        found = _confirm(pairs, texts, size, percent)
-        links = work.written(found if links is None else links.union(found))
-        roots = components(links)
-        state = work.written(
-            state.drop("root")
-            .join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
-            .withColumn("root", F.coalesce("root", "digest"))
-        )
-        state = work.written(_undecided(state))
+        found = work.written(_confirm(pairs, texts, size, percent))
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = components(links)
+            state = (
+                state.drop("root")
+                .join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
+                .withColumn("root", F.coalesce("root", "digest"))
+            )
+        state = work.written(_undecided(work.written(state)))
         if state.isEmpty():
             break
         hubs *= MORE_HUBS

@@ -106,16 +106,18 @@ class Fixtures:
 
     @cached_property
     def channels(self) -> DataFrame:
-        return self.table("customer").filter("c_custkey % 10 <> 9").selectExpr(
-            "c_custkey AS ord", "CONCAT('ch_', CAST(c_custkey AS STRING)) AS id",
-            "ARRAY(lower(c_name), CONCAT('Channel ', CAST(c_custkey AS STRING))) AS names",
+        # every tenth bears an id and names that nothing else knows
+        return self.table("customer").selectExpr(
+            "c_custkey AS ord", "CONCAT(IF(c_custkey % 10 = 9, 'off_', 'ch_'), CAST(c_custkey AS STRING)) AS id",
+            "ARRAY(CONCAT(IF(c_custkey % 10 = 9, 'off ', ''), lower(c_name)), CONCAT(IF(c_custkey % 10 = 9, 'Off ', 'Channel '), CAST(c_custkey AS STRING))) AS names",
         )
 
     @cached_property
     def services(self) -> DataFrame:
-        return self.table("customer").filter("c_custkey % 4 <> 3").selectExpr(
+        # every fourth bears a name that no channel has
+        return self.table("customer").selectExpr(
             "c_custkey AS ord",
-            "CASE WHEN c_custkey % 4 = 1 THEN CONCAT('Channel ', CAST(c_custkey AS STRING), ' HD') ELSE c_name END AS name",
+            "CASE c_custkey % 4 WHEN 1 THEN CONCAT('Channel ', CAST(c_custkey AS STRING), ' HD') WHEN 3 THEN CONCAT('Spare ', CAST(c_custkey AS STRING)) ELSE c_name END AS name",
             "CONCAT('rtp://239.', CAST(c_nationkey AS STRING), '.', CAST(c_custkey DIV 250 % 250 AS STRING), '.', CAST(c_custkey % 250 + 1 AS STRING),"
             " ':', CAST(5000 + c_custkey % 1000 AS STRING)) AS uri",
             "1 AS tsid", "c_nationkey AS onid", "CAST(c_custkey % 60000 + 100 AS INT) AS sid",
@@ -251,13 +253,14 @@ FROM (SELECT DISTINCT user_id % 4 AS c, event_id % 6 AS i FROM fx_base) z""",
   (us - 1704067200000000) // 864000000000 AS process_start,
   CASE WHEN event_id % 13 = 0 THEN event_id - 500 ELSE event_id END AS sequence,
   CAST(1 + event_id % 5 AS INT) AS id, CAST(round(value * 100) AS BIGINT) AS val FROM fx_base""",
-    "fx_channels": """SELECT c_custkey AS ord, CONCAT('ch_', CAST(c_custkey AS VARCHAR)) AS id, lower(c_name) AS name1,
-  CONCAT('Channel ', CAST(c_custkey AS VARCHAR)) AS name2 FROM customer WHERE c_custkey % 10 <> 9""",
+    "fx_channels": """SELECT c_custkey AS ord, CONCAT(CASE WHEN c_custkey % 10 = 9 THEN 'off_' ELSE 'ch_' END, CAST(c_custkey AS VARCHAR)) AS id,
+  CONCAT(CASE WHEN c_custkey % 10 = 9 THEN 'off ' ELSE '' END, lower(c_name)) AS name1,
+  CONCAT(CASE WHEN c_custkey % 10 = 9 THEN 'Off ' ELSE 'Channel ' END, CAST(c_custkey AS VARCHAR)) AS name2 FROM customer""",
     "fx_services": """SELECT c_custkey AS ord,
-  CASE WHEN c_custkey % 4 = 1 THEN CONCAT('Channel ', CAST(c_custkey AS VARCHAR), ' HD') ELSE c_name END AS name,
+  CASE c_custkey % 4 WHEN 1 THEN CONCAT('Channel ', CAST(c_custkey AS VARCHAR), ' HD') WHEN 3 THEN CONCAT('Spare ', CAST(c_custkey AS VARCHAR)) ELSE c_name END AS name,
   CONCAT('rtp://239.', CAST(c_nationkey AS VARCHAR), '.', CAST(c_custkey // 250 % 250 AS VARCHAR), '.', CAST(c_custkey % 250 + 1 AS VARCHAR),
    ':', CAST(5000 + c_custkey % 1000 AS VARCHAR)) AS uri,
-  1 AS tsid, c_nationkey AS onid, CAST(c_custkey % 60000 + 100 AS INT) AS sid FROM customer WHERE c_custkey % 4 <> 3""",
+  1 AS tsid, c_nationkey AS onid, CAST(c_custkey % 60000 + 100 AS INT) AS sid FROM customer""",
     "fx_mapping": """SELECT c_custkey AS ord, CONCAT('ch_', CAST(c_custkey AS VARCHAR)) AS id,
   CONCAT('rtp://239.1.', CAST(c_custkey // 250 % 250 AS VARCHAR), '.', CAST(c_custkey % 250 + 1 AS VARCHAR), ':5000') AS uri,
   1 AS tsid, 2 AS onid, CAST(c_custkey % 60000 + 100 AS INT) AS sid FROM customer WHERE c_custkey % 3 <> 0""",

@@ -7,7 +7,7 @@ import functools
 import numpy as np
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlens.llm import work
@@ -121,8 +121,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     hub first, and where the members of a bucket are not all connected then, 32 times as many further hubs in each
     round, until every member is connected to the rest or was compared with it. So a bucket whose members are alike, the
     usual one, costs one pair a member, and no link between bucket mates is lost. A comparison first bounds the difference
-    by parity sketches that travel with the members; only pairs that may be links leave the join, so a large group of
-    documents that are nearly, but not quite, alike makes no pairs either. Links are confirmed on full sets. Two
+    by parity sketches, in later rounds inside the join on buckets: only pairs that may be links leave it, so a large group
+    of documents that are nearly, but not quite, alike makes no pairs either. Links are confirmed on full sets. Two
     documents at exactly 0.8 share no bucket with a probability of about 3e-6 (5 rows, 32 bands), more alike ones less.
 
     Null or empty text and text without words: no set, linked with nothing. Null doc_id: linked as others are, but it never
@@ -133,17 +133,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     classes = work.written(
         signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    members = classes.select("digest", "n", "sketch", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = work.written(members.join(crowded, "bucket").select("bucket", "digest", "n", "sketch"))
-    needed = members.select("digest").distinct()
-    texts = work.written(_packed_texts(docs, signed, needed, size))
-
-    roots, links, done, hubs = None, None, None, 1
-    state = members.withColumn("root", F.col("digest")).withColumn("hub", F.lit(False))
+    sets = classes.select("digest", "n", "sketch")
+    members = classes.select("digest", F.explode("bands").alias("bucket"))
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members = work.written(members.join(crowded, "bucket"))
+    texts = work.written(_packed_texts(docs, signed, members.select("digest").distinct(), size))
+
+    # first round: one hub a bucket
+    hub = members.groupBy("bucket").agg(F.min("digest").alias("a"))
+    starred = work.written(members.join(hub, "bucket"))
+    pairs = starred.where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+    pairs = work.written(_possible(pairs, sets, percent))
+    links = done = None
+    roots, hubs = None, 1
+    state = starred.select("bucket", "digest", F.col("digest").alias("root"), (F.col("digest") == F.col("a")).alias("hub"))
     while True:
-        pairs, state = _star(state, hubs, percent)
-        pairs = work.written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         done = pairs if done is None else done.union(pairs)
         found = work.written(_confirm(pairs, texts, size, percent))
         if not found.isEmpty():
@@ -154,10 +158,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
                 .join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
                 .withColumn("root", F.coalesce("root", "digest"))
             )
-        state = work.written(_undecided(work.written(state)))
+        state = _undecided(work.written(state))
+        if hubs == 1:
+            state = state.join(sets, "digest")
+        state = work.written(state)
         if state.isEmpty():
             break
         hubs *= MORE_HUBS
+        pairs, state = _star(state, hubs, percent)
+        pairs = work.written(pairs.join(done, ["a", "b"], "left_anti"))
     named = classes.select("digest", "first_id")
     if roots is not None:
         named = named.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -201,6 +210,19 @@ def _packed_texts(docs: DataFrame, signed: DataFrame, needed: DataFrame, size: i
     return work.map_batches(ids.join(keyed, "key"), run, "digest binary, packed binary", "digest", "text").groupBy("digest").agg(F.min("packed").alias("packed"))
 
 
+def _may_link(n: Column, sketch: Column, other_n: Column, other_sketch: Column, percent: int) -> Column:
+    """False only for pairs that cannot be links: by their sizes, or by more differing parities than alike sets can have."""
+    differ = sum((F.bit_count(F.get(sketch, F.lit(i)).bitwiseXOR(F.get(other_sketch, F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return (n * 100 >= other_n * percent) & (other_n * 100 >= n * percent) & (differ * (100 + percent) <= (n + other_n) * (100 - percent))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may be links, by ``sets(digest, n, sketch)``."""
+    left, right = (sets.select(F.col("digest").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(_may_link(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"), percent)).select("a", "b")
+
+
 def _star(state: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of the next hubs of each bucket, ``hubs`` at most, with members of other components; the state after it.
 
@@ -210,11 +232,9 @@ def _star(state: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFra
     slot = F.pmod(F.xxhash64("digest"), F.lit(hubs)).alias("slot")
     hub = state.where("not hub").groupBy("bucket", slot).agg(F.min(F.struct("digest", "n", "root", "sketch")).alias("h")).select("bucket", "h")
     a, b = F.col("h.digest"), F.col("digest")
-    differ = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("h.sketch", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
     pairs = (
         state.join(hub, "bucket")
-        .where((F.col("root") != F.col("h.root")) & (F.col("n") * 100 >= F.col("h.n") * percent) & (F.col("h.n") * 100 >= F.col("n") * percent))
-        .where(differ * (100 + percent) <= (F.col("n") + F.col("h.n")) * (100 - percent))
+        .where((F.col("root") != F.col("h.root")) & _may_link(F.col("n"), F.col("sketch"), F.col("h.n"), F.col("h.sketch"), percent))
         .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         .distinct()
     )

@@ -100,12 +100,6 @@ def ipv4_to_int(address: Column) -> Column:
     return F.when(valid & in_range, total)
 
 
-def resolve_port(address: Column, port: Column, base_port: int, max_channels: int) -> Column:
-    """Dedicated port of an IPv4 channel: base + hash modulo the table size (FN-14)."""
-    h = fnv1a64(ipv4_octets(address), F.lit(FAMILY_IPV4), port)
-    return (F.lit(base_port) + F.pmod(h, F.lit(max_channels).cast(U64)).cast("int")).cast("int")
-
-
 def concat_bytes(parts: Column) -> Column:
     """Join an ARRAY<BINARY> into one value."""
     return F.unhex(F.array_join(F.transform(parts, lambda b: F.hex(b)), ""))

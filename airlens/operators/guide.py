@@ -22,20 +22,27 @@ def apply_mapping(channels: DataFrame, mapping: DataFrame) -> DataFrame:
 def apply_revmap(channels: DataFrame, programmes: DataFrame, revmap: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rename channels by address and their programmes with them (JOIN-2).
 
-    The first line for an address wins. A new id equal to a later channel's old id would cascade to that channel's
-    programmes a second time; such a map is ambiguous and stops the job.
+    The first line for an address wins. Channels are renamed one after the other: a programme moves with the first channel
+    that bears its id, and where a later channel bears the id it has then, it moves on with that one.
     """
     first = revmap.groupBy("uri").agg(F.min_by("id", "ord").alias("new_id"))
     renamed = channels.join(first, "uri", "left")
-    moves = renamed.filter("new_id IS NOT NULL").groupBy(F.col("id").alias("channel_id")).agg(F.min(F.struct("ord", "new_id")).alias("m"))
-    moves = moves.select("channel_id", "m.ord", "m.new_id")
-    # only a channel that is itself renamed later can take the programme on
-    later = renamed.filter("new_id IS NOT NULL").groupBy(F.col("id").alias("new_id")).agg(F.max("ord").alias("__later"))
-    checked = moves.join(later, "new_id", "left").withColumn(
-        "new_id", F.when(F.col("__later") > F.col("ord"), F.raise_error(F.concat(F.lit("chained channel rename at "), "new_id"))).otherwise(F.col("new_id"))
+    moves = renamed.filter("new_id IS NOT NULL").groupBy("id", "ord").agg(F.min("new_id").alias("new_id"))
+    # a move's next: the first later channel that bears the new id
+    onward = moves.select(F.col("id").alias("new_id"), F.col("ord").alias("next_ord"))
+    chained = moves.join(onward, "new_id", "left").groupBy("id", "ord", "new_id").agg(F.min(F.when(F.col("next_ord") > F.col("ord"), F.col("next_ord"))).alias("next_ord"))
+    first_moves = moves.groupBy("id").agg(F.min("ord").alias("ord"))
+    checked = channels.sparkSession.sql(
+        """WITH RECURSIVE walk(channel_id, new_id, next_ord) AS (
+             SELECT c.id, c.new_id, c.next_ord FROM {chained} c JOIN {firsts} f ON c.id = f.id AND c.ord = f.ord
+             UNION ALL
+             SELECT w.channel_id, c.new_id, c.next_ord FROM walk w JOIN {chained} c ON c.id = w.new_id AND c.ord = w.next_ord)
+           SELECT channel_id, new_id FROM walk WHERE next_ord IS NULL""",
+        chained=chained,
+        firsts=first_moves,
     )
     out_channels = renamed.withColumn("id", F.coalesce("new_id", "id")).select(*channels.columns)
-    out_programmes = programmes.join(checked.select("channel_id", "new_id"), "channel_id", "left").withColumn("channel_id", F.coalesce("new_id", "channel_id"))
+    out_programmes = programmes.join(checked, "channel_id", "left").withColumn("channel_id", F.coalesce("new_id", "channel_id"))
     return out_channels, out_programmes.select(*programmes.columns)
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlens.functions.binary import FAMILY_IPV4, U64, fnv1a64, ipv4_octets
+from airlens.functions.binary import fnv1a64, ipv4_octets  # noqa: F401 - names of earlier rounds
 from airlens.operators.ordered import DEFAULT_SPAN, Lead, RunningSum, asof_state, scan
 from airlens.operators.rtp import GAP_MAX, missing_sequences, rtp_gaps
+from airlens.operators.services import resolve_slot
 from airlens.session import cut_lineage
 
 
@@ -139,20 +140,18 @@ def retransmit_totals(rtx: DataFrame) -> DataFrame:
     )
 
 
-def resolve_slot(address: Column, port: Column, max_channels: int) -> Column:
-    """Table slot of an IPv4 channel."""
-    return F.pmod(fnv1a64(ipv4_octets(address), F.lit(FAMILY_IPV4), port), F.lit(max_channels).cast(U64)).cast("int")
-
-
 def resolve_channel(requests: DataFrame, channels: DataFrame, base_port: int, max_channels: int) -> DataFrame:
     """Channel of each request, by dedicated port or else by media ssrc (JOIN-14).
 
     ``channels``: ``ord, channel, address, port, ssrc``; a slot belongs to its first occupant. ``requests``: ``request,
-    dest_port, media_ssrc``.
+    dest_port, media_ssrc`` and, if they have it, ``ignore_media_ssrc``: such a request goes by its port alone.
     """
     slotted = channels.withColumn("slot", resolve_slot(F.col("address"), F.col("port"), max_channels))
     by_slot = slotted.groupBy("slot").agg(F.min_by("channel", "ord").alias("by_port"))
     by_ssrc = channels.groupBy("ssrc").agg(F.min_by("channel", "ord").alias("by_ssrc"))
     asked = requests.withColumn("slot", F.col("dest_port") - base_port)
     joined = asked.join(by_slot, "slot", "left").join(by_ssrc, asked["media_ssrc"] == by_ssrc["ssrc"], "left")
-    return joined.select(*requests.columns, F.coalesce("by_port", "by_ssrc").alias("channel"))
+    by_ssrc = F.col("by_ssrc")
+    if "ignore_media_ssrc" in requests.columns:
+        by_ssrc = F.when(~F.coalesce("ignore_media_ssrc", F.lit(False)), by_ssrc)
+    return joined.select(*requests.columns, F.coalesce("by_port", by_ssrc).alias("channel"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlens.functions.binary import ipv4_to_int, resolve_port
+from airlens.functions.binary import FAMILY_IPV4, FAMILY_IPV6, U64, fnv1a64, ipv4_to_int
 from airlens.functions.text import csv_safe_name, xml_escape
 
 URI = r"^(rtp|udp)://@?(?:\[([^\]]+)\]|([^:\[]+)):[ ]*\+?([0-9]+)$"
@@ -49,6 +49,24 @@ def address_bits(address: Column) -> Column:
     return F.when(v4.isNotNull(), F.lpad(F.bin(v4), 32, "0")).when(valid6, bits6)
 
 
+def channel_hash(address: Column, port: Column) -> Column:
+    """Hash of a channel's address bytes, family and port, IPv4 or IPv6 (FN-14); null when the address is neither."""
+    text = address_bits(address)
+    octets = F.transform(F.sequence(F.lit(0), (F.length(text) / 8).cast("int") - 1), lambda i: F.conv(F.substring(text, i * 8 + 1, F.lit(8)), 2, 10).cast("bigint"))
+    family = F.when(F.length(text) == 32, FAMILY_IPV4).otherwise(FAMILY_IPV6)
+    return F.when(text.isNotNull(), fnv1a64(octets, family, port))
+
+
+def resolve_slot(address: Column, port: Column, max_channels: int) -> Column:
+    """Table slot of a channel."""
+    return F.pmod(channel_hash(address, port), F.lit(max_channels).cast(U64)).cast("int")
+
+
+def resolve_port(address: Column, port: Column, base_port: int, max_channels: int) -> Column:
+    """Dedicated port of a channel: base and its slot (FN-14)."""
+    return (F.lit(base_port) + resolve_slot(address, port, max_channels)).cast("int")
+
+
 def in_ranges(df: DataFrame, address: str, ranges: DataFrame) -> DataFrame:
     """Rows whose address, IPv4 or IPv6, lies in one of the ranges ``cidr`` (PRJ-11).
 
@@ -107,7 +125,7 @@ def _fast_change(fcc: dict) -> Column:
     """``fcc``: addr, port, rtx_time_ms, rtx_pt, and optionally base_port with max_channels for per-channel ports."""
     port = F.lit(str(fcc["port"]))
     if fcc.get("max_channels"):
-        port = F.when(F.col("family") == 4, resolve_port(F.col("address"), F.col("port"), fcc["base_port"], fcc["max_channels"]).cast("string")).otherwise(port)
+        port = F.when(F.col("family").isNotNull(), resolve_port(F.col("address"), F.col("port"), fcc["base_port"], fcc["max_channels"]).cast("string")).otherwise(port)
     return F.concat(
         F.lit("<ServerBasedEnhancementServiceInfo><EnhancementService>FCC</EnhancementService>"),
         F.lit(f'<RTCPReporting DestinationAddress="{fcc["addr"]}"'), attr("DestinationPort", port), F.lit("/><Retransmission_session"),

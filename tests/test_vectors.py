@@ -360,12 +360,31 @@ def test_empty_names_match_everything(spark):
     assert {r.id: r.service_ord for r in guide.match_names_fuzzy(channels, offers).collect()} == {"a": 5, "b": 7}
 
 
-def test_chained_rename_fails_loudly(spark):
-    channels = spark.createDataFrame([(1, "a", "u1"), (2, "b", "u2")], "ord bigint, id string, uri string")
-    shows = spark.createDataFrame([(1, "a")], "ord bigint, channel_id string")
-    rename = spark.createDataFrame([(1, "u1", "b"), (2, "u2", "c")], "ord bigint, uri string, id string")
-    with pytest.raises(Exception, match="chained channel rename"):
-        guide.apply_revmap(channels, shows, rename)[1].collect()
+def test_chained_renames_carry_programmes_on(spark):
+    channels = spark.createDataFrame([(1, "a", "u1"), (2, "b", "u2"), (3, "c", "u3"), (4, "a", "u4"), (5, "x", "u5")], "ord bigint, id string, uri string")
+    shows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "x"), (5, "none")], "ord bigint, channel_id string")
+    rename = spark.createDataFrame([(1, "u1", "b"), (2, "u2", "c"), (3, "u3", "a"), (4, "u4", "d"), (5, "u2", "z")], "ord bigint, uri string, id string")
+    got_channels, got_shows = guide.apply_revmap(channels, shows, rename)
+    assert {r.ord: r.id for r in got_channels.collect()} == {1: "b", 2: "c", 3: "a", 4: "d", 5: "x"}
+    assert {r.ord: r.channel_id for r in got_shows.collect()} == {1: "d", 2: "d", 3: "d", 4: "x", 5: "none"}
+
+
+def test_slots_of_both_families_and_ignored_ssrc(spark):
+    def fnv(data):
+        h = 1469598103934665603
+        for b in data:
+            h = (h ^ b) * 1099511628211 % 2**64
+        return h
+
+    rows = [("239.1.2.3", 5000, fnv([239, 1, 2, 3, 2, 5000])), ("ff0e::1:2", 6000, fnv([0xFF, 0x0E, *[0] * 11, 1, 0, 2, 10, 6000]))]
+    df = spark.createDataFrame([(a, p) for a, p, _ in rows], "address string, port int")
+    got = [int(r.h) for r in df.select(services.channel_hash(F.col("address"), F.col("port")).alias("h")).collect()]
+    assert got == [h for *_, h in rows]
+    channels = spark.createDataFrame([(1, "six", "ff0e::1:2", 6000, 77)], "ord bigint, channel string, address string, port int, ssrc bigint")
+    slot = rows[1][2] % 384
+    asked = [(1, 40000 + slot, 0, None), (2, 1, 77, False), (3, 1, 77, True), (4, 40000 + slot, 77, True)]
+    requests = spark.createDataFrame(asked, "request int, dest_port int, media_ssrc bigint, ignore_media_ssrc boolean")
+    assert {r.request: r.channel for r in repair.resolve_channel(requests, channels, 40000, 384).collect()} == {1: "six", 2: "six", 3: None, 4: "six"}
 
 
 def test_remux_and_selection_outcomes(spark):

@@ -95,6 +95,21 @@ def _(fx):
     return guides.programme_text_of(rows).select("ord", "crid", "title", "desc", "category")
 
 
+@query("read_guide_events", f"""WITH {TEXTS}, {MAPPED}, e AS (SELECT ord, channel_id, CONCAT('crid://guide.invalid/', channel_id, '/', translate(substr(start, 1, 19), '-:T', '')) AS crid, start, stop, title, "desc", category
+ FROM tp WHERE channel_id IN (SELECT id FROM mp WHERE uri IS NOT NULL)),
+t AS (SELECT crid, arg_min(title, ord) AS title, arg_min("desc", ord) AS "desc", arg_min(category, ord) AS category FROM e GROUP BY crid)
+SELECT e.channel_id, e.crid, e.start, e.stop, t.title, t."desc", t.category FROM e JOIN t ON e.crid = t.crid""")
+def _(fx):
+    lines_ = guide.guide_lines(mapped(fx), text_programmes(fx))
+    texts = guides.programme_text_of(lines_.filter("part = 1").select(F.lit("doc").alias("doc"), "ord", F.from_xml("line", guides.TEXT).alias("e")))
+    # each event in a schedule element of its own: a channel's schedule is no single value
+    owner = mapped(fx).selectExpr("ord", "id")
+    one = lines_.filter("part = 2 AND line LIKE '<ScheduleEvent>%'").join(owner, "ord")
+    element = F.concat(F.lit('<Schedule serviceIDRef="'), text.xml_escape(F.col("id")), F.lit('">'), "line", F.lit("</Schedule>"))
+    events = guides.schedule_events_of(one.select(F.lit("doc").alias("doc"), "ord", F.from_xml(element, guides.SCHEDULE).alias("e")))
+    return guide.attach_programme_text(events, texts).select("channel_id", "crid", "start", "stop", "title", "desc", "category")
+
+
 @query("read_guide_channels", f"WITH {MAPPED} SELECT ord, id, CONCAT_WS('|', name1, name2) AS names, uri, tsid, onid, sid FROM mp WHERE uri IS NOT NULL")
 def _(fx):
     rows = guide.guide_lines(mapped(fx), text_programmes(fx)).filter("part = 3").select(F.lit("doc").alias("doc"), "ord", F.from_xml("line", guides.SERVICE).alias("e"))

@@ -70,6 +70,28 @@ def _(fx):
     return psi.program_kind(order_programs(fx))
 
 
+def single_sections(fx: Fixtures, pid: int, body: str) -> DataFrame:
+    """One table section an order, in the order of their keys, with a checksum that fails for every ninth."""
+    head = f"unhex(concat('{'40' if pid == psi.PID_NIT else '01'}', 'B000'))"
+    made = fx.table("orders").select(F.expr("o_custkey AS capture"), F.expr("o_orderkey"), psi._finish(F.expr(head), F.expr(body)).alias("bytes"))
+    damaged = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.substring("bytes", F.lit(1), F.octet_length("bytes") - 1), F.lit(b"\x00"))).otherwise(F.col("bytes"))
+    return made.select("capture", F.lit(pid).alias("pid"), F.col("o_orderkey").alias("first_pkt_no"), F.col("o_orderkey").alias("last_pkt_no"), damaged.alias("bytes"))
+
+
+@query("network_names", """SELECT o_custkey AS capture, CONCAT('net ', arg_max(o_orderkey, o_orderkey), ' ', repeat('n', 80)) AS network_name FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1""")
+def _(fx):
+    name = "concat('net ', o_orderkey, ' ', repeat('n', 80))"
+    body = f"unhex(concat('0001C10000', lpad(hex(61440 + length({name}) + 2), 4, '0'), '40', lpad(hex(length({name})), 2, '0'), hex({name}), 'F000'))"
+    return psi.parse_nit(single_sections(fx, psi.PID_NIT, body))
+
+
+@query("conditional_access", """SELECT o_custkey AS capture, CAST(arg_max(1536 + o_orderkey % 200, o_orderkey) AS INT) AS ca_system_id, CAST(arg_max(o_orderkey % 8191, o_orderkey) AS INT) AS emm_pid
+FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1""")
+def _(fx):
+    body = "unhex(concat('FFFFC10000', '0904', lpad(hex(1536 + o_orderkey % 200), 4, '0'), lpad(hex(57344 + o_orderkey % 8191), 4, '0')))"
+    return psi.parse_cat(single_sections(fx, psi.PID_CAT, body))
+
+
 @query("program_selection", """SELECT o_custkey AS capture, COUNT(*) AS programs, CASE WHEN COUNT(*) = 1 THEN 'whole' WHEN bool_or(32 + o_orderkey % 8000 = 777) THEN 'chosen' ELSE 'unknown_pid' END AS outcome FROM orders GROUP BY 1""")
 def _(fx):
     return psi.program_selection(order_programs(fx), 777)

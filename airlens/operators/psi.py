@@ -281,6 +281,17 @@ def parse_cat(sections: DataFrame) -> DataFrame:
     return last.select("capture", F.when(long, be16(ca, 0)).alias("ca_system_id"), F.when(long, bits(be16(ca, 2), 0, 0x1FFF)).alias("emm_pid"))
 
 
+def tables_of_packets(packets: DataFrame, span: int = DEFAULT_SPAN) -> dict[str, DataFrame]:
+    """``psi_tables`` from packets ``capture, pid, pkt_no, pusi, payload``: only pids that carry tables are assembled.
+
+    The program list comes first (pid 0); it names the other table pids, and a semi-join drops all other packets, the bulk of
+    a capture, before any payload is shuffled.
+    """
+    listed = cut_lineage(assemble_sections(packets.filter(F.col("pid") == PID_PAT), span))
+    wanted = table_pids(packets.filter(F.col("pid") != PID_PAT), parse_pat(listed))
+    return psi_tables(listed.unionByName(assemble_sections(wanted, span)))
+
+
 def psi_tables(sections: DataFrame) -> dict[str, DataFrame]:
     """All parsed tables of a set of captures (UDF-2): pat, pmt, es, sdt, nit, cat and the joined ``programs``.
 

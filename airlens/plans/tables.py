@@ -43,6 +43,21 @@ def _(fx):
     return psi.psi_tables(psi.assemble_sections(table_packets(fx)))["programs"]
 
 
+@query(
+    "service_list_mixed",
+    """SELECT capture, tsid, CASE WHEN service_name IS NOT NULL THEN 1 END AS onid, program_number, pmt_pid, TRUE AS resolved, service_name, provider_name FROM fx_order_programs""",
+)
+def _(fx):
+    """The same among packets of a pid that carries no tables, one a line item."""
+    tables = table_packets(fx).select("capture", "pid", "pkt_no", "pusi", "payload")
+    media = fx.table("lineitem").select(
+        F.col("l_suppkey").cast(tables.schema["capture"].dataType).alias("capture"), F.lit(8190).cast(tables.schema["pid"].dataType).alias("pid"),
+        F.expr("1000000000 + l_orderkey * 8 + l_linenumber").cast(tables.schema["pkt_no"].dataType).alias("pkt_no"),
+        F.expr("if(l_linenumber = 1, 1, 0)").cast(tables.schema["pusi"].dataType).alias("pusi"), F.lit(bytes(184)).alias("payload"),
+    )
+    return psi.tables_of_packets(tables.unionByName(media))["programs"]
+
+
 @query("psi_elementary_streams", """SELECT o.capture, p.program_number, p.pmt_pid, es_ordinal, pid, stream_type, cls, codec, lang,
  CAST(CASE WHEN cls = 'audio' THEN SUM(CASE WHEN cls = 'audio' THEN 1 ELSE 0 END) OVER (PARTITION BY o.capture ORDER BY es_ordinal) ELSE 0 END AS INT) AS audio_index,
  CASE WHEN cls = 'teletext' THEN 188 END AS page, CASE WHEN cls = 'subtitle' THEN 1 END AS composition_page

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,7 +23,6 @@ HEAVY_LEAST = 200
 PLACE = np.uint64((1 << 21) - 1)
 
 
-@functools.lru_cache(4)
 def _powers(root: int) -> np.ndarray:
     out = np.ones(SLICE + 4096, np.uint64)
     done = 1
@@ -43,7 +41,7 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     of an anchor follow each other.
     """
     root = int(work.GOLDEN)
-    up, down = (work.per_process(("powers", r), functools.partial(_powers, r)) for r in (root, pow(root, -1, 1 << 64)))
+    up, down = work.per_process(("powers", root), lambda: (_powers(root), _powers(pow(root, -1, 1 << 64))))
     width = length - SEED + 1
     out: list[tuple] = []
     for at in range(0, len(data) - length + 1, SLICE):

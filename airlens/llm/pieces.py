@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from airlens.llm import work
 
 SPACE = "▁"
-KEPT = 400_000
-PAIRS = 1_000_000
+KEPT = 250_000
+PAIRS = 400_000
 
 
 class Pieces:

@@ -44,7 +44,7 @@ def indicators(text: str | None) -> np.ndarray:
     if not words:
         return np.empty(0, np.int64)
     shapes = work.per_process(("word shapes",), dict)
-    if len(shapes) > 400_000:
+    if len(shapes) > 100_000:
         shapes.clear()
     found = list(map(shapes.get, words))
     for i, s in enumerate(found):

@@ -13,7 +13,7 @@ from airlens.llm import work
 #: Texts made of these characters only are split here; any other text goes to the library whole. Lower-casing,
 #: composition and white space of these do not depend on neighbours or on the Unicode version.
 PLAIN = frozenset(chr(c) for c in (9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x2010, 0x2028), 0x20AC) if c != 0x130)
-KEPT = 600_000
+KEPT = 250_000
 
 
 def _class_of(kind: str) -> str:

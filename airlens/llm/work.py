@@ -40,9 +40,14 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def per_process(key: tuple, build: Callable):
-    """``build()``, kept for all tasks of a Python worker: vocabularies and the like, whose size is bounded."""
-    held = sys.modules.setdefault("airlens_llm_process", types.ModuleType("airlens_llm_process")).__dict__
+    """``build()``, kept for later tasks of a Python worker: vocabularies and the like, whose size is bounded.
+
+    Workers live as long as their executor, so only the latest two are kept: one stage's do not add to the next one's.
+    """
+    held = vars(sys.modules.setdefault("airlens_llm_process", types.ModuleType("airlens_llm_process"))).setdefault("held", {})
     if key not in held:
+        while len(held) > 1:
+            del held[next(iter(held))]
         held[key] = build()
     return held[key]
 
@@ -64,9 +69,9 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: s
 
         arrow = to_arrow_schema(target)
         for batch in slices(batches):
-            if batch.num_rows:
-                out = fn(*[batch.column(c).to_pylist() for c in columns])
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type, from_pandas=False) for n in names], names=names)
+            out = fn(*[batch.column(c).to_pylist() for c in columns])
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type, from_pandas=False) for n in names], names=names)
+        pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(run, target)
 

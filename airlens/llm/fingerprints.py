@@ -104,23 +104,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     as one document and come out as often as they came in. Null doc_id comes last in the order. One document is its own next.
     """
     lowest = F.lit(-(1 << 63))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("id", F.coalesce("doc_id", lowest)).withColumn("h", F.xxhash64("text", F.col("doc_id").isNull()))
+    # Both uses of the texts below read the same three columns, so that they share one shuffle.
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce("doc_id", lowest).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("h"), text.alias("text"))
     keys = rows.groupBy("id", "h").agg(F.count("*").alias("times"), F.first(F.char_length("text")).alias("n_chars"))
     placed = written(in_order(keys, F.col("id").desc(), F.col("h").desc()))
     before = placed.select("id", "h", "times", "n_chars", F.pmod(F.col("pos") - 1, F.col("total")).alias("pos"))
     givers = before.join(placed.select("pos", F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 3).alias("need")), "pos").drop("pos")
-    texts = rows.join(givers, ["id", "h"]).select("id", "h", "doc_id", "text", "times", "n_chars", "to_id", "to_h", "need").dropDuplicates(["id", "h"])
+    texts = rows.join(givers, ["id", "h"]).select("id", "h", "text", "times", "n_chars", "to_id", "to_h", "need").dropDuplicates(["id", "h"])
     gifts = texts.select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), F.expr("substring(text, 1, int(need))").alias("gift"))
     both = texts.join(gifts, ["id", "h"]).withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 3)))"), "gift"))
-    both = both.select("id", "h", "doc_id", "times", "n_chars", "to_id", "to_h", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"))
+    both = both.select("id", "h", "times", "n_chars", "to_id", "to_h", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"))
     own = sketched(both, "text", "sketch").drop("text")
     own = written(sketched(own, "edited", "edited_sketch").drop("edited"))
     following = own.select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), F.col("sketch").alias("next_sketch"))
     return (
         own.join(following, ["id", "h"])
         .select(
-            "doc_id",
+            F.when(F.col("id") != lowest, F.col("id")).alias("doc_id"),
             F.col("n_chars").cast("long").alias("n_chars"),
             "edited_sha256",
             as_text(F.col("sketch")).alias("fingerprint"),

@@ -59,8 +59,16 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts cross to Python ``ROWS`` at a time: the usual 10,000 would hold tens of megabytes a task on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: str) -> DataFrame:
     """Rows of ``fn(lists of the columns) -> {name: list or array}`` over Arrow batches of ``columns``."""
+    small_batches(df.sparkSession)
     target = df.sparkSession.createDataFrame([], schema).schema
     names = [f.name for f in target]
 
@@ -89,6 +97,7 @@ def select_rows(df: DataFrame, fn: Callable[[list], tuple]) -> DataFrame:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 

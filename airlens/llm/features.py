@@ -16,7 +16,8 @@ def bounded_per_class(rows: DataFrame, label: str, most: int) -> DataFrame:
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(1.3 * most + 100) / F.col("n"))
     spread = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
-    thinned = rows.join(counts.select(label, (share * (1 << 30)).cast("long").alias("below")), label).withColumn("spread", spread).where("spread < below")
+    below = F.broadcast(counts.select(label, (share * (1 << 30)).cast("long").alias("below")))  # a row a class, as the model has
+    thinned = rows.join(below, label).withColumn("spread", spread).where("spread < below")
     nth = F.row_number().over(Window.partitionBy(label).orderBy("spread", "doc_id"))
     return thinned.withColumn("nth", nth).where(F.col("nth") <= most).select("doc_id", label)
 

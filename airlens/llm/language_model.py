@@ -71,9 +71,10 @@ class Net:
 
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural logarithm of each token's probability given its neighbours."""
-        _, _, a, _, b = self._forward(around, token)
-        rows = np.arange(len(token))
-        return a[rows, token // SIDE] + b[rows, token % SIDE]
+        high, low = token // SIDE, token % SIDE
+        h = np.tanh(self.vectors[around].reshape(len(around), -1) @ self.inner + self.inner_bias)
+        first = _chosen(h @ self.high + self.high_bias, high)
+        return first + _chosen(np.tanh(h + self.given[high]) @ self.low + self.low_bias, low)
 
     def train(self, around: np.ndarray, token: np.ndarray) -> None:
         """One pass of gradient steps over masked places, ``BATCH`` at a time."""
@@ -100,6 +101,13 @@ class Net:
             np.subtract.at(self.vectors, ctx.ravel(), rate / np.sqrt(n) * dx)
 
 
+def _chosen(x: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The chosen entry of each row of ``_log_softmax(x)``, without the others."""
+    top = x.max(1)
+    picked = x[np.arange(len(x)), index]
+    return picked - top - np.log(np.exp(x - top[:, None]).sum(1))
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(1, keepdims=True)
     return x - np.log(np.exp(x).sum(1, keepdims=True))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from airlens.llm import work
 
-#: Token numbers: the most frequent words, then classes of the other words by their first letters. 32 * 32 in all.
+#: Token numbers: the most frequent words, then classes of the other words by their first letters. 32 * 32 in all. The
+#: network predicts these; a word of a class has its share of the class besides.
 SIDE = 32
 FREQUENT = 640
 CLASSES = SIDE * SIDE - FREQUENT
@@ -20,6 +21,8 @@ WIDTH, HIDDEN = 16, 24
 MASKED = 8
 STEP, BATCH = 0.6, 256
 MERGE = 32
+#: Words whose counts travel to every task; the others are looked up by a join. How many do changes no result.
+NEAR = 1 << 17
 
 
 @dataclass
@@ -113,8 +116,8 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
-    """The most frequent lower-cased words of all documents, ties in byte order; counted over every word of every text."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n`` of every lower-cased word of every text, as a written table."""
 
     def run(texts):
         counts: Counter = Counter()
@@ -122,8 +125,16 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
             counts.update(work.words_of(work.raw(text).lower()))
         return {"word": list(counts), "n": list(counts.values())}
 
-    counted = work.map_batches(docs, run, "word binary, n bigint", "text").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return work.written(work.map_batches(docs, run, "word binary, n bigint", "text").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def most_frequent(counts: DataFrame, most: int = FREQUENT) -> list[bytes]:
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
+    """The most frequent lower-cased words of all documents, ties in byte order; counted over every word of every text."""
+    return most_frequent(word_counts(docs), most)
 
 
 class Tokens:
@@ -140,11 +151,57 @@ class Tokens:
             found = self.classes[start] = FREQUENT + int(work.hashes_of([start])[0] % np.uint64(CLASSES))
         return found
 
-    def of(self, text: str | None) -> np.ndarray:
+    def of_words(self, words: list[bytes]) -> np.ndarray:
         get, other = self.known.get, self.__missing__
-        words = work.words_of(work.raw(text).lower())
         return np.fromiter((other(w) if (i := get(w)) is None else i for w in words), np.int64, len(words))
 
+    def of(self, text: str | None) -> np.ndarray:
+        return self.of_words(work.words_of(work.raw(text).lower()))
+
+
+class Shares:
+    """Logarithms of the words' shares of their classes: ``n / (N + 1)`` for a word that stands ``n`` times in the corpus.
+
+    ``N`` is the class's words in the corpus, the one more is for words that are not there (``n = 1`` for each of them).
+    Frequent words are no class: their share is 1. ``near`` holds ``ln n`` of the words that stand ``least`` times or more.
+    """
+
+    def __init__(self, totals: dict[int, int], near: dict[bytes, float]):
+        self.class_log = np.zeros(SIDE * SIDE)
+        for token, n in totals.items():
+            if token >= FREQUENT:
+                self.class_log[token] = -np.log(n + 1.0)
+        self.near = near
+
+    def of(self, words: list[bytes], tokens: np.ndarray) -> tuple[float, Counter]:
+        """Sum over a text, but for ``ln n`` of the words that are not near; those, with their counts."""
+        logs = [self.near.get(words[i], words[i]) for i in np.flatnonzero(tokens >= FREQUENT)]
+        far = Counter(x for x in logs if type(x) is bytes)
+        return float(self.class_log[tokens].sum()) + sum(x for x in logs if type(x) is not bytes), far
+
+
+def least_near(counts: DataFrame, most: int) -> int:
+    """The smallest count that ``most`` words at most reach."""
+    reach, least = 0, 1 << 62
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.n):
+        reach += r.words
+        if reach > most:
+            break
+        least = r.n
+    return max(least, 2)
+
+
+def shares_of(counts: DataFrame, tokens, least: int) -> Shares:
+    def run(words, ns):
+        numbers = tokens.value.of_words(words)
+        sums = np.bincount(numbers, weights=np.array(ns, np.float64), minlength=SIDE * SIDE)
+        at = np.flatnonzero(sums)
+        return {"token": at, "n": sums[at].astype(np.int64)}
+
+    totals = work.map_batches(counts, run, "token bigint, n bigint", "word", "n").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    near = counts.where(F.col("n") >= least).collect()
+    return Shares({r.token: r.n for r in totals}, {bytes(r.word): float(np.log(r.n)) for r in near if bytes(r.word) not in tokens.value.known})
+
 
 def windows(tokens: np.ndarray) -> np.ndarray:
     """Neighbours of every token, ``REACH`` on each side; beyond the ends stands a token of its own."""
@@ -203,40 +260,55 @@ def _train_round(docs: DataFrame, tokens, net, part: int, parts: int) -> np.ndar
     return (sum(np.frombuffer(r.total) for r in rows) / sum(r.n for r in rows)).astype(np.float32)
 
 
-def train(docs: DataFrame, rounds: int = 2) -> tuple[list[bytes], np.ndarray]:
-    """Frequent words and weights of a network trained on all documents, in rounds with a common mean after each."""
+def train(docs: DataFrame, rounds: int = 2) -> tuple[list[bytes], np.ndarray, DataFrame]:
+    """Frequent words, weights of a network trained on all documents in rounds with a common mean after each, and word counts."""
     context = docs.sparkSession.sparkContext
-    words = frequent_words(docs)
+    counts = word_counts(docs)
+    words = most_frequent(counts)
     tokens, weights = context.broadcast(Tokens(words)), Net.start().flat()
     for part in range(rounds):
         weights = _train_round(docs, tokens, context.broadcast(weights), part, rounds)
-    return words, weights
+    return words, weights, counts
 
 
-def pseudo_likelihood(docs: DataFrame, words: list[bytes], weights: np.ndarray) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, words: list[bytes], weights: np.ndarray, counts: DataFrame | None = None, near: int = NEAR) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood, pseudo_perplexity`` of every row.
 
     Each token of the whole text is masked in turn and predicted from both sides; the document's score is the sum of the
-    natural logarithms of these probabilities. Null texts and texts without words: 0 tokens, sum 0, the others null. Rows
-    are scored one by one, so repeated rows and null ids come out as they are; other columns are ignored.
+    natural logarithms of these probabilities. A word that is not among ``words`` has the probability of its class times
+    its share of the class by ``counts`` (word_counts of the corpus; by default of ``docs``); a word the corpus lacks counts
+    as one that stands there once. ``near`` words at most are sent to all tasks, the rest of the texts' words meets its
+    counts in a join. Null texts and texts without words: 0 tokens, sum 0, the others null. Rows are scored one by one, so
+    repeated rows and null ids come out as they are; other columns are ignored.
     """
     context = docs.sparkSession.sparkContext
+    counts = word_counts(docs) if counts is None else counts
     tokens, net = context.broadcast(Tokens(words)), context.broadcast(weights)
+    least = least_near(counts, near)
+    shares = context.broadcast(shares_of(counts, tokens, least))
 
     def run(ids, texts):
         model = Net.of(net.value)
-        sums, sizes = [], []
+        sums, sizes, far = [], [], []
         for text in texts:
-            t = tokens.value.of(text)
-            total = 0.0
+            w = work.words_of(work.raw(text).lower())
+            t = tokens.value.of_words(w)
+            total, others = shares.value.of(w, t)
             for at in range(0, len(t), 1 << 14):  # long texts in slices, with their neighbours
                 lo, hi = max(0, at - REACH), min(len(t), at + (1 << 14) + REACH)
                 around = windows(t[lo:hi])[at - lo :][: 1 << 14]
                 total += float(model.log_probability(around, t[at : at + (1 << 14)]).sum(dtype=np.float64))
             sums.append(total)
             sizes.append(len(t))
-        means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
-        return {"doc_id": ids, "n_tokens": sizes, "log_likelihood": sums, "mean_log_likelihood": means, "pseudo_perplexity": [None if m is None else float(np.exp(-m)) for m in means]}
-
-    schema = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double, pseudo_perplexity double"
-    return work.map_batches(docs, run, schema, "doc_id", "text")
+            far.append([{"word": w, "k": k} for w, k in others.items()])
+        return {"doc_id": ids, "n_tokens": sizes, "part": sums, "far": far}
+
+    schema = "doc_id bigint, n_tokens bigint, part double, far array<struct<word:binary, k:bigint>>"
+    # Numbered and written once: the rows are read twice, for their words and to be completed.
+    scored = work.written(work.map_batches(docs, run, schema, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    # Words that stand once, or not at all, add ln 1.
+    logs = counts.where((F.col("n") > 1) & (F.col("n") < least)).select("word", F.log("n").alias("log"))
+    found = scored.select("row", F.explode("far").alias("f")).select("row", "f.word", "f.k").join(logs, "word").groupBy("row").agg(F.sum(F.col("k") * F.col("log")).alias("rest"))
+    whole = F.col("part") + F.coalesce("rest", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens"))
+    return scored.join(found, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"), mean.alias("mean_log_likelihood"), F.exp(-mean).alias("pseudo_perplexity"))

@@ -68,3 +68,18 @@ def test_slices_equal_the_whole(spark, make):
 def test_frequent_words_cover_all_rows(spark, make):
     assert lm.frequent_words(make([(1, "b a A c"), (2, "b B b"), (3, None)]), 2) == [b"b", b"a"]
     assert lm.pseudo_likelihood(make([]), *lm.train(make([]))).count() == 0
+
+
+def test_every_word_has_its_own_probability(spark, make):
+    """Words of one class differ by their counts, near or looked up; the class's words and an unknown one sum to the class."""
+    common = [f"c{i:03d}" for i in range(lm.FREQUENT)]
+    rare = {"thrombus": 5, "throng": 3, "thrush": 2, "thrxqz": 1}
+    corpus = make([(i, " ".join(common)) for i in range(9)] + [(9, " ".join(w for w, n in rare.items() for _ in range(n)))])
+    words, counts = lm.frequent_words(corpus), lm.word_counts(corpus)
+    assert words == [w.encode() for w in common]
+    tests = make([(i, w) for i, w in enumerate([*rare, "thrnever"])] + [(9, "c001")])
+    alone = lm.Net.start().log_probability(lm.windows(lm.Tokens(words).of("thrombus")), lm.Tokens(words).of("thrombus"))[0]
+    for near in (0, 641, 1 << 17):
+        got = {r.doc_id: r.log_likelihood for r in lm.pseudo_likelihood(tests, words, lm.Net.start().flat(), counts, near).collect()}
+        assert [np.exp(got[i] - alone) for i in range(5)] == pytest.approx([5 / 12, 3 / 12, 2 / 12, 1 / 12, 1 / 12], rel=1e-5)
+        assert sum(np.exp(got[i] - alone) for i in range(5)) == pytest.approx(1, rel=1e-5)

@@ -18,7 +18,6 @@ FREQUENT = 640
 CLASSES = SIDE * SIDE - FREQUENT
 REACH = 2
 WIDTH, HIDDEN = 16, 24
-MASKED = 8
 STEP, BATCH = 0.6, 256
 MERGE = 32
 #: Words whose counts travel to every task; the others are looked up by a join. How many do changes no result.
@@ -97,8 +96,9 @@ class Net:
             self.low_bias -= rate / n * db.sum(0)
             self.high -= rate / n * (h.T @ da)
             self.high_bias -= rate / n * da.sum(0)
-            for d in np.unique(hi):
-                self.given[d] -= rate / n * dg[hi == d].sum(0)
+            of_digit = np.zeros((len(tok), SIDE), np.float32)
+            of_digit[rows, hi] = 1
+            self.given -= rate / n * (of_digit.T @ dg)
             self.inner -= rate / n * (x.T @ dh)
             self.inner_bias -= rate / n * dh.sum(0)
             np.subtract.at(self.vectors, ctx.ravel(), rate / np.sqrt(n) * dx)
@@ -210,11 +210,17 @@ def windows(tokens: np.ndarray) -> np.ndarray:
     return np.delete(view, REACH, axis=1)
 
 
+def masked(around: np.ndarray, tokens: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Which places of a text round ``part`` of ``parts`` masks: by a hash of token, neighbour and number, each in one round."""
+    spot = work.mixed(around[:, REACH - 1].astype(np.uint64) * work.GOLDEN + np.arange(len(tokens), dtype=np.uint64) + tokens.astype(np.uint64) * work.STEP)
+    return spot % np.uint64(parts) == part
+
+
 def _train_round(docs: DataFrame, tokens, net, part: int, parts: int) -> np.ndarray:
     """Mean of the networks that tasks train on their documents, weighed by masked places.
 
-    Every document takes part. A place is masked by a hash of its neighbourhood and number, one in ``MASKED``; a round takes
-    its share of those. The networks of tasks are added up on executors, ``MERGE`` at a time, until few are left.
+    Every document takes part, and every place of it is masked in one of the ``parts`` rounds. The networks of tasks are
+    added up on executors, ``MERGE`` at a time, until few are left.
     """
 
     def learn(batches):
@@ -228,8 +234,7 @@ def _train_round(docs: DataFrame, tokens, net, part: int, parts: int) -> np.ndar
                 if not len(t):
                     continue
                 around = windows(t)
-                spot = work.mixed(around[:, REACH - 1].astype(np.uint64) * work.GOLDEN + np.arange(len(t), dtype=np.uint64) + t.astype(np.uint64) * work.STEP)
-                chosen = spot % np.uint64(MASKED * parts) == part
+                chosen = masked(around, t, part, parts)
                 contexts.append(around[chosen])
                 targets.append(t[chosen])
             if targets:
@@ -261,7 +266,7 @@ def _train_round(docs: DataFrame, tokens, net, part: int, parts: int) -> np.ndar
 
 
 def train(docs: DataFrame, rounds: int = 2) -> tuple[list[bytes], np.ndarray, DataFrame]:
-    """Frequent words, weights of a network trained on all documents in rounds with a common mean after each, and word counts."""
+    """Frequent words, weights of a network trained on every place of all documents, in rounds with a common mean after each, and word counts."""
     context = docs.sparkSession.sparkContext
     counts = word_counts(docs)
     words = most_frequent(counts)

@@ -83,3 +83,22 @@ def test_every_word_has_its_own_probability(spark, make):
         got = {r.doc_id: r.log_likelihood for r in lm.pseudo_likelihood(tests, words, lm.Net.start().flat(), counts, near).collect()}
         assert [np.exp(got[i] - alone) for i in range(5)] == pytest.approx([5 / 12, 3 / 12, 2 / 12, 1 / 12, 1 / 12], rel=1e-5)
         assert sum(np.exp(got[i] - alone) for i in range(5)) == pytest.approx(1, rel=1e-5)
+
+
+def test_every_place_trains_once():
+    for n in (1, 2, 5, 700):
+        t = np.random.default_rng(n).integers(0, 1024, n)
+        for rounds in (1, 2, 8):
+            assert (sum(lm.masked(lm.windows(t), t, part, rounds).astype(int) for part in range(rounds)) == 1).all()
+
+
+def test_the_query_s_own_settings_learn(spark, make):
+    """Held-out texts score better than their shuffled words, with the rounds that the query uses."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    sentence = lambda: [words[(s + i) % 40] for s in [rng.randrange(40)] for i in range(60)]
+    model = lm.train(make([(i, " ".join(sentence())) for i in range(300)]))
+    natural = [sentence() for _ in range(20)]
+    tests = make([(i, " ".join(w)) for i, w in enumerate(natural)] + [(100 + i, " ".join(rng.sample(w, len(w)))) for i, w in enumerate(natural)])
+    got = {r.doc_id: r.mean_log_likelihood for r in lm.pseudo_likelihood(tests, *model).collect()}
+    assert all(got[i] > got[100 + i] for i in range(20)), (got[0], got[100])

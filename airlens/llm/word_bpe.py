@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 
 from airlens.llm import work
 
+_CANDIDATES = frozenset(chr(c) for c in (9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x2010, 0x2028), 0x20AC))
 #: Texts made of these characters only are split here; any other text goes to the library whole. Lower-casing,
-#: composition and white space of these do not depend on neighbours or on the Unicode version.
-PLAIN = frozenset(chr(c) for c in (9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x2010, 0x2028), 0x20AC) if c != 0x130)
+#: composition and white space of these do not depend on neighbours or on the Unicode version, and their lower-case
+#: forms are among them.
+PLAIN = frozenset(c for c in _CANDIDATES if _CANDIDATES.issuperset(c.lower()))
 KEPT = 250_000
 
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from airlens.llm.packing import _dominating, _Lengths, pack, plan
 from airlens.llm.pieces import Pieces, encode_pieces
 from airlens.llm.queries import op2_best_fit_packing, op4_token_counts, op8_sentencepiece
-from airlens.llm.word_bpe import WordBpe, count_tokens
+from airlens.llm.word_bpe import PLAIN, WordBpe, count_tokens
 
 DATA = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,16 @@ def test_word_ids_equal_the_library():
     assert len(own.whole) > 30_000
 
 
+def test_every_plain_character_in_words_equals_the_library():
+    own, library = WordBpe(WORDS), Tokenizer.from_file(WORDS)
+    capitals = [chr(c) for c in range(0xA0, 0x250)]
+    for c in {*PLAIN, *capitals}:
+        for x in (c, c.lower(), c.upper()):
+            for t in (x, f"k{x}k", f"{x}li", f"K{x}K{x}", f"a {x}b{x} c"):
+                assert own.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert all(PLAIN.issuperset(c.lower()) for c in PLAIN)
+
+
 def test_whole_token_table_is_proven():
     own, library = WordBpe(WORDS), Tokenizer.from_file(WORDS)
     for w in random.Random(2).sample(sorted(own.whole), 500):

@@ -64,3 +64,19 @@ def test_closed_syncmers_against_brute_force(spark):
     assert len(got) == len(chosen)
     want = spark.createDataFrame([(values[i], values[i + 2], values[i + 4]) for i in chosen], "a bigint, b bigint, c bigint").select(F.xxhash64("a", "b", "c")).collect()
     assert got == [r[0] for r in want]
+
+
+def test_every_anchor_and_its_place_count(spark):
+    """One word changed anywhere in a long text shows in its fingerprint; a moved start does not part matches, new gaps do."""
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 4000)]
+    variants = [base] + [[*base[:i], "changed", *base[i + 1 :]] for i in range(100, 4000, 97)]
+    variants += [["new"] * 50 + base, [w for i, w in enumerate(base) for w in ([w, "gap"] if i % 12 == 11 else [w])]]
+    df = spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(variants)], "id long, text string")
+    made = fp.sketched(df, "text", "s").select("id", "s", fp.as_text(F.col("s")).alias("f"), F.size("s.words").alias("n"), fp.links(F.col("s")).alias("l")).cache()
+    assert made.select("f").distinct().count() == len(variants)
+    assert made.where("id = 0").first().n > 1000
+    first = made.where("id = 0").select(F.col("l").alias("l0"))
+    near = {r.id: r.near for r in made.join(first).select("id", fp.likeness(F.col("l"), F.col("l0")).alias("near")).collect()}
+    moved, gaps = near[len(variants) - 2], near[len(variants) - 1]
+    assert near[0] == 1 and min(near[i] for i in range(1, len(variants) - 2)) > 0.98 and moved > 0.97 and gaps < 0.7

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airlens.llm import language, language_model, quality_classifier, quality_rules
+from airlens.llm import conversations, language, language_model, quality_classifier, quality_rules
 from airlens.llm.fingerprints import fingerprints
 from airlens.llm.long_repeats import without_repeats
 from airlens.llm.near_dup import near_duplicates
@@ -68,6 +68,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, labels(spark, sf_dir)))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
 _ALL = (
     op1_minhash_near_dedup,
     op2_best_fit_packing,
@@ -79,6 +84,7 @@ _ALL = (
     op8_sentencepiece,
     op9_quality_rules,
     op10_quality_classifier,
+    op12_conversation_repair,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op9_quality_rules": quality_rules.SQL}
+ORACLES: dict[str, str] = {"op9_quality_rules": quality_rules.SQL, "op12_conversation_repair": conversations.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airlens.llm import conversations, language, language_model, quality_classifier, quality_rules
+from airlens.llm import conversations, language, language_model, quality_classifier, quality_rules, whitening
 from airlens.llm.fingerprints import fingerprints
 from airlens.llm.long_repeats import without_repeats
 from airlens.llm.near_dup import near_duplicates
@@ -73,6 +73,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(rows), rows)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.scaled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    fit = whitening.fit(vectors)
+    return whitening.whiten(vectors, fit, whitening.train(fit, 16))
+
+
 _ALL = (
     op1_minhash_near_dedup,
     op2_best_fit_packing,
@@ -85,6 +91,7 @@ _ALL = (
     op9_quality_rules,
     op10_quality_classifier,
     op12_conversation_repair,
+    op13_embedding_whitening,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op9_quality_rules": quality_rules.SQL, "op12_conversation_repair": conversations.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airlens.llm import conversations, language, language_model, quality_classifier, quality_rules, whitening
+from airlens.llm import conversations, language, language_model, quality_classifier, quality_rules, whitening, word_codec
 from airlens.llm.fingerprints import fingerprints
 from airlens.llm.long_repeats import without_repeats
 from airlens.llm.near_dup import near_duplicates
@@ -68,6 +68,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, labels(spark, sf_dir)))
 
 
+def op11_bpe_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = documents(spark, sf_dir), vocabulary("word_bpe_49k.json")
+    return word_codec.round_trips(docs, path, word_codec.build(docs, path))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversations.repair(conversations.damaged(rows), rows)
@@ -90,6 +95,7 @@ _ALL = (
     op8_sentencepiece,
     op9_quality_rules,
     op10_quality_classifier,
+    op11_bpe_round_trips,
     op12_conversation_repair,
     op13_embedding_whitening,
 )

@@ -2,8 +2,8 @@
 
 Audio frames and in-band metadata blocks are chains: where a record starts depends on all before it. The stream is
 cut at fixed byte positions, each piece with enough of the next to finish its last record. A task per piece maps
-every possible entry position to the position where the chain leaves the piece; a fold per key runs over these maps
-only; then each piece is walked from its true entry.
+every possible entry position to the position where the chain leaves the piece; maps of neighbouring pieces join in a
+tree (``compose``); then each piece is walked from its true entry.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airlens.operators.compose import FAN, inherited_states
 from airlens.operators.ordered import RunningSum, scan
 
 PIECE_BYTES = 1 << 22
@@ -54,6 +55,36 @@ def _exit_map(buf: bytes, base: int, size: int, entries: int, step: STEP) -> tup
     return uptos, exits
 
 
+def leave(entry: int, number: int, uptos, exits, size: int) -> int:
+    """Where a chain that is at ``entry`` stands behind a piece or joined pieces (-1: its stream has ended).
+
+    Entries lie in the stretches of the map, or behind all of it when a record spans it whole."""
+    offset = entry - number * size
+    return entry if entry < 0 or offset > uptos[-1] else int(exits[int(np.searchsorted(np.asarray(uptos), offset))])
+
+
+def join_exits(maps: list[tuple], size: int, look: int) -> tuple[int, list[int], list[int]]:
+    """The exit map of neighbouring pieces: entries reach ``look`` bytes into them, over pieces' ends where pieces are
+    shorter. Stretches are those of the pieces that an entry may lie in, numbered from the first piece on."""
+    first = maps[0][0]
+    uptos: list[int] = []
+    exits: list[int] = []
+    for number, upto, _ in maps:
+        shift = (number - first) * size
+        if shift > look:
+            break
+        for u in upto:
+            entry = first * size + shift + int(u)
+            for one in maps:
+                entry = leave(entry, *one, size)
+            if exits and exits[-1] == entry and uptos[-1] < shift + int(u):
+                uptos[-1] = shift + int(u)
+            else:
+                uptos.append(shift + int(u))
+                exits.append(entry)
+    return first, uptos, exits
+
+
 def walk_records(
     pieces: DataFrame,
     keys: list[str],
@@ -62,6 +93,7 @@ def walk_records(
     emit: Callable[[tuple, bytes, int, int], Iterator[tuple]],
     schema: str,
     piece: int = PIECE_BYTES,
+    fan: int = FAN,
 ) -> DataFrame:
     """Records of every stream. ``step_of(key)`` gives the step of a stream; ``emit(key, buf, start, next)`` yields
     rows (without keys) for one step, or none when it only skips. ``schema`` describes them after ``keys, at``.
@@ -80,17 +112,12 @@ def walk_records(
 
     maps = pieces.groupBy(*keys, "piece").applyInPandas(build, T.StructType([*key_fields, piece_field, T.StructField("upto", longs), T.StructField("exits", longs)]))
 
-    def enter(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        entry, rows = 0, []
-        for number, upto, exits in pdf.sort_values("piece")[["piece", "upto", "exits"]].itertuples(index=False):
-            offset = entry - number * piece
-            if entry < 0 or offset >= piece:
-                continue  # the stream ended, or one record spans this whole piece
-            rows.append([*key, number, offset])
-            entry = int(exits[int(np.searchsorted(np.asarray(upto), offset))])
-        return pd.DataFrame(rows, columns=[*keys, "piece", "entry"])
-
-    entries = maps.groupBy(*keys).applyInPandas(enter, T.StructType([*key_fields, piece_field, T.StructField("entry", T.LongType())]))
+    entered = inherited_states(
+        maps, keys, "piece", ("piece", "upto", "exits"), ("entry",), (0,), lambda state, one: (leave(state[0], *one, piece),), lambda several: join_exits(several, piece, look), fan,
+    )
+    offset = F.col("entry") - F.col("piece") * piece
+    # the stream ended before this piece, or one record spans it whole
+    entries = entered.where((F.col("entry") >= 0) & (offset < piece)).withColumn("entry", offset)
     out = T._parse_datatype_string(schema)
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from airlens.operators import bytechain
 from airlens.operators import ordered as o
-from airlens.operators.greedy import greedy_marks
+from airlens.operators.compose import inherited_states
+from airlens.operators.greedy import _next_marks, greedy_marks
 from airlens.operators.ts import bitrate_budget, continuity_errors, elapsed_ticks, media_drift, overage_alerts, pcr_discontinuities, unwrap
 
 
@@ -62,6 +65,74 @@ def test_greedy_marks_equal_a_fold(spark, rising, strict):
             assert [r.marked for r in got.filter(F.col("k") == k).orderBy("i").collect()] == want[k]
 
 
+def test_states_go_down_a_tree_of_maps(spark):
+    """Hundreds of chunks with gaps and a null key: clamps x -> min(max(x + a, low), high) compose to clamps."""
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for k in (None, "a", "b"):
+        now = 5
+        for chunk in sorted(rnd.sample(range(-400, 900), 300)):
+            add, low = rnd.randrange(-9, 10), rnd.randrange(-20, 5)
+            high = low + rnd.randrange(0, 40)
+            rows.append((k, chunk, add, low, high))
+            want[k, chunk] = now
+            now = min(max(now + add, low), high)
+
+    def follow(state, one):
+        return (min(max(state[0] + one[0], one[1]), one[2]),)
+
+    def join(maps):
+        add, low, high = maps[0]
+        for a, lo, hi in maps[1:]:
+            add, low, high = add + a, min(max(low + a, lo), hi), min(max(high + a, lo), hi)
+        return int(add), int(low), int(high)
+
+    maps = spark.createDataFrame(rows, "k string, chunk bigint, add bigint, low bigint, high bigint")
+    for fan in (2, 7, 64, 2000):
+        got = inherited_states(maps, ["k"], "chunk", ("add", "low", "high"), ("x",), (5,), follow, join, fan)
+        assert {(r.k, r.chunk): r.x for r in got.collect()} == want
+    assert inherited_states(maps.where("false"), ["k"], "chunk", ("add",), ("x",), (5,), follow, join).count() == 0
+
+
+@pytest.mark.parametrize("rising", [True, False])
+def test_greedy_marks_over_hundreds_of_chunks(spark, rising):
+    rnd = random.Random(8)
+    v, vals = 0, []
+    for i in range(1500):
+        v = v + rnd.randrange(4) if rising else rnd.randrange(300) + i // 2
+        vals.append(v)
+    data = spark.createDataFrame([("a", i, v) for i, v in enumerate(vals)], "k string, i bigint, v bigint")
+    got = greedy_marks(data, ["k"], ["i"], "v", 9, False, span=4, fan=5)
+    assert [r.marked for r in got.orderBy("i").collect()] == fold_marks(vals, 9, False)
+
+
+def test_next_marks_equal_a_search():
+    rnd = random.Random(9)
+    for _ in range(200):
+        v = np.array([rnd.randrange(30) for _ in range(rnd.randrange(1, 40))], np.int64)
+        want = [next((j for j in range(i + 1, len(v)) if v[j] >= v[i] + 5), len(v)) for i in range(len(v))]
+        assert _next_marks(v, 5).tolist() == want
+
+
+def test_byte_chains_over_hundreds_of_pieces(spark):
+    """Records of a length byte and as many bytes; records longer than a piece, and a zero that ends the stream."""
+    rnd = random.Random(10)
+    streams = {k: b"".join(bytes([n]) + rnd.randbytes(n) for n in (rnd.choice([1, 2, 3, 30, 90]) for _ in range(120))) + end for k, end in (("a", b""), ("b", bytes(40)))}
+
+    def step(buf, at):
+        return -1 if at >= len(buf) or not buf[at] or at + 1 + buf[at] > len(buf) else at + 1 + buf[at]
+
+    rows = [(k, i, s[i : i + 7]) for k, s in streams.items() for i in range(0, len(s), 7)]
+    pieces = bytechain.byte_pieces(spark.createDataFrame(rows, "k string, i bigint, data binary"), ["k"], ["i"], "data", look=100, piece=32)
+    got = bytechain.walk_records(pieces, ["k"], 100, lambda key: step, lambda key, buf, at, after: iter([(after - at,)]), "size int", piece=32, fan=4)
+    for k, stream in streams.items():
+        at, want = 0, []
+        while (after := step(stream, at)) >= 0:
+            want.append((at, after - at))
+            at = after
+        assert [(r.at, r.size) for r in got.where(F.col("k") == k).orderBy("at").collect()] == want
+
+
 def test_media_drift_equals_a_fold(spark):
     rnd = random.Random(3)
     data, want, wall, raw = [], [], 0, 0

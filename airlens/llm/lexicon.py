@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 
 from airlens.session import checkpoint_root
 
-_ARRAYS = (("keys", np.int64), ("targets", np.uint32), ("numbers", np.uint32), ("final", np.uint8), ("offsets", np.uint32), ("ids", np.uint32))
+_ARRAYS = (("keys", np.int64), ("targets", np.uint32), ("numbers", np.uint32), ("final", np.uint8), ("offsets", np.uint32), ("ids", np.dtype("<u4")))
 
 
 def compiled(entries: dict[bytes, list[int]]) -> bytes:
@@ -74,7 +74,7 @@ class Lexicon:
     """A file of ``compiled``, mapped into memory: workers of a machine share its pages."""
 
     def __init__(self, path: str):
-        held = np.memmap(path, np.uint8, "r")
+        held = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain array over the mapped pages
         sizes, at = held[: 8 * len(_ARRAYS)].view(np.int64), 8 * len(_ARRAYS)
         for (name, kind), size in zip(_ARRAYS, sizes.tolist(), strict=True):
             n = size * np.dtype(kind).itemsize
@@ -104,10 +104,11 @@ class Lexicon:
         rank[(state < 0) | (self.final[state] == 0)] = -1
         return rank
 
-    def outputs(self, ranks: np.ndarray) -> list[list[int]]:
-        """The ids of words by rank."""
-        ids, low, high = self.ids, self.offsets[ranks].tolist(), self.offsets[ranks + 1].tolist()
-        return [ids[a:b].tolist() for a, b in zip(low, high, strict=True)]
+    def outputs(self, ranks: np.ndarray) -> list[bytes]:
+        """The ids of words by rank, as little-endian 32-bit numbers."""
+        held = self.ids.data.cast("B")
+        low, high = (self.offsets[ranks].astype(np.int64) * 4).tolist(), (self.offsets[ranks + 1].astype(np.int64) * 4).tolist()
+        return [bytes(held[a:b]) for a, b in zip(low, high, strict=True)]
 
 
 def published(spark: SparkSession, data: bytes) -> str:

@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from airlens.llm import lexicon, work
 from airlens.llm.word_bpe import WordBpe
 
-#: Words of the lexicon; counters a task keeps to find them; merged words a worker remembers and their longest.
-WORDS, COUNTERS, REMEMBERED, LONGEST = 60_000, 1 << 17, 60_000, 48
+#: Words of the lexicon; counters a task keeps to find them; merged words a worker remembers and their longest; characters
+#: of texts whose words are looked up together.
+WORDS, COUNTERS, REMEMBERED, LONGEST, TOGETHER = 60_000, 1 << 18, 200_000, 48, 4_000_000
 
 
 def frequent_words(docs: DataFrame, path: str, words: int = WORDS, counters: int = COUNTERS) -> list[str]:
     """The ``words`` most frequent words (lower case, between white space) of all documents; ties by the word.
 
     Each task counts in at most twice ``counters`` places: when they are full, all are lowered by the count that frees
-    half of them. A word with more than a ``counters``-th of a task's words keeps a place there. Results of encoding do
-    not depend on which words these are.
+    half of them. A word with more than a ``counters``-th of a task's words keeps a place there, and only such words leave
+    the task. Results of encoding do not depend on which words these are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +38,8 @@ def frequent_words(docs: DataFrame, path: str, words: int = WORDS, counters: int
                         values = np.fromiter(counts.values(), np.int64, len(counts))
                         least = int(np.partition(values, len(values) - counters)[len(values) - counters])
                         counts = Counter({w: n - least for w, n in counts.items() if n > least})
-        kept = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
+        least = sum(counts.values()) // counters
+        kept = [(w, n) for w, n in counts.items() if n > least and len(w) <= LONGEST]
         for at in range(0, len(kept), 10_000):
             w, n = zip(*kept[at : at + 10_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
@@ -57,56 +59,70 @@ class Codec:
     """A vocabulary file with a lexicon of frequent words."""
 
     def __init__(self, path: str, name: str):
+        from tokenizers import pre_tokenizers
+
         self.bpe = WordBpe(path)
         self.lexicon = lexicon.mapped(name)
         library = self.bpe.library
         n = library.get_vocab_size()
         self.tokens = [library.id_to_token(i) for i in range(n)]
         self.digits = [str(i) for i in range(n)]
-        self.merged: dict[str, tuple] = {}
-
-    def _entry(self, ids: list[int]) -> tuple[int, str, str, list[int]]:
-        return len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.tokens[i] for i in ids]), ids
-
-    def entries(self, words: set[str]) -> dict[str, tuple]:
-        """What each word becomes: frequent ones from the lexicon, the rest by exact merging, remembered for a while."""
-        out, unseen = {}, []
-        for word in words:
-            known = self.merged.get(word)
-            if known is None:
-                unseen.append(word)
-            else:
-                out[word] = known
+        # the byte alphabet of the vocabulary: each byte of UTF-8 as one character
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = {c: spelled(c)[0][0] for c in (chr(i) for i in range(128, 0x2100))}
+        self.spelled = spelled
+        self.merged: dict[str, bytes] = {}
+
+    def _merge(self, word: str) -> bytes:
+        """Ids of a word by exact merging of each pre-token that is no whole token."""
+        out, as_bytes = b"", self.bpe.as_bytes
+        for token in self.bpe.pattern.findall(word):
+            whole = self.bpe.whole.get(token)
+            if whole is not None:
+                out += whole
+                continue
+            if not token.isascii():
+                alphabet = self.alphabet
+                try:
+                    token = "".join([c if c < "\x80" else alphabet[c] for c in token])
+                except KeyError:
+                    token = self.spelled(token)[0][0]
+            out += b"".join([as_bytes[t.id] for t in self.bpe.library.model.tokenize(token)])
+        return out
+
+    def entries(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word as little-endian 32-bit numbers: frequent ones from the lexicon, the rest by exact merging, remembered for a while."""
+        unseen = list(words.difference(self.merged))
         ranks = self.lexicon.find([w.encode() for w in unseen])
         found = np.flatnonzero(ranks >= 0)
-        for i, ids in zip(found.tolist(), self.lexicon.outputs(ranks[found]), strict=True):
-            out[unseen[i]] = self._entry(ids)
-        if len(self.merged) > REMEMBERED:
-            self.merged = {}
-        for i in np.flatnonzero(ranks < 0).tolist():
-            word = unseen[i]
-            out[word] = entry = self._entry(np.frombuffer(self.bpe._word(word), "<u4").tolist())
+        out = {unseen[i]: ids for i, ids in zip(found.tolist(), self.lexicon.outputs(ranks[found]), strict=True)}
+        rare = [unseen[i] for i in np.flatnonzero(ranks < 0).tolist()]
+        known = self.merged
+        out |= {w: known[w] for w in words.intersection(known)}
+        if len(known) + len(rare) > REMEMBERED:
+            known = self.merged = {}
+        for word in rare:
+            out[word] = ids = self._merge(word)
             if len(word) <= LONGEST:
-                self.merged[word] = entry
+                known[word] = ids
         return out
 
-    def parts(self, texts: list[str | None]) -> Iterator[list[tuple]]:
-        """Entries of each text in order, words of many texts looked up together. Null is empty."""
+    def ids(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """Ids of each text in order, words of many texts looked up together. Null is empty."""
         at = 0
         while at < len(texts):
             split, size = [], 0
-            while at < len(texts) and size < 4_000_000:  # as many texts at once as a bound on their characters lets
+            while at < len(texts) and size < TOGETHER:
                 text = texts[at] or ""
                 size += len(text)
-                split.append(text.lower().split() if self.bpe._plain(text) else self._whole(text))
+                split.append((text.lower().split(), None) if self.bpe._plain(text) else ((), text))
                 at += 1
-            get = self.entries(set().union(*(x for x in split if not isinstance(x, tuple)))).get
-            for words in split:
-                yield [words] if isinstance(words, tuple) else list(map(get, words))
-
-    def _whole(self, text: str) -> tuple:
-        """The entry of a text that can only be split by the library."""
-        return self._entry(self.bpe.library.encode(text, add_special_tokens=False).ids)
+            get = self.entries(set().union(*(words for words, _ in split))).__getitem__
+            for words, whole in split:
+                if whole is None:
+                    yield np.frombuffer(b"".join(map(get, words)), "<u4").tolist()
+                else:  # only the library can split this text
+                    yield self.bpe.library.encode(whole, add_special_tokens=False).ids
 
 
 def codec(path: str, name: str) -> Codec:
@@ -128,7 +144,7 @@ def encode(docs: DataFrame, path: str, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
-            ids = [[i for p in parts for i in p[3]] for parts in codec(path, name).parts(batch.column("text").to_pylist())]
+            ids = list(codec(path, name).ids(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
@@ -155,17 +171,15 @@ def round_trips(docs: DataFrame, path: str, name: str) -> DataFrame:
     Hashes are of the decimal ids joined by one space and of the decoded text in UTF-8. Odd input as for ``encode``.
     """
 
-    def sha(text: str) -> str:
-        return hashlib.sha256(text.encode()).hexdigest()
+    def sha(parts: Iterator[str]) -> str:
+        return hashlib.sha256(" ".join(parts).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            sizes, ids, decoded = [], [], []
-            for parts in codec(path, name).parts(batch.column("text").to_pylist()):
-                filled = [p for p in parts if p[0]]
-                sizes.append(sum([p[0] for p in filled]))
-                ids.append(sha(" ".join([p[1] for p in filled])))
-                decoded.append(sha(" ".join([p[2] for p in filled])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            held = codec(path, name)
+            digits, token = held.digits.__getitem__, held.tokens.__getitem__
+            rows = [(len(ids), sha(map(digits, ids)), sha(map(token, ids))) for ids in held.ids(batch.column("text").to_pylist())]
+            sizes, encoded, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

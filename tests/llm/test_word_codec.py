@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 
 import public_tokenizers
 import pytest
@@ -27,7 +28,7 @@ def test_transducer_holds_its_words_and_no_others(tmp_path):
     order = sorted(words)
     ranks = held.find(order)
     assert ranks.tolist() == list(range(len(order)))
-    assert held.outputs(ranks) == [entries[w] for w in order]
+    assert held.outputs(ranks) == [struct.pack(f"<{len(entries[w])}I", *entries[w]) for w in order]
     others = [w + b"a" for w in words if w + b"a" not in words] + [w[:-1] for w in words if w[:-1] not in words] + [b"", b"z" * 10_000]
     assert (held.find(others) == -1).all()
 

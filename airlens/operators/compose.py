@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from airlens.session import cut_lineage
 
@@ -47,36 +49,46 @@ def inherited_states(
     state_fields = [T.StructField(s, T.LongType()) for s in state]
 
     levels = [low.select(*keys, (F.col(chunk) - F.lit(first)).cast("bigint").alias(_NUMBER), *columns)]
-    while reach > fan:
+    def rows_of(table: pa.Table, names: Sequence[str]) -> list[tuple]:
+        return list(zip(*(table.column(n).to_pylist() for n in names), strict=True))
+
+    def result(key: tuple, rows: list[tuple], schema: T.StructType) -> pa.Table:
+        """Rows of ``schema``, whose first fields are the key's."""
+        arrow = to_arrow_schema(schema)
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in list(arrow)[len(keys) :]]
+        owners = [pa.array([k.as_py()] * len(rows), f.type) for k, f in zip(key[: len(keys)], arrow, strict=False)]
+        return pa.table([*owners, *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keys) :], strict=True))], schema=arrow)
 
-        def joined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = list(pdf.sort_values(_NUMBER)[list(columns)].itertuples(index=False, name=None))
-            return pd.DataFrame([[*key, *(rows[0] if len(rows) == 1 else join(rows))]], columns=[*keys, _NUMBER, *columns])
+    kind = T.StructType([*key_fields, number, *map_fields])
 
-        upper = levels[-1].withColumn(_NUMBER, F.expr(f"{_NUMBER} div {fan}"))
-        levels.append(cut_lineage(upper.groupBy(*keys, _NUMBER).applyInPandas(joined, T.StructType([*key_fields, number, *map_fields]))))
+    def joined(key: tuple, table: pa.Table) -> pa.Table:
+        rows = rows_of(table.sort_by("__below"), columns)
+        return result(key, [(key[-1].as_py(), *(rows[0] if len(rows) == 1 else join(rows)))], kind)
+
+    while reach > fan:
+        upper = levels[-1].withColumnRenamed(_NUMBER, "__below").withColumn(_NUMBER, F.expr(f"__below div {fan}"))
+        levels.append(cut_lineage(upper.groupBy(*keys, _NUMBER).applyInArrow(joined, kind)))
         reach = -(-reach // fan)
 
     out = T.StructType([*key_fields, number, *state_fields])
 
-    def handed(key: tuple, pdf: pd.DataFrame, size: int) -> pd.DataFrame:
-        parents = pdf[pdf[_PARENT]]
-        now = tuple(None if pd.isna(x) else int(x) for x in parents[list(state)].iloc[0]) if len(parents) else start
-        rows = []
-        for n, *one in pdf[~pdf[_PARENT]].sort_values(_NUMBER)[[_NUMBER, *columns]].itertuples(index=False, name=None):
-            rows.append([*key[:size], n, *now])
+    def handed(key: tuple, table: pa.Table) -> pa.Table:
+        above = rows_of(table.filter(table.column(_PARENT)), state)
+        now, rows = (above[0] if above else start), []
+        below = table.filter(pc.invert(table.column(_PARENT))).sort_by(_NUMBER)
+        for n, *one in rows_of(below, (_NUMBER, *columns)):
+            rows.append((n, *now))
             now = follow(now, tuple(one))
-        done = pd.DataFrame(rows, columns=[*keys, _NUMBER, *state])
-        return done.astype({s: "Int64" for s in (_NUMBER, *state)})
+        return result(key, rows, out)
 
     nothing = [F.lit(None).cast("bigint").alias(s) for s in state]
     states: DataFrame | None = None
     for level in reversed(levels):
         rows = level.select(*keys, F.expr(f"{_NUMBER} div {fan}").alias(_UP), _NUMBER, *columns, *nothing, F.lit(False).alias(_PARENT))
         if states is None:
-            states = rows.groupBy(*keys).applyInPandas(lambda key, pdf: handed(key, pdf, len(keys)), out)
+            states = rows.groupBy(*keys).applyInArrow(handed, out)
             continue
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in map_fields]
         above = states.select(*keys, F.col(_NUMBER).alias(_UP), F.lit(None).cast("bigint").alias(_NUMBER), *empty, *state, F.lit(True).alias(_PARENT))
-        states = rows.union(above).groupBy(*keys, _UP).applyInPandas(lambda key, pdf: handed(key, pdf, len(keys)), out)
+        states = rows.union(above).groupBy(*keys, _UP).applyInArrow(handed, out)
     return states.select(*keys, (F.col(_NUMBER) + F.lit(first)).cast(low.schema[chunk].dataType).alias(chunk), *state)

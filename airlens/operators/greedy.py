@@ -77,7 +77,7 @@ def join_maps(maps: list[tuple], step: int) -> tuple[list[int], list[int], int |
     keeps a joined map as short as one chunk's.
     """
     uptos, outs, prior = np.asarray(maps[0][0], np.int64), np.asarray(maps[0][1], np.int64), maps[0][2]
-    none = pd.isna(prior)
+    none = prior is None
     for upto, exits, _ in maps[1:]:
         upto, exits = np.asarray(upto, np.int64), np.asarray(exits, np.int64)
         i = np.searchsorted(upto, outs + step, side="left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,15 @@ from airlens.fixtures import Fixtures
 from airlens.functions import guide_time, text
 from airlens.functions.binary import concat_bytes
 from airlens.operators import guide, services
+from airlens.operators.ordered import row_number
 from airlens.operators.psi import descriptors, find_descriptor
 from airlens.functions.binary import be16, be32, be64, crc32_mpeg2, seq_delta16
 from airlens.functions.once import evaluate_once
 from airlens.plans.guides import ISO, MAPPED, TEXTS, mapped, text_programmes
 from airlens.plans.packets import packets, raw_packets
 from airlens.plans.registry import query
-from airlens.sources import captures, guides, lists
+from airlens.session import checkpoint_root
+from airlens.sources import captures, guides, lists, packet_files
 
 
 def lines(df: DataFrame, expr: str) -> DataFrame:
@@ -116,12 +120,47 @@ def _(fx):
     return guides.guide_channels_of(rows).select("ord", "id", F.array_join("names", "|").alias("names"), "uri", "tsid", "onid", "sid")
 
 
+def packet_folder(fx) -> str:
+    """A new folder where all machines see it."""
+    return f"{checkpoint_root(fx.spark)}/packets-{uuid.uuid4().hex}"
+
+
+PKT_FIELDS = ("pkt_no", "cast(conv(hex(substring(pkt, 2, 2)), 16, 10) as int) % 8192 AS pid", "cast(conv(hex(substring(pkt, 4, 1)), 16, 10) as int) % 16 AS cc")
+#: As live packets end to end: packet numbers of a capture from 0 on.
+IN_FILES = "SELECT capture, CAST(ROW_NUMBER() OVER (PARTITION BY capture ORDER BY pkt_no) - 1 AS BIGINT) AS pkt_no, pid, cc FROM fx_packets"
+
+
 @query("split_packets", """SELECT capture, pkt_no // 2000 AS file_no, CAST(ROW_NUMBER() OVER (PARTITION BY capture, pkt_no // 2000 ORDER BY pkt_no) - 1 AS BIGINT) AS pkt_no, pid, cc
 FROM fx_packets""")
 def _(fx):
-    files = raw_packets(fx).groupBy(F.expr("concat(capture, '/', pkt_no div 2000)").alias("capture")).agg(F.array_sort(F.collect_list(F.struct("pkt_no", "pkt"))).alias("p"))
-    out = captures.split_packets(files.select("capture", concat_bytes(F.col("p.pkt")).alias("content")))
-    return out.selectExpr("cast(split(capture, '/')[0] as int) AS capture", "cast(split(capture, '/')[1] as bigint) AS file_no", "pkt_no", "cast(conv(hex(substring(pkt, 2, 2)), 16, 10) as int) % 8192 AS pid", "cast(conv(hex(substring(pkt, 4, 1)), 16, 10) as int) % 16 AS cc")
+    """Packet files, one set for every 2,000 packet numbers of a capture, written and read back by ranges of 20 kB."""
+    folder = packet_folder(fx)
+    packet_files.write_packets(raw_packets(fx).selectExpr("concat(capture, '/', pkt_no div 2000) AS capture", "pkt_no", "pkt"), folder)
+    out = captures.read_ts(fx.spark, folder, range_bytes=20_000)
+    return out.selectExpr("cast(split(capture, '/')[0] as int) AS capture", "cast(split(capture, '/')[1] as bigint) AS file_no", *PKT_FIELDS)
+
+
+OWNER = "cast(regexp_extract(capture, 'capture=([0-9]+)/', 1) as int) AS capture"
+
+
+@query("resync_packets", IN_FILES)
+def _(fx):
+    """Unaligned files: 1 to 9 stray bytes in front of every 50th packet; where packets begin, ranges of 20 kB tell together."""
+    folder = packet_folder(fx)
+    stray = F.when(F.col("pkt_no") % 50 == 0, F.expr("unhex(repeat('A5', cast(pkt_no div 50 % 9 + 1 as int)))")).otherwise(F.expr("x''"))
+    packet_files.write_packets(raw_packets(fx).select("capture", "pkt_no", F.concat(stray, "pkt").alias("pkt")), folder, any_length=True, one_file=True)
+    return captures.read_ts(fx.spark, folder, aligned=False, range_bytes=20_000).selectExpr(OWNER, *PKT_FIELDS)
+
+
+@query("rtp_packet_files", IN_FILES)
+def _(fx):
+    """Files of RTP records of seven packets, told from raw ones by their heads and read by ranges of 20 kB."""
+    folder = packet_folder(fx)
+    numbered = row_number(raw_packets(fx).select("capture", "pkt_no", "pkt"), ["capture"], ["pkt_no"])
+    records = numbered.groupBy("capture", F.expr("(rn - 1) div 7").alias("pkt_no")).agg(F.array_sort(F.collect_list(F.struct("rn", "pkt"))).alias("p"))
+    framed = records.select("capture", "pkt_no", F.concat(F.unhex(F.lit("8021" + "00" * 10)), concat_bytes(F.col("p.pkt"))).alias("pkt"))
+    packet_files.write_packets(framed, folder, any_length=True, one_file=True)
+    return captures.read_ts(fx.spark, f"{folder}/*/*.ts", range_bytes=20_000).selectExpr("cast(capture as int) AS capture", *PKT_FIELDS)
 
 
 @query("detect_framing", """SELECT event_id, CASE WHEN event_id % 9 BETWEEN 1 AND 7 THEN 'rtp' ELSE 'raw' END AS framing, CAST(CASE WHEN event_id % 9 BETWEEN 1 AND 7 THEN 12 + 188 * (event_id % 9) ELSE 188 END AS INT) AS stride,

@@ -12,6 +12,7 @@ from airlens.functions.binary import be16, bits, tail, u8
 from airlens.functions.once import evaluate_once
 from airlens.operators.rtp import rtp_header
 from airlens.operators.services import in_ranges
+from airlens.sources import packet_files
 
 PACKET = 188
 RTP_HEADER = 12
@@ -19,7 +20,7 @@ HEAD_BYTES = RTP_HEADER + 7 * PACKET + RTP_HEADER + 1 + 2 * PACKET
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as ``capture, content``; each at most 2 GB. Use ``read_large_ts`` for bigger ones."""
+    """Whole files as ``capture, content``, each at most 2 GB; ``read_ts`` reads packets of files of any size."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("capture"), "content")
 
 
@@ -58,16 +59,21 @@ def resync_packets(files: DataFrame) -> DataFrame:
     return files.mapInPandas(cut, "capture string, pkt_no bigint, pkt binary")
 
 
-def read_ts(spark: SparkSession, path: str, aligned: bool = True) -> DataFrame:
-    """Packets of transport-stream files, one capture per file (SRC-1)."""
-    files = read_files(spark, path)
-    return split_packets(files) if aligned else resync_packets(files)
+def read_ts(spark: SparkSession, path: str, aligned: bool = True, range_bytes: int = packet_files.RANGE_BYTES) -> DataFrame:
+    """Packets of transport-stream files of any size, ``capture, pkt_no, pkt``, one capture per file (SRC-1, SRC-2).
+
+    Raw packets and RTP records are told apart by each file's head. Unaligned files are looked through for sync bytes.
+    """
+    packet_files.register(spark)
+    if not aligned:
+        return packet_files.resynced(spark, path, range_bytes)
+    return spark.read.format("packets").option("rangeBytes", range_bytes).load(path)
 
 
-def read_large_ts(spark: SparkSession, path: str, capture: str) -> DataFrame:
-    """Packets of one aligned file of any size: fixed-length records split across tasks (SRC-1)."""
-    records = spark.sparkContext.binaryRecords(path, PACKET).zipWithIndex()
-    return spark.createDataFrame(records, "pkt binary, pkt_no bigint").select(F.lit(capture).alias("capture"), "pkt_no", "pkt")
+def read_heads(spark: SparkSession, path: str) -> DataFrame:
+    """The first 2.7 kB of every file, ``capture, size, content``: what ``detect_framing`` needs."""
+    packet_files.register(spark)
+    return spark.read.format("packet_heads").load(path)
 
 
 def detect_framing(files: DataFrame, col: str = "content") -> DataFrame:

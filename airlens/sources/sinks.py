@@ -1,52 +1,11 @@
-"""Writers: packet files, line documents and cue files. All write in parallel, one folder per result."""
+"""Writers of line documents and cue files. All write in parallel, one folder per result. Packets: ``packet_files``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def packet_blobs(packets: DataFrame, columns: tuple[str, str] = ("capture", "pkt_no")) -> DataFrame:
-    """Kept packets joined in order, ``capture, first_pkt_no, n, data`` (SNK-5): the stretches of each capture.
-
-    Range partitioning splits a large capture over many tasks. A stretch never holds packets of two captures; its parts in
-    order of first_pkt_no are the capture's packet file.
-    """
-    ordered = packets.repartitionByRange(*columns).sortWithinPartitions(*columns).select(*columns, "pkt")
-    kinds = [ordered.schema[c].dataType.simpleString() for c in columns]
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, number, data = (batch.column(i).to_pylist() for i in range(3))
-            cuts = [0, *[i for i in range(1, len(owner)) if owner[i] != owner[i - 1]], len(owner)]
-            pairs = [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([owner[a] for a, _ in pairs], batch.column(0).type),
-                    pa.array([number[a] for a, _ in pairs], batch.column(1).type),
-                    pa.array([b - a for a, b in pairs], pa.int32()),
-                    pa.array([b"".join(data[a:b]) for a, b in pairs], pa.binary()),
-                ],
-                names=["capture", "first_pkt_no", "n", "data"],
-            )
-
-    return ordered.mapInArrow(join, f"capture {kinds[0]}, first_pkt_no {kinds[1]}, n int, data binary")
-
-
-def write_filtered_ts(packets: DataFrame, path: str, columns: tuple[str, str] = ("capture", "pkt_no")) -> None:
-    """``packet_blobs`` as one folder per capture; ``read_packet_blobs`` reads them again."""
-    packet_blobs(packets, columns).write.mode("overwrite").partitionBy("capture").parquet(path)
-
-
-def read_packet_blobs(blobs: DataFrame) -> DataFrame:
-    """Packets ``capture, pkt_no, pkt`` of written stretches, numbered from the first of their stretch."""
-    each = blobs.select("capture", "first_pkt_no", "data", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return each.select("capture", (F.col("first_pkt_no") + F.col("i")).alias("pkt_no"), F.substring("data", F.col("i") * 188 + 1, F.lit(188)).alias("pkt"))
-
-
 def write_lines(lines: DataFrame, path: str, order: list[str], by: list[str] | None = None, header: str = "", footer: str = "") -> None:
     """Ordered text lines; with ``by`` one folder per document key.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from airlens.functions import binary, guide_time, text
 from airlens.operators import bytechain, cues, docs, guide, media, metrics, psi, repair, rtcp, rtp, services, ts
-from airlens.sources import captures, guides, lists, sinks
+from airlens.sources import captures, guides, lists, packet_files, sinks
 
 
 def one(spark, column):
@@ -131,20 +131,13 @@ def test_resync(spark):
 def test_ts_files_and_sinks(spark, tmp_path):
     data = b"".join(b"\x47" + struct.pack(">HB", 256, 0x10 + i % 16) + bytes([i]) * 184 for i in range(50))
     (tmp_path / "a.ts").write_bytes(data)
-    aligned = captures.read_ts(spark, str(tmp_path / "*.ts"))
-    assert aligned.count() == 50 and captures.read_ts(spark, str(tmp_path / "*.ts"), aligned=False).count() == 50
-    large = captures.read_large_ts(spark, str(tmp_path / "a.ts"), "a")
-    assert [bytes(r.pkt)[4] for r in large.orderBy("pkt_no").collect()] == list(range(50))
-    kept = large.filter("pkt_no % 2 = 0").drop("pkt_no").withColumn("pkt_no", F.expr("ascii(decode(substring(pkt, 5, 1), 'ISO-8859-1')) div 2"))
-    several = kept.union(kept.selectExpr("'b' AS capture", "pkt", "pkt_no")).union(kept.filter("pkt_no < 3").selectExpr("'c' AS capture", "pkt", "pkt_no"))
-    sinks.write_filtered_ts(several.repartition(7), str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    for capture, want in (("a", range(0, 50, 2)), ("b", range(0, 50, 2)), ("c", range(0, 6, 2))):
-        parts = back.filter(F.col("capture") == capture).orderBy("first_pkt_no").collect()
-        assert b"".join(bytes(r.data) for r in parts)[4::188] == bytes(want) and sum(r.n for r in parts) == len(want)
-    again = sinks.read_packet_blobs(back).select("capture", "pkt_no", "pkt")
-    assert again.exceptAll(several.select("capture", "pkt_no", "pkt")).isEmpty() and again.count() == several.count()
-    sinks.write_filtered_ts(several.filter("false"), str(tmp_path / "none"))
+    aligned = captures.read_ts(spark, str(tmp_path / "*.ts"), range_bytes=2000)
+    assert captures.read_ts(spark, str(tmp_path / "*.ts"), aligned=False, range_bytes=2000).count() == 50
+    assert [bytes(r.pkt)[4] for r in aligned.orderBy("pkt_no").collect()] == list(range(50))
+    assert [(r.framing, r.size) for r in captures.detect_framing(captures.read_heads(spark, str(tmp_path))).collect()] == [("raw", 50 * 188)]
+    packet_files.write_packets(aligned.filter("pkt_no % 2 = 0").withColumn("capture", F.lit("kept")), str(tmp_path / "out"))
+    kept = captures.read_ts(spark, str(tmp_path / "out"))
+    assert [(r.capture, bytes(r.pkt)[4]) for r in kept.orderBy("pkt_no").collect()] == [("kept", i) for i in range(0, 50, 2)]
 
 
 COMPOUND = (

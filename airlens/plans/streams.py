@@ -191,11 +191,47 @@ def _(fx):
     return repair.repair_match(lost.select("channel", "ssrc", "seq", "gap_us"), rtx)
 
 
-@query("rtp_repair")
+def repair_rows(fx) -> DataFrame:
+    """Originals, and retransmissions of one in 41 of the numbers two back, some of them for another sender."""
+    p = packets(fx).withColumn("arrival", F.col("arrival") * 10).selectExpr("channel", "'original' AS kind", "arrival", "arrival_us", "ssrc", "cast(seq as int) AS seq", "payload_len")
+    again = p.filter("arrival % 410 = 0").selectExpr("channel", "'repair' AS kind", "arrival + 5 AS arrival", "arrival_us", "ssrc + if(arrival % 30 = 0, 1, 0) AS ssrc", "cast((seq + 65534) % 65536 as int) AS seq", "payload_len")
+    return p.unionByName(again)
+
+
+#: The hold-and-repair window row by row; an open place of the window is an empty text.
+REPAIRED = """a AS (SELECT channel, true AS original, arrival * 10 AS arrival, pus AS us, ssrc, CAST(seq AS INT) AS seq FROM fx_rtp
+UNION ALL SELECT channel, false, arrival * 10 + 5, pus, ssrc + CASE WHEN arrival * 10 % 30 = 0 THEN 1 ELSE 0 END, CAST((seq + 65534) % 65536 AS INT) FROM fx_rtp WHERE arrival % 41 = 0),
+n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY channel ORDER BY arrival) AS rn FROM a),
+w AS (SELECT channel, 0::BIGINT AS rn, NULL::BIGINT AS ssrc, -1::BIGINT AS run, 0 AS expected, []::VARCHAR[] AS hold, 0::BIGINT AS deadline, []::STRUCT(run BIGINT, seq INT, source VARCHAR)[] AS outs FROM (SELECT DISTINCT channel FROM a)
+UNION ALL SELECT channel, rn, ssrc, run, (exp4 + k) % 65536, hold4[k + 1 :], due, outs || list_transform(range(k), lambda i: {'run': run, 'seq': CAST((exp4 + i) % 65536 AS INT), 'source': CASE WHEN hold4[i + 1] = '' THEN 'lost' ELSE hold4[i + 1] END})
+FROM (SELECT *, CASE WHEN len(hold4) = 0 THEN 0 WHEN us > due OR NOT list_contains(hold4, '') THEN len(hold4) ELSE list_position(hold4, '') - 1 END AS k
+FROM (SELECT *,
+ CASE WHEN NOT original THEN CASE WHEN ssrc = sender AND ahead >= 0 AND ahead < held AND hold2[ahead + 1] = '' THEN list_transform(hold2, lambda x, i: CASE WHEN i = ahead + 1 THEN 'repaired' ELSE x END) ELSE hold2 END
+ WHEN ahead < 0 THEN hold2
+ WHEN held > 0 AND NOT flush THEN CASE WHEN ahead = held THEN list_append(hold2, 'ok') WHEN hold2[ahead + 1] = '' THEN list_transform(hold2, lambda x, i: CASE WHEN i = ahead + 1 THEN 'reordered' ELSE x END) ELSE hold2 END
+ WHEN ahead3 = 0 OR ahead3 >= 32 THEN [] ELSE list_append(list_transform(range(ahead3), lambda i: ''), 'gap') END AS hold4,
+ CASE WHEN direct THEN (seq + 1) % 65536 WHEN flush THEN (exp2 + held) % 65536 ELSE exp2 END AS exp4,
+ CASE WHEN original AND ahead >= 0 AND (held = 0 OR flush) AND NOT direct THEN us + 200000 ELSE deadline END AS due,
+ outs2 || CASE WHEN flush THEN list_transform(range(held), lambda i: {'run': run, 'seq': CAST((exp2 + i) % 65536 AS INT), 'source': CASE WHEN hold2[i + 1] = '' THEN 'lost' ELSE hold2[i + 1] END}) ELSE [] END
+ || CASE WHEN direct THEN [{'run': run, 'seq': seq, 'source': CASE WHEN ahead3 = 0 THEN 'ok' ELSE 'resync' END}] ELSE [] END AS outs
+FROM (SELECT *, CASE WHEN flush THEN ahead - held ELSE ahead END AS ahead3, original AND ahead >= 0 AND (held = 0 OR flush) AND (CASE WHEN flush THEN ahead - held ELSE ahead END = 0 OR CASE WHEN flush THEN ahead - held ELSE ahead END >= 32) AS direct
+FROM (SELECT *, original AND held > 0 AND ahead >= held AND NOT (ahead = held AND held < 32) AS flush
+FROM (SELECT *, len(hold2) AS held, ((seq - exp2 + 32768) % 65536 + 65536) % 65536 - 32768 AS ahead
+FROM (SELECT n.channel, n.rn, n.original, n.us, n.seq, n.ssrc AS sender, e.fresh, e.gone, w.deadline,
+ CASE WHEN e.fresh THEN n.ssrc ELSE w.ssrc END AS ssrc, w.run + CASE WHEN e.fresh THEN 1 ELSE 0 END AS run, CASE WHEN e.fresh THEN n.seq WHEN e.gone THEN CAST((w.expected + len(w.hold)) % 65536 AS INT) ELSE w.expected END AS exp2,
+ CASE WHEN e.fresh OR e.gone THEN [] ELSE w.hold END AS hold2,
+ CASE WHEN e.fresh OR e.gone THEN list_transform(range(len(w.hold)), lambda i: {'run': w.run, 'seq': CAST((w.expected + i) % 65536 AS INT), 'source': CASE WHEN w.hold[i + 1] = '' THEN 'lost' ELSE w.hold[i + 1] END}) ELSE [] END AS outs2
+ FROM w JOIN n ON n.channel = w.channel AND n.rn = w.rn + 1, LATERAL (SELECT n.original AND (w.ssrc IS NULL OR w.ssrc <> n.ssrc) AS fresh, len(w.hold) > 0 AND n.us - 1 >= w.deadline AS gone) e) s1) s2) s3) s4) s5) s6),
+z AS (SELECT channel, arg_max({'run': run, 'expected': expected, 'hold': hold}, rn) AS l FROM w GROUP BY channel),
+repaired AS (SELECT channel, o.run, o.seq, o.source FROM (SELECT channel, unnest(outs) AS o FROM w)
+UNION ALL SELECT channel, l.run, CAST((l.expected + i) % 65536 AS INT), CASE WHEN l.hold[i + 1] = '' THEN 'lost' ELSE l.hold[i + 1] END FROM z, range(len(l.hold)) r(i))"""
+
+
+@query("rtp_repair", f"WITH RECURSIVE {REPAIRED} SELECT channel, run, seq, source FROM repaired")
 def _(fx):
-    p = packets(fx).withColumn("arrival", F.col("arrival") * 10)
-    rtx = p.filter("arrival % 410 = 0").selectExpr("channel", "arrival + 5 AS arrival", "arrival_us", "ssrc + if(arrival % 30 = 0, 1, 0) AS ssrc", "cast((seq + 65534) % 65536 as int) AS osn", "payload_len")
-    return repair.rtp_repair(p, rtx)
+    rows = repair_rows(fx)
+    found = repair.rtp_repair(rows.filter("kind = 'original'"), rows.filter("kind = 'repair'").withColumnRenamed("seq", "osn"))
+    return found.select("channel", "run", "seq", "source")
 
 
 @query(

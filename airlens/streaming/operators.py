@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,19 +14,55 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from airlens.streaming import folds
 from airlens.streaming.folds import Fold
 
+ENDS = "ends"
+
+
+class _Map:
+    """A map of the state store with the manners of a dict."""
+
+    def __init__(self, held):
+        self.held = held
+
+    def __contains__(self, key: int) -> bool:
+        return self.held.containsKey((key,))
+
+    def __getitem__(self, key: int):
+        value = self.held.getValue((key,))
+        return value[0] if len(value) == 1 else tuple(value)
+
+    def __setitem__(self, key: int, value) -> None:
+        self.held.updateValue((key,), value if isinstance(value, tuple) else (value,))
+
+    def items(self) -> list[tuple]:
+        return [(k[0], v[0] if len(v) == 1 else tuple(v)) for k, v in self.held.iterator()]
+
+    def get(self, key: int):
+        return self[key] if key in self else None
+
+    def clear(self) -> None:
+        self.held.clear()
+
 
 class _Keyed(StatefulProcessor):
-    """Runs a fold per key; its state is one JSON text, its deadline an event-time timer."""
+    """Runs a fold per key. Its state is typed fields and maps, its deadline an event-time timer, and a row whose ``ends``
+    is true closes the key: what is still open is released and the state is gone."""
 
     def __init__(self, fold: Fold, keys: list[str], columns: list[str], timed: bool):
         self.fold, self.keys, self.columns, self.timed = fold, keys, columns, timed
+        self.fields = [f.split()[0] for f in fold.state.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "value string")
+        self.value = handle.getValueState("state", self.fold.state)
+        self.held = {name: _Map(handle.getMapState(name, key, value)) for name, (key, value) in self.fold.maps.items()}
 
     def _load(self) -> dict:
-        return json.loads(self.state.get()[0]) if self.state.exists() else {}
+        if not self.value.exists():
+            return {}
+        state = {n: list(v) if isinstance(v, (list, np.ndarray)) else v for n, v in zip(self.fields, self.value.get(), strict=True) if v is not None}
+        if isinstance(self.fold, folds.RtpRepair):
+            return self.fold.unpacked({**state, "hold": dict(self.held["hold"].items())})
+        return state | self.held
 
     def _save(self, state: dict, expiring: bool = False) -> None:
         if self.timed:
@@ -36,19 +72,40 @@ class _Keyed(StatefulProcessor):
             end = self.fold.deadline(state)
             if end is not None:
                 self.handle.registerTimer(-(-end // 1000))  # whole milliseconds, never early
-        if state:
-            self.state.update((json.dumps(state),))
-        else:
-            self.state.clear()
+        if not state:
+            self.value.clear()
+            for held in self.held.values():
+                held.clear()
+            return
+        if isinstance(self.fold, folds.RtpRepair):
+            state = self.fold.packed(state)
+            self.held["hold"].clear()
+            for number, source in state["hold"].items():
+                self.held["hold"][number] = source
+        self.value.update(tuple(state.get(n) for n in self.fields))
 
     def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(*key, *r) for r in rows], columns=[*self.keys, *self.columns])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.fold.order)
-        state, out = self._load(), []
-        for row in batch.to_dict("records"):
-            out += self.fold.step(state, row)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.fold.order, kind="stable")
+        names = list(batch.columns)
+        columns = {c: batch[c].to_numpy() for c in names}  # folds keep what they work out for a batch beside them
+        n, state, out, at = len(batch), self._load(), [], 0
+        closing = np.flatnonzero(columns[ENDS].astype(bool)).tolist() if ENDS in columns else []
+        for end in [*closing, n]:
+            while at < end:
+                if not state and self.held:
+                    state.update(self.held if not isinstance(self.fold, folds.RtpRepair) else {})
+                after, released = self.fold.stretch(state, columns, at, end)
+                if after == at:
+                    released, after = self.fold.step(state, {c: columns[c][at] for c in names}), at + 1
+                out += released
+                at = after
+            if end < n:
+                out += self.fold.finish(state, {c: columns[c][end] for c in names})
+                state.clear()
+                at = end + 1
         self._save(state)
         if out:
             yield self._frame(key, out)
@@ -67,9 +124,9 @@ class _Keyed(StatefulProcessor):
 def keyed_fold(stream: DataFrame, fold: Fold, keys: list[str], time_us: str | None = None, delay: str = "1 second", mode: str = "append") -> DataFrame:
     """Rows a fold releases per key. ``time_us`` drives its timers through a watermark ``delay`` behind.
 
-    A due timer fires in a micro-batch that brings rows to its partition; the folds also look at the clock on every row.
-    Rows of a key are ordered within a micro-batch, so its size (files or offsets per trigger) bounds a task's memory.
-    Needs the RocksDB state store.
+    A boolean column ``ends`` is optional: where it is true, the row closes its key. Rows of a key are ordered within a
+    micro-batch, so its size (files or offsets per trigger) bounds a task's memory. Folds look at the clock on every row,
+    so a timer only matters for keys that get none. Needs the RocksDB state store.
     """
     released = T._parse_datatype_string(fold.output)
     schema = T.StructType([*[stream.schema[k] for k in keys], *released.fields])
@@ -92,8 +149,9 @@ def rtp_repair(stream: DataFrame, wait_us: int = 200_000, delay: str = "1 second
 
 
 def doc_reassembly(stream: DataFrame) -> DataFrame:
-    """Complete documents per payload and segment (STR-3)."""
-    return keyed_fold(stream, folds.DocReassembly(), ["payload_id", "segment_id"])
+    """Complete documents per payload and segment (STR-3), as ``docs.doc_reassembly`` has them; a text payload gives text."""
+    found = keyed_fold(stream, folds.DocReassembly(), ["payload_id", "segment_id"])
+    return found if isinstance(stream.schema["payload"].dataType, T.BinaryType) else found.withColumn("document", F.decode("document", "UTF-8"))
 
 
 def bitrate_stream(stream: DataFrame, window: str = "2 seconds", delay: str = "1 second") -> DataFrame:
@@ -120,8 +178,9 @@ def activity_stream(stream: DataFrame, keys: list[str], time_us: str, idle_us: i
 
 
 def integrity_stream(stream: DataFrame) -> DataFrame:
-    """Running integrity counters per pid (STR-7). Add a connection number to ``capture`` to start over on reconnect."""
-    return keyed_fold(stream, folds.Integrity(), ["capture", "pid"])
+    """Integrity counters per pid, one row a micro-batch with the totals so far (STR-7); the latest replaces those before
+    it. Add a connection number to ``capture`` to start over on reconnect."""
+    return keyed_fold(stream, folds.Integrity(), ["capture", "pid"], mode="update")
 
 
 def service_discovery(stream: DataFrame, budget_s: float = 5.0, delay: str = "1 second") -> DataFrame:
@@ -136,6 +195,7 @@ def dedupe_segments(stream: DataFrame, time_us: str = "arrival_us", horizon: str
 
 
 def cue_stream(stream: DataFrame, lead_ms: int = 0, delay: str = "1 second") -> DataFrame:
-    """Subtitle cues per capture as they end (STR-10). ``stream``: ``capture, i, ts_ms, text, flush``."""
+    """Subtitle cues per capture as they end (STR-10). ``stream``: ``capture, i, ts_ms, text``, and ``ends`` where
+    a capture closes."""
     timed = stream.withColumn("__us", F.col("ts_ms") * 1000)
     return keyed_fold(timed, folds.Cues(lead_ms), ["capture"], "__us", delay)

@@ -19,7 +19,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in HEAVY and not n.endswith("_stream")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in HEAVY])
 def test_query(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     if name in ORACLES:

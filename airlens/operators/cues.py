@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlens.operators.ordered import DEFAULT_SPAN, Lag, Lead, StepSum, scan
+from airlens.session import cut_lineage
 
 # fixed values: row gap that starts a new subtitle, shortest last cue, longest cue (ms)
 GAP_MS, MIN_MS, MAX_MS = 500, 1200, 5000
@@ -23,17 +24,19 @@ def teletext_cues(rows: DataFrame, keys: list[str] = ["capture"], order: list[st
     if page is not None:
         shown = shown.filter(~F.ltrim("text").rlike(f"^{page}"))
     grouped = scan(shown, keys, order, span, grp=StepSum(F.col("ts_ms"), lambda x, prev: (x - prev > GAP_MS).cast("bigint"), lambda x: F.lit(1)))
-    starts = grouped.groupBy(*keys, "grp").agg(F.min_by("ts_ms", order[0]).alias("start_ms"))
-    once = grouped.groupBy(*keys, "grp", "text").agg(F.min(order[0]).alias("__i"))
+    once = grouped.groupBy(*keys, "grp", "text").agg(F.min(order[0]).alias("__i"), F.min_by("ts_ms", order[0]).alias("__ms"))
+    # the first row of a subtitle is the first of its text
+    begun = F.min_by("__ms", "__i").alias("start_ms")
     kept = once
     if max_rows is not None:
         rank = F.row_number().over(Window.partitionBy(*keys, "grp").orderBy("__i"))
         kept = once.withColumn("__rank", rank).filter(F.col("__rank") <= max_rows)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("__i", F.ltrim("text").alias("t")))), lambda s: s["t"])
-    texts = kept.groupBy(*keys, "grp").agg(F.array_join(F.filter(lines, lambda t: t != ""), "\n").alias("text")).filter("text <> ''")
-    subtitles = texts.join(starts, [*keys, "grp"])
+    texts = kept.groupBy(*keys, "grp").agg(F.array_join(F.filter(lines, lambda t: t != ""), "\n").alias("text"), begun).filter("text <> ''")
+    # two scans below stand on the subtitles: they are few, the rows are read no more
+    subtitles = cut_lineage(texts)
     fresh = scan(subtitles, keys, ["grp"], span, __prev=Lag(F.col("text"))).filter(~F.col("__prev").eqNullSafe(F.col("text")))
-    followed = scan(fresh, keys, ["grp"], span, __next=Lead(F.col("start_ms"))).join(last_ms, keys)
+    followed = scan(cut_lineage(fresh), keys, ["grp"], span, __next=Lead(F.col("start_ms"))).join(last_ms, keys)
     hold = F.greatest(F.col("__last_ms"), F.col("start_ms") + MIN_MS)
     end = F.least(F.coalesce("__next", hold), F.col("start_ms") + MAX_MS)
     return followed.filter(end > F.col("start_ms")).select(

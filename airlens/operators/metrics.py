@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from airlens.functions.binary import U64, be64, u8
 from airlens.functions.text import escape_label, split_composite_label
 from airlens.operators import metric_catalog
-from airlens.operators.ordered import DEFAULT_SPAN, PriorMaxStruct, changes, scan
+from airlens.operators.ordered import DEFAULT_SPAN, RunPriorMax, scan
 
 # fixed values: wire layout and limits
 HEADER_BYTES, ID_BYTES, VERSION = 60, 32, 1
@@ -77,10 +77,8 @@ def accepted_snapshots(snapshots: DataFrame, span: int = DEFAULT_SPAN) -> DataFr
 
     A run is a stretch of one process start; rejected rows never change it, so a running maximum per run is exact.
     """
-    runs = scan(snapshots, INSTANCE, ["arrival"], span, __run=changes(F.col("process_start")))
-    top = scan(runs, INSTANCE, ["arrival"], span, __top=PriorMaxStruct(F.struct(F.col("__run").alias("run"), F.col("sequence").alias("seq"))))
-    same_run = F.coalesce(F.col("__top.run") == F.col("__run"), F.lit(False))
-    return top.withColumn("accepted", ~same_run | (F.col("sequence") > F.col("__top.seq"))).drop("__run", "__top")
+    top = scan(snapshots, INSTANCE, ["arrival"], span, __top=RunPriorMax(F.col("process_start"), F.col("sequence")))
+    return top.withColumn("accepted", F.col("__top").isNull() | (F.col("sequence") > F.col("__top"))).drop("__top")
 
 
 def latest_snapshots(snapshots: DataFrame, now_us: int | None = None, expiry_s: int = 30, span: int = DEFAULT_SPAN) -> DataFrame:

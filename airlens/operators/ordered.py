@@ -23,11 +23,14 @@ CHUNK = "__chunk"
 class _Op:
     expr: Column
 
-    def prepare(self, x: Column, rows) -> Column | None:
-        """Extra per-row column that summary and local both read as ``p``; needs one more window."""
-        return None
+    def columns(self, x: Column, rows, within: Callable, order: list[str]) -> list:
+        """Extra per-row columns that summary and local both read; a function makes one from the column before it.
 
-    def carries(self, df: DataFrame, s: str, c: str, chunks) -> DataFrame:
+        ``within(run)`` is a window over rows of the same chunk and run, still without an order.
+        """
+        return []
+
+    def carries(self, df: DataFrame, s: str, c: str, chunks, within: Callable) -> DataFrame:
         return df.withColumn(c, self.carry(F.col(s), chunks))
 
     def summary(self, x: Column, at: Column) -> Column:
@@ -102,16 +105,16 @@ class StepSum(_Op):
     step: Callable[[Column, Column], Column]
     start: Callable[[Column], Column]
 
-    def prepare(self, x, rows):
+    def columns(self, x, rows, within, order):
         inner = self.step(x, F.lag(x).over(rows)).cast("bigint")
-        return F.when(F.lag(F.lit(1)).over(rows).isNotNull(), inner)
+        return [F.when(F.lag(F.lit(1)).over(rows).isNotNull(), inner)]
 
     def summary(self, x, at, p):
         return F.struct(
             F.min_by(x, at).alias("head"), F.max_by(x, at).alias("tail"), F.coalesce(F.sum(p), F.lit(0).cast("bigint")).alias("inner")
         )
 
-    def carries(self, df, s, c, chunks):
+    def carries(self, df, s, c, chunks, within):
         head, before = F.col(f"{s}.head"), F.lag(F.col(f"{s}.tail")).over(chunks)
         border = F.when(F.lag(F.lit(1)).over(chunks).isNotNull(), self.step(head, before)).otherwise(self.start(head)).cast("bigint")
         bordered = df.withColumn("__border", border)
@@ -153,6 +156,65 @@ class PriorMaxStruct(PriorMax):
         return F.when(local.isNull() | (carry > local), carry).otherwise(local)
 
 
+@dataclass(frozen=True)
+class RunPriorMax(_Op):
+    """Largest ``value`` of the rows before this one in its run of equal ``expr``; null for the first row of a run.
+
+    A run count and a maximum in one pass: only the first run of a chunk needs the carry.
+    """
+
+    value: Column
+
+    def columns(self, x, rows, within, order):
+        starts = F.when(F.lag(F.lit(1)).over(rows).isNotNull() & ~x.eqNullSafe(F.lag(x).over(rows)), 1).otherwise(0)
+        return [starts, lambda p: F.sum(p).over(rows.rowsBetween(Window.unboundedPreceding, 0)), lambda p: self.value]
+
+    def summary(self, x, at, p, r, v):
+        last = F.max(F.struct(r.alias("run"), v.alias("value")))
+        return F.struct(F.min_by(x, at).alias("head"), F.max_by(x, at).alias("tail"), F.sum(p).alias("inner"), last.getField("value").alias("value"))
+
+    def carries(self, df, s, c, chunks, within):
+        before = F.lag(F.col(f"{s}.tail")).over(chunks)
+        fresh = F.lag(F.lit(1)).over(chunks).isNull() | ~F.col(f"{s}.head").eqNullSafe(before)
+        numbered = df.withColumn("__fresh", fresh).withColumn("__run", F.sum(F.col("__fresh").cast("bigint") + F.col(f"{s}.inner")).over(chunks.rowsBetween(Window.unboundedPreceding, 0)))
+        top = F.max(F.struct("__run", F.col(f"{s}.value").alias("value"))).over(chunks.rowsBetween(Window.unboundedPreceding, -1))
+        return numbered.withColumn(c, F.when(~F.col("__fresh"), top.getField("value"))).drop("__fresh", "__run")
+
+    def local(self, x, rows, p, r, v):
+        top = F.max(F.struct(r.alias("run"), v.alias("value"))).over(rows.rowsBetween(Window.unboundedPreceding, -1))
+        return F.struct((r == 0).alias("first_run"), F.when(top.getField("run") == r, top.getField("value")).alias("value"))
+
+    def merge(self, local, carry, first, last):
+        return F.when(local.getField("first_run"), F.greatest(local.getField("value"), carry)).otherwise(local.getField("value"))
+
+
+@dataclass(frozen=True)
+class SinceStart(_Op):
+    """Sum of ``expr`` from the latest row with ``start`` on, that row included; before any start, from the first row."""
+
+    start: Column
+
+    def columns(self, x: Column, rows, within: Callable, order: list[str]) -> list:
+        run = F.sum(F.coalesce(self.start, F.lit(False)).cast("int")).over(rows.rowsBetween(Window.unboundedPreceding, 0))
+        # a run is a stretch of the chunk's rows: they need another sort, but no other exchange
+        return [run, lambda r: F.sum(x).over(within(r).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))]
+
+    def summary(self, x, at, r, s):
+        return F.struct(F.max(r).alias("inner"), F.max_by(s, at).alias("value"))
+
+    def carries(self, df, s, c, chunks, within):
+        numbered = df.withColumn("__run", F.sum(F.col(f"{s}.inner")).over(chunks.rowsBetween(Window.unboundedPreceding, 0)))
+        whole = F.sum(F.col(f"{s}.value")).over(within(F.col("__run")).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0))
+        return numbered.withColumn("__whole", whole).withColumn(c, F.lag("__whole").over(chunks)).drop("__run", "__whole")
+
+    def local(self, x, rows, r, s):
+        return F.struct((r == 0).alias("first_run"), s.alias("value"))
+
+    def merge(self, local, carry, first, last):
+        zero = F.lit(0).cast("bigint")
+        return local.getField("value") + F.when(local.getField("first_run"), F.coalesce(carry, zero)).otherwise(zero)
+
+
 class LastKnown(_Op):
     """Last non-null value up to and including the row."""
 
@@ -211,10 +273,10 @@ def scan(
     rows = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     prepared = {}
     for name, op in columns.items():
-        extra = op.prepare(F.col(f"__x_{name}"), rows)
-        if extra is not None:
-            prepared[name] = [F.col(f"__p_{name}")]
-            base = base.withColumn(f"__p_{name}", extra)
+        for i, extra in enumerate(op.columns(F.col(f"__x_{name}"), rows, lambda run: Window.partitionBy(*keys, CHUNK, run), order)):
+            held = prepared.setdefault(name, [])
+            base = base.withColumn(f"__p{i}_{name}", extra(held[-1]) if callable(extra) and not isinstance(extra, Column) else extra)
+            held.append(F.col(f"__p{i}_{name}"))
 
     # one plain column keeps the summary a hash aggregate; a struct would need a sort
     at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
@@ -223,7 +285,7 @@ def scan(
     )
     chunks = Window.partitionBy(*keys).orderBy(CHUNK)
     for name, op in columns.items():
-        carries = op.carries(carries, f"__s_{name}", f"__c_{name}", chunks)
+        carries = op.carries(carries, f"__s_{name}", f"__c_{name}", chunks, lambda run: Window.partitionBy(*keys, run))
     carries = carries.select(*keys, CHUNK, *[f"__c_{name}" for name in columns])
 
     local = base.select(

@@ -6,12 +6,12 @@ integrity operators need only decoded columns, so payload bytes are never shuffl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlens.functions.binary import be, be16, bits, signed_delta, tail, u8
 from airlens.operators.greedy import greedy_marks
-from airlens.operators.ordered import DEFAULT_SPAN, First, Lag, LastKnown, PriorKnown, RunningSum, StepSum, asof_state, scan
+from airlens.operators.ordered import CHUNK, DEFAULT_SPAN, First, Lag, LastKnown, PriorKnown, RunningSum, StepSum, asof_state, scan
 from airlens.session import cut_lineage
 
 SYNC = 0x47
@@ -79,8 +79,7 @@ def continuity_errors(packets: DataFrame, keys: list[str] = ["capture", "pid"],
     A repeated counter is an error; a discontinuity flag excuses the packet that carries it.
     """
     prev = scan(packets.filter("has_payload = 1"), keys, ["pkt_no"], span, prev_cc=Lag(F.col("cc")))
-    bad = F.col("prev_cc").isNotNull() & (F.col("disc") == 0) & (F.col("cc") != (F.col("prev_cc") + 1).bitwiseAND(F.lit(15)))
-    return prev.withColumn("cc_error", bad.cast("int"))
+    return prev.withColumn("cc_error", _cc_error(F.col("cc"), F.col("disc"), F.col("prev_cc")))
 
 
 def pcr_discontinuities(pcr: DataFrame, keys: list[str] = ["capture"], time_us: str = "arrival_us", span: int = DEFAULT_SPAN) -> DataFrame:
@@ -89,12 +88,19 @@ def pcr_discontinuities(pcr: DataFrame, keys: list[str] = ["capture"], time_us:
     All comparisons are in integer ticks: one microsecond of wall time is 27 ticks.
     """
     prev = scan(pcr.filter("pcr27 IS NOT NULL"), keys, ["pkt_no"], span, prev_pcr=Lag(F.col("pcr27")), prev_us=Lag(F.col(time_us)))
-    d = F.pmod(F.col("pcr27") - F.col("prev_pcr"), F.lit(PCR_MODULUS))
-    wall = (F.col(time_us) - F.col("prev_us")) * 27
-    plausible = (
-        (wall > 0) & (d > 0) & (d < 60 * PCR_HZ) & (d < wall * 5 + PCR_HZ // 2) & (d * 10 > wall * 2 - PCR_HZ)
-    )
-    return prev.withColumn("pcr_jump", F.when(F.col("prev_pcr").isNull(), 0).otherwise((~plausible).cast("int")))
+    return prev.withColumn("pcr_jump", _jump(F.col("pcr27"), F.col(time_us), F.col("prev_pcr"), F.col("prev_us")))
+
+
+def _cc_error(cc: Column, disc: Column, prev: Column) -> Column:
+    return (prev.isNotNull() & (disc == 0) & (cc != (prev + 1).bitwiseAND(F.lit(15)))).cast("int")
+
+
+def _jump(clock: Column, us: Column, prev_clock: Column, prev_us: Column) -> Column:
+    """1 where a clock sample is not plausible against the one before it."""
+    d = F.pmod(clock - prev_clock, F.lit(PCR_MODULUS))
+    wall = (us - prev_us) * 27
+    plausible = (wall > 0) & (d > 0) & (d < 60 * PCR_HZ) & (d < wall * 5 + PCR_HZ // 2) & (d * 10 > wall * 2 - PCR_HZ)
+    return F.when(prev_clock.isNull(), 0).otherwise((~plausible).cast("int"))
 
 
 def ts_integrity(packets: DataFrame, clock_pids: DataFrame | None = None, span: int = DEFAULT_SPAN) -> DataFrame:
@@ -102,24 +108,46 @@ def ts_integrity(packets: DataFrame, clock_pids: DataFrame | None = None, span:
 
     ``clock_pids(capture, pid)`` names the pid whose clock is judged (at most one row per capture); without it
     every sample of a capture counts. A missing ``sync`` column means all packets are in sync.
+
+    Packets are read, dealt and sorted once: chunks of a capture count what lies inside them and note their first and last
+    counter of each pid and their first and last clock sample; a small table of these settles the borders.
     """
-    synced = packets.filter(F.col("sync") == SYNC) if "sync" in packets.columns else packets
-    sync_error = (F.col("sync") != SYNC).cast("int") if "sync" in packets.columns else F.lit(0)
-    totals = packets.groupBy("capture").agg(
-        F.sum(1 - sync_error).alias("packets"),
-        F.sum(sync_error).alias("sync_errors"),
-        F.sum(F.when(sync_error == 0, F.col("disc")).otherwise(0)).alias("discontinuities"),
-    )
-    cc = continuity_errors(synced.select("capture", "pid", "pkt_no", "has_payload", "disc", "cc"), span=span)
-    cc = cc.groupBy("capture").agg(F.sum("cc_error").alias("continuity_errors"))
-    clock = synced.select("capture", "pid", "pkt_no", "arrival_us", "pcr27")
+    good = F.col("sync") == SYNC if "sync" in packets.columns else F.lit(True)
+    clocked = F.col("pcr27").isNotNull() & good
+    rows = packets
     if clock_pids is not None:
-        clock = clock.join(clock_pids.select("capture", "pid"), ["capture", "pid"], "left_semi")
-    pcr = pcr_discontinuities(clock, span=span).groupBy("capture").agg(F.sum("pcr_jump").alias("pcr_discontinuities"))
-    return (
-        totals.join(cc, "capture", "left").join(pcr, "capture", "left").na.fill(0, ["continuity_errors", "pcr_discontinuities"])
-        .select("capture", "packets", "sync_errors", "continuity_errors", "discontinuities", "pcr_discontinuities")
+        rows = rows.join(clock_pids.select("capture", "pid", F.lit(True).alias("__clocked")), ["capture", "pid"], "left")
+        clocked = clocked & F.col("__clocked").isNotNull()
+    slim = rows.select(
+        "capture", "pid", "pkt_no", good.cast("int").alias("good"), "disc", F.expr(f"pkt_no div {span}").alias(CHUNK),
+        F.when(good & (F.col("has_payload") == 1), F.struct("pkt_no", "cc", "disc")).alias("c"), F.when(clocked, F.struct("pkt_no", "pcr27", F.col("arrival_us").alias("us"))).alias("p"),
+    )
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, -1)
+    # both windows and the sums below stand on one exchange by capture and chunk
+    dealt = slim.repartition("capture", CHUNK)
+    seen = dealt.withColumn("__p", F.last("p", ignorenulls=True).over(before("capture", CHUNK))).withColumn("__c", F.last("c", ignorenulls=True).over(before("capture", CHUNK, "pid")))
+    inner_cc = F.when(F.col("c").isNotNull(), _cc_error(F.col("c.cc"), F.col("c.disc"), F.col("__c.cc")))
+    inner_jump = F.when(F.col("p").isNotNull(), _jump(F.col("p.pcr27"), F.col("p.us"), F.col("__p.pcr27"), F.col("__p.us")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    chunks = cut_lineage(
+        seen.groupBy("capture", CHUNK, "pid").agg(
+            F.sum("good").alias("packets"), F.sum(1 - F.col("good")).alias("sync_errors"), zero(F.sum(F.when(F.col("good") == 1, F.col("disc")))).alias("discontinuities"),
+            zero(F.sum(inner_cc)).alias("cc"), zero(F.sum(inner_jump)).alias("jumps"), F.min("c").alias("c_head"), F.max("c").alias("c_tail"), F.min("p").alias("p_head"), F.max("p").alias("p_tail"),
+        )
     )
+    totals = chunks.groupBy("capture").agg(*[F.sum(c).alias(c) for c in ("packets", "sync_errors", "discontinuities", "cc", "jumps")])
+    pids = chunks.where("c_head IS NOT NULL").withColumn("__c", F.lag("c_tail.cc").over(Window.partitionBy("capture", "pid").orderBy(CHUNK)))
+    cc = pids.groupBy("capture").agg(F.sum(_cc_error(F.col("c_head.cc"), F.col("c_head.disc"), F.col("__c"))).alias("__cc"))
+    clocks = chunks.where("p_head IS NOT NULL").groupBy("capture", CHUNK).agg(F.min("p_head").alias("head"), F.max("p_tail").alias("tail"))
+    clocks = clocks.withColumn("__p", F.lag("tail").over(Window.partitionBy("capture").orderBy(CHUNK)))
+    pcr = clocks.groupBy("capture").agg(F.sum(_jump(F.col("head.pcr27"), F.col("head.us"), F.col("__p.pcr27"), F.col("__p.us"))).alias("__p"))
+    return (
+        totals.join(cc, "capture", "left").join(pcr, "capture", "left")
+        .select(
+            "capture", "packets", "sync_errors", (F.col("cc") + zero(F.col("__cc"))).alias("continuity_errors"), "discontinuities",
+            (F.col("jumps") + zero(F.col("__p"))).alias("pcr_discontinuities"),
+        )
+    )
 
 
 def unwrap(df: DataFrame, keys: list[str], order: list[str], col: str, width: int, span: int = DEFAULT_SPAN) -> DataFrame:

@@ -65,6 +65,25 @@ def test_greedy_marks_equal_a_fold(spark, rising, strict):
             assert [r.marked for r in got.filter(F.col("k") == k).orderBy("i").collect()] == want[k]
 
 
+@pytest.mark.parametrize("span", [1, 6, 40, 100000])
+def test_sums_and_maxima_within_runs(spark, span):
+    rnd = random.Random(21)
+    data, sums, tops = [], {}, {}
+    for k in "ab":
+        run, top, total = None, None, 0
+        for i in range(300):
+            r, v, begins = rnd.choice([0, 0, 0, 1]) + i // 50, rnd.randrange(100), rnd.random() < 0.05
+            total = v if begins else total + v
+            top = None if r != run else top
+            tops[k, i], sums[k, i] = top, total
+            run, top = r, v if top is None else max(top, v)
+            data.append((k, i, r, v, begins))
+    df = spark.createDataFrame(data, "k string, i bigint, r int, v bigint, begins boolean")
+    got = o.scan(df, ["k"], ["i"], span, total=o.SinceStart(F.col("v"), F.col("begins")), top=o.RunPriorMax(F.col("r"), F.col("v"))).collect()
+    assert {(x.k, x.i): x.total for x in got} == sums
+    assert {(x.k, x.i): x.top for x in got} == tops
+
+
 def test_states_go_down_a_tree_of_maps(spark):
     """Hundreds of chunks with gaps and a null key: clamps x -> min(max(x + a, low), high) compose to clamps."""
     rnd = random.Random(11)

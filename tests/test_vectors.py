@@ -380,6 +380,22 @@ def test_slots_of_both_families_and_ignored_ssrc(spark):
     assert {r.request: r.channel for r in repair.resolve_channel(requests, channels, 40000, 384).collect()} == {1: "six", 2: "six", 3: None, 4: "six"}
 
 
+def test_units_as_parts_and_units_without_end(spark):
+    """A pid that starts once and never again gives parts, its size and no value; other units are joined as ever."""
+    head = b"\x00\x00\x01\xe0\x00\x00\x80\x00\x00"
+    rows = [(0, 256, i, int(i == 2), (head if i == 2 else b"") + bytes([i]) * 100) for i in range(200)]
+    rows += [(0, 257, 1000 + i, int(i % 3 == 0), (head if i % 3 == 0 else b"") + bytes([i]) * 10) for i in range(30)]
+    rows += [(0, 258, 2000 + i, int(i in (0, 4)), (b"bad start" if i == 0 else head if i == 4 else b"") + b"x") for i in range(8)]
+    df = spark.createDataFrame([(*r[:4], bytearray(r[4])) for r in rows], "capture int, pid int, pkt_no bigint, pusi int, payload binary")
+    for span in (7, 1 << 18):
+        units = {(r.pid, r.pes_no): r for r in media.assemble_pes(df, span, unit_bytes=5000).collect()}
+        long = units.pop((256, 1))
+        assert (long.size, long.es, long.first_pkt_no) == (19_800, None, 2)
+        assert {k: bytes(r.es) for k, r in units.items()} == {(258, 2): b"xxxx"} | {(257, n + 1): b"".join(bytes([3 * n + i]) * 10 for i in range(3)) for n in range(10)}
+        parts = media.pes_parts(df, span).where("pid = 256").orderBy("at").collect()
+        assert [p.at for p in parts] == list(range(0, 19_800, 100)) and b"".join(bytes(p.part) for p in parts) == b"".join(bytes([i]) * 100 for i in range(2, 200))
+
+
 def test_remux_and_selection_outcomes(spark):
     programs = spark.createDataFrame([(1, 100), (2, 100), (2, 200)], "capture int, pmt_pid int")
     outcome = lambda sel: {r.capture: r.outcome for r in psi.program_selection(programs, sel).collect()}

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from airlens.functions.once import evaluate_once
 from airlens.llm.work import written
 
-#: Texts below hold their characters by place, below the second bound syncmers of characters, from the third on of words.
-PLACES, CHARACTERS, WORDS = 100, 400, 200
+#: Texts below hold their characters by place, too, and below the second bound syncmers of characters.
+PLACES, CHARACTERS = 100, 400
 PARTS = ("places", "characters", "words")
 
 
@@ -43,14 +43,13 @@ def _closed(inner: Column, reach: int) -> Column:
 def sketched(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with ``name``: a struct of the three parts of column ``text`` (not null), each all anchors as (hash, place).
 
-    ``words``: closed syncmers of 6 words over pairs of words, in texts of 200 characters or more. ``characters``: of 12
-    characters over groups of 4, in texts under 400 and in those whose words have 40 characters or more on average.
-    ``places``: every character, in texts under 100. Bounds overlap, so a text and an edit of it share a part. A part is
-    as long as its text makes it.
+    ``words``: closed syncmers of 6 words over pairs of words, in every text. ``characters``: of 12 characters over groups
+    of 4, too, in texts under 400 and in those whose words have 40 characters or more on average. ``places``: every
+    character, too, in texts under 100: a few words may hold no syncmer. A part is as long as its text makes it.
     """
     none = F.array().cast("array<bigint>")
     n, words = F.char_length(text), F.split(F.col(text), r"[\x09-\x0D ]+")
-    df = evaluate_once(df, "_w", F.when(n >= WORDS, F.transform(words, lambda x: F.xxhash64(x))).otherwise(none))
+    df = evaluate_once(df, "_w", F.transform(words, lambda x: F.xxhash64(x)))
     short = (n < CHARACTERS) | (n > 40 * F.size("_w"))
     df = evaluate_once(df, "_c", F.when(short & (n > 0), F.transform(F.split(F.col(text), ""), lambda x: F.xxhash64(x))).otherwise(none))
     df = evaluate_once(df, "_w", _hashes(F.col("_w"), 2))
@@ -118,7 +117,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last ``floor(n_chars / 3)`` characters replaced by as many first ones of the next document's
     text (or all of it, if it has fewer): the next in descending doc_id, the first after the last. Columns: doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and ``links``, what ``likeness`` compares.
 
     Texts are shuffled once, by doc_id and a hash; a third of each and its links are sent on to the document before it. Null text is empty:
     its fingerprint has empty parts. Rows of one doc_id follow each other by a hash of their text; rows equal in both count
@@ -150,6 +149,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
             likeness(F.col("own_links"), links(F.col("edited_sketch"))).alias("near_edited"),
             likeness(F.col("own_links"), F.col("next_links")).alias("near_next"),
+            F.col("own_links").alias("links"),
             F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"),
         )
         .drop("nth")

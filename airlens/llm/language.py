@@ -71,18 +71,20 @@ def fit(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridg
 def train(docs: DataFrame, sample: int = SAMPLE, left_out: tuple[int, int] = (4, 2)) -> Model:
     """A model from documents with a language whose crc32(doc_id as text) modulo ``left_out[0]`` is not ``left_out[1]``.
 
-    At most ``sample`` rows over all languages, alike for each, chosen by hash: only their ids (a bounded table) travel.
+    At most ``sample`` rows over all languages, alike for each, chosen by hash: only their ids (a bounded table) travel. Of
+    rows that share a doc_id the one with the smallest hash of text and language counts, so their order does not matter.
     """
     modulus, held = left_out
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (work.crc_mod("doc_id", modulus) != held))
-    usable = usable.select("doc_id", "lang").dropDuplicates(["doc_id"])
-    n = usable.select("lang").distinct().count()
-    chosen = F.broadcast(bounded_per_class(usable, "lang", max(1, sample // max(1, n))))
+    usable = usable.select("doc_id", "lang", "text", F.xxhash64("text", "lang").alias("h"))
+    one = usable.groupBy("doc_id").agg(F.min(F.struct("h", "lang")).alias("m")).select("doc_id", "m.lang")
+    n = one.select("lang").distinct().count()
+    chosen = F.broadcast(bounded_per_class(one, "lang", max(1, sample // max(1, n))).select("doc_id"))
 
     def run(languages, texts):
         return {"lang": languages, "found": [np.packbits(spectrum(t)).tobytes() for t in texts]}
 
-    joined = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    joined = usable.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("h", "lang", "text")).alias("m")).select("m.lang", "m.text")
     found = work.map_batches(joined, run, "lang string, found binary", "lang", "text").toArrow()
     pairs = sorted(zip(found["lang"].to_pylist(), found["found"].to_pylist(), strict=True), key=lambda p: (xxhash.xxh3_64_intdigest(p[1]), p[0]))
     rows = np.array([np.unpackbits(np.frombuffer(p, np.uint8)) for _, p in pairs], bool).reshape(len(pairs), 1 << BITS)

@@ -187,13 +187,14 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that bear the smallest doc_id of their component, one row for each; all columns stay.
 
     Rows without a doc_id take part under an id above all others that follows from their text. Rows equal in doc_id and text
-    are one document.
+    are one document. Other columns may have any names.
     """
     spare = F.xxhash64("text", F.lit(1)).bitwiseAND((1 << 61) - 1) + F.lit(1 << 62)
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", spare)).withColumn("_hash", F.xxhash64("text"))
-    found = near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"), size, percent)
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return keyed.join(kept, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    own, hashed = work.unused("_id", docs.columns), work.unused("_hash", docs.columns)
+    keyed = docs.withColumn(own, F.coalesce("doc_id", spare)).withColumn(hashed, F.xxhash64("text"))
+    found = near_duplicates(keyed.select(F.col(own).alias("doc_id"), "text"), size, percent)
+    kept = found.where("kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
+    return keyed.join(kept, [own, hashed]).dropDuplicates([own, hashed]).select(*docs.columns)
 
 
 def _packed_texts(docs: DataFrame, signed: DataFrame, needed: DataFrame, size: int) -> DataFrame:

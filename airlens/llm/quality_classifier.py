@@ -152,8 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, left_out: tu
     def run(quality, texts):
         return {"quality": quality, "found": [indicators(t).astype("<u4").tobytes() for t in texts]}
 
-    # First rows of repeated ids only: the sample's bound holds for documents, too.
-    found = work.map_batches(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]), run, "quality int, found binary", "quality", "text").toArrow()
+    # One row of repeated ids, the smallest by a hash of its text: the sample's bound holds for documents, too.
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(chosen, "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "text")).alias("m")).select("quality", "m.text")
+    found = work.map_batches(texts, run, "quality int, found binary", "quality", "text").toArrow()
     rows = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in found["found"]]
     quality = np.array(found["quality"].to_pylist(), np.int64)
     order = sorted(range(len(rows)), key=lambda i: (quality[i], xxhash.xxh3_64_intdigest(rows[i].tobytes())))

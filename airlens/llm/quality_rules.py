@@ -12,11 +12,20 @@ SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Marks between the entries of menus and link lists.
 SEPARATORS = "|>»›•·→"
-#: Phrases of page furniture and licences, in lower case.
+#: Phrases of page furniture and licences in several languages, in lower case. Fixed values.
 PHRASES = (
-    "all rights reserved", "licensed under", "copyright", "privacy policy", "cookie", "terms of use", "terms of service", "javascript", "click here", "read more",
+    "all rights reserved", "licensed under", "copyright", "privacy policy", "cookie", "cookies", "terms of use", "terms of service", "javascript", "click here", "read more",
     "sign up", "log in", "sign in", "subscribe", "share on", "follow us",
+    "alle rechte vorbehalten", "urheberrecht", "impressum", "nutzungsbedingungen", "mehr lesen", "weiterlesen", "jetzt anmelden",
+    "tous droits réservés", "mentions légales", "conditions d utilisation", "lire la suite", "se connecter",
+    "todos los derechos reservados", "aviso legal", "leer más", "iniciar sesión",
 )
+#: A phrase fails a line of so many words at most, or one of which its words are so large a part.
+SHORT_LINE, PHRASE_PART = 12, 8
+#: As words stand in ``_spelled``: two spaces between words, one at each end of a phrase.
+_PADDED = [(" " + "  ".join(p.split()) + " ", len(p.split())) for p in PHRASES]
+_RAREST = sorted({max(p.split(), key=len) for p in PHRASES})
+_BETWEEN = regex.compile(r"[^\p{L}\p{N}]+")
 LOWER, UPPER = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
 ENDING = regex.compile(r"[.!?…:;][\"'”’»)\]]*$")
 WINDOW = 8
@@ -26,7 +35,7 @@ def passes(line: str, words: list[str]) -> bool:
     """Whether a line with words holds under the rules that look at it alone.
 
     Punctuation: under 8 words without a closing mark is a fragment, and so is a line of 4 words or more in capitals.
-    Navigation: a separator for every 4 words. Boilerplate: a known phrase. Noise: 3 symbols for every 10 words, or 3 of
+    Navigation: a separator for every 4 words. Boilerplate: ``furniture``. Noise: 3 symbols for every 10 words, or 3 of
     10 words (of 4 at least) that repeat the word before them.
     """
     n = len(words)
@@ -38,8 +47,20 @@ def passes(line: str, words: list[str]) -> bool:
         return False
     if n >= 4 and 10 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > 3 * n:
         return False
+    return not furniture(line, n)
+
+
+def furniture(line: str, n: int) -> bool:
+    """Whether known phrases make a line of ``n`` words page furniture: it is short, or they are an eighth of it.
+
+    Phrases are whole words, whatever stands between them, so prose that mentions one is left alone.
+    """
     low = line.lower()
-    return not any(p in low for p in PHRASES)
+    if not any(w in low for w in _RAREST):
+        return False
+    spelled = "  " + _BETWEEN.sub("  ", low) + "  "
+    words = sum(spelled.count(p) * size for p, size in _PADDED)
+    return words > 0 and (n <= SHORT_LINE or PHRASE_PART * words >= n)
 
 
 def split_words(text: str) -> list[str]:
@@ -132,7 +153,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return work.select_rows(docs, run)
 
 
-_LIKE = "|".join(PHRASES)
+_COUNTED = " + ".join(f"{size} * ((length(spelled) - length(replace(spelled, '{p}', ''))) // {len(p)})" for p, size in _PADDED)
 #: The same verdicts in SQL (RE2 patterns), for tables of moderate size.
 SQL = rf"""
 WITH doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -143,6 +164,7 @@ repeats AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, (
 cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM doc),
 line AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM cut),
 worded AS (SELECT *, len(w) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again FROM line WHERE len(w) > 0),
+phrased AS (SELECT *, {_COUNTED} AS furniture FROM (SELECT *, '  ' || regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', '  ', 'g') || '  ' AS spelled FROM worded)),
 judged AS (
   SELECT doc_id, n, again, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS size,
     again
@@ -151,8 +173,8 @@ judged AS (
     OR 4 * length(regexp_replace(line, '[^|>»›•·→]', '', 'g')) >= n
     OR 10 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) >= 3 * n
     OR (n >= 4 AND 10 * len(list_filter(range(2, n + 1), lambda k: w[k] = w[k - 1])) > 3 * n)
-    OR regexp_matches(lower(line), '{_LIKE}') AS failed
-  FROM worded),
+    OR (furniture > 0 AND (n <= {SHORT_LINE} OR {PHRASE_PART} * furniture >= n)) AS failed
+  FROM phrased),
 total AS (SELECT doc_id, sum(n) AS n_words, sum(size) AS word_chars, sum(again::INT) AS n_dup_lines, sum(CASE WHEN failed THEN size ELSE 0 END) AS lost FROM judged GROUP BY doc_id),
 base AS (
   SELECT doc.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,

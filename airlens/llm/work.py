@@ -101,6 +101,14 @@ def select_rows(df: DataFrame, fn: Callable[[list], tuple]) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as make it none of ``columns`` (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def raw(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -80,3 +80,15 @@ def test_every_anchor_and_its_place_count(spark):
     near = {r.id: r.near for r in made.join(first).select("id", fp.likeness(F.col("l"), F.col("l0")).alias("near")).collect()}
     moved, gaps = near[len(variants) - 2], near[len(variants) - 1]
     assert near[0] == 1 and min(near[i] for i in range(1, len(variants) - 2)) > 0.98 and moved > 0.97 and gaps < 0.7
+
+
+def test_no_size_parts_two_texts(spark, make):
+    """Texts of very different lengths share the part of words, and likeness follows from the returned links."""
+    words = [f"word{i}" for i in range(400)]
+    whole = " ".join(words)
+    docs = make([(2, whole[:90]), (1, whole[:410])])
+    rows = {r.doc_id: r for r in fp.fingerprints(docs).collect()}
+    assert rows[2].near_next > 0
+    links = {i: set(r.links.words) for i, r in rows.items()}
+    assert len(links[2] & links[1]) / len(links[2] | links[1]) <= rows[2].near_next
+    assert rows[2].links.words and rows[1].links.words

@@ -119,3 +119,31 @@ def test_one_product_equals_the_kernel_expansion():
     k_nm, k_mm = language.kernel(rows, own).astype(float), language.kernel(own, own).astype(float)
     dual = np.linalg.solve(k_nm.T @ k_nm + 1e-2 * 40 / 100 * k_mm + 1e-6 * np.eye(12), k_nm.T @ target)
     assert np.allclose(k_nm @ dual, model.margins(rows), atol=1e-3)
+
+
+def test_phrases_in_prose_are_no_furniture():
+    """A long article on one line may mention what page furniture says; short lines and lines full of it may not."""
+    prose = "The students assign in class what they design in turn, and people read more books about one cookie or the catalog in print. "
+    article = prose + " ".join(f"Sentence{i} tells{i} of something{i} else entirely{i}, in plain{i} words{i}." for i in range(60))
+    assert quality_rules.judge(article)["lost_chars"] == 0 and quality_rules.judge(article)["kept"]
+    for line in ("Click here.", "Copyright 2020 Somebody. All rights reserved.", "Licensed under the terms of a licence, see the file.", "Alle Rechte vorbehalten.", "Lire la suite.", "This site uses cookies."):
+        assert not quality_rules.passes(line, line.split()), line
+    for line in ("We design in the open and keep a catalog in the hall for whoever may want to look.", "Cookiecutters are sold here."):
+        assert quality_rules.passes(line, line.split()), line
+    links = " ".join(["Privacy policy, terms of use, log in."] * 4)
+    assert quality_rules.furniture(links, len(links.split()))
+
+
+def test_training_rows_do_not_depend_on_their_order(spark):
+    """Repeated ids with other texts and languages, in three orders of the rows: one model each."""
+    words = {"en": "the house and the garden", "de": "das haus und der garten", "fr": "la maison et le jardin"}
+    rows = [(i, f"{words[g]} {i} {k}", g) for i in range(60) for k, g in enumerate(("en", "de", "fr")[: 1 + i % 3])]
+    quality = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    found = set()
+    for seed in range(3):
+        np.random.default_rng(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(seed + 1)
+        model = language.train(docs)
+        scores = quality_classifier.score(docs, quality_classifier.train(docs, quality)).orderBy("doc_id", "score").collect()
+        found.add((tuple(model.languages), model.weight.tobytes(), tuple(r.score for r in scores)))
+    assert len(found) == 1

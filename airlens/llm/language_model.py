@@ -22,6 +22,8 @@ STEP, BATCH = 0.6, 256
 MERGE = 32
 #: Words whose counts travel to every task; the others are looked up by a join. How many do changes no result.
 NEAR = 1 << 17
+#: Places scored at once.
+SLICE = 1 << 12
 
 
 @dataclass
@@ -63,18 +65,17 @@ class Net:
             at += size
         return cls(*parts)
 
-    def _forward(self, around: np.ndarray, token: np.ndarray):
-        x = self.vectors[around].reshape(len(around), -1)
-        h = np.tanh(x @ self.inner + self.inner_bias)
-        a = h @ self.high + self.high_bias
-        g = np.tanh(h + self.given[token // SIDE])
-        b = g @ self.low + self.low_bias
-        return x, h, _log_softmax(a), g, _log_softmax(b)
+    def _hidden(self, around: np.ndarray) -> np.ndarray:
+        """The hidden layer: each place around has a table of what a token there adds, so nothing is multiplied per place."""
+        out = self.inner_bias
+        for i in range(2 * REACH):
+            out = out + (self.vectors @ self.inner[i * WIDTH : (i + 1) * WIDTH])[around[:, i]]
+        return np.tanh(out)
 
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural logarithm of each token's probability given its neighbours."""
         high, low = token // SIDE, token % SIDE
-        h = np.tanh(self.vectors[around].reshape(len(around), -1) @ self.inner + self.inner_bias)
+        h = self._hidden(around)
         first = _chosen(h @ self.high + self.high_bias, high)
         return first + _chosen(np.tanh(h + self.given[high]) @ self.low + self.low_bias, low)
 
@@ -82,38 +83,47 @@ class Net:
         """One pass of gradient steps over masked places, ``BATCH`` at a time."""
         for at in range(0, len(token), BATCH):
             ctx, tok = around[at : at + BATCH], token[at : at + BATCH]
-            x, h, a, g, b = self._forward(ctx, tok)
-            n = np.float32(len(tok))
-            rows, hi, lo = np.arange(len(tok)), tok // SIDE, tok % SIDE
-            da, db = np.exp(a), np.exp(b)
+            n = len(tok)
+            rows, hi, lo, each = np.arange(n), tok // SIDE, tok % SIDE, np.ones(n, np.float32)
+            x = self.vectors[ctx].reshape(n, -1)
+            h = np.tanh(x @ self.inner + self.inner_bias)
+            g = np.tanh(h + self.given[hi])
+            da, db = _softmax(h @ self.high + self.high_bias), _softmax(g @ self.low + self.low_bias)
             da[rows, hi] -= 1
             db[rows, lo] -= 1
             dg = (db @ self.low.T) * (1 - g * g)
             dh = (da @ self.high.T + dg) * (1 - h * h)
             dx = (dh @ self.inner.T).reshape(-1, WIDTH)
-            rate = np.float32(STEP)
-            self.low -= rate / n * (g.T @ db)
-            self.low_bias -= rate / n * db.sum(0)
-            self.high -= rate / n * (h.T @ da)
-            self.high_bias -= rate / n * da.sum(0)
-            of_digit = np.zeros((len(tok), SIDE), np.float32)
+            rate = np.float32(STEP / n)
+            self.low -= rate * (g.T @ db)
+            self.low_bias -= rate * (each @ db)
+            self.high -= rate * (h.T @ da)
+            self.high_bias -= rate * (each @ da)
+            of_digit = np.zeros((n, SIDE), np.float32)
             of_digit[rows, hi] = 1
-            self.given -= rate / n * (of_digit.T @ dg)
-            self.inner -= rate / n * (x.T @ dh)
-            self.inner_bias -= rate / n * dh.sum(0)
-            np.subtract.at(self.vectors, ctx.ravel(), rate / np.sqrt(n) * dx)
+            self.given -= rate * (of_digit.T @ dg)
+            self.inner -= rate * (x.T @ dh)
+            self.inner_bias -= rate * (each @ dh)
+            # what a token's places add, summed up by sorted runs
+            flat = ctx.ravel()
+            order = np.argsort(flat, kind="stable")
+            held = flat[order]
+            starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+            self.vectors[held[starts]] -= np.float32(STEP / np.sqrt(n)) * np.add.reduceat(dx[order], starts, axis=0)
 
 
-def _chosen(x: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """The chosen entry of each row of ``_log_softmax(x)``, without the others."""
-    top = x.max(1)
-    picked = x[np.arange(len(x)), index]
-    return picked - top - np.log(np.exp(x - top[:, None]).sum(1))
+_ONES = np.ones(SIDE, np.float32)
+
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(1, keepdims=True)) if np.ptp(x) > 60 else np.exp(x - x.max())
+    return x / (x @ _ONES)[:, None]
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+def _chosen(x: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The chosen entry of each row of the logarithm of the softmax of ``x``, without the others."""
+    top = x.max(1) if np.ptp(x) > 60 else np.full(len(x), x.max(), x.dtype)
+    return x[np.arange(len(x)), index] - top - np.log(np.exp(x - top[:, None]) @ _ONES)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -173,17 +183,24 @@ class Shares:
                 self.class_log[token] = -np.log(n + 1.0)
         self.near = near
 
-    def of(self, words: list[bytes], tokens: np.ndarray) -> tuple[float, Counter]:
-        """Sum over a text, but for ``ln n`` of the words that are not near; those, with their counts."""
-        logs = [self.near.get(words[i], words[i]) for i in np.flatnonzero(tokens >= FREQUENT)]
-        far = Counter(x for x in logs if type(x) is bytes)
-        return float(self.class_log[tokens].sum()) + sum(x for x in logs if type(x) is not bytes), far
+    def of(self, words: list[bytes], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the logarithm of its share, but for ``ln n`` where it is not near, and whether that is so."""
+        logs = self.class_log[tokens]
+        far = np.zeros(len(words), bool)
+        for i in np.flatnonzero(tokens >= FREQUENT).tolist():
+            log = self.near.get(words[i])
+            if log is None:
+                far[i] = True
+            else:
+                logs[i] += log
+        return logs, far
 
 
 def least_near(counts: DataFrame, most: int) -> int:
     """The smallest count that ``most`` words at most reach."""
     reach, least = 0, 1 << 62
-    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.n):
+    # every count is that of a word at least, so no more of them can be needed
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most + 1).collect():
         reach += r.words
         if reach > most:
             break
@@ -216,7 +233,51 @@ def masked(around: np.ndarray, tokens: np.ndarray, part: int, parts: int) -> np.
     return spot % np.uint64(parts) == part
 
 
-def _train_round(docs: DataFrame, tokens, net, part: int, parts: int) -> np.ndarray:
+@dataclass
+class Corpus:
+    """Texts as token numbers: ``table(row, doc_id, tokens, part, far)``, written once and read by every round.
+
+    ``tokens``: two bytes a word. ``part``: the sum of the words' shares of their classes, but for the words in ``far`` (with
+    their counts in the text), whose corpus counts, all under ``least``, are looked up by a join.
+    """
+
+    words: list[bytes]
+    counts: DataFrame
+    table: DataFrame
+    least: int
+
+
+def corpus(docs: DataFrame, near: int = NEAR, words: list[bytes] | None = None, counts: DataFrame | None = None) -> Corpus:
+    """The texts of ``docs(doc_id, text)`` in numbers of ``words`` (by default their own most frequent ones), with shares by
+    ``counts`` (by default their own). ``near`` words at most are sent to all tasks with their counts."""
+    context = docs.sparkSession.sparkContext
+    counts = word_counts(docs) if counts is None else counts
+    words = most_frequent(counts) if words is None else words
+    tokens = context.broadcast(Tokens(words))
+    least = least_near(counts, near)
+    shares = context.broadcast(shares_of(counts, tokens, least))
+
+    def run(ids, texts):
+        split = [work.words_of(work.raw(t).lower()) for t in texts]
+        distinct = list(set().union(*split))
+        index = {w: i for i, w in enumerate(distinct)}.__getitem__
+        number = tokens.value.of_words(distinct)
+        logs, away = shares.value.of(distinct, number)
+        number = number.astype("<u2")
+        packed, parts, far = [], [], []
+        for w in split:
+            at = np.fromiter(map(index, w), np.int64, len(w))
+            packed.append(number[at].tobytes())
+            parts.append(float(logs[at].sum()))
+            far.append([{"word": distinct[i], "k": k} for i, k in Counter(at[away[at]].tolist()).items()])
+        return {"doc_id": ids, "tokens": packed, "part": parts, "far": far}
+
+    schema = "doc_id bigint, tokens binary, part double, far array<struct<word:binary, k:bigint>>"
+    table = work.written(work.map_batches(docs, run, schema, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    return Corpus(words, counts, table, least)
+
+
+def _train_round(table: DataFrame, net, part: int, parts: int) -> np.ndarray:
     """Mean of the networks that tasks train on their documents, weighed by masked places.
 
     Every document takes part, and every place of it is masked in one of the ``parts`` rounds. The networks of tasks are
@@ -227,10 +288,10 @@ def _train_round(docs: DataFrame, tokens, net, part: int, parts: int) -> np.ndar
         import pyarrow as pa
 
         own, seen = Net.of(net.value), 0
-        for batch in batches:
+        for batch in work.slices(batches):
             contexts, targets = [], []
-            for text in batch.column("text").to_pylist():
-                t = tokens.value.of(text)
+            for packed in batch.column("tokens").to_pylist():
+                t = np.frombuffer(packed, "<u2").astype(np.int64)
                 if not len(t):
                     continue
                 around = windows(t)
@@ -256,7 +317,7 @@ def _train_round(docs: DataFrame, tokens, net, part: int, parts: int) -> np.ndar
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["total", "n"])
 
-    sums = work.written(docs.select("text").mapInArrow(learn, "total binary, n bigint"))
+    sums = work.written(table.select("tokens").mapInArrow(learn, "total binary, n bigint"))
     while (left := sums.count()) > MERGE:
         sums = work.written(sums.repartition(-(-left // MERGE)).mapInArrow(add, "total binary, n bigint"))
     rows = sums.collect()
@@ -265,55 +326,59 @@ def _train_round(docs: DataFrame, tokens, net, part: int, parts: int) -> np.ndar
     return (sum(np.frombuffer(r.total) for r in rows) / sum(r.n for r in rows)).astype(np.float32)
 
 
-def train(docs: DataFrame, rounds: int = 2) -> tuple[list[bytes], np.ndarray, DataFrame]:
-    """Frequent words, weights of a network trained on every place of all documents, in rounds with a common mean after each, and word counts."""
-    context = docs.sparkSession.sparkContext
-    counts = word_counts(docs)
-    words = most_frequent(counts)
-    tokens, weights = context.broadcast(Tokens(words)), Net.start().flat()
+def fit(texts: Corpus, rounds: int = 2) -> np.ndarray:
+    """Weights of a network trained on every place of all texts, in rounds with a common mean after each.
+
+    A task trains its own network on the rows it holds, from the mean of the round before: so another dealing of rows to
+    tasks gives another network, as another order of its samples gives any network that steps train. The dealing is that
+    of the written table's files, alike when the same files are read again.
+    """
+    context = texts.table.sparkSession.sparkContext
+    weights = Net.start().flat()
     for part in range(rounds):
-        weights = _train_round(docs, tokens, context.broadcast(weights), part, rounds)
-    return words, weights, counts
+        weights = _train_round(texts.table, context.broadcast(weights), part, rounds)
+    return weights
+
+
+def train(docs: DataFrame, rounds: int = 2) -> tuple[list[bytes], np.ndarray, DataFrame]:
+    """Frequent words, ``fit`` weights and word counts of ``docs``."""
+    texts = corpus(docs)
+    return texts.words, fit(texts, rounds), texts.counts
 
 
 def pseudo_likelihood(docs: DataFrame, words: list[bytes], weights: np.ndarray, counts: DataFrame | None = None, near: int = NEAR) -> DataFrame:
+    """``scores`` of ``docs`` under words, weights and counts of a corpus, its own or another (``train``)."""
+    return scores(corpus(docs, near, words, counts), weights)
+
+
+def scores(texts: Corpus, weights: np.ndarray) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood, pseudo_perplexity`` of every row.
 
     Each token of the whole text is masked in turn and predicted from both sides; the document's score is the sum of the
-    natural logarithms of these probabilities. A word that is not among ``words`` has the probability of its class times
-    its share of the class by ``counts`` (word_counts of the corpus; by default of ``docs``); a word the corpus lacks counts
-    as one that stands there once. ``near`` words at most are sent to all tasks, the rest of the texts' words meets its
-    counts in a join. Null texts and texts without words: 0 tokens, sum 0, the others null. Rows are scored one by one, so
-    repeated rows and null ids come out as they are; other columns are ignored.
+    natural logarithms of these probabilities. A word that is not among the frequent ones has the probability of its class
+    times its share of the class by the counts; a word the counts lack counts as one that stands there once. Null texts and
+    texts without words: 0 tokens, sum 0, the others null. Rows are scored one by one, so repeated rows and null ids come
+    out as they are; other columns are ignored.
     """
-    context = docs.sparkSession.sparkContext
-    counts = word_counts(docs) if counts is None else counts
-    tokens, net = context.broadcast(Tokens(words)), context.broadcast(weights)
-    least = least_near(counts, near)
-    shares = context.broadcast(shares_of(counts, tokens, least))
+    net = texts.table.sparkSession.sparkContext.broadcast(weights)
 
-    def run(ids, texts):
+    def run(rows, ids, packed, parts):
         model = Net.of(net.value)
-        sums, sizes, far = [], [], []
-        for text in texts:
-            w = work.words_of(work.raw(text).lower())
-            t = tokens.value.of_words(w)
-            total, others = shares.value.of(w, t)
-            for at in range(0, len(t), 1 << 14):  # long texts in slices, with their neighbours
-                lo, hi = max(0, at - REACH), min(len(t), at + (1 << 14) + REACH)
-                around = windows(t[lo:hi])[at - lo :][: 1 << 14]
-                total += float(model.log_probability(around, t[at : at + (1 << 14)]).sum(dtype=np.float64))
+        sums, sizes = [], []
+        for data, total in zip(packed, parts, strict=True):
+            t = np.frombuffer(data, "<u2").astype(np.int64)
+            for at in range(0, len(t), SLICE):  # long texts in slices, with their neighbours
+                lo, hi = max(0, at - REACH), min(len(t), at + SLICE + REACH)
+                around = windows(t[lo:hi])[at - lo :][:SLICE]
+                total += float(model.log_probability(around, t[at : at + SLICE]).sum(dtype=np.float64))
             sums.append(total)
             sizes.append(len(t))
-            far.append([{"word": w, "k": k} for w, k in others.items()])
-        return {"doc_id": ids, "n_tokens": sizes, "part": sums, "far": far}
+        return {"row": rows, "doc_id": ids, "n_tokens": sizes, "part": sums}
 
-    schema = "doc_id bigint, n_tokens bigint, part double, far array<struct<word:binary, k:bigint>>"
-    # Numbered and written once: the rows are read twice, for their words and to be completed.
-    scored = work.written(work.map_batches(docs, run, schema, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    scored = work.map_batches(texts.table, run, "row bigint, doc_id bigint, n_tokens bigint, part double", "row", "doc_id", "tokens", "part")
     # Words that stand once, or not at all, add ln 1.
-    logs = counts.where((F.col("n") > 1) & (F.col("n") < least)).select("word", F.log("n").alias("log"))
-    found = scored.select("row", F.explode("far").alias("f")).select("row", "f.word", "f.k").join(logs, "word").groupBy("row").agg(F.sum(F.col("k") * F.col("log")).alias("rest"))
+    logs = texts.counts.where((F.col("n") > 1) & (F.col("n") < texts.least)).select("word", F.log("n").alias("log"))
+    found = texts.table.select("row", F.explode("far").alias("f")).select("row", "f.word", "f.k").join(logs, "word").groupBy("row").agg(F.sum(F.col("k") * F.col("log")).alias("rest"))
     whole = F.col("part") + F.coalesce("rest", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens"))
     return scored.join(found, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"), mean.alias("mean_log_likelihood"), F.exp(-mean).alias("pseudo_perplexity"))

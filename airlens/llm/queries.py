@@ -34,8 +34,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return language_model.pseudo_likelihood(docs, *language_model.train(docs))
+    texts = language_model.corpus(documents(spark, sf_dir))
+    return language_model.scores(texts, language_model.fit(texts))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

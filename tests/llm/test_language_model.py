@@ -102,3 +102,33 @@ def test_the_query_s_own_settings_learn(spark, make):
     tests = make([(i, " ".join(w)) for i, w in enumerate(natural)] + [(100 + i, " ".join(rng.sample(w, len(w)))) for i, w in enumerate(natural)])
     got = {r.doc_id: r.mean_log_likelihood for r in lm.pseudo_likelihood(tests, *model).collect()}
     assert all(got[i] > got[100 + i] for i in range(20)), (got[0], got[100])
+
+
+def test_a_document_s_sum_from_the_definition(spark, make):
+    """One word after the other: digits of its number from a network written out, times its share of its class."""
+    rng = random.Random(31)
+    common = [f"c{i:03d}" for i in range(lm.FREQUENT)]
+    docs = make([(i, " ".join([*rng.sample(common, 40), *rng.choices(["rare", "rarer", "odd", "once" + str(i)], k=5)])) for i in range(60)] + [(99, " ".join(common * 3))])
+    texts = lm.corpus(docs, near=700)
+    weights = lm.fit(texts)
+    got = {r.doc_id: r.log_likelihood for r in lm.scores(texts, weights).collect()}
+    net, known = lm.Net.of(weights), {w: i for i, w in enumerate(texts.words)}
+    counts = {bytes(r.word): r.n for r in texts.counts.collect()}
+    number = lm.Tokens(texts.words)
+    classes = {}
+    for w, n in counts.items():
+        if w not in known:
+            t = int(number.of_words([w])[0])
+            classes[t] = classes.get(t, 0) + n
+    for doc_id, text in [(r.doc_id, r.text) for r in docs.where("doc_id < 5").collect()]:
+        words = text.encode().split()
+        t = [int(x) for x in number.of_words(words)]
+        total = 0.0
+        for i, w in enumerate(words):
+            around = [t[j] if 0 <= j < len(t) else lm.SIDE**2 for j in (i - 2, i - 1, i + 1, i + 2)]
+            h = np.tanh(np.concatenate([net.vectors[a] for a in around]).astype(float) @ net.inner + net.inner_bias)
+            a = np.exp(h @ net.high + net.high_bias)
+            b = np.exp(np.tanh(h + net.given[t[i] // lm.SIDE]) @ net.low + net.low_bias)
+            total += np.log(a[t[i] // lm.SIDE] / a.sum()) + np.log(b[t[i] % lm.SIDE] / b.sum())
+            total += 0.0 if w in known else np.log(counts[w] / (classes[t[i]] + 1))
+        assert got[doc_id] == pytest.approx(total, rel=1e-5)

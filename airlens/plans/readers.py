@@ -291,8 +291,16 @@ def _(fx):
     return rows.select("event_id", F.when(found.cast("string") != "A", found.cast("string")).alias("body"))
 
 
-@query("crc32_mpeg2", "SELECT doc_id, 0::BIGINT AS residue FROM documents")
-def _(fx):
-    body = F.encode("text", "UTF-8")
+@query(
+    "crc32_mpeg2",
+    """WITH h AS (SELECT doc_id, string_split(hex(encode(COALESCE(text, ''))), '') AS h FROM documents),
+n AS (SELECT doc_id, list_transform(list_filter(h, lambda c: c <> ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT)) AS n FROM h),
+-- a nibble a step: the top four bits of the sum choose what is added, the remainder of the nibble times x to the 32
+t AS (SELECT list_transform(range(16), lambda v: list_reduce(list_prepend(v << 28, range(4)), lambda c, i: xor((c << 1) & 4294967295, CASE WHEN c >> 31 = 1 THEN 79764919 ELSE 0 END))) AS t)
+SELECT doc_id, CAST(list_reduce(list_prepend(4294967295::BIGINT, n), lambda c, v: xor((c << 4) & 4294967295, t[xor(c >> 28, v) + 1])) AS BIGINT) AS crc, CAST(0 AS BIGINT) AS residue FROM n, t""",
+)
+def _(fx):
+    """The checksum of every text, and of the text with its checksum behind it, which is 0."""
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     crc = crc32_mpeg2(body)
-    return fx.table("documents").select("doc_id", crc32_mpeg2(F.concat(body, F.unhex(F.lpad(F.hex(crc), 8, "0")))).alias("residue"))
+    return fx.table("documents").select("doc_id", crc.alias("crc"), crc32_mpeg2(F.concat(body, F.unhex(F.lpad(F.hex(crc), 8, "0")))).alias("residue"))

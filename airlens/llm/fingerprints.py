@@ -112,12 +112,12 @@ def in_order(df: DataFrame, *order: Column) -> DataFrame:
     return marked.withColumn("part", part).join(offsets, "part").withColumn("pos", F.col("ahead") + F.col("mark").bitwiseAND((1 << 33) - 1)).drop("part", "mark", "ahead")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, with_links: bool = False) -> DataFrame:
     """Fingerprint of every row of ``docs(doc_id, text)`` and of its edited text, and how near it is to two others.
 
     The edited text has its last ``floor(n_chars / 3)`` characters replaced by as many first ones of the next document's
     text (or all of it, if it has fewer): the next in descending doc_id, the first after the last. Columns: doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and ``links``, what ``likeness`` compares.
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and with ``with_links`` also ``links``, what ``likeness`` compares.
 
     Texts are shuffled once, by doc_id and a hash; a third of each and its links are sent on to the document before it. Null text is empty:
     its fingerprint has empty parts. Rows of one doc_id follow each other by a hash of their text; rows equal in both count
@@ -149,7 +149,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
             likeness(F.col("own_links"), links(F.col("edited_sketch"))).alias("near_edited"),
             likeness(F.col("own_links"), F.col("next_links")).alias("near_next"),
-            F.col("own_links").alias("links"),
+            *[F.col("own_links").alias("links")] * with_links,
             F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"),
         )
         .drop("nth")

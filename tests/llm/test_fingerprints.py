@@ -87,7 +87,7 @@ def test_no_size_parts_two_texts(spark, make):
     words = [f"word{i}" for i in range(400)]
     whole = " ".join(words)
     docs = make([(2, whole[:90]), (1, whole[:410])])
-    rows = {r.doc_id: r for r in fp.fingerprints(docs).collect()}
+    rows = {r.doc_id: r for r in fp.fingerprints(docs, with_links=True).collect()}
     assert rows[2].near_next > 0
     links = {i: set(r.links.words) for i, r in rows.items()}
     assert len(links[2] & links[1]) / len(links[2] | links[1]) <= rows[2].near_next

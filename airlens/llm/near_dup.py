@@ -91,7 +91,7 @@ def _signatures(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose full sets are alike enough. ``texts(digest, packed)`` holds their texts."""
+    """The pairs ``a, b`` of classes whose full sets are alike enough. ``texts(class, packed)`` holds their texts."""
 
     def run(packed_a, packed_b, a, b):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -107,8 +107,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             alike.append(100 * common >= percent * (len(x) + len(y) - common))
         return {"a": [v for v, k in zip(a, alike, strict=True) if k], "b": [v for v, k in zip(b, alike, strict=True) if k]}
 
-    left, right = (texts.select(F.col("digest").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
-    return work.map_batches(pairs.join(left, "a").join(right, "b"), run, "a binary, b binary", "packed_a", "packed_b", "a", "b")
+    left, right = (texts.select(F.col("class").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
+    return work.map_batches(pairs.join(left, "a").join(right, "b"), run, "a bigint, b bigint", "packed_a", "packed_b", "a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -130,23 +130,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     all rows that bear the component's id are kept. Other columns are ignored.
     """
     signed = work.written(_signatures(docs, size, rows, bands))
-    classes = work.written(
-        signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    )
-    sets = classes.select("digest", "n", "sketch")
-    members = classes.select("digest", F.explode("bands").alias("bucket"))
+    # A class is a number from here on: minima, groups and joins of numbers need no sort of bytes.
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = work.written(classes.withColumn("class", F.monotonically_increasing_id()))
+    sets = classes.select("class", "n", "sketch")
+    members = classes.select("class", F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = work.written(members.join(crowded, "bucket"))
-    texts = work.written(_packed_texts(docs, signed, members.select("digest").distinct(), size))
+    needed = classes.select("class", "digest").join(members.select("class").distinct(), "class")
+    texts = work.written(_packed_texts(docs, signed, needed, size))
 
     # first round: one hub a bucket
-    hub = members.groupBy("bucket").agg(F.min("digest").alias("a"))
+    hub = members.groupBy("bucket").agg(F.min("class").alias("a"))
     starred = work.written(members.join(hub, "bucket"))
-    pairs = starred.where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+    pairs = starred.where("class <> a").select("a", F.col("class").alias("b")).distinct()
     pairs = work.written(_possible(pairs, sets, percent))
     links = done = None
     roots, hubs = None, 1
-    state = starred.select("bucket", "digest", F.col("digest").alias("root"), (F.col("digest") == F.col("a")).alias("hub"))
+    state = starred.select("bucket", "class", F.col("class").alias("root"), (F.col("class") == F.col("a")).alias("hub"))
     while True:
         done = pairs if done is None else done.union(pairs)
         found = work.written(_confirm(pairs, texts, size, percent))
@@ -155,21 +156,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
             roots = components(links)
             state = (
                 state.drop("root")
-                .join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
-                .withColumn("root", F.coalesce("root", "digest"))
+                .join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
+                .withColumn("root", F.coalesce("root", "class"))
             )
         state = _undecided(work.written(state))
         if hubs == 1:
-            state = state.join(sets, "digest")
+            state = state.join(sets, "class")
         state = work.written(state)
         if state.isEmpty():
             break
         hubs *= MORE_HUBS
         pairs, state = _star(state, hubs, percent)
         pairs = work.written(pairs.join(done, ["a", "b"], "left_anti"))
-    named = classes.select("digest", "first_id")
+    named = classes.select("digest", "class", "first_id")
     if roots is not None:
-        named = named.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        named = named.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         smallest = named.groupBy("root").agg(F.min("first_id").alias("component"))
         named = named.join(smallest, "root").select("digest", "component")
     else:
@@ -198,17 +199,17 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _packed_texts(docs: DataFrame, signed: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """``digest, packed``: one compressed text of every needed class."""
-    ids = signed.join(needed, "digest").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("key"))
+    """``class, packed``: one compressed text of every class of ``needed(class, digest)``."""
+    ids = signed.join(needed, "digest").groupBy("class", "digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("key"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("key"), "text")
 
-    def run(digests, texts):
+    def run(classes, digests, texts):
         pack = zstandard.ZstdCompressor(level=3).compress
-        kept = [(d, pack(work.raw(t))) for d, t in zip(digests, texts, strict=True) if xxhash.xxh3_128_digest(shingles(t, size).tobytes()) == d]
-        return {"digest": [d for d, _ in kept], "packed": [p for _, p in kept]}
+        kept = [(c, pack(work.raw(t))) for c, d, t in zip(classes, digests, texts, strict=True) if xxhash.xxh3_128_digest(shingles(t, size).tobytes()) == d]
+        return {"class": [c for c, _ in kept], "packed": [p for _, p in kept]}
 
     # Rows that repeat a doc_id may bear other texts: only those of the class count, and one of them.
-    return work.map_batches(ids.join(keyed, "key"), run, "digest binary, packed binary", "digest", "text").groupBy("digest").agg(F.min("packed").alias("packed"))
+    return work.map_batches(ids.join(keyed, "key"), run, "class bigint, packed binary", "class", "digest", "text").groupBy("class").agg(F.min("packed").alias("packed"))
 
 
 def _may_link(n: Column, sketch: Column, other_n: Column, other_sketch: Column, percent: int) -> Column:
@@ -218,8 +219,8 @@ def _may_link(n: Column, sketch: Column, other_n: Column, other_sketch: Column,
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that may be links, by ``sets(digest, n, sketch)``."""
-    left, right = (sets.select(F.col("digest").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    """The pairs ``a, b`` that may be links, by ``sets(class, n, sketch)``."""
+    left, right = (sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
     met = pairs.join(left, "a").join(right, "b")
     return met.where(_may_link(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"), percent)).select("a", "b")
 
@@ -227,20 +228,20 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _star(state: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of the next hubs of each bucket, ``hubs`` at most, with members of other components; the state after it.
 
-    A bucket's hubs are the smallest member by digest of each of ``hubs`` hash classes that was no hub yet: a minimum, so
+    A bucket's hubs are the smallest member by number of each of ``hubs`` hash classes that was no hub yet: a minimum, so
     no bucket is ever gathered in one place.
     """
-    slot = F.pmod(F.xxhash64("digest"), F.lit(hubs)).alias("slot")
-    hub = state.where("not hub").groupBy("bucket", slot).agg(F.min(F.struct("digest", "n", "root", "sketch")).alias("h")).select("bucket", "h")
-    a, b = F.col("h.digest"), F.col("digest")
+    slot = F.pmod(F.xxhash64("class"), F.lit(hubs)).alias("slot")
+    hub = state.where("not hub").groupBy("bucket", slot).agg(F.min(F.struct("class", "n", "root", "sketch")).alias("h")).select("bucket", "h")
+    a, b = F.col("h.class"), F.col("class")
     pairs = (
         state.join(hub, "bucket")
         .where((F.col("root") != F.col("h.root")) & _may_link(F.col("n"), F.col("sketch"), F.col("h.n"), F.col("h.sketch"), percent))
         .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         .distinct()
     )
-    was = hub.select("bucket", F.col("h.digest").alias("digest"), F.lit(True).alias("now"))
-    return pairs, state.join(was, ["bucket", "digest"], "left").withColumn("hub", F.coalesce("now", "hub")).drop("now")
+    was = hub.select("bucket", F.col("h.class").alias("class"), F.lit(True).alias("now"))
+    return pairs, state.join(was, ["bucket", "class"], "left").withColumn("hub", F.coalesce("now", "hub")).drop("now")
 
 
 def _undecided(state: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +25,54 @@ def metric_defs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(metric_catalog.rows(), "def_ord int, id int, name string, kind string, label_name string, help string")
 
 
-def _entries(data: bytes) -> list[dict]:
-    out, at = [], HEADER_BYTES
-    while len(data) - at >= 3:
-        size = data[at + 2]
-        if len(data) - at - 3 < size + 8:
+def _read(datagrams: pa.Array) -> pa.Array:
+    return entries_of(datagrams)
+
+
+ENTRIES = "array<struct<ord: int, id: int, label: string, raw: binary>>"
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The stretches of ``data`` as binary values."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+
+
+def entries_of(datagrams: pa.Array) -> pa.Array:
+    """Entries behind the header of each datagram: id, length of the label, label up to its first zero byte, value.
+
+    A cut-off entry ends them. All datagrams of a batch step from entry to entry together.
+    """
+    n = len(datagrams)
+    offsets = np.frombuffer(datagrams.buffers()[1], np.int32)[datagrams.offset : datagrams.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    held = datagrams.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
+    rows, at, end = np.arange(n), offsets[:-1] + HEADER_BYTES, offsets[1:]
+    found = []
+    while True:
+        more = at + 11 <= end
+        rows, at, end = rows[more], at[more], end[more]
+        if not len(rows):
             break
-        label = data[at + 3 : at + 3 + size].split(b"\0")[0]
-        out.append({"ord": len(out), "id": int.from_bytes(data[at : at + 2], "big"), "label": label.decode("utf-8", "replace"), "raw": data[at + 3 + size : at + 11 + size]})
-        at += 11 + size
-    return out
+        size = data[at + 2].astype(np.int64)
+        whole = at + 11 + size <= end
+        rows, at, end, size = rows[whole], at[whole], end[whole], size[whole]
+        found.append((rows, np.full(len(rows), len(found), np.int32), at, size))
+        at = at + 11 + size
+    rows, order, at, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+    by_row = np.argsort(rows, kind="stable")
+    rows, order, at, size = rows[by_row], order[by_row], at[by_row], size[by_row]
+    zeros = np.append(np.flatnonzero(data == 0), len(data))
+    label = _gathered(data, at + 3, np.minimum(zeros[np.searchsorted(zeros, at + 3)] - at - 3, size))
+    try:
+        text = label.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no text are marked
+        text = pa.array([x.decode("utf-8", "replace") for x in label.to_pylist()], pa.string())
+    ids = data[at].astype(np.int32) * 256 + data[at + 1]
+    flat = pa.StructArray.from_arrays([pa.array(order, pa.int32()), pa.array(ids, pa.int32()), text, _gathered(data, at + 3 + size, np.full(len(at), 8))], names=["ord", "id", "label", "raw"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), flat)
 
 
 def decode_snapshots(
@@ -54,7 +94,7 @@ def decode_snapshots(
         .when((F.octet_length(p) < HEADER_BYTES) | ~number.isin(*components) | (ident == ""), "malformed").otherwise("ok")
     )
     # entries are read only where the header is good
-    read = F.pandas_udf(lambda s: s.map(lambda d: _entries(bytes(d)) if d is not None else []), "array<struct<ord: int, id: int, label: string, raw: binary>>")
+    read = F.arrow_udf(_read, ENTRIES)
     rest = [c for c in datagrams.columns if c != col]
     ok = datagrams.withColumn("status", status)
     good = F.col("status") == "ok"
@@ -157,19 +197,19 @@ def render_openmetrics(samples: DataFrame, defs: DataFrame, instances: DataFrame
     any_instance = instances.agg(F.count(F.lit(1)).alias("n"))
     some = any_instance.filter("n > 0")
     parts += [
-        lines(some, 1, 0, F.lit(f"# HELP {age} seconds since this instance's last snapshot was received")),
+        lines(some, 1, 0, F.lit(f"# HELP {age} age of the latest snapshot of an instance, in seconds")),
         lines(some, 1, 1, F.lit(f"# TYPE {age} gauge")),
         lines(instances, 1, 2, F.concat(F.lit(age + "{"), _base_labels(), F.lit("} "), seconds), slot=F.col("slot_ord")),
     ]
     reasons = ["malformed", "stale", "full", "version"]
     own_families = [
-        ("metrics_instances", "gauge", "exporter instances currently tracked", any_instance, [("", "n")]),
-        ("metrics_snapshots_received_total", "counter", "snapshots accepted and stored", stats, [("", "received")]),
-        ("metrics_snapshots_rejected_total", "counter", "snapshots rejected by reason", stats, [(f'{{reason="{r}"}}', r) for r in reasons]),
-        ("metrics_snapshot_entries_dropped_total", "counter", "entries dropped from accepted snapshots exceeding the per-snapshot entry cap", stats, [("", "dropped_entries")]),
+        ("metrics_instances", "gauge", "instances with a snapshot that has not expired", any_instance, [("", "n")]),
+        ("metrics_snapshots_received_total", "counter", "snapshots taken over", stats, [("", "received")]),
+        ("metrics_snapshots_rejected_total", "counter", "snapshots turned down, by cause", stats, [(f'{{reason="{r}"}}', r) for r in reasons]),
+        ("metrics_snapshot_entries_dropped_total", "counter", "entries left out of snapshots that were taken over", stats, [("", "dropped_entries")]),
     ]
     if {"http_200", "http_404"} <= set(stats.columns):
-        own_families.append(("metrics_http_requests_total", "counter", "/metrics HTTP requests by response status", stats, [(f'{{status="{s}"}}', f"http_{s}") for s in (200, 404)]))
+        own_families.append(("metrics_http_requests_total", "counter", "requests for this page, by status", stats, [(f'{{status="{s}"}}', f"http_{s}") for s in (200, 404)]))
     for i, (suffix, kind, text, source, values) in enumerate(own_families):
         full = prefix + suffix
         entries = F.array(*[F.lit(f"# HELP {full} {text}"), F.lit(f"# TYPE {full} {kind}")], *[F.concat(F.lit(full + labels + " "), F.col(c).cast("string")) for labels, c in values])

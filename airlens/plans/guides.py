@@ -357,12 +357,12 @@ st AS (SELECT COUNT(*) FILTER (accepted) AS received, COUNT(*) FILTER (NOT accep
 SELECT line FROM (SELECT DISTINCT CONCAT('# HELP airlens_', name, ' ', help) AS line FROM j UNION ALL SELECT DISTINCT CONCAT('# TYPE airlens_', name, ' ', kind) FROM j
 UNION ALL SELECT CONCAT('airlens_', name, '{{component="', component, '",headend_id="', metrics_id, '"', CASE WHEN label_name <> '' THEN CONCAT(',', label_name, '="l\\"', id, '"') ELSE '' END, '}} ', val) FROM j
 UNION ALL SELECT CONCAT('airlens_metrics_snapshot_age_seconds{{component="', component, '",headend_id="', metrics_id, '"}} ', printf('%.3f', (1706745600000000 - recv_us) / 1000000)) FROM ls
-UNION ALL SELECT unnest(['# HELP airlens_metrics_snapshot_age_seconds seconds since this instance''s last snapshot was received', '# TYPE airlens_metrics_snapshot_age_seconds gauge',
- '# HELP airlens_metrics_instances exporter instances currently tracked', '# TYPE airlens_metrics_instances gauge', CONCAT('airlens_metrics_instances ', (SELECT COUNT(*) FROM ls)),
- '# HELP airlens_metrics_snapshots_received_total snapshots accepted and stored', '# TYPE airlens_metrics_snapshots_received_total counter', CONCAT('airlens_metrics_snapshots_received_total ', received),
- '# HELP airlens_metrics_snapshots_rejected_total snapshots rejected by reason', '# TYPE airlens_metrics_snapshots_rejected_total counter', 'airlens_metrics_snapshots_rejected_total{{reason="malformed"}} 0',
+UNION ALL SELECT unnest(['# HELP airlens_metrics_snapshot_age_seconds age of the latest snapshot of an instance, in seconds', '# TYPE airlens_metrics_snapshot_age_seconds gauge',
+ '# HELP airlens_metrics_instances instances with a snapshot that has not expired', '# TYPE airlens_metrics_instances gauge', CONCAT('airlens_metrics_instances ', (SELECT COUNT(*) FROM ls)),
+ '# HELP airlens_metrics_snapshots_received_total snapshots taken over', '# TYPE airlens_metrics_snapshots_received_total counter', CONCAT('airlens_metrics_snapshots_received_total ', received),
+ '# HELP airlens_metrics_snapshots_rejected_total snapshots turned down, by cause', '# TYPE airlens_metrics_snapshots_rejected_total counter', 'airlens_metrics_snapshots_rejected_total{{reason="malformed"}} 0',
  CONCAT('airlens_metrics_snapshots_rejected_total{{reason="stale"}} ', stale), 'airlens_metrics_snapshots_rejected_total{{reason="full"}} 0', 'airlens_metrics_snapshots_rejected_total{{reason="version"}} 0',
- '# HELP airlens_metrics_snapshot_entries_dropped_total entries dropped from accepted snapshots exceeding the per-snapshot entry cap', '# TYPE airlens_metrics_snapshot_entries_dropped_total counter',
+ '# HELP airlens_metrics_snapshot_entries_dropped_total entries left out of snapshots that were taken over', '# TYPE airlens_metrics_snapshot_entries_dropped_total counter',
  'airlens_metrics_snapshot_entries_dropped_total 0', '# EOF']) FROM st) z""",
 )
 def _(fx):

@@ -1,7 +1,9 @@
 """Hand-made vectors for byte-level and text rules."""
 
+import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,6 +382,29 @@ def test_slots_of_both_families_and_ignored_ssrc(spark):
     assert {r.request: r.channel for r in repair.resolve_channel(requests, channels, 40000, 384).collect()} == {1: "six", 2: "six", 3: None, 4: "six"}
 
 
+def test_entries_of_a_batch_equal_a_walk():
+    """Cut-off entries, labels with zero bytes and bytes that are no text, nulls, sliced batches."""
+    rnd = random.Random(3)
+
+    def walk(data):
+        out, at = [], metrics.HEADER_BYTES
+        while data is not None and at + 11 <= len(data) and at + 11 + data[at + 2] <= len(data):
+            n = data[at + 2]
+            out.append({"ord": len(out), "id": data[at] * 256 + data[at + 1], "label": data[at + 3 : at + 3 + n].split(b"\0")[0].decode("utf-8", "replace"), "raw": data[at + 3 + n : at + 11 + n]})
+            at += 11 + n
+        return out
+
+    for trial in range(60):
+        rows = []
+        for _ in range(rnd.randrange(0, 12)):
+            body = b"".join(rnd.randbytes(2) + bytes([len(x)]) + x + rnd.randbytes(8) for x in (rnd.choice([b"", b"abc", "\u00e9t\u00e9".encode(), b"a\0b", b"x" * 255] + [b"\xff\xfe"] * (trial % 2)) for _ in range(rnd.randrange(0, 6))))
+            data = bytes(metrics.HEADER_BYTES) + body
+            rows.append(rnd.choice([data, data[: rnd.randrange(0, len(data) + 1)], None]))
+        rows = [bytes(80)] + rows
+        assert metrics.entries_of(pa.array(rows, pa.binary())).to_pylist() == [walk(r) for r in rows]
+        assert metrics.entries_of(pa.array(rows, pa.binary()).slice(1)).to_pylist() == [walk(r) for r in rows[1:]]
+
+
 def test_units_as_parts_and_units_without_end(spark):
     """A pid that starts once and never again gives parts, its size and no value; other units are joined as ever."""
     head = b"\x00\x00\x01\xe0\x00\x00\x80\x00\x00"

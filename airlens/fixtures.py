@@ -125,8 +125,9 @@ class Fixtures:
 
     @cached_property
     def mapping(self) -> DataFrame:
-        return self.table("customer").filter("c_custkey % 3 <> 0").selectExpr(
-            "c_custkey AS ord", "CONCAT('ch_', CAST(c_custkey AS STRING)) AS id",
+        """Every third line names a channel that is not there."""
+        return self.table("customer").selectExpr(
+            "c_custkey AS ord", "CONCAT(CASE WHEN c_custkey % 3 = 0 THEN 'gone_' ELSE 'ch_' END, CAST(c_custkey AS STRING)) AS id",
             "CONCAT('rtp://239.1.', CAST(c_custkey DIV 250 % 250 AS STRING), '.', CAST(c_custkey % 250 + 1 AS STRING), ':5000') AS uri",
             "1 AS tsid", "2 AS onid", "CAST(c_custkey % 60000 + 100 AS INT) AS sid",
         )
@@ -141,6 +142,7 @@ class Fixtures:
 
     @cached_property
     def doc_sections(self) -> DataFrame:
+        """Whole documents in sections; of every fifth some sections are lost, which is what the assembly has to notice."""
         docs = self.table("documents").filter("length(text) > 0").selectExpr(
             "doc_id", "text", f"(length(text) - 1) DIV {SECTION_CHARS} AS last_sec"
         )
@@ -261,9 +263,9 @@ FROM (SELECT DISTINCT user_id % 4 AS c, event_id % 6 AS i FROM fx_base) z""",
   CONCAT('rtp://239.', CAST(c_nationkey AS VARCHAR), '.', CAST(c_custkey // 250 % 250 AS VARCHAR), '.', CAST(c_custkey % 250 + 1 AS VARCHAR),
    ':', CAST(5000 + c_custkey % 1000 AS VARCHAR)) AS uri,
   1 AS tsid, c_nationkey AS onid, CAST(c_custkey % 60000 + 100 AS INT) AS sid FROM customer""",
-    "fx_mapping": """SELECT c_custkey AS ord, CONCAT('ch_', CAST(c_custkey AS VARCHAR)) AS id,
+    "fx_mapping": """SELECT c_custkey AS ord, CONCAT(CASE WHEN c_custkey % 3 = 0 THEN 'gone_' ELSE 'ch_' END, CAST(c_custkey AS VARCHAR)) AS id,
   CONCAT('rtp://239.1.', CAST(c_custkey // 250 % 250 AS VARCHAR), '.', CAST(c_custkey % 250 + 1 AS VARCHAR), ':5000') AS uri,
-  1 AS tsid, 2 AS onid, CAST(c_custkey % 60000 + 100 AS INT) AS sid FROM customer WHERE c_custkey % 3 <> 0""",
+  1 AS tsid, 2 AS onid, CAST(c_custkey % 60000 + 100 AS INT) AS sid FROM customer""",
     "fx_programmes": """SELECT event_id AS ord, CONCAT('ch_', CAST(user_id AS VARCHAR)) AS channel_id, us // 60000000 AS start_min,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE us // 60000000 + CAST(floor(value) AS BIGINT) END AS stop_min,
   event_type AS category FROM fx_base""",

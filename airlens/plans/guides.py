@@ -41,7 +41,7 @@ def _(fx):
     f"WITH {MAPPED} SELECT ord, CASE WHEN uri IS NOT NULL AND ord % 2 = 0 THEN CONCAT('tv,', ord) ELSE id END AS id FROM mp",
 )
 def _(fx):
-    rev = fx.mapping.filter("ord % 2 = 0").selectExpr("ord", "uri", "concat('tv,', ord) AS id")
+    rev = fx.mapping.selectExpr("ord", "if(ord % 2 = 0, uri, concat(uri, '/other')) AS uri", "concat('tv,', ord) AS id")
     return guide.apply_revmap(mapped(fx), fx.programmes, rev)[0].select("ord", "id")
 
 
@@ -50,18 +50,18 @@ def _(fx):
     f"WITH {MAPPED} SELECT p.ord, CASE WHEN mp.uri IS NOT NULL AND mp.ord % 2 = 0 THEN CONCAT('tv,', mp.ord) ELSE p.channel_id END AS channel_id FROM fx_programmes p LEFT JOIN mp ON p.channel_id = mp.id",
 )
 def _(fx):
-    rev = fx.mapping.filter("ord % 2 = 0").selectExpr("ord", "uri", "concat('tv,', ord) AS id")
+    rev = fx.mapping.selectExpr("ord", "if(ord % 2 = 0, uri, concat(uri, '/other')) AS uri", "concat('tv,', ord) AS id")
     return guide.apply_revmap(mapped(fx), fx.programmes, rev)[1].select("ord", "channel_id")
 
 
 @query(
     "attach_programme_text",
-    """WITH t AS (SELECT CONCAT('crid:', user_id) AS crid, arg_min(event_type, event_id) AS title FROM fx_base WHERE event_id % 3 = 0 GROUP BY 1)
+    """WITH t AS (SELECT CONCAT(CASE WHEN event_id % 3 = 0 THEN 'crid:' ELSE 'other:' END, user_id) AS crid, arg_min(event_type, event_id) AS title FROM fx_base GROUP BY 1)
 SELECT event_id AS ord, CONCAT('crid:', user_id) AS crid, title FROM fx_base LEFT JOIN t ON CONCAT('crid:', user_id) = t.crid""",
 )
 def _(fx):
     events = fx.base.selectExpr("event_id AS ord", "concat('crid:', user_id) AS crid")
-    text = fx.base.filter("event_id % 3 = 0").selectExpr("event_id AS ord", "concat('crid:', user_id) AS crid", "event_type AS title")
+    text = fx.base.selectExpr("event_id AS ord", "concat(if(event_id % 3 = 0, 'crid:', 'other:'), user_id) AS crid", "event_type AS title")
     return guide.attach_programme_text(events, text)
 
 

@@ -238,8 +238,8 @@ def _(fx):
     "burst_admission",
     """WITH q AS (SELECT CAST(user_id % 10 AS INT) AS channel, event_id AS arrival, event_type = 'view' AS ign, CASE WHEN event_id % 3 <> 0 THEN CAST(floor(value * 20) AS BIGINT) END AS mn,
  CASE WHEN event_id % 4 <> 0 THEN CAST(floor(value * 30) AS BIGINT) * (event_id % 5) END AS mx, CASE WHEN event_id % 2 = 0 THEN CAST(floor(value * 100) AS BIGINT) END AS bps FROM fx_base),
-s AS (SELECT channel, arrival, is_rap = 1 AS has_rap, pus % 3000 AS depth_ms, payload_len * 20 AS nominal FROM fx_rtp WHERE arrival % 10 = 0 AND channel < 9),
-j AS (SELECT q.*, s.has_rap, s.depth_ms, s.nominal, s.channel IS NOT NULL AS known FROM q ASOF LEFT JOIN s ON q.channel = s.channel AND q.arrival >= s.arrival)
+s AS (SELECT channel, arrival, is_rap = 1 AS has_rap, pus % 3000 AS depth_ms, payload_len * 20 AS nominal FROM fx_rtp),
+j AS (SELECT q.*, s.has_rap, s.depth_ms, s.nominal, COALESCE(s.channel < 9, false) AS known FROM q ASOF LEFT JOIN s ON q.channel = s.channel AND q.arrival >= s.arrival)
 SELECT channel, arrival, CASE WHEN arrival % 17 = 0 THEN 505 WHEN known AND channel = 3 THEN 506 WHEN NOT known THEN CASE WHEN ign THEN 510 ELSE 509 END WHEN mn > 8000 THEN 401
  WHEN mx = 0 THEN 402 WHEN mn > mx THEN 400 WHEN NOT has_rap THEN 508 WHEN depth_ms < mn THEN 507 WHEN bps <= nominal THEN 403 ELSE 200 END AS response FROM j""",
 )
@@ -251,7 +251,7 @@ def _(fx):
         "CASE WHEN event_id % 2 = 0 THEN CAST(floor(value * 100) AS BIGINT) END AS max_bps",
         "event_id % 17 <> 0 AS client_allowed", "user_id % 10 <> 3 AS channel_allowed",
     )
-    state = packets(fx).filter("arrival % 10 = 0 AND channel < 9").selectExpr("channel", "arrival", "is_rap = 1 AS has_rap", "arrival_us % 3000 AS depth_ms", "payload_len * 20 AS nominal_bps", "TRUE AS known")
+    state = packets(fx).selectExpr("channel", "arrival", "is_rap = 1 AS has_rap", "arrival_us % 3000 AS depth_ms", "payload_len * 20 AS nominal_bps", "channel < 9 AS known")
     joined = asof_state(asked, state, ["channel"], "arrival", ["known", "has_rap", "depth_ms", "nominal_bps"])
     return repair.burst_admission(joined, 8000).select("channel", "arrival", "response")
 

@@ -308,3 +308,17 @@ def _(fx):
     out = psi.rewrite_tables(pk, found, t["pat"].filter("program_number <> 0"), applications)
     section = F.expr("substring(pkt, 6, cast(conv(hex(substring(pkt, 7, 2)), 16, 10) as int) % 4096 + 3)")
     return out.select("capture", "pid", "pkt_no", F.octet_length(section).alias("size"), (psi.crc32_mpeg2(section) == 0).alias("crc_ok"), F.expr("cast(conv(hex(substring(pkt, 4, 1)), 16, 10) as int) % 16").alias("cc"))
+
+
+@query("rewrite_tables_contents", """SELECT o.capture, p.program_number, p.pmt_pid, pid, stream_type, cls, codec, lang, CASE WHEN cls = 'teletext' THEN 188 END AS page, CASE WHEN cls = 'subtitle' THEN 1 END AS composition_page
+ FROM fx_order_es_class o JOIN fx_order_programs p ON o.capture = p.capture WHERE cls <> 'AIT'""")
+def _(fx):
+    """The rewritten packets read again, tables and all: every stream is in them as it was, but for the dropped ones."""
+    pk = table_packets(fx)
+    found = cut_lineage(psi.assemble_sections(pk))
+    t = psi.psi_tables(found)
+    applications = t["es"].filter("cls = 'AIT'").groupBy("capture").agg(F.collect_set("pid").alias("pids"))
+    out = psi.rewrite_tables(pk, found, t["pat"].filter("program_number <> 0"), applications)
+    again = ts.ts_payload(ts.ts_header(out.select("capture", "pkt_no", "pkt"))).select("capture", "pid", "pkt_no", "pusi", "payload")
+    es = psi.tables_of_packets(again)["es"]
+    return es.select("capture", "program_number", "pmt_pid", "pid", "stream_type", "cls", "codec", "lang", F.col("ttx.page").alias("page"), F.col("sub.composition_page").alias("composition_page"))

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlens.fixtures import Fixtures
 from airlens.functions import guide_time, text
 from airlens.functions.binary import concat_bytes
 from airlens.operators import guide, services
@@ -15,7 +14,7 @@ from airlens.operators.ordered import row_number
 from airlens.operators.psi import descriptors, find_descriptor
 from airlens.functions.binary import be16, be32, be64, crc32_mpeg2, seq_delta16
 from airlens.functions.once import evaluate_once
-from airlens.plans.guides import ISO, MAPPED, TEXTS, mapped, text_programmes
+from airlens.plans.guides import MAPPED, TEXTS, mapped, text_programmes
 from airlens.plans.packets import packets, raw_packets
 from airlens.plans.registry import query
 from airlens.session import checkpoint_root

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlens.fixtures import Fixtures
+from airlens.functions.binary import fnv1a64, ipv4_octets
 from airlens.operators import repair, rtcp, rtp
 from airlens.operators.ordered import asof_state
 from airlens.plans.registry import query
@@ -297,7 +298,7 @@ def _(fx):
 @query("fnv1a64", f"WITH {FNV} SELECT ord, CAST(h AS VARCHAR) AS hash FROM h5")
 def _(fx):
     rows = fx.services.selectExpr("ord", "regexp_extract(uri, 'rtp://(.*):', 1) AS address", "cast(regexp_extract(uri, ':([0-9]+)$', 1) as int) AS port")
-    return rows.select("ord", repair.fnv1a64(repair.ipv4_octets(F.col("address")), F.lit(2), F.col("port")).cast("string").alias("hash"))
+    return rows.select("ord", fnv1a64(ipv4_octets(F.col("address")), F.lit(2), F.col("port")).cast("string").alias("hash"))
 
 
 @query(

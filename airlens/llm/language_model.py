@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass, fields
 
@@ -18,7 +19,7 @@ FREQUENT = 640
 CLASSES = SIDE * SIDE - FREQUENT
 REACH = 2
 WIDTH, HIDDEN = 16, 24
-STEP, BATCH = 0.6, 256
+STEP, BATCH = 0.6, 512
 MERGE = 32
 #: Words whose counts travel to every task; the others are looked up by a join. How many do changes no result.
 NEAR = 1 << 17
@@ -65,17 +66,17 @@ class Net:
             at += size
         return cls(*parts)
 
-    def _hidden(self, around: np.ndarray) -> np.ndarray:
-        """The hidden layer: each place around has a table of what a token there adds, so nothing is multiplied per place."""
-        out = self.inner_bias
-        for i in range(2 * REACH):
-            out = out + (self.vectors @ self.inner[i * WIDTH : (i + 1) * WIDTH])[around[:, i]]
-        return np.tanh(out)
+    def tables(self) -> list[np.ndarray]:
+        """What a token at each place around adds to the hidden layer."""
+        return [self.vectors @ self.inner[i * WIDTH : (i + 1) * WIDTH] for i in range(2 * REACH)]
 
-    def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each token's probability given its neighbours."""
+    def log_probability(self, around: np.ndarray, token: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
+        """Natural logarithm of each token's probability given its neighbours. ``tables``: this network's, if at hand."""
         high, low = token // SIDE, token % SIDE
-        h = self._hidden(around)
+        h = np.zeros((len(token), HIDDEN), np.float32) + self.inner_bias
+        for i, table in enumerate(self.tables() if tables is None else tables):
+            h += table[around[:, i]]
+        h = np.tanh(h)
         first = _chosen(h @ self.high + self.high_bias, high)
         return first + _chosen(np.tanh(h + self.given[high]) @ self.low + self.low_bias, low)
 
@@ -104,8 +105,8 @@ class Net:
             self.given -= rate * (of_digit.T @ dg)
             self.inner -= rate * (x.T @ dh)
             self.inner_bias -= rate * (each @ dh)
-            # what a token's places add, summed up by sorted runs
-            flat = ctx.ravel()
+            # what a token's places add, summed up by sorted runs (short numbers sort fastest)
+            flat = ctx.ravel().astype(np.uint16)
             order = np.argsort(flat, kind="stable")
             held = flat[order]
             starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
@@ -116,14 +117,19 @@ _ONES = np.ones(SIDE, np.float32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True)) if np.ptp(x) > 60 else np.exp(x - x.max())
-    return x / (x @ _ONES)[:, None]
+    top = x.max()
+    x = np.exp(x - (x.max(1, keepdims=True) if top - x.min() > 60 else top))
+    x *= (1 / (x @ _ONES))[:, None]
+    return x
 
 
 def _chosen(x: np.ndarray, index: np.ndarray) -> np.ndarray:
     """The chosen entry of each row of the logarithm of the softmax of ``x``, without the others."""
-    top = x.max(1) if np.ptp(x) > 60 else np.full(len(x), x.max(), x.dtype)
-    return x[np.arange(len(x)), index] - top - np.log(np.exp(x - top[:, None]) @ _ONES)
+    top = x.max()
+    if top - x.min() > 60:
+        top = x.max(1)
+        return x[np.arange(len(x)), index] - top - np.log(np.exp(x - top[:, None]) @ _ONES)
+    return x[np.arange(len(x)), index] - top - np.log(np.exp(x - top) @ _ONES)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -196,6 +202,34 @@ class Shares:
         return logs, far
 
 
+class _Numbers(dict):
+    """Place of each word in two arrays, of token numbers and of logarithms: first the words with counts at hand, kept, then
+    others as they come, which ``forget`` drops."""
+
+    def __init__(self, tokens: Tokens, shares: Shares):
+        kept = list(dict.fromkeys([*tokens.known, *shares.near]))
+        super().__init__(zip(kept, range(len(kept)), strict=True))
+        self.tokens, self.near = tokens, len(kept)
+        number = tokens.of_words(kept)
+        self.fixed = number.astype("<u2"), shares.of(kept, number)[0]
+        self.class_log = shares.class_log
+        self.far: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.near + len(self.far)
+        self.far.append(word)
+        return found
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        number = self.tokens.of_words(self.far)
+        return np.append(self.fixed[0], number.astype("<u2")), np.append(self.fixed[1], self.class_log[number])
+
+    def forget(self) -> None:
+        for word in self.far:
+            del self[word]
+        self.far = []
+
+
 def least_near(counts: DataFrame, most: int) -> int:
     """The smallest count that ``most`` words at most reach."""
     reach, least = 0, 1 << 62
@@ -257,19 +291,18 @@ def corpus(docs: DataFrame, near: int = NEAR, words: list[bytes] | None = None,
     least = least_near(counts, near)
     shares = context.broadcast(shares_of(counts, tokens, least))
 
+    name = uuid.uuid4().hex
+
     def run(ids, texts):
-        split = [work.words_of(work.raw(t).lower()) for t in texts]
-        distinct = list(set().union(*split))
-        index = {w: i for i, w in enumerate(distinct)}.__getitem__
-        number = tokens.value.of_words(distinct)
-        logs, away = shares.value.of(distinct, number)
-        number = number.astype("<u2")
+        index = work.per_process(("numbers", name), lambda: _Numbers(tokens.value, shares.value))
+        places = [np.fromiter(map(index.__getitem__, w), np.int64, len(w)) for w in (work.words_of(work.raw(t).lower()) for t in texts)]
+        number, logs = index.arrays()
         packed, parts, far = [], [], []
-        for w in split:
-            at = np.fromiter(map(index, w), np.int64, len(w))
+        for at in places:
             packed.append(number[at].tobytes())
             parts.append(float(logs[at].sum()))
-            far.append([{"word": distinct[i], "k": k} for i, k in Counter(at[away[at]].tolist()).items()])
+            far.append([{"word": index.far[i - index.near], "k": k} for i, k in Counter(at[at >= index.near].tolist()).items()])
+        index.forget()
         return {"doc_id": ids, "tokens": packed, "part": parts, "far": far}
 
     schema = "doc_id bigint, tokens binary, part double, far array<struct<word:binary, k:bigint>>"
@@ -364,13 +397,14 @@ def scores(texts: Corpus, weights: np.ndarray) -> DataFrame:
 
     def run(rows, ids, packed, parts):
         model = Net.of(net.value)
+        tables = model.tables()
         sums, sizes = [], []
         for data, total in zip(packed, parts, strict=True):
             t = np.frombuffer(data, "<u2").astype(np.int64)
             for at in range(0, len(t), SLICE):  # long texts in slices, with their neighbours
                 lo, hi = max(0, at - REACH), min(len(t), at + SLICE + REACH)
                 around = windows(t[lo:hi])[at - lo :][:SLICE]
-                total += float(model.log_probability(around, t[at : at + SLICE]).sum(dtype=np.float64))
+                total += float(model.log_probability(around, t[at : at + SLICE], tables).sum(dtype=np.float64))
             sums.append(total)
             sizes.append(len(t))
         return {"row": rows, "doc_id": ids, "n_tokens": sizes, "part": sums}

@@ -194,6 +194,8 @@ def _resolve(rows: DataFrame, length: int) -> DataFrame:
             ids = np.array(batch.column("id").to_pylist(), np.int64)[owner]
             first = np.array(batch.column("first").to_pylist(), np.int64)[owner]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first + (begin & 0xFFFFFF)), pa.array(first + end - (owner << 24))], names=["id", "start", "stop"])
+        levels.clear()
+        work.give_back()
 
     sharded = rows.repartition("key").sortWithinPartitions("key", "id", "first")
     return sharded.select("key", "id", "first", "data").mapInArrow(run, "id bigint, start bigint, stop bigint")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -66,6 +67,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ROWS))
 
 
+def give_back() -> None:
+    """What a task freed goes back to the machine. Workers live on from stage to stage, and the C library keeps freed memory
+    for later calls, so that one stage's needs would otherwise stand beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: str) -> DataFrame:
     """Rows of ``fn(lists of the columns) -> {name: list or array}`` over Arrow batches of ``columns``."""
     small_batches(df.sparkSession)
@@ -79,7 +89,8 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: s
         for batch in slices(batches):
             out = fn(*[batch.column(c).to_pylist() for c in columns])
             yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type, from_pandas=False) for n in names], names=names)
-        pa.default_memory_pool().release_unused()
+            del out
+        give_back()
 
     return df.select(*columns).mapInArrow(run, target)
 
@@ -96,6 +107,8 @@ def select_rows(df: DataFrame, fn: Callable[[list], tuple]) -> DataFrame:
                 if "n_chars" in columns:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            del columns, texts
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)

@@ -59,4 +59,4 @@ def test_run_is_registered():
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     ops = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert ops == {f"op{i}" for i in range(1, 11)}
+    assert ops == {f"op{i}" for i in range(1, 14)}

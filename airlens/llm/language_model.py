@@ -23,6 +23,8 @@ STEP, BATCH = 0.6, 512
 MERGE = 32
 #: Words whose counts travel to every task; the others are looked up by a join. How many do changes no result.
 NEAR = 1 << 17
+#: Words whose counts a task holds before it sends them on.
+HELD = 300_000
 #: Places scored at once.
 SLICE = 1 << 12
 
@@ -133,15 +135,26 @@ def _chosen(x: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, n`` of every lower-cased word of every text, as a written table."""
+    """``word, n`` of every lower-cased word of every text, as a written table. A task sums up before it sends: it lets its
+    counts go whenever they hold ``HELD`` words."""
 
-    def run(texts):
-        counts: Counter = Counter()
-        for text in texts:
-            counts.update(work.words_of(work.raw(text).lower()))
-        return {"word": list(counts), "n": list(counts.values())}
+    def run(batches):
+        import pyarrow as pa
+
+        def sent(counts: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    return work.written(work.map_batches(docs, run, "word binary, n bigint", "text").groupBy("word").agg(F.sum("n").alias("n")))
+        counts: Counter = Counter()
+        for batch in work.slices(batches):
+            for text in batch.column("text").to_pylist():
+                counts.update(work.words_of(work.raw(text).lower()))
+            if len(counts) > HELD:
+                yield sent(counts)
+                counts.clear()
+        yield sent(counts)
+        work.give_back()
+
+    return work.written(docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def most_frequent(counts: DataFrame, most: int = FREQUENT) -> list[bytes]:

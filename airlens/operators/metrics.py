@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airlens.functions.binary import U64, be64, u8
 from airlens.functions.text import escape_label, split_composite_label
@@ -163,6 +165,12 @@ def _base_labels() -> Column:
     return F.concat(F.lit('component="'), "component", F.lit('",headend_id="'), escape_label(F.col("metrics_id")), F.lit('"'))
 
 
+@F.pandas_udf(T.StringType())
+def _three_digits(value: pd.Series) -> pd.Series:
+    """``%.3f`` as C prints it: from the exact value of the double, where ``format_string`` rounds its shortest decimal form."""
+    return value.map("{:.3f}".format, na_action="ignore")
+
+
 def render_openmetrics(samples: DataFrame, defs: DataFrame, instances: DataFrame, stats: DataFrame, now_us: int, prefix: str = "airlens_") -> DataFrame:
     """Exposition lines in order ``part, def_ord, line_kind, slot_ord, entry_ord`` (SNK-4, SRT-3).
 
@@ -192,7 +200,7 @@ def render_openmetrics(samples: DataFrame, defs: DataFrame, instances: DataFrame
         lines(joined, 0, 2, sample, order, F.col("slot_ord"), F.col("entry_ord")),
     ]
     age = f"{prefix}metrics_snapshot_age_seconds"
-    seconds = F.format_string("%.3f", (F.lit(now_us) - F.col("recv_us")) / 1_000_000)
+    seconds = _three_digits((F.lit(now_us) - F.col("recv_us")) / 1_000_000)
     any_instance = instances.agg(F.count(F.lit(1)).alias("n"))
     some = any_instance.filter("n > 0")
     parts += [

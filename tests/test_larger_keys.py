@@ -40,3 +40,7 @@ def test_lines_whose_addresses_repeat(agree, name):
 
 def test_rows_that_bear_the_page_number(agree):
     agree("teletext_rows", events=[event(1, 777, "purchase"), event(2, 7771, "purchase"), event(3, 99777, "click"), event(6, 777, "click")])
+
+
+def test_ages_half_way_between_two_milliseconds(agree):
+    agree("render_openmetrics", events=[event(n, n, us=n * 997_000_000 + 500 + 1000 * n) for n in range(1, 60)])

@@ -127,7 +127,9 @@ def fmt_dur(seconds: Column) -> Column:
 
 
 def super_cas_hex(col: Column) -> Column:
-    return F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(col), 8, "0")))
+    """``0x`` and eight digits, or all of a number that has more."""
+    digits = F.hex(col)
+    return F.concat(F.lit("0x"), F.lower(F.lpad(digits, F.greatest(F.length(digits), F.lit(8)), F.lit("0"))))
 
 
 def csv_safe_name(col: Column) -> Column:

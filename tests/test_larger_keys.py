@@ -44,3 +44,7 @@ def test_rows_that_bear_the_page_number(agree):
 
 def test_ages_half_way_between_two_milliseconds(agree):
     agree("render_openmetrics", events=[event(n, n, us=n * 997_000_000 + 500 + 1000 * n) for n in range(1, 60)])
+
+
+def test_numbers_of_more_than_eight_digits(agree):
+    agree("small_formats", events=[event(541_999, 1), event(600_001, 2)])

@@ -266,8 +266,11 @@ def parse_nit(sections: DataFrame) -> DataFrame:
     b = F.col("bytes")
     valid = valid_sections(sections.filter(F.col("pid") == PID_NIT), NIT)
     length = bits(be16(b, 8), 0, 0xFFF)
-    name = find_descriptor(descriptors(F.substring(b, F.lit(11), length)), TAG_NETWORK)
-    named = valid.filter(length + 10 <= F.octet_length(b)).withColumn("network_name", dvb_text(name)).filter("network_name IS NOT NULL")
+    # one step at a time: the walk reads its loop at every step, the text its bytes several times
+    loops = evaluate_once(valid, "size", length).filter(F.col("size") + 10 <= F.octet_length(b))
+    loops = evaluate_once(loops, "loop", F.substring(b, F.lit(11), F.col("size")))
+    names = evaluate_once(loops, "name", find_descriptor(descriptors(F.col("loop")), TAG_NETWORK)).filter("name IS NOT NULL")
+    named = names.withColumn("network_name", dvb_text(F.col("name")))
     return named.groupBy("capture").agg(F.max_by("network_name", "last_pkt_no").alias("network_name"))
 
 
@@ -276,9 +279,11 @@ def parse_cat(sections: DataFrame) -> DataFrame:
     b = F.col("bytes")
     valid = valid_sections(sections.filter(F.col("pid") == PID_CAT), CAT)
     last = valid.groupBy("capture").agg(F.max_by("bytes", "last_pkt_no").alias("bytes"))
-    ca = find_descriptor(descriptors(F.substring(b, F.lit(9), F.octet_length(b) - 12)), TAG_CA)
+    loops = evaluate_once(last, "loop", F.substring(b, F.lit(9), F.octet_length(b) - 12))
+    entries = evaluate_once(loops, "ca", find_descriptor(descriptors(F.col("loop")), TAG_CA))
+    ca = F.col("ca")
     long = F.octet_length(ca) >= 4
-    return last.select("capture", F.when(long, be16(ca, 0)).alias("ca_system_id"), F.when(long, bits(be16(ca, 2), 0, 0x1FFF)).alias("emm_pid"))
+    return entries.select("capture", F.when(long, be16(ca, 0)).alias("ca_system_id"), F.when(long, bits(be16(ca, 2), 0, 0x1FFF)).alias("emm_pid"))
 
 
 def tables_of_packets(packets: DataFrame, span: int = DEFAULT_SPAN) -> dict[str, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airlens.fixtures import Fixtures
 from airlens.functions.binary import to_bytes, u8
+from airlens.functions.once import evaluate_once
 from airlens.operators import psi, ts
 from airlens.plans.packets import packets
 from airlens.plans.registry import query
@@ -89,11 +90,13 @@ def _(fx):
 def single_sections(fx: Fixtures, pid: int, body: str) -> DataFrame:
     """One table section an order, in the order of their keys, with a checksum that fails for every ninth."""
     head = f"unhex(concat('{'40' if pid == psi.PID_NIT else '01'}', 'B000'))"
-    made = fx.table("orders").select(F.expr("o_custkey AS capture"), F.expr("o_orderkey"), psi._finish(F.expr(head), F.expr(body)).alias("bytes"))
+    made = fx.table("orders").select(F.expr("o_custkey AS capture"), F.expr("o_orderkey"), F.expr(body).alias("body"))
+    made = evaluate_once(evaluate_once(made, "body", F.col("body")), "bytes", psi._finish(F.expr(head), F.col("body")))
     last = F.octet_length("bytes") - 1
     flipped = F.concat(F.substring("bytes", F.lit(1), last), to_bytes(F.lit(255) - u8(F.col("bytes"), last), 1))
     damaged = F.when(F.col("o_orderkey") % 9 == 0, flipped).otherwise(F.col("bytes"))
-    return made.select("capture", F.lit(pid).alias("pid"), F.col("o_orderkey").alias("first_pkt_no"), F.col("o_orderkey").alias("last_pkt_no"), damaged.alias("bytes"))
+    made = evaluate_once(made, "bytes", damaged)
+    return made.select("capture", F.lit(pid).alias("pid"), F.col("o_orderkey").alias("first_pkt_no"), F.col("o_orderkey").alias("last_pkt_no"), "bytes")
 
 
 @query("network_names", """SELECT o_custkey AS capture, CONCAT('net ', arg_max(o_orderkey, o_orderkey), ' ', repeat('n', 80)) AS network_name FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1""")

@@ -55,3 +55,11 @@ def test_network_names_work_each_step_out_once(spark, tmp_path):
     found = QUERIES["network_names"](spark, str(tmp_path))
     assert [r.network_name[:6] for r in found.collect()] == ["net 5 "]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("crc32(") <= 2  # one made, one checked
+
+
+@pytest.mark.parametrize("name", ["match_names_fuzzy", "mapping_suggestions", "channel_unmatched"])
+def test_names_are_never_broadcast(spark, tmp_path, name):
+    spark.createDataFrame([(k, f"Customer#{k:09d}", 1, 0.0, "X") for k in range(40)], CUSTOMER).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert found.count() > 0
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -67,21 +67,25 @@ def join_exits(maps: list[tuple], size: int, look: int) -> tuple[int, list[int],
     """The exit map of neighbouring pieces: entries reach ``look`` bytes into them, over pieces' ends where pieces are
     shorter. Stretches are those of the pieces that an entry may lie in, numbered from the first piece on."""
     first = maps[0][0]
-    uptos: list[int] = []
-    exits: list[int] = []
+    starts: list[int] = []
     for number, upto, _ in maps:
         shift = (number - first) * size
         if shift > look:
             break
-        for u in upto:
-            entry = first * size + shift + int(u)
-            for one in maps:
-                entry = leave(entry, *one, size)
-            if exits and exits[-1] == entry and uptos[-1] < shift + int(u):
-                uptos[-1] = shift + int(u)
-            else:
-                uptos.append(shift + int(u))
-                exits.append(entry)
+        starts += [shift + int(u) for u in upto]
+    at = np.asarray(starts, np.int64) + first * size
+    for number, upto, outs in maps:  # all entries go through a map at once
+        offset = at - number * size
+        inside = (at >= 0) & (offset <= upto[-1])
+        at[inside] = np.asarray(outs, np.int64)[np.searchsorted(np.asarray(upto, np.int64), offset[inside])]
+    uptos: list[int] = []
+    exits: list[int] = []
+    for start, out in zip(starts, at.tolist(), strict=True):
+        if exits and exits[-1] == out and uptos[-1] < start:
+            uptos[-1] = start
+        else:
+            uptos.append(start)
+            exits.append(out)
     return first, uptos, exits
 
 

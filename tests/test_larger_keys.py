@@ -1,9 +1,11 @@
 """Queries against their SQL on a few rows with keys and times that the smallest data lacks."""
 
 import datetime
+import time
 
 import pytest
 
+from airlens.operators import bytechain
 from airlens.plans import catalog  # noqa: F401
 from airlens.plans.registry import ORACLES, QUERIES
 from tests_compare import compare, duck
@@ -63,3 +65,16 @@ def test_names_are_never_broadcast(spark, tmp_path, name):
     found = QUERIES[name](spark, str(tmp_path))
     assert found.count() > 0
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exit_maps_of_many_stretches_join_at_once():
+    size, look = 1 << 14, 4145
+    maps = [(n, list(range(look + 1)), [(n + 1) * size + (e * 7919) % look for e in range(look + 1)]) for n in range(3, 19)]
+    begun = time.perf_counter()
+    first, uptos, exits = bytechain.join_exits(maps, size, look)
+    assert time.perf_counter() - begun < 2
+    for entry in (0, 1, 2000, look):
+        at = first * size + entry
+        for one in maps:
+            at = bytechain.leave(at, *one, size)
+        assert bytechain.leave(first * size + entry, first, uptos, exits, size) == at

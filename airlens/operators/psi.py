@@ -6,6 +6,8 @@ ones; parsing itself is column expressions over a few bytes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,10 @@ def valid_sections(sections: DataFrame, table_id: int, min_size: int = 12) -> Da
 
 def descriptors(loop: Column) -> Column:
     """Tag-length-value loop as ARRAY<STRUCT<tag, body>>; stops at the first overrun (FN-16)."""
+    return _let(loop, _descriptors)  # the walk reads it at every step
+
+
+def _descriptors(loop: Column) -> Column:
 
     def step(acc: Column, _i: Column) -> Column:
         length = u8(loop, acc["at"] + 1)
@@ -626,12 +632,16 @@ def scan_report(packets: DataFrame, datagrams: DataFrame, programs: DataFrame) -
 # ---- table rewriting -------------------------------------------------------------------------------------------
 
 
+def _let(value: Column, expr: Callable[[Column], Column]) -> Column:
+    """``expr`` of a value that is worked out once, however often ``expr`` reads it."""
+    return F.transform(F.array(value), expr)[0]
+
+
 def _finish(head: Column, body: Column) -> Column:
     """Section from its first three bytes and the rest: new length and checksum."""
-    size = F.octet_length(body) + 4
-    first_two = to_bytes(bits(be16(head, 1), 12, 15) * 4096 + size, 2)
-    section = F.concat(F.substring(head, 1, 1), first_two, body)
-    return F.concat(section, to_bytes(crc32_mpeg2(section), 4))
+    first_two = lambda b: to_bytes(bits(be16(head, 1), 12, 15) * 4096 + F.octet_length(b) + 4, 2)
+    section = _let(body, lambda b: F.concat(F.substring(head, 1, 1), first_two(b), b))
+    return _let(section, lambda s: F.concat(s, to_bytes(crc32_mpeg2(s), 4)))
 
 
 def rewrite_pat(section: Column) -> Column:
@@ -654,14 +664,14 @@ def rewrite_pmt(section: Column, dropped: Column, strip_ecm: bool, strip_emm: bo
     info = bits(be16(section, 10), 0, 0xFFF)
     program = F.substring(section, F.lit(13), info)
     program = _without_ca(program) if strip_emm else program
-    program_head = to_bytes(bits(be16(section, 10), 12, 15) * 4096 + F.octet_length(program), 2)
+    program_head = lambda p: to_bytes(bits(be16(section, 10), 12, 15) * 4096 + F.octet_length(p), 2)
 
     def entry(e: Column) -> Column:
         desc = _without_ca(e["desc"]) if strip_ecm else e["desc"]
-        return F.concat(to_bytes(e["stream_type"], 1), to_bytes(e["pid"] + 0xE000, 2), to_bytes(F.octet_length(desc) + 0xF000, 2), desc)
+        return _let(desc, lambda d: F.concat(to_bytes(e["stream_type"], 1), to_bytes(e["pid"] + 0xE000, 2), to_bytes(F.octet_length(d) + 0xF000, 2), d))
 
     kept = F.filter(_es_loop(section, info + 12), lambda e: ~F.array_contains(dropped, e["pid"]))
-    body = F.concat(F.substring(section, 4, 7), program_head, program, concat_bytes(F.transform(kept, entry)))
+    body = F.concat(F.substring(section, 4, 7), _let(program, lambda p: F.concat(program_head(p), p)), concat_bytes(F.transform(kept, entry)))
     return F.when((F.octet_length(section) >= 16) & (u8(section, 0) == PMT), _finish(section, body))
 
 

@@ -4,8 +4,9 @@ import datetime
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from airlens.operators import bytechain
+from airlens.operators import bytechain, psi
 from airlens.plans import catalog  # noqa: F401
 from airlens.plans.registry import ORACLES, QUERIES
 from tests_compare import compare, duck
@@ -78,3 +79,10 @@ def test_exit_maps_of_many_stretches_join_at_once():
         for one in maps:
             at = bytechain.leave(at, *one, size)
         assert bytechain.leave(first * size + entry, first, uptos, exits, size) == at
+
+
+def test_a_section_reads_its_body_once(spark):
+    made = psi._finish(F.unhex(F.lit("40B000")), F.unhex("body"))
+    plan = spark.createDataFrame([("00",)], "body string").select(made.alias("x"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("unhex(body") == 1
+    assert bytes(plan.first().x)[:4].hex() == "40b00500"

@@ -41,6 +41,15 @@ class Fold:
         """What the end of the stream releases; ``row`` is the closing row, whose time is the end's."""
         return []
 
+    @staticmethod
+    def packed(state: dict) -> dict:
+        """The state as its typed fields and maps have it."""
+        return state
+
+    @staticmethod
+    def unpacked(state: dict) -> dict:
+        return state
+
 
 def _run_end(breaks: np.ndarray, at: int, end: int) -> int:
     """End of the run that holds ``at``: ``breaks`` are the rows that do not go on from the one before them."""

@@ -9,133 +9,134 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState, StatefulProcessor, StatefulProcessorHandle
 
 from airlens.streaming import folds
 from airlens.streaming.folds import Fold
 
 ENDS = "ends"
-
-
-class _Map:
-    """A map of the state store with the manners of a dict."""
-
-    def __init__(self, held):
-        self.held = held
-
-    def __contains__(self, key: int) -> bool:
-        return self.held.containsKey((key,))
-
-    def __getitem__(self, key: int):
-        value = self.held.getValue((key,))
-        return value[0] if len(value) == 1 else tuple(value)
-
-    def __setitem__(self, key: int, value) -> None:
-        self.held.updateValue((key,), value if isinstance(value, tuple) else (value,))
-
-    def items(self) -> list[tuple]:
-        return [(k[0], v[0] if len(v) == 1 else tuple(v)) for k, v in self.held.iterator()]
-
-    def get(self, key: int):
-        return self[key] if key in self else None
-
-    def clear(self) -> None:
-        self.held.clear()
+KEY, GROUP = "fold_key", "fold_group"  # a row's key as one text, and the group of keys that it falls in
 
 
 class _Keyed(StatefulProcessor):
-    """Runs a fold per key. Its state is typed fields and maps, its deadline an event-time timer, and a row whose ``ends``
-    is true closes the key: what is still open is released and the state is gone."""
+    """Runs a fold for each key of a group of keys, which share a call, a list of states and a timer: what a call to the
+    state store costs is paid once a group and micro-batch.
+
+    The state is a list of typed rows, one for each key with something to remember, and a list of entries for each map; the timer stands at the earliest of
+    the keys' deadlines. A row whose ``ends`` is true closes its key: what is still open is released and its state is gone.
+    """
 
-    def __init__(self, fold: Fold, keys: list[str], columns: list[str], timed: bool):
-        self.fold, self.keys, self.columns, self.timed = fold, keys, columns, timed
+    def __init__(self, fold: Fold, columns: list[str], timed: bool):
+        self.fold, self.columns, self.timed = fold, columns, timed
         self.fields = [f.split()[0] for f in fold.state.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("state", self.fold.state)
-        self.held = {name: _Map(handle.getMapState(name, key, value)) for name, (key, value) in self.fold.maps.items()}
-
-    def _load(self) -> dict:
-        if not self.value.exists():
-            return {}
-        state = {n: list(v) if isinstance(v, (list, np.ndarray)) else v for n, v in zip(self.fields, self.value.get(), strict=True) if v is not None}
-        if isinstance(self.fold, folds.RtpRepair):
-            return self.fold.unpacked({**state, "hold": dict(self.held["hold"].items())})
-        return state | self.held
-
-    def _save(self, state: dict, expiring: bool = False) -> None:
+        self.held = handle.getListState("state", f"{KEY} string, {self.fold.state}")
+        self.maps = {name: handle.getListState(name, f"{KEY} string, {key}, {value}") for name, (key, value) in self.fold.maps.items()}
+
+    def _load(self) -> dict[str, dict]:
+        states = {}
+        for key, *values in self.held.get():
+            state = {n: list(v) if isinstance(v, (list, np.ndarray)) else v for n, v in zip(self.fields, values, strict=True) if v is not None}
+            states[key] = state | {name: {} for name in self.maps}
+        for name, entries in self.maps.items():
+            for key, number, *value in entries.get():
+                states[key][name][number] = value[0] if len(value) == 1 else tuple(value)
+        return {key: self.fold.unpacked(state) for key, state in states.items()}
+
+    def _save(self, states: dict[str, dict], expiring: bool = False) -> None:
         if self.timed:
             if not expiring:  # the engine itself deletes a timer that fired
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
-            end = self.fold.deadline(state)
-            if end is not None:
-                self.handle.registerTimer(-(-end // 1000))  # whole milliseconds, never early
-        if not state:
-            self.value.clear()
-            for held in self.held.values():
-                held.clear()
-            return
-        if isinstance(self.fold, folds.RtpRepair):
-            state = self.fold.packed(state)
-            self.held["hold"].clear()
-            for number, source in state["hold"].items():
-                self.held["hold"][number] = source
-        self.value.update(tuple(state.get(n) for n in self.fields))
-
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*self.keys, *self.columns])
+            ends = [end for end in map(self.fold.deadline, states.values()) if end is not None]
+            if ends:
+                self.handle.registerTimer(-(-min(ends) // 1000))  # whole milliseconds, never early
+        kept = {key: self.fold.packed(state) for key, state in states.items() if state}
+        self._put(self.held, [(key, *map(state.get, self.fields)) for key, state in kept.items()])
+        for name, entries in self.maps.items():
+            pairs = [(key, number, value) for key, state in kept.items() for number, value in state.get(name, {}).items()]
+            self._put(entries, [(key, number, *(value if isinstance(value, tuple) else (value,))) for key, number, value in pairs])
+
+    @staticmethod
+    def _put(held: ListState, rows: list[tuple]) -> None:
+        if rows:
+            held.put(rows)
+        else:
+            held.clear()
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[KEY, *self.columns])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.fold.order, kind="stable")
-        names = list(batch.columns)
-        columns = {c: batch[c].to_numpy() for c in names}  # folds keep what they work out for a batch beside them
-        n, state, out, at = len(batch), self._load(), [], 0
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch[GROUP] = batch[KEY].factorize()[0]
+        batch = batch.sort_values([GROUP, *self.fold.order], kind="stable")
+        owners, keys = batch.pop(GROUP).to_numpy(), batch.pop(KEY).tolist()
+        columns = {c: batch[c].to_numpy() for c in batch.columns}  # folds keep what they work out for a batch beside them
+        plain = {c: values.tolist() for c, values in columns.items()}
+        edges = [0, *(np.flatnonzero(np.diff(owners)) + 1).tolist(), len(batch)]
         closing = np.flatnonzero(columns[ENDS].astype(bool)).tolist() if ENDS in columns else []
-        for end in [*closing, n]:
-            while at < end:
-                if not state and self.held:
-                    state.update(self.held if not isinstance(self.fold, folds.RtpRepair) else {})
-                after, released = self.fold.stretch(state, columns, at, end)
-                if after == at:
-                    released, after = self.fold.step(state, {c: columns[c][at] for c in names}), at + 1
-                out += released
-                at = after
-            if end < n:
-                out += self.fold.finish(state, {c: columns[c][end] for c in names})
-                state.clear()
-                at = end + 1
-        self._save(state)
+        states, out, at, next_end = self._load(), [], 0, 0
+        for high in edges[1:]:
+            owner = keys[at]
+            state = states.setdefault(owner, {})
+            found = []
+            while at < high:
+                closes = next_end < len(closing) and closing[next_end] < high
+                end = closing[next_end] if closes else high
+                while at < end:
+                    after, released = self.fold.stretch(state, columns, at, end)
+                    if after == at:
+                        released, after = self.fold.step(state, {c: values[at] for c, values in plain.items()}), at + 1
+                    found += released
+                    at = after
+                if closes:
+                    found += self.fold.finish(state, {c: values[end] for c, values in plain.items()})
+                    state.clear()
+                    at, next_end = end + 1, next_end + 1
+            out += [(owner, *r) for r in found]
+        self._save(states)
         if out:
-            yield self._frame(key, out)
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        out = self.fold.expire(state, expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        self._save(state, expiring=True)
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        states, out = self._load(), []
+        for owner, state in states.items():
+            end, before = self.fold.deadline(state), None
+            while end is not None and end != before and -(-end // 1000) <= now:
+                out += [(owner, *r) for r in self.fold.expire(state, -(-end // 1000) * 1000)]
+                end, before = self.fold.deadline(state), end
+        self._save(states, expiring=True)
         if out:
-            yield self._frame(key, out)
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def keyed_fold(stream: DataFrame, fold: Fold, keys: list[str], time_us: str | None = None, delay: str = "1 second", mode: str = "append") -> DataFrame:
+def keyed_fold(stream: DataFrame, fold: Fold, keys: list[str], time_us: str | None = None, delay: str = "1 second", mode: str = "append", groups: int = 1024) -> DataFrame:
     """Rows a fold releases per key. ``time_us`` drives its timers through a watermark ``delay`` behind.
 
     A boolean column ``ends`` is optional: where it is true, the row closes its key. Rows of a key are ordered within a
     micro-batch, so its size (files or offsets per trigger) bounds a task's memory. Folds look at the clock on every row,
-    so a timer only matters for keys that get none. Needs the RocksDB state store.
+    so a timer only matters for keys that get none. Keys are whole numbers or texts; they are dealt to ``groups`` groups,
+    and the state of a group is read and written as a whole when one of its keys has rows, so many millions of open keys
+    want more groups. Needs the RocksDB state store.
     """
     released = T._parse_datatype_string(fold.output)
-    schema = T.StructType([*[stream.schema[k] for k in keys], *released.fields])
-    timed = stream
+    schema = T.StructType([T.StructField(KEY, T.StringType()), *released.fields])
+    timed = stream.withColumn(KEY, F.to_json(F.struct(*keys)))
+    timed = timed.withColumn(GROUP, F.pmod(F.xxhash64(KEY), F.lit(groups)).cast("int"))
     if time_us:
-        timed = stream.withColumn("__ts", F.timestamp_micros(F.col(time_us))).withWatermark("__ts", delay)
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        _Keyed(fold, keys, released.fieldNames(), time_us is not None), schema, mode, "EventTime" if time_us else "None"
+        timed = timed.withColumn("__ts", F.timestamp_micros(F.col(time_us))).withWatermark("__ts", delay)
+    found = timed.groupBy(GROUP).transformWithStateInPandas(
+        _Keyed(fold, released.fieldNames(), time_us is not None), schema, mode, "EventTime" if time_us else "None"
     )
+    named = found.withColumn(KEY, F.from_json(KEY, T.StructType([stream.schema[k] for k in keys])))
+    return named.select(*[F.col(KEY)[k].alias(k) for k in keys], *released.fieldNames())
 
 
 def metric_store(stream: DataFrame, expiry_s: int = 30, delay: str = "1 second") -> DataFrame:

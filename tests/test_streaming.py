@@ -6,6 +6,7 @@ import random
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +270,41 @@ def test_window_state_is_a_map_by_number():
         packed = fold.packed(state)
         assert fold.unpacked(packed)["hold"] == state["hold"] and packed["size"] == len(state["hold"])
         assert all(0 <= n < 65536 and s for n, s in packed["hold"].items())
+
+
+def test_calls_to_the_state_store_do_not_grow_with_the_keys():
+    calls = []
+
+    class Held:
+        rows: list = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = rows
+
+        def clear(self):
+            calls.append("clear")
+            self.rows = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Held()
+
+        def listTimers(self):
+            return iter(())
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    fold = folds.MetricStore()
+    keyed = st._Keyed(fold, ["event", "arrival", "process_start", "sequence", "recv_us"], True)
+    keyed.init(Handle())
+    for batch in range(2):
+        rows = pd.DataFrame({"arrival": range(900), "recv_us": [batch * 1_000_000 + n for n in range(900)], "process_start": 1, "sequence": batch, st.KEY: [str(n % 300) for n in range(900)], st.GROUP: 7})
+        (out,) = keyed.handleInputRows((7,), iter([rows]), None)
+        assert len(out) == 300 and set(out[st.KEY]) == {str(n) for n in range(300)}
+    assert calls == ["get", 30_001, "put", "get", 31_001, "put"]

@@ -53,7 +53,7 @@ def test_numbers_of_more_than_eight_digits(agree):
     agree("small_formats", events=[event(541_999, 1), event(600_001, 2)])
 
 
-@pytest.mark.parametrize("name", ["metric_store_stream"])
+@pytest.mark.parametrize("name", ["metric_store_stream", "service_discovery_stream"])
 def test_streams_whose_numbers_fall_with_time(agree, name):
     kinds = ["signup", "view", "click", "error"]
     agree(name, events=[event(n, n % 2, kinds[n // 2 % 4], us=(40 - n) * 7_200_000_000) for n in range(40)])

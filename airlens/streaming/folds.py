@@ -8,6 +8,7 @@ takes them at once, as arrays; what it gives is what ``step`` would.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -220,16 +221,22 @@ def _times(a: int, b: int) -> int:
     return out
 
 
+@lru_cache(4096)  # most parts of a document are of one size
+def _shift(size: int) -> int:
+    """What ``size`` more bytes multiply a remainder by: x to the number of their bits."""
+    power, shift, n = 2, 1, 8 * size
+    while n:
+        if n & 1:
+            shift = _times(shift, power)
+        power, n = _times(power, power), n >> 1
+    return shift
+
+
 def joined_crc(parts: list[tuple[int, int]]) -> int:
     """Checksum of a document from ``(part_crc, size)`` of its parts in order: no part is read again."""
     total = _ALL
     for crc, size in parts:
-        power, shift, n = 2, 1, 8 * size
-        while n:  # shift = x to the number of bits
-            if n & 1:
-                shift = _times(shift, power)
-            power, n = _times(power, power), n >> 1
-        total = _times(total, shift) ^ crc
+        total = _times(total, _shift(size)) ^ crc
     return total
 
 

@@ -308,3 +308,9 @@ def test_calls_to_the_state_store_do_not_grow_with_the_keys():
         (out,) = keyed.handleInputRows((7,), iter([rows]), None)
         assert len(out) == 300 and set(out[st.KEY]) == {str(n) for n in range(300)}
     assert calls == ["get", 30_001, "put", "get", 31_001, "put"]
+
+
+def test_parts_of_one_size_are_shifted_alike():
+    folds._shift.cache_clear()
+    folds.joined_crc([(n, 1452) for n in range(40)])
+    assert folds._shift.cache_info().misses == 1

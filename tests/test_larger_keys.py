@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from airlens.operators import bytechain, psi
+from airlens.operators import bytechain, guide, psi
 from airlens.plans import catalog  # noqa: F401
 from airlens.plans.registry import ORACLES, QUERIES
 from tests_compare import compare, duck
@@ -41,6 +41,15 @@ def test_lines_whose_addresses_repeat(agree, name):
     agree(name, [4, 10, 62504, 62510], [event(1, 4), event(2, 62504), event(3, 62510)])
 
 
+def test_a_chain_of_many_renamed_channels(spark):
+    n = 130
+    channels = spark.createDataFrame([(i, f"c{i}", f"u{i}") for i in range(n)], "ord bigint, id string, uri string")
+    lines = spark.createDataFrame([(i, f"u{i}", f"c{i + 1}") for i in range(n)], "ord bigint, uri string, id string")
+    programmes = spark.createDataFrame([(0, "c0"), (1, "c77"), (2, "x")], "ord bigint, channel_id string")
+    moved = guide.apply_revmap(channels, programmes, lines)[1]
+    assert [r.channel_id for r in moved.orderBy("ord").collect()] == [f"c{n}", f"c{n}", "x"]
+
+
 def test_rows_that_bear_the_page_number(agree):
     agree("teletext_rows", events=[event(1, 777, "purchase"), event(2, 7771, "purchase"), event(3, 99777, "click"), event(6, 777, "click")])
 

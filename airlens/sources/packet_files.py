@@ -4,8 +4,8 @@
     spark.read.format("packets").load("captures/*.ts")             # capture, pkt_no, pkt
     packets.write.format("packets").mode("overwrite").save(path)   # or write_packets(packets, path)
 
-A file of any size is read by as many tasks as it has ranges of ``rangeBytes``. Each task looks at the first 2.7 kB of its
-file, finds raw packets or RTP records of 1 to 7 packets (``framing``: auto, raw), and takes the records that begin in its
+A file of any size is cut into ranges of ``rangeBytes``; a task reads neighbouring ranges, 32 MB of them at most unless one is
+larger, so short ranges and short files make no more tasks. Each task looks at the first 2.7 kB of its files, finds raw packets or RTP records of 1 to 7 packets (``framing``: auto, raw), and takes the records that begin in its
 range. ``resynced`` also finds packets that do not stand at multiples of their length: where no sync byte stands, the next
 one is taken. Where a packet begins then depends on all before it, so each range is first reduced to a map from the place
 where it is entered to the place where it is left, the maps meet in a tree (``compose``), and ranges are read from there.
@@ -104,6 +104,26 @@ class Range(InputPartition):
     before: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads."""
+
+    ranges: list[Range]
+
+
+def _dealt(ranges: list[Range], size: int) -> list[Ranges]:
+    """Neighbouring ranges in tasks of ``size`` bytes, or of a 64th of all bytes where that is less."""
+    size = min(size, sum(r.high - r.low for r in ranges) // 64)
+    tasks, held = [], size
+    for one in ranges:
+        if held >= size:
+            tasks.append(Ranges([]))
+            held = 0
+        tasks[-1].ranges.append(one)
+        held += one.high - one.low
+    return tasks
+
+
 def _owner(uri: str) -> str | None:
     folder = re.search(r"/capture=([^/]*)/[^/]*$", uri)
     if not folder:
@@ -116,7 +136,7 @@ class _File:
 
     def __init__(self, uri: str, size: int, framing: str):
         system, inside = located(uri)
-        self.file, self.size = system.open_input_file(inside), size
+        self.uri, self.file, self.size = uri, system.open_input_file(inside), size
         self.framing = Framing() if framing == "raw" else framing_of(self.file.read_at(min(HEAD_BYTES, size), 0))
         self.total = self.framing.payload_size(size)
 
@@ -152,7 +172,7 @@ class _Reader(DataSourceReader):
         self.path, self.framing = options["path"], options.get("framing", "auto")
         self.range_bytes = max(int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES))), 8 * PACKET)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[InputPartition]:
         out, before, last = [], 0, object()
         for uri, size in _files(self.path):
             capture = _owner(uri)
@@ -160,21 +180,28 @@ class _Reader(DataSourceReader):
                 before, last = 0, capture
             out += [Range(capture, uri, size, low, min(low + self.range_bytes, size), i, before) for i, low in enumerate(range(0, size, self.range_bytes))]
             before += size // PACKET
-        return out or [Range(None, "", 0, 0, 0, 0, 0)]
+        return _dealt(out, RANGE_BYTES) or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator:
+        file = None
+        for one in partition.ranges:
+            if file is None or file.uri != one.uri:
+                file = _File(one.uri, one.size, self.framing)
+            yield from self.rows(file, one)
+
+    def rows(self, file: _File, one: Range) -> Iterator:
+        raise NotImplementedError
 
 
 class PacketReader(_Reader):
     """Packets at multiples of their length, whatever their first byte; a last part shorter than a packet is left out."""
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.low >= partition.high:
-            return
-        file = _File(partition.uri, partition.size, self.framing)
-        start, stop = file.records(partition.low, partition.high)
+    def rows(self, file: _File, one: Range) -> Iterator[pa.RecordBatch]:
+        start, stop = file.records(one.low, one.high)
         number, end = start // PACKET, stop // PACKET
         while number < end:
             n = min(BATCH, end - number)
-            yield _batch(partition.capture, partition.before + number, file.payload(number * PACKET, (number + n) * PACKET), n)
+            yield _batch(one.capture, one.before + number, file.payload(number * PACKET, (number + n) * PACKET), n)
             number += n
 
 
@@ -196,14 +223,11 @@ class MapReader(_Reader):
     """One row a range: its payload ``start`` to ``stop``, and for an entry at ``start + i`` where the chain of packets
     leaves it (``exits``, from ``start``) and how many packets begin in it (``counts``)."""
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if partition.low >= partition.high:
-            return
-        file = _File(partition.uri, partition.size, self.framing)
-        start, stop = file.records(partition.low, partition.high)
+    def rows(self, file: _File, one: Range) -> Iterator[tuple]:
+        start, stop = file.records(one.low, one.high)
         if start < stop:
             exits, counts = range_map(file.payload(start, stop + PACKET - 1), stop - start, PACKET if start else 1)
-            yield partition.uri, partition.number, partition.uri, partition.size, start, stop, exits, counts
+            yield one.uri, one.number, one.uri, one.size, start, stop, exits, counts
 
 
 class PacketFiles(DataSource):

@@ -135,3 +135,13 @@ def test_an_empty_folder_and_a_missing_one(spark, tmp_path):
     assert spark.read.format("packets").load(str(tmp_path / "none")).count() == 0
     with pytest.raises(Exception, match="missing"):
         spark.read.format("packets").load(str(tmp_path / "missing")).count()
+
+
+def test_short_ranges_make_no_more_tasks(tmp_path):
+    for n in range(300):
+        (tmp_path / f"{n:03d}.ts").write_bytes((b"\x47" + b"\x00" * 187) * 40)
+    for reader in (pf.PacketReader, pf.MapReader):
+        tasks = reader({"path": str(tmp_path), "rangeBytes": "1504"}).partitions()
+        assert len(tasks) <= 65
+        assert sum(r.high - r.low for t in tasks for r in t.ranges) == 300 * 40 * 188
+        assert len([r for t in tasks for r in t.ranges]) == 1500

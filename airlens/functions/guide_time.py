@@ -13,15 +13,16 @@ COMPACT_OFFSET = r"(?s)^\d{14} ([+-])(\d{2})(\d{2})"
 UNIX_EPOCH_MJD = 40587  # fixed value: day number of 1970-01-01
 
 
-def _part(col: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(col, pattern, group)
+def _digits(col: Column, *places: tuple[int, int]) -> list[Column]:
+    """Parts of a text that a pattern has found good: all its parts stand at fixed places, so nothing is matched again."""
+    return [F.substring(col, at, size) for at, size in places]
 
 
 def xmltv_to_iso(col: Column) -> Column:
     """Compact time to ISO text; null unless it starts with 14 digits; no range check (FN-6)."""
-    g = [_part(col, COMPACT, i) for i in range(1, 7)]
+    g = _digits(col, (1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2))
     base = F.concat(g[0], F.lit("-"), g[1], F.lit("-"), g[2], F.lit("T"), g[3], F.lit(":"), g[4], F.lit(":"), g[5])
-    sign, hours, minutes = (_part(col, COMPACT_OFFSET, i) for i in (1, 2, 3))
+    sign, hours, minutes = _digits(col, (16, 1), (17, 2), (19, 2))
     offset = (
         F.when(~col.rlike(COMPACT_OFFSET), "").when((sign == "+") & (hours == "00") & (minutes == "00"), "Z")
         .otherwise(F.concat(sign, hours, F.lit(":"), minutes))
@@ -29,26 +30,33 @@ def xmltv_to_iso(col: Column) -> Column:
     return F.when(col.rlike(COMPACT), F.concat(base, offset))
 
 
+def _offset(col: Column) -> tuple[Column, Column]:
+    """What stands behind the seconds of an ISO text, and the minutes of an offset; null without one."""
+    mark, hours, minutes = _digits(col, (20, 1), (21, 2), (24, 2))
+    return mark, F.when(mark.isin("+", "-"), hours.try_cast("bigint") * 60 + minutes.try_cast("bigint"))
+
+
 def iso_to_xmltv(col: Column) -> Column:
     """ISO text to compact time; null when it is not one (FN-7)."""
-    base = F.concat(*[_part(col, ISO, i) for i in range(1, 7)])
-    minutes = _part(col, ISO, 9).try_cast("int") * 60 + _part(col, ISO, 10).try_cast("int")
-    sign = F.when((_part(col, ISO, 8) == "-") & (minutes > 0), "-").otherwise("+")
+    base = F.concat(*_digits(col, (1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2)))
+    mark, size = _offset(col)
+    minutes = size.cast("int")
+    sign = F.when((mark == "-") & (minutes > 0), "-").otherwise("+")
     numeric = F.format_string(" %s%02d%02d", sign, F.floor(minutes / 60).cast("int"), minutes % 60)
-    offset = F.when(_part(col, ISO, 7) == "Z", " +0000").when(_part(col, ISO, 8) != "", numeric).otherwise("")
+    offset = F.when(mark == "Z", " +0000").when(mark.isin("+", "-"), numeric).otherwise("")
     return F.when(col.rlike(ISO), F.concat(base, offset))
 
 
 def iso_to_minutes(col: Column) -> Column:
     """Minutes since the MJD epoch in UTC, seconds ignored; null when not ISO text (FN-8)."""
-    y, mo, d, h, mi = (_part(col, ISO, i).try_cast("bigint") for i in (1, 2, 3, 4, 5))
+    y, mo, d, h, mi = (part.try_cast("bigint") for part in _digits(col, (1, 4), (6, 2), (9, 2), (12, 2), (15, 2)))
     early = mo <= 2
     yy, mm = F.when(early, y - 1).otherwise(y), F.when(early, mo + 12).otherwise(mo)
     # the day-number formula, in whole numbers; both divisions truncate
     centi, milli = (yy - 1900) * 36525, (mm + 1) * 306001
     days = d + 14956 + ((centi - F.when(centi < 0, -F.pmod(-centi, F.lit(100))).otherwise(F.pmod(centi, F.lit(100)))) / 100).cast("bigint") + F.floor(milli / 10000)
-    offset = _part(col, ISO, 9).try_cast("bigint") * 60 + _part(col, ISO, 10).try_cast("bigint")
-    signed = F.when(_part(col, ISO, 8) == "-", -offset).otherwise(offset)
+    mark, offset = _offset(col)
+    signed = F.when(mark == "-", -offset).otherwise(offset)
     return F.when(col.rlike(ISO), days * 1440 + h * 60 + mi - F.coalesce(signed, F.lit(0)))
 
 

@@ -227,9 +227,9 @@ SELECT event_id, CONCAT(substr(c, 1, 4), '-', substr(c, 5, 2), '-', substr(c, 7,
  us // 60000000 + 58445280 - om AS mjd_min, (us // 60000000 - om) * 60 AS unix_s FROM o""")
 def _(fx):
     compact = F.concat(F.expr("date_format(timestamp_seconds(us div 1000000), 'yyyyMMddHHmmss')"), F.expr("element_at(array('', ' +0000', ' +0130', ' -0500'), cast(event_id % 4 + 1 as int))"))
-    rows = fx.base.select("event_id", compact.alias("c")).withColumn("iso", guide_time.xmltv_to_iso(F.col("c")))
-    minutes = guide_time.iso_to_minutes(F.col("iso"))
-    return rows.select("event_id", "iso", guide_time.iso_to_xmltv(F.col("iso")).alias("back"), minutes.alias("mjd_min"), guide_time.minutes_to_unix(minutes).alias("unix_s"))
+    rows = evaluate_once(fx.base.select("event_id", compact.alias("c")), "c", F.col("c"))
+    rows = evaluate_once(evaluate_once(rows, "iso", guide_time.xmltv_to_iso(F.col("c"))), "mjd_min", guide_time.iso_to_minutes(F.col("iso")))
+    return rows.select("event_id", "iso", guide_time.iso_to_xmltv(F.col("iso")).alias("back"), "mjd_min", guide_time.minutes_to_unix(F.col("mjd_min")).alias("unix_s"))
 
 
 @query("escape_label", r"""SELECT event_id, CONCAT('a\\', event_type, '\"', chr(92), 'n', user_id) AS out FROM fx_base""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens.functions.guide_time import xmltv_to_iso
+from airlens.functions.once import evaluate_once
 from airlens.operators.guide import attach_programme_text
 
 CHANNEL = "_id string, `display-name` array<string>"
@@ -27,7 +28,7 @@ def channels_of(rows: DataFrame) -> DataFrame:
 def programmes_of(rows: DataFrame) -> DataFrame:
     """Programmes from parsed elements: start and channel required, a bad stop becomes empty, first texts only."""
     first = lambda c: F.coalesce(F.try_element_at(F.col(f"e.{c}"), F.lit(1)), F.lit(""))
-    timed = rows.withColumn("start", xmltv_to_iso(F.col("e._start"))).filter("start IS NOT NULL AND e._channel IS NOT NULL")
+    timed = evaluate_once(rows, "start", xmltv_to_iso(F.col("e._start"))).filter("start IS NOT NULL AND e._channel IS NOT NULL")
     return timed.select(
         "doc", "ord", F.col("e._channel").alias("channel_id"), "start", F.coalesce(xmltv_to_iso(F.col("e._stop")), F.lit("")).alias("stop"),
         first("title").alias("title"), first("desc").alias("desc"), first("category").alias("category"),
@@ -42,7 +43,7 @@ def read_xmltv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def parse_xmltv(rows: DataFrame, col: str, tag: str) -> DataFrame:
     """The same from one element text per row ``doc, ord, col``; ``tag`` is channel or programme."""
     schema = CHANNEL if tag == "channel" else PROGRAMME
-    parsed = rows.select("doc", "ord", F.from_xml(F.col(col), schema).alias("e"))
+    parsed = evaluate_once(rows.select("doc", "ord", col), "e", F.from_xml(F.col(col), schema))
     return channels_of(parsed) if tag == "channel" else programmes_of(parsed)
 
 

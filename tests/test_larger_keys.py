@@ -83,6 +83,15 @@ def test_names_are_never_broadcast(spark, tmp_path, name):
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["guide_times", "guide_window_texts", "read_xmltv_programmes"])
+def test_times_are_made_once_and_matched_once(spark, tmp_path, name):
+    spark.createDataFrame([event(1, 4), event(2, 5)], EVENTS).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(4, "Customer#4", 1, 0.0, "X")], CUSTOMER).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format(") <= 2 and plan.count("regexp_extract(") == 0
+
+
 def test_exit_maps_of_many_stretches_join_at_once():
     size, look = 1 << 14, 4145
     maps = [(n, list(range(look + 1)), [(n + 1) * size + (e * 7919) % look for e in range(look + 1)]) for n in range(3, 19)]

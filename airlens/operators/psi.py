@@ -23,6 +23,7 @@ PAT, CAT, PMT, NIT, SDT = 0x00, 0x01, 0x02, 0x40, 0x42
 PID_PAT, PID_CAT, PID_NIT, PID_SDT, PID_EIT, PID_RST, PID_TDT, PID_NULL = 0x0000, 0x0001, 0x0010, 0x0011, 0x0012, 0x0013, 0x0014, 0x1FFF
 TAG_CA, TAG_LANGUAGE, TAG_NETWORK, TAG_SERVICE, TAG_TELETEXT, TAG_SUBTITLE = 0x09, 0x0A, 0x40, 0x48, 0x56, 0x59
 TAG_SCRAMBLING, TAG_AC3, TAG_APPLICATION, TAG_EAC3 = 0x65, 0x6A, 0x6F, 0x7A
+TABLE_PIDS = (PID_PAT, PID_CAT, PID_NIT, PID_SDT)
 # fixed values: pids whose class never depends on tables
 FIXED_CLASSES = {
     PID_PAT: "PAT", PID_CAT: "CAT", PID_NIT: "NIT", PID_SDT: "SDT", PID_EIT: "EIT",
@@ -40,20 +41,39 @@ def assemble_sections(packets: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame
     """Complete sections from packets ``capture, pid, pkt_no, pusi, payload`` (WIN-9).
 
     A start packet skips its pointer field; one section per start; one cut short by the next start is dropped. Filter to table pids first: it is the largest saving there is.
+    Most sections fit in the packet they start in and are read from it where it stands; only pids with a longer one are
+    put in order.
     """
-    bytes_ = F.when(F.col("pusi") != 0, tail(F.col("payload"), u8(F.col("payload"), 0) + 1)).otherwise(F.col("payload"))
-    bad_start = (F.col("pusi") != 0) & (u8(F.col("payload"), 0) + 1 > F.octet_length("payload"))
-    rows = packets.filter("octet_length(payload) > 0").select(
-        "capture", "pid", "pkt_no", F.col("pusi"), F.when(bad_start, F.lit(None)).otherwise(bytes_).alias("part"), bad_start.alias("bad")
-    )
-    grouped = scan(rows, ["capture", "pid"], ["pkt_no"], span, start=RunningSum((F.col("pusi") != 0).cast("bigint")))
+    rows = _section_parts(packets)
+    whole = rows.filter("whole").select("capture", "pid", F.col("pkt_no").alias("first_pkt_no"), F.col("pkt_no").alias("last_pkt_no"), u8(F.col("part"), 0).alias("table_id"), F.col("part").alias("bytes"))
+    longer = cut_lineage(rows.filter("begins AND NOT whole AND NOT bad").select("capture", "pid").distinct())
+    return whole if longer.isEmpty() else whole.unionByName(_assemble_longer(rows.join(longer, ["capture", "pid"], "left_semi"), span))
+
+
+def _section_parts(packets: DataFrame) -> DataFrame:
+    """What each packet adds to a section: ``capture, pid, pkt_no, begins, bad, whole, part``; ``whole`` ones are cut to their section."""
+    begins = F.col("pusi") != 0
+    bytes_ = F.when(begins, tail(F.col("payload"), u8(F.col("payload"), 0) + 1)).otherwise(F.col("payload"))
+    bad_start = begins & (u8(F.col("payload"), 0) + 1 > F.octet_length("payload"))
+    rows = packets.filter("octet_length(payload) > 0").select("capture", "pid", "pkt_no", begins.alias("begins"), bad_start.alias("bad"), bytes_.alias("__part"))
+    rows = evaluate_once(rows, "part", F.when(F.col("bad"), F.lit(None)).otherwise(F.col("__part"))).drop("__part")
+    rows = evaluate_once(rows, "__size", F.when(F.col("begins"), bits(be16(F.col("part"), 1), 0, 0xFFF) + 3))
+    whole = F.coalesce(F.octet_length("part") >= F.col("__size"), F.lit(False))
+    cut = F.when(whole, F.substring("part", F.lit(1), F.col("__size"))).otherwise(F.col("part"))
+    return rows.select("capture", "pid", "pkt_no", "begins", "bad", whole.alias("whole"), cut.alias("part"))
+
+
+def _assemble_longer(rows: DataFrame, span: int) -> DataFrame:
+    """Sections of more than one packet from all ``rows`` of their pids."""
+    held = rows.withColumn("part", F.when(~F.col("whole"), F.col("part")))
+    grouped = scan(held, ["capture", "pid"], ["pkt_no"], span, start=RunningSum(F.col("begins").cast("bigint")))
     # Each packet behind the start adds a byte or more, so packets past the longest section can never matter.
     rank = F.row_number().over(Window.partitionBy("capture", "pid", "start").orderBy("pkt_no"))
     bounded = grouped.filter("start > 0").withColumn("rank", rank).filter(F.col("rank") <= SECTION_BYTES + 1)
     parts = bounded.groupBy("capture", "pid", "start").agg(
-        F.array_sort(F.collect_list(F.struct("pkt_no", "part"))).alias("parts"), F.bool_or("bad").alias("bad")
+        F.array_sort(F.collect_list(F.struct("pkt_no", "part"))).alias("parts"), F.bool_or(F.col("bad") | F.col("whole")).alias("other")
     )
-    joined = evaluate_once(parts.filter("NOT bad"), "bytes", concat_bytes(F.col("parts.part")))
+    joined = evaluate_once(parts.filter("NOT other"), "bytes", concat_bytes(F.col("parts.part")))
     size = bits(be16(F.col("bytes"), 1), 0, 0xFFF) + 3
     complete = joined.withColumn("size", size).filter(F.octet_length("bytes") >= F.col("size"))
 
@@ -71,16 +91,36 @@ def assemble_sections(packets: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame
     )
 
 
-def table_pids(packets: DataFrame, programs: DataFrame) -> DataFrame:
-    """Packets that can carry tables: fixed pids and the pids the program list names."""
-    wanted = programs.select("capture", F.col("pmt_pid").alias("pid")).distinct()
-    fixed = packets.filter(F.col("pid").isin(PID_PAT, PID_CAT, PID_NIT, PID_SDT))
-    return fixed.unionByName(packets.join(wanted, ["capture", "pid"], "left_semi").filter(~F.col("pid").isin(PID_PAT, PID_CAT, PID_NIT, PID_SDT)))
+def _distinct(sections: DataFrame) -> DataFrame:
+    return sections.groupBy("capture", "pid", "bytes").agg(F.min("first_pkt_no").alias("first_pkt_no"), F.max("last_pkt_no").alias("last_pkt_no"))
+
+
+def _distinct_sections(packets: DataFrame, span: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Distinct sections of packets, written down; of pids that are not reserved only those in ``wanted(capture, pid)``.
+
+    One pass over the packets, and one more if a section takes several: starts fold into distinct contents before anything is joined.
+    """
+    rows = _section_parts(packets)
+    starts = rows.filter("begins AND NOT bad").select(
+        "capture", "pid", F.when(F.col("whole"), F.col("part")).alias("bytes"), F.col("pkt_no").alias("first_pkt_no"), F.col("pkt_no").alias("last_pkt_no")
+    )
+    found = _distinct(starts)
+    if wanted is not None:
+        found = found.join(wanted.withColumn("__wanted", F.lit(True)), ["capture", "pid"], "left").filter(F.col("pid").isin(*TABLE_PIDS) | F.col("__wanted")).drop("__wanted")
+    found = cut_lineage(found)
+    whole = found.filter("bytes IS NOT NULL")
+    longer = found.filter("bytes IS NULL").select("capture", "pid")
+    if longer.isEmpty():
+        return whole
+    more = _assemble_longer(rows.join(longer, ["capture", "pid"], "left_semi"), span).drop("table_id")
+    return cut_lineage(_distinct(whole.unionByName(more)))
 
 
-def valid_sections(sections: DataFrame, table_id: int, min_size: int = 12) -> DataFrame:
-    """Sections of one table whose checksum holds, each distinct content once with its last position."""
+def valid_sections(sections: DataFrame, table_id: int, min_size: int = 12, distinct: bool = False) -> DataFrame:
+    """Sections of one table whose checksum holds, each distinct content once with its last position; ``distinct`` ones are taken as they are."""
     ok = sections.filter((u8(F.col("bytes"), 0) == table_id) & (F.octet_length("bytes") >= min_size))
+    if distinct:
+        return ok.filter(crc32_mpeg2(F.col("bytes")) == 0).select("capture", "pid", "bytes", "first_pkt_no", "last_pkt_no")
     # `body` repeats the key as an aggregate so that the checksum filter stays above the deduplication
     once = ok.groupBy("capture", "pid", "bytes").agg(
         F.min("first_pkt_no").alias("first_pkt_no"), F.max("last_pkt_no").alias("last_pkt_no"), F.max("bytes").alias("body")
@@ -88,25 +128,29 @@ def valid_sections(sections: DataFrame, table_id: int, min_size: int = 12) -> Da
     return once.filter(crc32_mpeg2(F.col("body")) == 0).drop("body")
 
 
+def _walk(data: Column, start: Column, end: Column, head: int, length: Callable[[Column], Column], item: Callable[[Column, Column], Column]) -> Column:
+    """Entries of ``head`` bytes and a body, up to the first that does not fit, each as ``item(at, length)``.
+
+    The steps only note where entries begin: a place is null behind the last one. Fields are read once an entry.
+    """
+    step = lambda ats, _i: F.concat(ats, F.array(F.when(F.element_at(ats, -1) < end, F.element_at(ats, -1) + head + length(F.element_at(ats, -1)))))
+    slots = F.sequence(F.lit(0), F.greatest(F.floor((end - start) / head).cast("int"), F.lit(0)))
+
+    def read(ats: Column) -> Column:
+        fit = F.filter(F.sequence(F.lit(0), F.size(ats) - 2), lambda i: F.get(ats, i + 1) <= end)
+        return F.transform(fit, lambda i: item(F.get(ats, i), F.get(ats, i + 1) - F.get(ats, i) - head))
+
+    return _let(F.aggregate(slots, F.array(start.cast("int")), step), lambda ats: F.when(ats.isNotNull(), read(ats)))
+
+
 def descriptors(loop: Column) -> Column:
     """Tag-length-value loop as ARRAY<STRUCT<tag, body>>; stops at the first overrun (FN-16)."""
     return _let(loop, _descriptors)  # the walk reads it at every step
 
 
 def _descriptors(loop: Column) -> Column:
-
-    def step(acc: Column, _i: Column) -> Column:
-        length = u8(loop, acc["at"] + 1)
-        fits = (acc["at"] >= 0) & F.coalesce(acc["at"] + 2 + length <= F.octet_length(loop), F.lit(False))
-        item = F.struct(u8(loop, acc["at"]).alias("tag"), F.substring(loop, acc["at"] + 3, length).alias("body"))
-        return F.struct(
-            F.when(fits, acc["at"] + 2 + length).otherwise(-1).alias("at"),
-            F.when(fits, F.concat(acc["items"], F.array(item))).otherwise(acc["items"]).alias("items"),
-        )
-
-    empty = F.array().cast("array<struct<tag:int,body:binary>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("items"))
-    return F.aggregate(F.sequence(F.lit(0), F.floor(F.octet_length(loop) / 2).cast("int")), start, step)["items"]
+    item = lambda at, length: F.struct(u8(loop, at).alias("tag"), F.substring(loop, at + 3, length).alias("body"))
+    return _walk(loop, F.lit(0), F.octet_length(loop), 2, lambda at: u8(loop, at + 1), item)
 
 
 def find_descriptor(items: Column, tag: int) -> Column:
@@ -156,29 +200,16 @@ def _es_loop(section: Column, start: Column) -> Column:
 
     An entry takes five bytes or more, so the section's length bounds the steps.
     """
-    end = F.octet_length(section) - 4
-
-    def step(acc: Column, _i: Column) -> Column:
-        at = acc["at"]
-        length = bits(be16(section, at + 3), 0, 0xFFF)
-        fits = (at >= 0) & F.coalesce(at + 5 + length <= end, F.lit(False))
-        item = F.struct(
-            u8(section, at).alias("stream_type"), bits(be16(section, at + 1), 0, 0x1FFF).alias("pid"), F.substring(section, at + 6, length).alias("desc")
-        )
-        return F.struct(
-            F.when(fits, at + 5 + length).otherwise(-1).alias("at"),
-            F.when(fits, F.concat(acc["items"], F.array(item))).otherwise(acc["items"]).alias("items"),
-        )
-
-    empty = F.array().cast("array<struct<stream_type:int,pid:int,desc:binary>>")
-    slots = F.sequence(F.lit(0), F.greatest(F.floor((end - start) / 5).cast("int"), F.lit(0)))
-    return F.aggregate(slots, F.struct(start.alias("at"), empty.alias("items")), step)["items"]
+    item = lambda at, length: F.struct(
+        u8(section, at).alias("stream_type"), bits(be16(section, at + 1), 0, 0x1FFF).alias("pid"), F.substring(section, at + 6, length).alias("desc")
+    )
+    return _walk(section, start, F.octet_length(section) - 4, 5, lambda at: bits(be16(section, at + 3), 0, 0xFFF), item)
 
 
-def parse_pat(sections: DataFrame) -> DataFrame:
+def parse_pat(sections: DataFrame, distinct: bool = False) -> DataFrame:
     """Program list ``capture, tsid, program_number, pmt_pid``: first entry per pmt pid over all valid PATs; 0 = network."""
     b = F.col("bytes")
-    valid = valid_sections(sections.filter(F.col("pid") == PID_PAT), PAT).filter(F.octet_length("bytes") >= 16)
+    valid = valid_sections(sections.filter(F.col("pid") == PID_PAT), PAT, distinct=distinct).filter(F.octet_length("bytes") >= 16)
     slots = F.sequence(F.lit(8), F.octet_length(b) - 8, F.lit(4))
     entries = valid.select("capture", "first_pkt_no", "last_pkt_no", be16(b, 3).alias("tsid"), b, F.explode(slots).alias("at"))
     parsed = entries.select(
@@ -190,10 +221,10 @@ def parse_pat(sections: DataFrame) -> DataFrame:
     ).select("capture", "tsid", "program_number", "pmt_pid", "first_pkt_no")
 
 
-def latest_pmt(sections: DataFrame, programs: DataFrame) -> DataFrame:
+def latest_pmt(sections: DataFrame, programs: DataFrame, distinct: bool = False) -> DataFrame:
     """Last valid PMT per program; its program number must match the program list."""
     listed = programs.filter("program_number <> 0").select("capture", F.col("pmt_pid").alias("pid"), "program_number")
-    valid = valid_sections(sections, PMT, 16).withColumn("program_number", be16(F.col("bytes"), 3))
+    valid = valid_sections(sections, PMT, 16, distinct).withColumn("program_number", be16(F.col("bytes"), 3))
     matched = valid.join(listed, ["capture", "pid", "program_number"])
     last = matched.groupBy("capture", "pid", "program_number").agg(F.max_by("bytes", "last_pkt_no").alias("bytes"), F.min("last_pkt_no").alias("first_pmt_pkt_no"))
     b = F.col("bytes")
@@ -233,33 +264,22 @@ def audio_index(es: DataFrame, keys: list[str] = ["capture"]) -> DataFrame:
     return es.withColumn("audio_index", F.when(F.col("cls") == "audio", running).otherwise(0).cast("int"))
 
 
-def parse_sdt(sections: DataFrame) -> DataFrame:
+def parse_sdt(sections: DataFrame, distinct: bool = False) -> DataFrame:
     """Service and provider names from the actual-stream service table; the last valid entry of a service wins."""
     b = F.col("bytes")
-    valid = valid_sections(sections.filter(F.col("pid") == PID_SDT), SDT)
-    end = F.octet_length(b) - 4
-
-    def step(acc: Column, _i: Column) -> Column:
-        at = acc["at"]
-        length = bits(be16(b, at + 3), 0, 0xFFF)
-        fits = (at >= 0) & F.coalesce(at + 5 + length <= end, F.lit(False))
-        item = F.struct(be16(b, at).alias("service_id"), F.substring(b, at + 6, length).alias("desc"))
-        return F.struct(
-            F.when(fits, at + 5 + length).otherwise(-1).alias("at"),
-            F.when(fits, F.concat(acc["items"], F.array(item))).otherwise(acc["items"]).alias("items"),
-        )
-
-    empty = F.array().cast("array<struct<service_id:int,desc:binary>>")
-    slots = F.sequence(F.lit(0), F.greatest(F.floor((end - 11) / 5).cast("int"), F.lit(0)))
-    loop = F.aggregate(slots, F.struct(F.lit(11).alias("at"), empty.alias("items")), step)["items"]
+    valid = valid_sections(sections.filter(F.col("pid") == PID_SDT), SDT, distinct=distinct)
+    item = lambda at, length: F.struct(be16(b, at).alias("service_id"), F.substring(b, at + 6, length).alias("desc"))
+    loop = _walk(b, F.lit(11), F.octet_length(b) - 4, 5, lambda at: bits(be16(b, at + 3), 0, 0xFFF), item)
     rows = valid.select("capture", "last_pkt_no", be16(b, 8).alias("onid"), F.explode(loop).alias("s"))
     body = find_descriptor(descriptors(F.col("s.desc")), TAG_SERVICE)
-    named = evaluate_once(rows, "d", body).select("capture", "last_pkt_no", "onid", F.col("s.service_id").alias("service_id"), "d")
-    provider_len = u8(F.col("d"), 1)
-    service_len = u8(F.col("d"), provider_len + 2)
-    provider = F.when(provider_len + 2 <= F.octet_length("d"), dvb_text(F.substring("d", F.lit(3), provider_len)))
-    service = F.when(provider_len + service_len + 3 <= F.octet_length("d"), dvb_text(F.substring("d", provider_len + 4, service_len)))
-    texts = named.withColumn("provider_name", provider).withColumn("service_name", service)
+    texts = evaluate_once(rows, "d", body).select("capture", "last_pkt_no", "onid", F.col("s.service_id").alias("service_id"), "d")
+    # one step at a time: each reads the one before it several times
+    texts = evaluate_once(texts, "plen", u8(F.col("d"), 1))
+    texts = evaluate_once(texts, "slen", u8(F.col("d"), F.col("plen") + 2))
+    texts = evaluate_once(texts, "provider", F.when(F.col("plen") + 2 <= F.octet_length("d"), F.substring("d", F.lit(3), F.col("plen"))))
+    texts = evaluate_once(texts, "service", F.when(F.col("plen") + F.col("slen") + 3 <= F.octet_length("d"), F.substring("d", F.col("plen") + 4, F.col("slen"))))
+    texts = evaluate_once(texts, "provider_name", dvb_text(F.col("provider")))
+    texts = evaluate_once(texts, "service_name", dvb_text(F.col("service")))
     return texts.groupBy("capture", "service_id").agg(
         F.max_by("onid", "last_pkt_no").alias("onid"),
         F.max_by("service_name", F.when(F.col("service_name").isNotNull(), F.col("last_pkt_no"))).alias("service_name"),
@@ -267,10 +287,10 @@ def parse_sdt(sections: DataFrame) -> DataFrame:
     )
 
 
-def parse_nit(sections: DataFrame) -> DataFrame:
+def parse_nit(sections: DataFrame, distinct: bool = False) -> DataFrame:
     """Network name per capture."""
     b = F.col("bytes")
-    valid = valid_sections(sections.filter(F.col("pid") == PID_NIT), NIT)
+    valid = valid_sections(sections.filter(F.col("pid") == PID_NIT), NIT, distinct=distinct)
     length = bits(be16(b, 8), 0, 0xFFF)
     # one step at a time: the walk reads its loop at every step, the text its bytes several times
     loops = evaluate_once(valid, "size", length).filter(F.col("size") + 10 <= F.octet_length(b))
@@ -280,10 +300,10 @@ def parse_nit(sections: DataFrame) -> DataFrame:
     return named.groupBy("capture").agg(F.max_by("network_name", "last_pkt_no").alias("network_name"))
 
 
-def parse_cat(sections: DataFrame) -> DataFrame:
+def parse_cat(sections: DataFrame, distinct: bool = False) -> DataFrame:
     """First conditional-access entry of the last valid CAT per capture."""
     b = F.col("bytes")
-    valid = valid_sections(sections.filter(F.col("pid") == PID_CAT), CAT)
+    valid = valid_sections(sections.filter(F.col("pid") == PID_CAT), CAT, distinct=distinct)
     last = valid.groupBy("capture").agg(F.max_by("bytes", "last_pkt_no").alias("bytes"))
     loops = evaluate_once(last, "loop", F.substring(b, F.lit(9), F.octet_length(b) - 12))
     entries = evaluate_once(loops, "ca", find_descriptor(descriptors(F.col("loop")), TAG_CA))
@@ -295,12 +315,15 @@ def parse_cat(sections: DataFrame) -> DataFrame:
 def tables_of_packets(packets: DataFrame, span: int = DEFAULT_SPAN) -> dict[str, DataFrame]:
     """``psi_tables`` from packets ``capture, pid, pkt_no, pusi, payload``: only pids that carry tables are assembled.
 
-    The program list comes first (pid 0); it names the other table pids, and a semi-join drops all other packets, the bulk of
-    a capture, before any payload is shuffled.
+    The program list comes first (pid 0); it names the other table pids. Their numbers, 2^13 at most, drop most other packets,
+    the bulk of a capture, where they stand; the rest go by capture and pid once their sections are folded.
     """
-    listed = cut_lineage(assemble_sections(packets.filter(F.col("pid") == PID_PAT), span))
-    wanted = table_pids(packets.filter(F.col("pid") != PID_PAT), parse_pat(listed))
-    return psi_tables(listed.unionByName(assemble_sections(wanted, span)))
+    listed = _distinct_sections(packets.filter(F.col("pid") == PID_PAT), span)
+    pat = cut_lineage(parse_pat(listed, True))
+    numbers = [r[0] for r in pat.select("pmt_pid").distinct().collect()]  # 13 bits
+    named = packets.filter((F.col("pid") != PID_PAT) & F.col("pid").isin(*TABLE_PIDS, *numbers))
+    others = _distinct_sections(named, span, pat.select("capture", F.col("pmt_pid").alias("pid")))
+    return _tables(listed.unionByName(others), pat)
 
 
 def psi_tables(sections: DataFrame) -> dict[str, DataFrame]:
@@ -308,12 +331,15 @@ def psi_tables(sections: DataFrame) -> dict[str, DataFrame]:
 
     Tables repeat many times a second, so their distinct sections are written down once and all parsers read those.
     """
-    sections = cut_lineage(sections.groupBy("capture", "pid", "bytes").agg(F.min("first_pkt_no").alias("first_pkt_no"), F.max("last_pkt_no").alias("last_pkt_no")))
-    pat = parse_pat(sections)
-    pmt = cut_lineage(latest_pmt(sections, pat))
-    sdt = parse_sdt(sections)
+    sections = cut_lineage(_distinct(sections))
+    return _tables(sections, cut_lineage(parse_pat(sections, True)))
+
+
+def _tables(sections: DataFrame, pat: DataFrame) -> dict[str, DataFrame]:
+    pmt = cut_lineage(latest_pmt(sections, pat, True))
+    sdt = parse_sdt(sections, True)
     return {
-        "pat": pat, "pmt": pmt, "es": parse_es(pmt), "sdt": sdt, "nit": parse_nit(sections), "cat": parse_cat(sections),
+        "pat": pat, "pmt": pmt, "es": parse_es(pmt), "sdt": sdt, "nit": parse_nit(sections, True), "cat": parse_cat(sections, True),
         "programs": service_list(pat, pmt, sdt),
     }
 

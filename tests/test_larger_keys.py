@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from airlens.operators import bytechain, guide, psi
 from airlens.plans import catalog  # noqa: F401
 from airlens.plans.registry import ORACLES, QUERIES
+from airlens.session import cut_lineage
 from tests_compare import compare, duck
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -92,6 +93,29 @@ def test_times_are_made_once_and_matched_once(spark, tmp_path, name):
     assert plan.count("date_format(") <= 2 and plan.count("regexp_extract(") == 0
 
 
+def test_a_table_cut_off_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    assert cut_lineage(spark.range(10).mapInArrow(count, "id long")).count() == 10
+    assert seen.value == 10
+
+
+def test_sections_of_one_packet_need_no_order_and_longer_ones_end_there(spark):
+    schema = "capture int, pid int, pkt_no long, pusi int, payload binary"
+    short, begun, rest = bytes.fromhex("00 40B003 AABBCC FFFF"), bytes.fromhex("00 42B005 0102"), bytes.fromhex("030405 FF")
+    alone = psi.assemble_sections(spark.createDataFrame([(1, 0, n, 1, short) for n in range(3)], schema))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, 0, 1, 1, begun), (1, 0, 2, 1, short), (1, 0, 3, 0, rest), (1, 0, 4, 1, begun), (1, 0, 6, 0, rest)]
+    got = psi.assemble_sections(spark.createDataFrame(rows, schema), span=2).orderBy("first_pkt_no").collect()
+    assert alone.count() == 3
+    assert [(r.first_pkt_no, r.last_pkt_no, bytes(r.bytes).hex()) for r in got] == [(2, 2, "40b003aabbcc"), (4, 6, "42b0050102030405")]
+
+
 def test_exit_maps_of_many_stretches_join_at_once():
     size, look = 1 << 14, 4145
     maps = [(n, list(range(look + 1)), [(n + 1) * size + (e * 7919) % look for e in range(look + 1)]) for n in range(3, 19)]

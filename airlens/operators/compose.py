@@ -40,7 +40,7 @@ def inherited_states(
     the same as all of them in turn. States are tuples of integers or None, ``start`` the one before the first chunk.
     Chunk numbers may have gaps. Null keys are a key; an empty table gives no rows.
     """
-    low = cut_lineage(maps.select(*keys, chunk, *columns))
+    low = cut_lineage(maps.select(*dict.fromkeys([*keys, chunk, *columns])))
     bounds = low.agg(F.min(chunk).alias("low"), F.max(chunk).alias("high")).first()
     first, reach = (bounds["low"], bounds["high"] - bounds["low"] + 1) if bounds["low"] is not None else (0, 0)
     key_fields = [low.schema[k] for k in keys]

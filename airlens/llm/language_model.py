@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -27,6 +28,8 @@ NEAR = 1 << 17
 HELD = 300_000
 #: Places scored at once.
 SLICE = 1 << 12
+#: Tokens of whole texts that are put in one row.
+SPAN = 1 << 16
 
 
 @dataclass
@@ -75,63 +78,99 @@ class Net:
     def log_probability(self, around: np.ndarray, token: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
         """Natural logarithm of each token's probability given its neighbours. ``tables``: this network's, if at hand."""
         high, low = token // SIDE, token % SIDE
-        h = np.zeros((len(token), HIDDEN), np.float32) + self.inner_bias
+        h = np.broadcast_to(self.inner_bias, (len(token), HIDDEN)).copy()
+        taken = np.empty_like(h)
         for i, table in enumerate(self.tables() if tables is None else tables):
-            h += table[around[:, i]]
-        h = np.tanh(h)
-        first = _chosen(h @ self.high + self.high_bias, high)
-        return first + _chosen(np.tanh(h + self.given[high]) @ self.low + self.low_bias, low)
+            h += _rows(table, around[:, i], taken)
+        np.tanh(h, out=h)
+        logs = _chosen(h @ self.high + self.high_bias, high)
+        h += _rows(self.given, high, taken)
+        np.tanh(h, out=h)
+        return logs + _chosen(h @ self.low + self.low_bias, low)
 
     def train(self, around: np.ndarray, token: np.ndarray) -> None:
-        """One pass of gradient steps over masked places, ``BATCH`` at a time."""
+        """One pass of gradient steps over masked places, ``BATCH`` at a time, in arrays that all steps share."""
+        f4 = np.float32
+        most = min(BATCH, len(token))
+        x_, dx_ = np.empty((most * 2 * REACH, WIDTH), f4), np.empty((most, 2 * REACH * WIDTH), f4)
+        h_, g_, dh_, dg_, slope_ = (np.empty((most, HIDDEN), f4) for _ in range(5))
+        da_, db_, digit_ = np.empty((most, SIDE), f4), np.empty((most, SIDE), f4), np.zeros((most, SIDE), f4)
+        each_, row_ = np.ones(most, f4), np.arange(most) * SIDE
+        cells = np.arange(self.vectors.size).reshape(self.vectors.shape)
+        cell_ = np.empty((most * 2 * REACH, WIDTH), cells.dtype)
         for at in range(0, len(token), BATCH):
-            ctx, tok = around[at : at + BATCH], token[at : at + BATCH]
+            ctx, tok = around[at : at + BATCH].ravel().astype(np.intp), token[at : at + BATCH].astype(np.intp)
             n = len(tok)
-            rows, hi, lo, each = np.arange(n), tok // SIDE, tok % SIDE, np.ones(n, np.float32)
-            x = self.vectors[ctx].reshape(n, -1)
-            h = np.tanh(x @ self.inner + self.inner_bias)
-            g = np.tanh(h + self.given[hi])
-            da, db = _softmax(h @ self.high + self.high_bias), _softmax(g @ self.low + self.low_bias)
-            da[rows, hi] -= 1
-            db[rows, lo] -= 1
-            dg = (db @ self.low.T) * (1 - g * g)
-            dh = (da @ self.high.T + dg) * (1 - h * h)
-            dx = (dh @ self.inner.T).reshape(-1, WIDTH)
-            rate = np.float32(STEP / n)
+            h, g, dh, dg, slope, da, db, digit, each = (a[:n] for a in (h_, g_, dh_, dg_, slope_, da_, db_, digit_, each_))
+            hi = tok // SIDE
+            hi_cell, lo_cell = row_[:n] + hi, row_[:n] + tok % SIDE
+            x = _rows(self.vectors, ctx, x_[: len(ctx)]).reshape(n, -1)
+            np.matmul(x, self.inner, out=h)
+            h += self.inner_bias
+            np.tanh(h, out=h)
+            _rows(self.given, hi, g)
+            g += h
+            np.tanh(g, out=g)
+            _softmax(h, self.high, self.high_bias, da)
+            _softmax(g, self.low, self.low_bias, db)
+            da.ravel()[hi_cell] -= 1
+            db.ravel()[lo_cell] -= 1
+            np.matmul(db, self.low.T, out=dg)
+            dg *= _slope(g, slope)
+            np.matmul(da, self.high.T, out=dh)
+            dh += dg
+            dh *= _slope(h, slope)
+            dx = np.matmul(dh, self.inner.T, out=dx_[:n])
+            rate = f4(STEP / n)
             self.low -= rate * (g.T @ db)
             self.low_bias -= rate * (each @ db)
             self.high -= rate * (h.T @ da)
             self.high_bias -= rate * (each @ da)
-            of_digit = np.zeros((n, SIDE), np.float32)
-            of_digit[rows, hi] = 1
-            self.given -= rate * (of_digit.T @ dg)
+            digit.ravel()[hi_cell] = 1
+            self.given -= rate * (digit.T @ dg)
+            digit.ravel()[hi_cell] = 0
             self.inner -= rate * (x.T @ dh)
             self.inner_bias -= rate * (each @ dh)
-            # what a token's places add, summed up by sorted runs (short numbers sort fastest)
-            flat = ctx.ravel().astype(np.uint16)
-            order = np.argsort(flat, kind="stable")
-            held = flat[order]
-            starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-            self.vectors[held[starts]] -= np.float32(STEP / np.sqrt(n)) * np.add.reduceat(dx[order], starts, axis=0)
+            # what a token's places add, summed up entry by entry
+            sums = np.bincount(_rows(cells, ctx, cell_[: len(ctx)]).ravel(), dx.ravel(), cells.size)
+            sums *= STEP / np.sqrt(n)
+            self.vectors -= sums.reshape(cells.shape).astype(f4)
+
+
+def _rows(table: np.ndarray, index: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``table[index]`` in ``out``; several times as fast as by brackets. "clip" lets it write there without a copy between."""
+    return table.take(index, 0, out=out, mode="clip")
+
+
+def _slope(y: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Slope of tanh where it is ``y``."""
+    np.multiply(y, y, out=out)
+    return np.subtract(1, out, out=out)
 
 
 _ONES = np.ones(SIDE, np.float32)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    top = x.max()
-    x = np.exp(x - (x.max(1, keepdims=True) if top - x.min() > 60 else top))
-    x *= (1 / (x @ _ONES))[:, None]
-    return x
+#: Beyond this, exponentials are taken of differences to a row's largest entry: a float of 32 bits holds e^88.
+WIDE = 60
+
+
+def _softmax(x: np.ndarray, weights: np.ndarray, bias: np.ndarray, out: np.ndarray) -> np.ndarray:
+    np.matmul(x, weights, out=out)
+    out += bias
+    if out.max() > WIDE or out.min() < -WIDE:
+        out -= out.max(1, keepdims=True)
+    np.exp(out, out=out)
+    out *= (1 / (out @ _ONES))[:, None]
+    return out
 
 
 def _chosen(x: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """The chosen entry of each row of the logarithm of the softmax of ``x``, without the others."""
-    top = x.max()
-    if top - x.min() > 60:
-        top = x.max(1)
-        return x[np.arange(len(x)), index] - top - np.log(np.exp(x - top[:, None]) @ _ONES)
-    return x[np.arange(len(x)), index] - top - np.log(np.exp(x - top) @ _ONES)
+    """The chosen entry of each row of the logarithm of the softmax of ``x``, without the others; ``x`` is used up."""
+    if x.max() > WIDE or x.min() < -WIDE:
+        x -= x.max(1, keepdims=True)
+    chosen = x.ravel().take(np.arange(0, x.size, SIDE) + index)
+    return chosen - np.log(np.exp(x, out=x) @ _ONES)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -276,10 +315,56 @@ def windows(tokens: np.ndarray) -> np.ndarray:
 
 def masked(around: np.ndarray, tokens: np.ndarray, part: int, parts: int) -> np.ndarray:
     """Which places of a text round ``part`` of ``parts`` masks: by a hash of token, neighbour and number, each in one round."""
-    spot = work.mixed(around[:, REACH - 1].astype(np.uint64) * work.GOLDEN + np.arange(len(tokens), dtype=np.uint64) + tokens.astype(np.uint64) * work.STEP)
+    return _masked(around[:, REACH - 1], np.arange(len(tokens)), tokens, part, parts)
+
+
+def _masked(left: np.ndarray, number: np.ndarray, tokens: np.ndarray, part: int, parts: int) -> np.ndarray:
+    spot = work.mixed(left.astype(np.uint64) * work.GOLDEN + number.astype(np.uint64) + tokens.astype(np.uint64) * work.STEP)
     return spot % np.uint64(parts) == part
 
 
+_EDGE = np.full(REACH, SIDE * SIDE, "<u2").tobytes()
+
+
+class Row:
+    """Several texts in token numbers, one after the other: one array call serves them all, however short they are.
+
+    ``values`` has ``REACH`` edges before, between and behind them, ``sizes`` their lengths, ``text`` the text of each token,
+    ``place`` its place in ``values``.
+    """
+
+    def __init__(self, packed: list[bytes]):
+        self.values = np.frombuffer(_EDGE.join([b"", *packed, b""]), "<u2")
+        self.sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+        self.text = np.repeat(np.arange(len(packed), dtype=np.int32), self.sizes)
+        self.place = np.arange(len(self.text))
+        self.place += REACH
+        self.place += REACH * self.text
+
+    def around(self, place: np.ndarray) -> np.ndarray:
+        """Neighbours of the tokens at these places, as ``windows`` has them."""
+        return np.stack([self.values.take(place + step) for step in range(-REACH, REACH + 1) if step]).T
+
+    def masked(self, part: int, parts: int) -> np.ndarray:
+        """Places that ``masked`` chooses in each text."""
+        first = np.cumsum(self.sizes) - self.sizes
+        number = np.arange(len(self.text)) - first.take(self.text)
+        return self.place[_masked(self.values.take(self.place - 1), number, self.values.take(self.place), part, parts)]
+
+
+def rows_of(packed: list[bytes]) -> Iterator[Row]:
+    """The texts in order, a row each time they come to ``SPAN`` tokens."""
+    held, size = [], 0
+    for data in packed:
+        held.append(data)
+        size += len(data) // 2
+        if size >= SPAN:
+            yield Row(held)
+            held, size = [], 0
+    if held:
+        yield Row(held)
+
+
 @dataclass
 class Corpus:
     """Texts as token numbers: ``table(row, doc_id, tokens, part, far)``, written once and read by every round.
@@ -336,18 +421,14 @@ def _train_round(table: DataFrame, net, part: int, parts: int) -> np.ndarray:
         own, seen = Net.of(net.value), 0
         for batch in work.slices(batches):
             contexts, targets = [], []
-            for packed in batch.column("tokens").to_pylist():
-                t = np.frombuffer(packed, "<u2").astype(np.int64)
-                if not len(t):
-                    continue
-                around = windows(t)
-                chosen = masked(around, t, part, parts)
-                contexts.append(around[chosen])
-                targets.append(t[chosen])
-            if targets:
+            for texts in rows_of(batch.column("tokens").to_pylist()):
+                chosen = texts.masked(part, parts)
+                contexts.append(texts.around(chosen))
+                targets.append(texts.values.take(chosen))
+            if sum(map(len, targets)):
                 context, target = np.concatenate(contexts), np.concatenate(targets)
                 order = np.random.default_rng(len(target)).permutation(len(target))
-                own.train(context[order], target[order])
+                own.train(context.take(order, 0), target.take(order))
                 seen += len(target)
         if seen:
             flat = (own.flat().astype(np.float64) * seen).tobytes()
@@ -397,6 +478,21 @@ def pseudo_likelihood(docs: DataFrame, words: list[bytes], weights: np.ndarray,
     return scores(corpus(docs, near, words, counts), weights)
 
 
+def log_likelihoods(model: Net, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text in token numbers the sum of its places' logarithms of probabilities, and its length."""
+    tables = model.tables()
+    sums, sizes = [np.empty(0)], [np.empty(0, np.int64)]
+    for texts in rows_of(packed):
+        total = np.zeros(len(texts.sizes))
+        for at in range(0, len(texts.place), SLICE):
+            place, text = texts.place[at : at + SLICE], texts.text[at : at + SLICE]
+            logs = model.log_probability(texts.around(place), texts.values.take(place).astype(np.intp), tables)
+            total[text[0] : text[-1] + 1] += np.bincount(text - text[0], logs)
+        sums.append(total)
+        sizes.append(texts.sizes)
+    return np.concatenate(sums), np.concatenate(sizes)
+
+
 def scores(texts: Corpus, weights: np.ndarray) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood, pseudo_perplexity`` of every row.
 
@@ -409,17 +505,8 @@ def scores(texts: Corpus, weights: np.ndarray) -> DataFrame:
     net = texts.table.sparkSession.sparkContext.broadcast(weights)
 
     def run(rows, ids, packed, parts):
-        model = Net.of(net.value)
-        tables = model.tables()
-        sums, sizes = [], []
-        for data, total in zip(packed, parts, strict=True):
-            t = np.frombuffer(data, "<u2").astype(np.int64)
-            for at in range(0, len(t), SLICE):  # long texts in slices, with their neighbours
-                lo, hi = max(0, at - REACH), min(len(t), at + SLICE + REACH)
-                around = windows(t[lo:hi])[at - lo :][:SLICE]
-                total += float(model.log_probability(around, t[at : at + SLICE], tables).sum(dtype=np.float64))
-            sums.append(total)
-            sizes.append(len(t))
+        sums, sizes = log_likelihoods(Net.of(net.value), packed)
+        sums += np.array(parts, np.float64)
         return {"row": rows, "doc_id": ids, "n_tokens": sizes, "part": sums}
 
     scored = work.map_batches(texts.table, run, "row bigint, doc_id bigint, n_tokens bigint, part double", "row", "doc_id", "tokens", "part")

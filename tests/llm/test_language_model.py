@@ -132,3 +132,23 @@ def test_a_document_s_sum_from_the_definition(spark, make):
             total += np.log(a[t[i] // lm.SIDE] / a.sum()) + np.log(b[t[i] % lm.SIDE] / b.sum())
             total += 0.0 if w in known else np.log(counts[w] / (classes[t[i]] + 1))
         assert got[doc_id] == pytest.approx(total, rel=1e-5)
+
+
+def test_short_texts_share_array_calls(monkeypatch):
+    """Many short texts cost as many calls as their tokens need, not one each, and give what each gives alone."""
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 1024, n) for n in [0, *rng.integers(0, 40, 3000), lm.SPAN + 5, 0, 1, 0]]
+    packed = [t.astype("<u2").tobytes() for t in texts]
+    net, alone, calls = lm.Net.start(), lm.Net.log_probability, []
+    want = [float(alone(net, lm.windows(t), t).sum(dtype=np.float64)) if len(t) else 0.0 for t in texts]
+    monkeypatch.setattr(lm.Net, "log_probability", lambda self, *a: calls.append(1) or alone(self, *a))
+    sums, sizes = lm.log_likelihoods(net, packed)
+    assert sums == pytest.approx(want, rel=1e-5) and sizes.tolist() == [len(t) for t in texts]
+    assert len(calls) <= sum(map(len, texts)) // lm.SLICE + 3
+    for part in (0, 1):
+        some = [(lm.windows(t), t) for t in texts if len(t)]
+        spots = [lm.masked(a, t, part, 2) for a, t in some]
+        chosen = [(row.around(at), row.values.take(at)) for row in lm.rows_of(packed) for at in [row.masked(part, 2)]]
+        assert (np.concatenate([a for a, _ in chosen]) == np.concatenate([a[m] for (a, _), m in zip(some, spots, strict=True)])).all()
+        assert (np.concatenate([t for _, t in chosen]) == np.concatenate([t[m] for (_, t), m in zip(some, spots, strict=True)])).all()
+    assert [len(x) for x in lm.log_likelihoods(net, [])] == [0, 0]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airlens.functions.once import evaluate_once
 from airlens.operators.ordered import DEFAULT_SPAN, Lead, RunningSum, asof_state, scan
 from airlens.operators.rtp import GAP_MAX, missing_sequences, rtp_gaps
 from airlens.operators.services import resolve_slot
@@ -139,17 +140,25 @@ def retransmit_totals(rtx: DataFrame) -> DataFrame:
     )
 
 
+def requested_slot(base_port: int, max_channels: int) -> Column:
+    """Table slot that a request's dedicated port names. Without one the request gets a number of its own below zero, which no
+    channel has: as nulls they would all meet in one task of a join."""
+    slot = F.col("dest_port") - base_port
+    return F.when(slot.between(0, max_channels - 1), slot).otherwise(-1 - F.pmod(F.xxhash64("request", "media_ssrc"), F.lit(1 << 30)))
+
+
 def resolve_channel(requests: DataFrame, channels: DataFrame, base_port: int, max_channels: int) -> DataFrame:
     """Channel of each request, by dedicated port or else by media ssrc (JOIN-14).
 
     ``channels``: ``ord, channel, address, port, ssrc``; a slot belongs to its first occupant. ``requests``: ``request,
     dest_port, media_ssrc`` and, if they have it, ``ignore_media_ssrc``: such a request goes by its port alone.
     """
-    slotted = channels.withColumn("slot", resolve_slot(F.col("address"), F.col("port"), max_channels))
-    by_slot = slotted.groupBy("slot").agg(F.min_by("channel", "ord").alias("by_port"))
+    # the join's filter on its key would hash every address a second time
+    slotted = evaluate_once(channels, "__slot", resolve_slot(F.col("address"), F.col("port"), max_channels))
+    by_slot = slotted.groupBy("__slot").agg(F.min_by("channel", "ord").alias("by_port"))
     by_ssrc = channels.groupBy("ssrc").agg(F.min_by("channel", "ord").alias("by_ssrc"))
-    asked = requests.withColumn("slot", F.col("dest_port") - base_port)
-    joined = asked.join(by_slot, "slot", "left").join(by_ssrc, asked["media_ssrc"] == by_ssrc["ssrc"], "left")
+    asked = requests.withColumn("__slot", requested_slot(base_port, max_channels))
+    joined = asked.join(by_slot, "__slot", "left").join(by_ssrc, asked["media_ssrc"] == by_ssrc["ssrc"], "left")
     by_ssrc = F.col("by_ssrc")
     if "ignore_media_ssrc" in requests.columns:
         by_ssrc = F.when(~F.coalesce("ignore_media_ssrc", F.lit(False)), by_ssrc)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlens.functions.binary import FAMILY_IPV4, FAMILY_IPV6, U64, fnv1a64, ipv4_to_int
+from airlens.functions.once import bound
 from airlens.functions.text import csv_safe_name, xml_escape
 
 URI = r"^(rtp|udp)://@?(?:\[([^\]]+)\]|([^:\[]+)):[ ]*\+?([0-9]+)$"
@@ -36,6 +37,12 @@ def package_services(packages: DataFrame, services: DataFrame) -> DataFrame:
 
 def address_bits(address: Column) -> Column:
     """Address as a string of bits: 32 for IPv4, 128 for IPv6; null when neither."""
+    v4 = ipv4_to_int(address)
+    return F.when(v4.isNotNull(), F.lpad(F.bin(v4), 32, "0")).otherwise(bits_of_groups(address))
+
+
+def bits_of_groups(address: Column) -> Column:
+    """The 128 bits of an IPv6 address; null when it is not one."""
     groups = F.split(address, ":", -1)
     has_gap = address.contains("::")
     halves = F.split(address, "::", -1)
@@ -45,16 +52,19 @@ def address_bits(address: Column) -> Column:
     full = F.when(has_gap, F.concat(left, middle, right)).otherwise(groups)
     valid6 = address.rlike("^[0-9a-fA-F:]+$") & (F.size(full) == 8) & F.forall(full, lambda w: w.rlike("^[0-9a-fA-F]{1,4}$"))
     bits6 = F.array_join(F.transform(full, lambda w: F.lpad(F.conv(w, 16, 2), 16, "0")), "")
-    v4 = ipv4_to_int(address)
-    return F.when(v4.isNotNull(), F.lpad(F.bin(v4), 32, "0")).when(valid6, bits6)
+    return F.when(valid6, bits6)
+
+
+def address_octets(address: Column) -> Column:
+    """Byte values of an address, 4 for IPv4, 16 for IPv6; null when neither."""
+    v4 = bound(ipv4_to_int(address), lambda v: F.when(v.isNotNull(), F.array(*[F.shiftright(v, s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)])))
+    v6 = bound(bits_of_groups(address), lambda t: F.when(t.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(t, i * 8 + 1, F.lit(8)), 2, 10).cast("bigint"))))
+    return F.coalesce(v4, v6)
 
 
 def channel_hash(address: Column, port: Column) -> Column:
     """Hash of a channel's address bytes, family and port, IPv4 or IPv6 (FN-14); null when the address is neither."""
-    text = address_bits(address)
-    octets = F.transform(F.sequence(F.lit(0), (F.length(text) / 8).cast("int") - 1), lambda i: F.conv(F.substring(text, i * 8 + 1, F.lit(8)), 2, 10).cast("bigint"))
-    family = F.when(F.length(text) == 32, FAMILY_IPV4).otherwise(FAMILY_IPV6)
-    return F.when(text.isNotNull(), fnv1a64(octets, family, port))
+    return bound(address_octets(address), lambda octets: fnv1a64(octets, F.when(F.size(octets) == 4, FAMILY_IPV4).otherwise(FAMILY_IPV6), port))
 
 
 def resolve_slot(address: Column, port: Column, max_channels: int) -> Column:

@@ -1,5 +1,6 @@
 """Hand-made vectors for byte-level and text rules."""
 
+import ipaddress
 import random
 import struct
 
@@ -382,6 +383,40 @@ def test_slots_of_both_families_and_ignored_ssrc(spark):
     assert {r.request: r.channel for r in repair.resolve_channel(requests, channels, 40000, 384).collect()} == {1: "six", 2: "six", 3: None, 4: "six"}
 
 
+def test_slot_hash_reads_the_address_once(spark):
+    """The hash of many addresses equals arithmetic in Python, and the address is parsed in one place of the plan."""
+    rnd = random.Random(8)
+
+    def fnv(data):
+        h = 1469598103934665603
+        for b in data:
+            h = (h ^ b) * 1099511628211 % 2**64
+        return h
+
+    packed = [bytes(rnd.choice((0, 255, rnd.randrange(256))) for _ in range(rnd.choice((4, 16)))) for _ in range(300)]
+    rows = [(str(ipaddress.ip_address(b)), rnd.choice((1, 65535, rnd.randrange(65536))), b) for b in packed]
+    bad = ["", "1.2.3", "256.1.1.1", "1.2.3.4.5", "1:2:3", "12345::", "name", None]
+    df = spark.createDataFrame([(i, a, p) for i, (a, p, _) in enumerate(rows)] + [(-i - 1, a, 5000) for i, a in enumerate(bad)], "i int, address string, port int")
+    hashed = df.select("i", services.channel_hash(F.col("address"), F.col("port")).alias("h"))
+    want = {i: fnv([*b, 2 if len(b) == 4 else 10, p]) for i, (_, p, b) in enumerate(rows)}
+    assert max(want.values()) >= 2**63
+    assert {r.i: None if r.h is None else int(r.h) for r in hashed.collect()} == want | {-i - 1: None for i in range(len(bad))}
+    plan = hashed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(\d{1,3}\.){3}") == 1
+
+
+def test_requests_without_a_port_do_not_share_a_key(spark):
+    requests = spark.range(5000).selectExpr("id AS request", "CAST(CASE id % 4 WHEN 1 THEN 40383 WHEN 2 THEN 40384 WHEN 3 THEN 39999 END AS INT) AS dest_port", "id % 10 AS media_ssrc")
+    slots = requests.select("dest_port", repair.requested_slot(40000, 384).alias("slot")).collect()
+    assert {r.slot for r in slots if r.dest_port == 40383} == {383}
+    others = [r.slot for r in slots if r.dest_port != 40383]
+    assert max(others) < 0 and len(set(others)) > 3700
+    channels = spark.range(5).selectExpr("id AS ord", "CAST(id AS STRING) AS channel", "concat('239.0.0.', id) AS address", "5000 AS port", "id AS ssrc")
+    found = repair.resolve_channel(requests, channels, 40000, 384)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(r"(\d{1,3}\.){3}") == 1, "addresses are parsed once"
+    assert found.count() == 5000
+
+
 def test_entries_of_a_batch_equal_a_walk():
     """Cut-off entries, labels with zero bytes and bytes that are no text, nulls, sliced batches."""
     rnd = random.Random(3)

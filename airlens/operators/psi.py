@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from airlens.functions.binary import be16, bits, concat_bytes, crc32_mpeg2, tail, to_bytes, u8
 from airlens.functions.once import evaluate_once
 from airlens.functions.text import dvb_text
-from airlens.operators.ordered import DEFAULT_SPAN, Lag, LastKnown, RunningSum, asof_state, changes, row_number, scan
+from airlens.operators.ordered import DEFAULT_SPAN, Lag, LastKnown, PriorKnown, RunningSum, asof_state, changes, row_number, scan
 from airlens.session import cut_lineage
 
 SECTION_BYTES = 4098  # follows from the 12-bit length field: 4095 bytes behind a header of 3
@@ -24,6 +24,7 @@ PID_PAT, PID_CAT, PID_NIT, PID_SDT, PID_EIT, PID_RST, PID_TDT, PID_NULL = 0x0000
 TAG_CA, TAG_LANGUAGE, TAG_NETWORK, TAG_SERVICE, TAG_TELETEXT, TAG_SUBTITLE = 0x09, 0x0A, 0x40, 0x48, 0x56, 0x59
 TAG_SCRAMBLING, TAG_AC3, TAG_APPLICATION, TAG_EAC3 = 0x65, 0x6A, 0x6F, 0x7A
 TABLE_PIDS = (PID_PAT, PID_CAT, PID_NIT, PID_SDT)
+PACKET_SECTION = 183  # fixed value: longest section that one packet holds behind its header and pointer
 # fixed values: pids whose class never depends on tables
 FIXED_CLASSES = {
     PID_PAT: "PAT", PID_CAT: "CAT", PID_NIT: "NIT", PID_SDT: "SDT", PID_EIT: "EIT",
@@ -50,17 +51,51 @@ def assemble_sections(packets: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame
     return whole if longer.isEmpty() else whole.unionByName(_assemble_longer(rows.join(longer, ["capture", "pid"], "left_semi"), span))
 
 
-def _section_parts(packets: DataFrame) -> DataFrame:
-    """What each packet adds to a section: ``capture, pid, pkt_no, begins, bad, whole, part``; ``whole`` ones are cut to their section."""
-    begins = F.col("pusi") != 0
-    bytes_ = F.when(begins, tail(F.col("payload"), u8(F.col("payload"), 0) + 1)).otherwise(F.col("payload"))
-    bad_start = begins & (u8(F.col("payload"), 0) + 1 > F.octet_length("payload"))
-    rows = packets.filter("octet_length(payload) > 0").select("capture", "pid", "pkt_no", begins.alias("begins"), bad_start.alias("bad"), bytes_.alias("__part"))
+def _section_parts(packets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What each packet adds to a section: ``capture, pid, pkt_no, *keep, begins, bad, whole, part``; ``whole`` ones are cut to their section."""
+    rows = packets.select("capture", "pid", "pkt_no", *keep, (F.col("pusi") != 0).alias("begins"), "payload")
+    rows = evaluate_once(rows, "payload", F.col("payload")).filter("octet_length(payload) > 0")  # read many times below
+    rows = evaluate_once(rows, "__skip", F.when(F.col("begins"), u8(F.col("payload"), 0) + 1).otherwise(0))
+    bad_start = F.col("begins") & (F.col("__skip") > F.octet_length("payload"))
+    rows = rows.select("capture", "pid", "pkt_no", *keep, "begins", bad_start.alias("bad"), tail(F.col("payload"), F.col("__skip")).alias("__part"))
     rows = evaluate_once(rows, "part", F.when(F.col("bad"), F.lit(None)).otherwise(F.col("__part"))).drop("__part")
     rows = evaluate_once(rows, "__size", F.when(F.col("begins"), bits(be16(F.col("part"), 1), 0, 0xFFF) + 3))
     whole = F.coalesce(F.octet_length("part") >= F.col("__size"), F.lit(False))
     cut = F.when(whole, F.substring("part", F.lit(1), F.col("__size"))).otherwise(F.col("part"))
-    return rows.select("capture", "pid", "pkt_no", "begins", "bad", whole.alias("whole"), cut.alias("part"))
+    return rows.select("capture", "pid", "pkt_no", *keep, "begins", "bad", whole.alias("whole"), cut.alias("part"))
+
+
+def section_starts(packets: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+    """Starts of sections, written down in one pass: ``capture, pid, pkt_no, whole, last_pkt_no, bytes, pkt``.
+
+    ``packets``: ``capture, pid, pkt_no, pusi, payload, pkt``. ``bytes`` is the section that begins there if it is complete and its
+    checksum holds, else null; ``whole`` ones end in the packet itself. The packet is kept only where rewriting may have to pass it
+    unchanged. Only if a section takes several packets are they read again.
+    """
+    starts = _section_parts(packets, ("pkt",)).filter("begins")
+    starts = evaluate_once(starts, "bytes", F.when(F.col("whole"), F.col("part")))
+    starts = evaluate_once(starts, "bytes", F.when(crc32_mpeg2(F.col("bytes")) == 0, F.col("bytes")))
+    size, table = F.octet_length("bytes"), u8(F.col("bytes"), 0)
+    fits = size.between(16, PACKET_SECTION) & F.when(F.col("pid") == PID_PAT, table == PAT).otherwise((table == PMT) & (bits(be16(F.col("bytes"), 10), 0, 0xFFF) + 16 <= size))
+    found = cut_lineage(starts.select(
+        "capture", "pid", "pkt_no", "whole", (~F.col("whole") & ~F.col("bad")).alias("longer"), F.col("pkt_no").alias("last_pkt_no"), "bytes",
+        F.when(~F.coalesce(fits, F.lit(False)), F.col("pkt")).alias("pkt"),
+    ))
+    longer = found.filter("longer").select("capture", "pid")
+    found = found.drop("longer")
+    if longer.isEmpty():
+        return found
+    more = _assemble_longer(_section_parts(packets).join(longer.distinct(), ["capture", "pid"], "left_semi"), span)
+    more = more.filter(crc32_mpeg2(F.col("bytes")) == 0).select("capture", "pid", F.col("first_pkt_no").alias("pkt_no"), F.col("last_pkt_no").alias("__last"), F.col("bytes").alias("__bytes"))
+    both = found.join(more, ["capture", "pid", "pkt_no"], "left")
+    return cut_lineage(both.select(
+        "capture", "pid", "pkt_no", "whole", F.coalesce("__last", "last_pkt_no").alias("last_pkt_no"), F.coalesce("bytes", "__bytes").alias("bytes"), "pkt",
+    ))
+
+
+def sections_of_starts(starts: DataFrame) -> DataFrame:
+    """The sections among ``section_starts``, as ``psi_tables`` takes them."""
+    return starts.filter("bytes IS NOT NULL").select("capture", "pid", F.col("pkt_no").alias("first_pkt_no"), "last_pkt_no", "bytes")
 
 
 def _assemble_longer(rows: DataFrame, span: int) -> DataFrame:
@@ -150,7 +185,9 @@ def descriptors(loop: Column) -> Column:
 
 def _descriptors(loop: Column) -> Column:
     item = lambda at, length: F.struct(u8(loop, at).alias("tag"), F.substring(loop, at + 3, length).alias("body"))
-    return _walk(loop, F.lit(0), F.octet_length(loop), 2, lambda at: u8(loop, at + 1), item)
+    walked = _walk(loop, F.lit(0), F.octet_length(loop), 2, lambda at: u8(loop, at + 1), item)
+    # most loops hold one descriptor or none
+    return F.when(u8(loop, 1) + 2 == F.octet_length(loop), F.array(item(F.lit(0), u8(loop, 1)))).otherwise(walked)
 
 
 def find_descriptor(items: Column, tag: int) -> Column:
@@ -160,7 +197,12 @@ def find_descriptor(items: Column, tag: int) -> Column:
 
 def classify_es(stream_type: Column, items: Column) -> tuple[Column, Column, Column]:
     """Class, codec and language of an elementary stream (PRJ-14)."""
-    has = lambda tag: find_descriptor(items, tag).isNotNull()
+    return _classify(stream_type, lambda tag: find_descriptor(items, tag))
+
+
+def _classify(stream_type: Column, find: Callable[[int], Column]) -> tuple[Column, Column, Column]:
+    """``classify_es``, with ``find(tag)`` the body of the first such descriptor."""
+    has = lambda tag: find(tag).isNotNull()
     cls, codec = F.lit("data"), F.lit("none")
     private = stream_type == 0x06
     cls = (
@@ -171,8 +213,8 @@ def classify_es(stream_type: Column, items: Column) -> tuple[Column, Column, Col
     for number, (kind, name) in STREAM_TYPES.items():
         cls = F.when(stream_type == number, kind).otherwise(cls)
         codec = F.when(stream_type == number, name).otherwise(codec)
-    language = find_descriptor(items, TAG_LANGUAGE)
-    subtitle = find_descriptor(items, TAG_SUBTITLE)
+    language = find(TAG_LANGUAGE)
+    subtitle = find(TAG_SUBTITLE)
     lang = F.when(F.octet_length(language) >= 3, F.substring(language, 1, 3)).when(
         (cls == "subtitle") & (F.octet_length(subtitle) >= 8), F.substring(subtitle, 1, 3)
     )
@@ -243,10 +285,14 @@ def parse_es(pmt: DataFrame) -> DataFrame:
     """Elementary streams of each program in table order, classified, audio numbered from 1 (WIN-17)."""
     loops = pmt.select("capture", "program_number", "pmt_pid", F.posexplode(_es_loop(F.col("bytes"), F.col("loop_at"))).alias("es_ordinal", "e"))
     items = evaluate_once(loops, "items", descriptors(F.col("e.desc")))
-    cls, codec, lang = classify_es(F.col("e.stream_type"), F.col("items"))
-    ca = find_descriptor(F.col("items"), TAG_CA)
-    sub = find_descriptor(F.col("items"), TAG_SUBTITLE)
-    rows = items.select(
+    # each descriptor is looked up once, and the class is read many times
+    tags = (TAG_CA, TAG_LANGUAGE, TAG_TELETEXT, TAG_SUBTITLE, TAG_AC3, TAG_APPLICATION, TAG_EAC3)
+    first = evaluate_once(items, "first", F.struct(*[find_descriptor(F.col("items"), tag).alias(f"tag_{tag}") for tag in tags]))
+    find = lambda tag: F.col(f"first.tag_{tag}")
+    kind = evaluate_once(first, "kind", F.struct(*[c.alias(n) for n, c in zip(("cls", "codec", "lang"), _classify(F.col("e.stream_type"), find), strict=True)]))
+    cls, codec, lang = F.col("kind.cls"), F.col("kind.codec"), F.col("kind.lang")
+    ca, sub = find(TAG_CA), find(TAG_SUBTITLE)
+    rows = kind.select(
         "capture", "program_number", "pmt_pid", "es_ordinal", F.col("e.pid").alias("pid"), F.col("e.stream_type").alias("stream_type"),
         cls.alias("cls"), codec.alias("codec"), lang.alias("lang"),
         F.when(F.octet_length(ca) >= 4, bits(be16(ca, 2), 0, 0x1FFF)).alias("ca_pid"), F.when(F.octet_length(ca) >= 4, be16(ca, 0)).alias("ca_system_id"),
@@ -670,6 +716,11 @@ def _finish(head: Column, body: Column) -> Column:
     return _let(section, lambda s: F.concat(s, to_bytes(crc32_mpeg2(s), 4)))
 
 
+def _shorter(section: Column, body: Column) -> Column:
+    """``section`` with what is left of its body; as it is, checksum and all, when that is everything."""
+    return _let(body, lambda b: F.when(F.octet_length(b) + 7 == F.octet_length(section), section).otherwise(_finish(section, b)))
+
+
 def rewrite_pat(section: Column) -> Column:
     """PAT without its network entry."""
     entries = F.filter(
@@ -677,40 +728,58 @@ def rewrite_pat(section: Column) -> Column:
         lambda e: be16(e, 0) != 0,
     )
     body = F.concat(F.substring(section, 4, 5), concat_bytes(entries))
-    return F.when((F.octet_length(section) >= 16) & (u8(section, 0) == PAT), _finish(section, body))
+    return F.when((F.octet_length(section) >= 16) & (u8(section, 0) == PAT), _shorter(section, body))
 
 
 def _without_ca(loop: Column) -> Column:
-    kept = F.filter(descriptors(loop), lambda d: d["tag"] != TAG_CA)
-    return concat_bytes(F.transform(kept, lambda d: F.concat(to_bytes(d["tag"], 1), to_bytes(F.octet_length(d["body"]), 1), d["body"])))
+    """Descriptors of a loop but those of access, up to the first overrun. A loop of one descriptor needs no walk."""
+    item = lambda at, length: F.struct(u8(loop, at).alias("tag"), F.substring(loop, at + 1, length + 2).alias("raw"))
+    walked = _walk(loop, F.lit(0), F.octet_length(loop), 2, lambda at: u8(loop, at + 1), item)
+    kept = F.filter(walked, lambda d: d["tag"] != TAG_CA)
+    one = u8(loop, 1) + 2 == F.octet_length(loop)
+    many = concat_bytes(F.transform(kept, lambda d: d["raw"]))
+    return F.when(F.octet_length(loop) == 0, loop).when(one, F.when(u8(loop, 0) == TAG_CA, F.substring(loop, 1, 0)).otherwise(loop)).otherwise(many)
 
 
 def rewrite_pmt(section: Column, dropped: Column, strip_ecm: bool, strip_emm: bool) -> Column:
-    """PMT without the streams whose pid is in ``dropped`` and, if asked, without access descriptors."""
-    info = bits(be16(section, 10), 0, 0xFFF)
-    program = F.substring(section, F.lit(13), info)
-    program = _without_ca(program) if strip_emm else program
-    program_head = lambda p: to_bytes(bits(be16(section, 10), 12, 15) * 4096 + F.octet_length(p), 2)
+    """PMT without the streams whose pid is in ``dropped`` and, if asked, without access descriptors.
 
-    def entry(e: Column) -> Column:
-        desc = _without_ca(e["desc"]) if strip_ecm else e["desc"]
-        return _let(desc, lambda d: F.concat(to_bytes(e["stream_type"], 1), to_bytes(e["pid"] + 0xE000, 2), to_bytes(F.octet_length(d) + 0xF000, 2), d))
+    Null, as for other tables, when the program's descriptors overrun the section. What is kept is copied as it stands.
+    """
+    end = F.octet_length(section) - 4
+    with_length = lambda upper, body: _let(body, lambda b: F.concat(to_bytes(bits(upper, 12, 15) * 4096 + F.octet_length(b), 2), b))
 
-    kept = F.filter(_es_loop(section, info + 12), lambda e: ~F.array_contains(dropped, e["pid"]))
-    body = F.concat(F.substring(section, 4, 7), _let(program, lambda p: F.concat(program_head(p), p)), concat_bytes(F.transform(kept, entry)))
-    return F.when((F.octet_length(section) >= 16) & (u8(section, 0) == PMT), _finish(section, body))
+    def entry(e: Column) -> Column:
+        if not strip_ecm:
+            return e["raw"]
+        desc = _let(F.substring(e["raw"], F.lit(6), F.octet_length(e["raw"])), _without_ca)
+        same = F.octet_length(e["raw"]) - 5  # nothing was dropped from descriptors of that length
+        changed = lambda d: F.concat(F.substring(e["raw"], 1, 3), with_length(be16(e["raw"], 3), d))
+        return _let(desc, lambda d: F.when(F.octet_length(d) == same, e["raw"]).otherwise(changed(d)))
+
+    def rewritten(info: Column) -> Column:
+        item = lambda at, length: F.struct(bits(be16(section, at + 1), 0, 0x1FFF).alias("pid"), F.substring(section, at + 1, length + 5).alias("raw"))
+        loop = _walk(section, info + 12, end, 5, lambda at: bits(be16(section, at + 3), 0, 0xFFF), item)
+        kept = F.filter(loop, lambda e: ~F.array_contains(dropped, e["pid"]))
+        program = F.substring(section, F.lit(13), info)
+        program = _let(program, _without_ca) if strip_emm else program
+        body = F.concat(F.substring(section, 4, 7), with_length(be16(section, 10), program), concat_bytes(F.transform(kept, entry)))
+        return F.when(info + 12 <= end, _shorter(section, body))
+
+    table = (F.octet_length(section) >= 16) & (u8(section, 0) == PMT)
+    return F.when(table, _let(bits(be16(section, 10), 0, 0xFFF), rewritten))
 
 
 def section_packet(pid: Column, cc: Column, section: Column) -> Column:
-    """One 188-byte packet holding a section of at most 183 bytes, padded; null when it does not fit."""
+    """One 188-byte packet holding a section that fits, padded; null when it does not."""
     head = F.concat(F.unhex(F.lit("47")), to_bytes(pid + 0x4000, 2), to_bytes(cc + 0x10, 1), F.unhex(F.lit("00")))
-    pad = F.unhex(F.repeat(F.lit("FF"), F.greatest(183 - F.octet_length(section), F.lit(0))))
-    return F.when(F.octet_length(section) <= 183, F.concat(head, section, pad))
+    pad = F.unhex(F.repeat(F.lit("FF"), F.greatest(PACKET_SECTION - F.octet_length(section), F.lit(0))))
+    return F.when(F.octet_length(section) <= PACKET_SECTION, F.concat(head, section, pad))
 
 
 def rewrite_tables(
     packets: DataFrame,
-    sections: DataFrame,
+    starts: DataFrame,
     pmt_pids: DataFrame,
     dropped_pids: DataFrame,
     mask: frozenset[str] = STRIP_DEFAULT,
@@ -718,23 +787,25 @@ def rewrite_tables(
 ) -> DataFrame:
     """Replacement packets for the PAT and PMT pids (UDF-7); the caller unions them with the stripped stream.
 
-    ``packets``: ``capture, pid, pkt_no, pusi, pkt``; ``sections``: ``capture, pid, last_pkt_no, bytes`` with valid
-    checksums; ``dropped_pids(capture, pids ARRAY<INT>)`` are the streams to remove. Only section starts are replaced,
-    by the table known at that packet; continuation packets and starts before the first table are dropped; a table
-    that does not fit one packet passes unchanged.
+    ``packets``: ``capture, pid, pkt_no, pkt``; ``starts``: their ``section_starts``; ``dropped_pids(capture, pids ARRAY<INT>)``
+    are the streams to remove. Only section starts are replaced, by the table known at that packet: its own section, or the
+    last one before it when its own is broken or ends in a later packet. Continuation packets and starts before the first
+    table are dropped; a table that does not fit one packet passes unchanged.
     """
-    pat = packets.filter(F.col("pid") == PID_PAT)
-    if "NIT" not in mask:
-        passed, pat = pat.select("capture", "pid", "pkt_no", "pkt"), pat.filter("false")
-    else:
-        passed = None
-    pmt = packets.join(pmt_pids.select("capture", F.col("pmt_pid").alias("pid")), ["capture", "pid"], "left_semi")
-    tables = pat.unionByName(pmt).filter("pusi <> 0").select("capture", "pid", "pkt_no", "pkt")
-    known = asof_state(tables, sections.select("capture", "pid", F.col("last_pkt_no").alias("pkt_no"), "bytes"), ["capture", "pid"], "pkt_no", ["bytes"], span)
-    numbered = row_number(known.filter("bytes IS NOT NULL"), ["capture", "pid"], ["pkt_no"], "n", span)
-    lists = numbered.join(dropped_pids.select("capture", "pids"), "capture", "left")
+    listed = pmt_pids.groupBy("capture").agg(F.collect_set("pmt_pid").alias("__pmts"))  # 13 bits
+    about = cut_lineage(listed.join(dropped_pids.select("capture", "pids"), "capture", "full"))
+    wanted = F.array_contains("__pmts", F.col("pid"))
+    wanted = (wanted | (F.col("pid") == PID_PAT)) if "NIT" in mask else (wanted & (F.col("pid") != PID_PAT))
+    tables = starts.join(about, "capture", "left").filter(wanted).drop("__pmts", "last_pkt_no")
+    keys, own = ["capture", "pid"], F.col("whole") & F.col("bytes").isNotNull()
+    if starts.filter(~own).isEmpty():
+        numbered = row_number(tables, keys, ["pkt_no"], "n", span)
+    else:  # a section over several packets is known from the next start on
+        seen = scan(tables, keys, ["pkt_no"], span, __prior=PriorKnown(F.col("bytes")))
+        known = seen.withColumn("bytes", F.when(own, F.col("bytes")).otherwise(F.col("__prior"))).drop("__prior")
+        numbered = row_number(known.filter("bytes IS NOT NULL"), keys, ["pkt_no"], "n", span)
     dropped = F.coalesce(F.col("pids"), F.array().cast("array<int>"))
     section = F.when(F.col("pid") == PID_PAT, rewrite_pat(F.col("bytes"))).otherwise(rewrite_pmt(F.col("bytes"), dropped, "ECM" in mask, "EMM" in mask))
     rebuilt = section_packet(F.col("pid"), F.pmod(F.col("n"), F.lit(16)), F.col("section"))
-    out = evaluate_once(lists, "section", section).select("capture", "pid", "pkt_no", F.coalesce(rebuilt, F.col("pkt")).alias("pkt"))
-    return out if passed is None else out.unionByName(passed)
+    out = evaluate_once(numbered, "section", section).select("capture", "pid", "pkt_no", F.coalesce(rebuilt, F.col("pkt")).alias("pkt"))
+    return out if "NIT" in mask else out.unionByName(packets.filter(F.col("pid") == PID_PAT).select("capture", "pid", "pkt_no", "pkt"))

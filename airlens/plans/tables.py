@@ -300,15 +300,20 @@ def _(fx):
     return psi.scan_report(seen, datagrams, programs)
 
 
+def rewritten(fx: Fixtures) -> DataFrame:
+    """Replacement packets of the orders' tables, without their application streams."""
+    pk = table_packets(fx)
+    starts = psi.section_starts(pk)
+    t = psi.psi_tables(psi.sections_of_starts(starts))
+    applications = t["es"].filter("cls = 'AIT'").groupBy("capture").agg(F.collect_set("pid").alias("pids"))
+    return psi.rewrite_tables(pk, starts, t["pat"].filter("program_number <> 0"), applications)
+
+
 @query("rewrite_tables", """WITH len AS (SELECT capture, COUNT(*) FILTER (variant <> 6) AS n, SUM(CASE variant WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 3 THEN 9 WHEN 4 THEN 7 WHEN 5 THEN 10 ELSE 0 END) AS d FROM fx_order_es GROUP BY 1)
 SELECT p.capture, 0 AS pid, CAST(r.range * 1000 AS BIGINT) AS pkt_no, 16 AS size, TRUE AS crc_ok, CAST(r.range + 1 AS INT) AS cc FROM fx_order_programs p, range(2) r
 UNION ALL SELECT p.capture, p.pmt_pid, CAST(r.range * 1000 + 200 AS BIGINT), CAST(16 + 5 * n + d AS INT), TRUE, CAST(r.range + 1 AS INT) FROM fx_order_programs p JOIN len ON p.capture = len.capture, range(2) r""")
 def _(fx):
-    pk = table_packets(fx)
-    found = cut_lineage(psi.assemble_sections(pk))
-    t = psi.psi_tables(found)
-    applications = t["es"].filter("cls = 'AIT'").groupBy("capture").agg(F.collect_set("pid").alias("pids"))
-    out = psi.rewrite_tables(pk, found, t["pat"].filter("program_number <> 0"), applications)
+    out = rewritten(fx)
     section = F.expr("substring(pkt, 6, cast(conv(hex(substring(pkt, 7, 2)), 16, 10) as int) % 4096 + 3)")
     return out.select("capture", "pid", "pkt_no", F.octet_length(section).alias("size"), (psi.crc32_mpeg2(section) == 0).alias("crc_ok"), F.expr("cast(conv(hex(substring(pkt, 4, 1)), 16, 10) as int) % 16").alias("cc"))
 
@@ -317,11 +322,7 @@ def _(fx):
  FROM fx_order_es_class o JOIN fx_order_programs p ON o.capture = p.capture WHERE cls <> 'AIT'""")
 def _(fx):
     """The rewritten packets read again, tables and all: every stream is in them as it was, but for the dropped ones."""
-    pk = table_packets(fx)
-    found = cut_lineage(psi.assemble_sections(pk))
-    t = psi.psi_tables(found)
-    applications = t["es"].filter("cls = 'AIT'").groupBy("capture").agg(F.collect_set("pid").alias("pids"))
-    out = psi.rewrite_tables(pk, found, t["pat"].filter("program_number <> 0"), applications)
-    again = ts.ts_payload(ts.ts_header(out.select("capture", "pkt_no", "pkt"))).select("capture", "pid", "pkt_no", "pusi", "payload")
+    out = rewritten(fx)
+    again = ts.ts_payload(ts.ts_header(cut_lineage(out.select("capture", "pkt_no", "pkt")))).select("capture", "pid", "pkt_no", "pusi", "payload")
     es = psi.tables_of_packets(again)["es"]
     return es.select("capture", "program_number", "pmt_pid", "pid", "stream_type", "cls", "codec", "lang", F.col("ttx.page").alias("page"), F.col("sub.composition_page").alias("composition_page"))

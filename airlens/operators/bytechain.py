@@ -89,6 +89,29 @@ def join_exits(maps: list[tuple], size: int, look: int) -> tuple[int, list[int],
     return first, uptos, exits
 
 
+def pack_map(uptos, exits, end: int, look: int) -> bytes:
+    """A map as one value: for each entry its exit, counted from ``end``, where the piece or the joined pieces end.
+
+    No exit is further than ``look`` behind that. A piece of a few KB has about as many stretches as entries, so places in
+    lists of 8 bytes would be several times the stream itself.
+    """
+    reach = np.diff(np.asarray(uptos, np.int64), prepend=-1)
+    outs = np.asarray(exits, np.int64)
+    return np.repeat(np.where(outs < 0, 0, outs - end + 1), reach).astype(_packed(look)).tobytes()
+
+
+def unpack_map(packed: bytes, end: int, look: int) -> tuple[np.ndarray, np.ndarray]:
+    """``uptos, exits`` of a packed map."""
+    places = np.frombuffer(packed, _packed(look)).astype(np.int64)
+    uptos = np.append(np.flatnonzero(np.diff(places)), len(places) - 1)
+    outs = places[uptos]
+    return uptos, np.where(outs == 0, -1, outs + end - 1)
+
+
+def _packed(look: int) -> str:
+    return "<u2" if look < (1 << 16) - 1 else "<u4"
+
+
 def walk_records(
     pieces: DataFrame,
     keys: list[str],
@@ -103,8 +126,7 @@ def walk_records(
     rows (without keys) for one step, or none when it only skips. ``schema`` describes them after ``keys, at``.
     """
     key_fields = [f for f in pieces.schema.fields if f.name in keys]
-    longs = T.ArrayType(T.LongType())
-    piece_field = T.StructField("piece", T.LongType())
+    longs = [T.StructField(name, T.LongType()) for name in ("piece", "until")]
 
     def joined(pdf: pd.DataFrame) -> bytes:
         return b"".join(bytes(p) for p in pdf.sort_values("at")["part"])
@@ -112,13 +134,21 @@ def walk_records(
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         base = int(key[-1]) * piece
         uptos, exits = _exit_map(joined(pdf), base, piece, look + 1 if base else 1, step_of(key[:-1]))
-        return pd.DataFrame([[*key, uptos, exits]], columns=[*keys, "piece", "upto", "exits"])
+        until = int(key[-1]) + 1
+        return pd.DataFrame([[*key, until, pack_map(uptos, exits, until * piece, look)]], columns=[*keys, "piece", "until", "map"])
+
+    maps = pieces.groupBy(*keys, "piece").applyInPandas(build, T.StructType([*key_fields, *longs, T.StructField("map", T.BinaryType())]))
+
+    def follow(state: tuple, one: tuple) -> tuple:
+        number, until, packed = one
+        return (leave(state[0], number, *unpack_map(packed, until * piece, look), piece),)
 
-    maps = pieces.groupBy(*keys, "piece").applyInPandas(build, T.StructType([*key_fields, piece_field, T.StructField("upto", longs), T.StructField("exits", longs)]))
+    def join(several: list[tuple]) -> tuple:
+        until = several[-1][1]
+        first, uptos, exits = join_exits([(n, *unpack_map(m, u * piece, look)) for n, u, m in several], piece, look)
+        return first, until, pack_map(uptos, exits, until * piece, look)
 
-    entered = inherited_states(
-        maps, keys, "piece", ("piece", "upto", "exits"), ("entry",), (0,), lambda state, one: (leave(state[0], *one, piece),), lambda several: join_exits(several, piece, look), fan,
-    )
+    entered = inherited_states(maps, keys, "piece", ("piece", "until", "map"), ("entry",), (0,), follow, join, fan)
     offset = F.col("entry") - F.col("piece") * piece
     # the stream ended before this piece, or one record spans it whole
     entries = entered.where((F.col("entry") >= 0) & (offset < piece)).withColumn("entry", offset)

@@ -92,6 +92,14 @@ def test_tables_of_one_packet_are_read_once_and_need_no_lookup(spark):
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_packets_are_kept_only_where_one_may_pass_unchanged(spark):
+    whole = packets(0, table(0, "0001c10000 0007e064"), 0) + packets(100, pmt(ES), 1)
+    rest = packets(100, pmt(ES, "f0ff"), 2) + packets(100, pmt(ES)[:-1] + b"\0", 3) + packets(17, table(0x42, "0001c10000 0001ff"), 4) + packets(100, pmt("03e105f000" * 60), 5)
+    starts = psi.section_starts(spark.createDataFrame(whole + rest, SCHEMA))
+    kept = {r.pkt_no: r.pkt is not None for r in starts.collect()}
+    assert kept == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True}
+
+
 def test_rewritten_packets_are_made_once_for_their_readers(spark, monkeypatch, tmp_path):
     from airlens.plans import tables
 

@@ -166,13 +166,16 @@ def valid_sections(sections: DataFrame, table_id: int, min_size: int = 12, disti
 def _walk(data: Column, start: Column, end: Column, head: int, length: Callable[[Column], Column], item: Callable[[Column, Column], Column]) -> Column:
     """Entries of ``head`` bytes and a body, up to the first that does not fit, each as ``item(at, length)``.
 
-    The steps only note where entries begin: a place is null behind the last one. Fields are read once an entry.
+    The steps only note where entries begin and stop behind the last one. Fields are read once an entry.
     """
-    step = lambda ats, _i: F.concat(ats, F.array(F.when(F.element_at(ats, -1) < end, F.element_at(ats, -1) + head + length(F.element_at(ats, -1)))))
+    def step(ats: Column, _i: Column) -> Column:
+        at = F.element_at(ats, -1)
+        return F.when(at < end, F.concat(ats, F.array(at + head + length(at)))).otherwise(ats)
+
     slots = F.sequence(F.lit(0), F.greatest(F.floor((end - start) / head).cast("int"), F.lit(0)))
 
     def read(ats: Column) -> Column:
-        fit = F.filter(F.sequence(F.lit(0), F.size(ats) - 2), lambda i: F.get(ats, i + 1) <= end)
+        fit = F.filter(F.sequence(F.lit(0), F.size(ats) - 1), lambda i: F.get(ats, i + 1) <= end)
         return F.transform(fit, lambda i: item(F.get(ats, i), F.get(ats, i + 1) - F.get(ats, i) - head))
 
     return _let(F.aggregate(slots, F.array(start.cast("int")), step), lambda ats: F.when(ats.isNotNull(), read(ats)))

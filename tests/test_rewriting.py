@@ -100,6 +100,16 @@ def test_packets_are_kept_only_where_one_may_pass_unchanged(spark):
     assert kept == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True}
 
 
+def test_lists_without_entries_and_a_walk_that_stops_behind_its_last_one(spark):
+    sections = [pmt(""), pmt(ES), pmt(ES + "05"), pmt(ES + "03e105f0ff"), pmt("03e105f0036f0100" + ES)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sections)], "i int, b binary")
+    loops = df.select("i", psi._es_loop(F.col("b"), F.lit(12)).alias("l")).orderBy("i").collect()
+    assert [[e.pid for e in r.l] for r in loops] == [[], [257], [257], [257], [261, 257]]
+    found = spark.createDataFrame([(i, bytes.fromhex(d)) for i, d in enumerate(["", "0a", "0a00", "0a0165", "0a01650900", "0a0965"])], "i int, d binary")
+    items = found.select("i", psi.descriptors(F.col("d")).alias("l")).orderBy("i").collect()
+    assert [[(d.tag, bytes(d.body)) for d in r.l] for r in items] == [[], [], [(10, b"")], [(10, b"e")], [(10, b"e"), (9, b"")], []]
+
+
 def test_rewritten_packets_are_made_once_for_their_readers(spark, monkeypatch, tmp_path):
     from airlens.plans import tables
 
